@@ -2,7 +2,7 @@
 
 import importlib
 
-GROUPS = ("scans", "columns", "parsing")
+GROUPS = ("scans", "columns", "parsing", "physics")
 
 
 def load():

@@ -13,11 +13,11 @@ SYM = r"([A-Z][a-z]?)\s*([0-9]*\.?[0-9]*)"
 PARSE_STEPS = f"""
 cleaned AS (SELECT exp_id, trim(regexp_replace(translate(raw_composition, '–—，,;', '--   '), '\\s+', ' ', 'g')) AS s FROM experiments),
 toks AS (SELECT exp_id, s, string_split(s, ' ') AS t FROM cleaned),
-nf AS (SELECT *, list_filter(range(2, len(t) + 1), lambda i: abs(TRY_CAST(t[1] AS DOUBLE) + TRY_CAST(t[i] AS DOUBLE) - 100) <= 5e-1)[1] AS at FROM toks),
+nf AS (SELECT *, list_filter(range(2, len(t) + 1), lambda i: abs(TRY_CAST(t[1] AS DOUBLE) + TRY_CAST(t[i] AS DOUBLE) - 100) <= 5e-1)[1] AS cut FROM toks),
 cand AS (
-  SELECT exp_id, 1 AS prio, 'number_first' AS format, array_to_string(t[at + 1:], ' ') AS btext, TRY_CAST(t[at] AS DOUBLE) AS wt,
-         coalesce(list_filter(t[2:at - 1], lambda k: k IN {PHASES})[1], t[2:at - 1][1], 'WC') AS phase, t[2:at - 1][2] AS secondary
-  FROM nf WHERE len(t) >= 3 AND at IS NOT NULL
+  SELECT exp_id, 1 AS prio, 'number_first' AS format, array_to_string(t[cut + 1:], ' ') AS btext, TRY_CAST(t[cut] AS DOUBLE) AS wt,
+         coalesce(list_filter(t[2:cut - 1], lambda k: k IN {PHASES})[1], t[2:cut - 1][1], 'WC') AS phase, t[2:cut - 1][2] AS secondary
+  FROM nf WHERE len(t) >= 3 AND cut IS NOT NULL
   UNION ALL
   SELECT exp_id, 2, 'dash', regexp_extract(trim(p[2]), '{RIGHT}', 2),
          coalesce(TRY_CAST(nullif(regexp_extract(trim(p[2]), '{RIGHT}', 1), '') AS DOUBLE),

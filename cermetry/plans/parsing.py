@@ -51,25 +51,26 @@ def c2(spark, sf):
         "share", r6("share", 9))
 
 
-_C3 = f"""WITH {B.sql('experiments')}, s AS (SELECT exp_id, regexp_replace(trim(raw_composition), '^[a-z]\\s+', '') AS s FROM experiments WHERE exp_id % 8 IN (2, 3)),
+_C3 = f"""WITH {B.sql('experiments')}, s AS (SELECT exp_id, regexp_replace(trim(raw_composition), '^[a-z]\\s+', '') AS s FROM experiments),
 t AS (SELECT exp_id, list_filter(regexp_split_to_array(s, '\\s+'), lambda k: k <> '') AS t FROM s),
 p AS (SELECT exp_id, t[i] AS k, t[i + 1] AS nxt FROM (SELECT exp_id, t, unnest(range(1, len(t) + 1)) AS i FROM t)),
 a AS (SELECT exp_id, CASE WHEN TRY_CAST(nxt AS DOUBLE) IS NOT NULL THEN k ELSE regexp_extract(k, '^{SYM}', 1) END AS k,
         coalesce(TRY_CAST(nxt AS DOUBLE), TRY_CAST(nullif(regexp_extract(k, '^{SYM}', 2), '') AS DOUBLE), 1) AS v
       FROM p WHERE TRY_CAST(k AS DOUBLE) IS NULL),
-w AS (SELECT * FROM a UNION ALL SELECT exp_id, 'WC', 100 - sum(v) FROM a GROUP BY exp_id HAVING count(CASE WHEN k = 'WC' THEN 1 END) = 0),
+w AS (SELECT * FROM a WHERE k <> '' UNION ALL SELECT exp_id, 'WC', 100 - sum(CASE WHEN k NOT IN {HARD} THEN v END) FROM a WHERE k <> '' GROUP BY exp_id
+  HAVING count(CASE WHEN k = 'WC' THEN 1 END) = 0 AND sum(CASE WHEN k NOT IN {HARD} THEN v END) > 0),
 n AS (SELECT exp_id, k, v / sum(v) OVER (PARTITION BY exp_id) * 100 AS v FROM w)"""
 
 
 @query("c3_cermet_text", f"{_C3} SELECT exp_id, k AS el, round(v, 6) + 0e0 AS pct FROM n")
 def c3(spark, sf):
-    e = _experiments(spark, sf).filter("exp_id % 8 IN (2, 3)")
+    e = _experiments(spark, sf)
     return e.select("exp_id", F.explode(C.cermet_amounts("raw_composition")).alias("el", "pct")).withColumn("pct", r6("pct"))
 
 
 @query("c3_cermet_binder_only", f"{_C3} SELECT exp_id, k AS el, round(v / sum(v) OVER (PARTITION BY exp_id), 6) + 0e0 AS share FROM n WHERE k NOT IN {HARD}")
 def c3b(spark, sf):
-    e = _experiments(spark, sf).filter("exp_id % 8 IN (2, 3)")
+    e = _experiments(spark, sf)
     return e.select("exp_id", F.explode(C.cermet_binder("raw_composition")).alias("el", "share")).withColumn("share", r6("share"))
 
 
@@ -141,7 +142,7 @@ _KNOWN = f"""kn AS (SELECT row_id, list_filter(t, lambda k: lower(k) IN {HARD_LO
 
 @query("c12_known_ceramic", f"WITH {_SHEET_TEXT}, {_KNOWN} SELECT row_id, phase, metal, round(w, 6) + 0e0 AS binder_wt_pct FROM kn WHERE w > 0 AND w < 100 AND phase IS NOT NULL AND metal IS NOT NULL")
 def c12(spark, sf):
-    s = B.view(spark, sf, "sheet").filter(r"composition RLIKE '^[0-9].* x '")
+    s = B.view(spark, sf, "sheet")
     return s.select("row_id", C.known_ceramic_format("composition").alias("p")).filter("p IS NOT NULL").select(
         "row_id", F.map_keys("p.ceramic")[0].alias("phase"), F.map_keys("p.binder")[0].alias("metal"), r6("p.binder_wt_pct").alias("binder_wt_pct"))
 
@@ -159,7 +160,7 @@ _PH = f"""ph AS (SELECT row_id, phase, metal, vol, CASE WHEN vol IS NULL THEN NU
 
 @query("c13_placeholder_volume", f"WITH {_SHEET_TEXT}, {_PH} SELECT row_id, phase, metal, round(w, 6) + 0e0 AS binder_wt_pct, w IS NULL AS has_unknown FROM ph")
 def c13(spark, sf):
-    s = B.view(spark, sf, "sheet").filter("composition RLIKE '^[A-Z].* x '")
+    s = B.view(spark, sf, "sheet").filter(F.array_contains(C.tokens("composition"), "x") & ~F.col("composition").rlike(r"^\d"))
     return s.select("row_id", C.placeholder_with_volume("composition", F.col("binder_vol").try_cast("double")).alias("p")).filter("p IS NOT NULL").select(
         "row_id", F.map_keys("p.ceramic")[0].alias("phase"), F.map_keys("p.binder")[0].alias("metal"),
         r6("p.binder_wt_pct").alias("binder_wt_pct"), "p.has_unknown")
