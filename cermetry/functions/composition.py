@@ -37,18 +37,22 @@ def number(c) -> Column:
 # ---------------------------------------------------------------- maps
 def sum_by_key(pairs: Column) -> Column:
     """array<struct<k,v>> to map, adding the amounts of repeated keys."""
+
+    def summed(ps, keys):
+        return F.map_from_entries(F.transform(
+            F.array_distinct(keys),
+            lambda k: F.struct(k.alias("k"), F.aggregate(
+                F.filter(ps, lambda p: p["k"] == k), F.lit(0.0), lambda a, p: a + p["v"]
+            ).alias("v")),
+        ))
+
     return let(
         pairs,
-        lambda ps: F.map_from_entries(
-            F.transform(
-                F.array_distinct(F.transform(ps, lambda p: p["k"])),
-                lambda k: F.struct(
-                    k.alias("k"),
-                    F.aggregate(
-                        F.filter(ps, lambda p: p["k"] == k), F.lit(0.0), lambda a, p: a + p["v"]
-                    ).alias("v"),
-                ),
-            )
+        lambda ps: let(
+            F.transform(ps, lambda p: p["k"]),
+            lambda keys: F.when(
+                F.size(F.array_distinct(keys)) == F.size(keys), F.map_from_entries(ps)
+            ).otherwise(summed(ps, keys)),
         ),
     )
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from cermetry.functions import constants as K
-from cermetry.functions.common import clamp, col, dbl, let, literal_map, total
+from cermetry.functions.common import clamp, col, dbl, let, literal_map, sql_double, total
 from cermetry.functions.composition import formula_amounts, share_map
 
 
@@ -20,18 +20,19 @@ def element_table() -> Column:
         values["bulk"] = K.BULK_MODULUS.get(symbol)
         values["young"] = K.YOUNGS_MODULUS.get(symbol)
         values["resistivity"] = K.RESISTIVITY.get(symbol)
-        return F.struct(*[dbl(v).alias(k) for k, v in values.items()])
+        fields = ", ".join(f"'{k}', {sql_double(v)}" for k, v in values.items())
+        return f"'{symbol}', named_struct({fields})"
 
-    return F.create_map(*[x for s in K.ELEMENTS for x in (F.lit(s), row(s))])
+    return F.expr(f"map({', '.join(row(s) for s in K.ELEMENTS)})")
 
 
 def enthalpy_table() -> Column:
     """Constant map first symbol -> second symbol -> kJ/mol, first < second."""
     nested = {}
     for pair, h in K.ENTHALPY.items():
-        a, b = pair.split("-")
-        nested.setdefault(a, {})[b] = h
-    return F.create_map(*[x for a, m in nested.items() for x in (F.lit(a), literal_map(m))])
+        first, second = pair.split("-")
+        nested.setdefault(first, []).append(f"'{second}', {sql_double(h)}")
+    return F.expr(f"map({', '.join(f'{k!r}, map(' + ', '.join(v) + ')' for k, v in nested.items())})")
 
 
 def element_rows(m: Column) -> Column:

@@ -11,6 +11,7 @@ from cermetry.functions import composition as C
 from cermetry.functions import constants as K
 from cermetry.functions import physics as P
 from cermetry.functions.common import col
+from cermetry.session import checked_broadcast
 from cermetry.sources import dims
 
 
@@ -143,42 +144,68 @@ INJECTED = (
 )
 
 
-def composition_features(df, formula="formula", ceramic="ceramic", energy="pred_formation_energy",
-                         volume="volume_per_atom", moment="pred_magnetic_moment"):
-    """Add the fifteen injected features.
-
-    ``energy``, ``volume`` and ``moment`` are surrogate-model outputs (columns).
-    A composition that does not parse gives NULL features and keeps its row;
-    columns of the same names are overwritten.
-    """
-    lattice = P.fcc_lattice(volume)
-    phase = F.coalesce(C.main_phase(ceramic), F.lit("WC"))
-    df = df.withColumn("_r", P.formula_rows(formula)).withColumn("_q", P.formula_rows(phase))
-    r, q = F.col("_r"), F.col("_q")
-    h, s = P.enthalpy(r), P.entropy(r)
-    features = {
-        "pred_formation_energy": col(energy), "pred_lattice_param": lattice, "pred_magnetic_moment": col(moment),
-        "lattice_mismatch": P.relative_gap(lattice / K.SQRT2, P.ceramic_neighbour(phase)),
-        "coherent_potential": P.relative_gap(lattice / K.SQRT2, P.ceramic_lattice(phase)),
-        "is_coherent": P.relative_gap(lattice / K.SQRT2, P.ceramic_lattice(phase)) < 0.01,
-        "lattice_distortion": F.abs(lattice - P.vegard_lattice(C.formula_shares(formula))),
+def _alloy_part(df, formula):
+    """Features that depend on the alloy alone."""
+    df = df.withColumn("_m", C.formula_shares(formula)).withColumn("_r", P.element_rows(F.col("_m")))
+    r = F.col("_r")
+    df = df.withColumns({"_s": P.entropy(r), "_h": P.enthalpy(r), "_t": P.weighted(r, "tm")})
+    return df.withColumns({
         "vec_binder": P.vec_strict(r), "mean_mass": P.weighted_or_null(r, "mass"), "std_chi": P.chi_spread(r),
+        "delta": P.size_mismatch(r), "omega": P.omega(F.col("_t"), F.col("_s"), F.col("_h")),
+        "vegard": P.vegard_lattice(F.col("_m")), "parsed": r.isNotNull(),
+    }).drop("_m", "_r", "_s", "_h", "_t")
+
+
+def _ceramic_part(df, phase):
+    """Features that depend on the hard phase alone."""
+    df = df.withColumn("_q", P.formula_rows(phase))
+    q = F.col("_q")
+    return df.withColumns({
         "ceramic_mean_mass": P.weighted(q, "mass"), "ceramic_std_chi": P.chi_spread(q),
         "ceramic_min_number": F.array_min(F.transform(q, lambda x: x["p"]["number"])),
-        "delta": P.size_mismatch(r), "omega": P.omega(P.weighted(r, "tm"), s, h),
-    }
-    ok = r.isNotNull()
-    return df.withColumns({k: F.when(ok, v) for k, v in features.items()}).drop("_r", "_q")
+        "target_neighbor": P.ceramic_neighbour(phase), "target_lattice": P.ceramic_lattice(phase),
+    }).drop("_q")
+
+
+def per_distinct(df, key, features):
+    """Compute ``features(frame)`` once per distinct key and join back.
+
+    The joined side is distinct by construction, so no row is multiplied, and it
+    is broadcast only when counted to be small.  A NULL key keeps NULL features.
+    """
+    once = features(df.select(key).where(F.col(key).isNotNull()).distinct())
+    return df.join(checked_broadcast(once), key, "left")
 
 
-def per_distinct_composition(df, formula, features):
-    """Compute ``features(frame)`` once per distinct formula and join back.
+def inject_features(df, formula="formula", ceramic="ceramic", energy="pred_formation_energy",
+                    volume="volume_per_atom", moment="pred_magnetic_moment"):
+    """Add the fifteen injected features.
 
-    The join side is distinct by construction, so no row is multiplied.  Worth
-    it when formulas repeat; a hot formula is split by adaptive skew handling.
+    ``energy``, ``volume`` and ``moment`` are surrogate-model outputs (columns).
+    Alloy and hard-phase features are computed once per distinct text; what
+    depends on the row's own surrogate values is plain column arithmetic.  A
+    composition that does not parse gives NULL features and keeps its row;
+    columns of the same names are overwritten.
     """
-    once = features(df.select(formula).distinct())
-    return df.join(once, formula, "left")
+    lattice = F.cbrt(4 * F.col("_volume"))
+    df = df.withColumns({
+        "_energy": col(energy), "_volume": col(volume), "_moment": col(moment),
+        "_phase": F.coalesce(C.main_phase(ceramic), F.lit("WC")),
+    }).drop(*INJECTED)
+    df = per_distinct(df, formula, lambda d: _alloy_part(d, formula))
+    df = per_distinct(df, "_phase", lambda d: _ceramic_part(d, "_phase"))
+    distance = lattice / K.SQRT2
+    ok = F.coalesce(F.col("parsed"), F.lit(False))
+    potential = P.relative_gap(distance, "target_lattice")
+    made = {
+        "pred_formation_energy": F.col("_energy"), "pred_lattice_param": lattice, "pred_magnetic_moment": F.col("_moment"),
+        "lattice_mismatch": P.relative_gap(distance, "target_neighbor"),
+        "coherent_potential": potential, "is_coherent": potential < 0.01,
+        "lattice_distortion": F.abs(lattice - F.col("vegard")),
+        **{c: F.col(c) for c in INJECTED[10:13]},
+    }
+    df = df.withColumns({k: F.when(ok, v) for k, v in made.items()})
+    return df.drop("_energy", "_volume", "_moment", "_phase", "parsed", "vegard", "target_neighbor", "target_lattice")
 
 
 def screening_score(energy, mismatch, ratio, moment):

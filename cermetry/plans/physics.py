@@ -439,7 +439,7 @@ def _show(df):
 
 @query("d41_inject_features", f"WITH {INJECT} {_INJ}")
 def d41(spark, sf):
-    return _show(O.composition_features(B.view(spark, sf, "runs")))
+    return _show(O.inject_features(B.view(spark, sf, "runs")))
 
 
 @query("d42_surrogate_defaults", f"""WITH {B.sql('alloys')} SELECT alloy_id, coalesce(CASE WHEN alloy_id % 3 > 0 THEN pred_formation_energy END, -5e-1) AS pred_formation_energy,
@@ -464,7 +464,7 @@ def e27(spark, sf):
         return d.select("formula", P.vec(R).alias("vec"), P.size_mismatch(R).alias("delta"), P.omega(F.col("tm"), F.col("s"), F.col("h")).alias("omega"))
 
     runs = B.view(spark, sf, "runs").select("run_id", "formula")
-    out = O.per_distinct_composition(runs, "formula", once)
+    out = O.per_distinct(runs, "formula", once)
     return _pick(out, key="run_id", vec=F.col("vec"), delta=F.col("delta"), omega=F.col("omega"))
 
 

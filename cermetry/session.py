@@ -4,6 +4,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -45,3 +46,14 @@ def cut_lineage(df, name="stage"):
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def checked_broadcast(df, max_rows=500_000):
+    """``df`` with a broadcast hint if it is proven to be small.
+
+    The frame is written to the shared folder first, so that counting it costs
+    a metadata read and nothing is computed twice.  Beyond ``max_rows`` the
+    join is left to a shuffle with adaptive skew splitting.
+    """
+    stored = cut_lineage(df, "side")
+    return F.broadcast(stored) if stored.count() <= max_rows else stored
