@@ -51,3 +51,11 @@ def clamp(c, lo, hi) -> Column:
     """Clip to [lo, hi]; NULL stays NULL (``greatest``/``least`` skip NULLs)."""
     c = col(c)
     return F.when(c.isNotNull(), F.greatest(F.lit(lo), F.least(F.lit(hi), c)))
+
+
+def scalars(one_row) -> Column:
+    """A one-row frame as a struct column for use in another query.
+
+    A scalar subquery runs once and reaches the tasks as a constant.
+    """
+    return one_row.select(F.struct("*").alias("_row")).scalar()

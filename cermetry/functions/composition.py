@@ -202,13 +202,11 @@ def dash_format(s) -> Column:
     given_b = number(F.nullif(F.regexp_extract(right, _RIGHT, 1), F.lit("")))
     binder_wt = F.coalesce(given_b, 100 - given_c)
     ceramic_wt = F.coalesce(given_c, 100 - given_b)
-    return let(
+    fits = s.contains("-") & (F.size(parts) == 2) & (phase != "") & binder_wt.isNotNull()
+    return F.when(fits, let(
         binder_shares(F.regexp_extract(right, _RIGHT, 2)),
-        lambda b: F.when(
-            (F.size(parts) == 2) & (phase != "") & binder_wt.isNotNull() & b.isNotNull(),
-            _result("dash", b, F.create_map(phase, ceramic_wt), binder_wt, phase),
-        ),
-    )
+        lambda b: F.when(b.isNotNull(), _result("dash", b, F.create_map(phase, ceramic_wt), binder_wt, phase)),
+    ))
 
 
 def _followed_by_number(t: Column) -> Column:
@@ -254,28 +252,26 @@ def space_format(s) -> Column:
             ),
         )
 
-    return let(t, lambda tk: F.when(F.size(tk) >= 3, let(_followed_by_number(tk), build)))
+    return F.when(
+        col(s).rlike(r"\s[\d.]"),
+        let(t, lambda tk: F.when(F.size(tk) >= 3, let(_followed_by_number(tk), build))),
+    )
 
 
 def prefix_format(s) -> Column:
     """``b WC 25 Co``: the number is the binder's weight percent."""
     s = col(s)
-    return let(
-        tokens(F.substring(s, 3, 1 << 20)),
-        lambda t: let(
+
+    def build(t):
+        wt = number(F.get(t, F.lit(1)))
+        fits = (F.size(t) >= 3) & F.get(t, F.lit(0)).isin(*K.CERAMIC_PHASES) & wt.isNotNull()
+        return F.when(fits, let(
             binder_shares(F.array_join(F.slice(t, 3, 1 << 20), " ")),
-            lambda b: F.when(
-                s.startswith("b ") & (F.size(t) >= 3)
-                & F.get(t, F.lit(0)).isin(*K.CERAMIC_PHASES)
-                & number(F.get(t, F.lit(1))).isNotNull() & b.isNotNull(),
-                _result(
-                    "prefix", b,
-                    F.create_map(F.get(t, F.lit(0)), 100 - number(F.get(t, F.lit(1)))),
-                    number(F.get(t, F.lit(1))), F.get(t, F.lit(0)),
-                ),
-            ),
-        ),
-    )
+            lambda b: F.when(b.isNotNull(), _result(
+                "prefix", b, F.create_map(F.get(t, F.lit(0)), 100 - wt), wt, F.get(t, F.lit(0)))),
+        ))
+
+    return F.when(s.startswith("b "), let(tokens(F.substring(s, 3, 1 << 20)), build))
 
 
 def placeholder_format(s) -> Column:
@@ -293,7 +289,7 @@ def placeholder_format(s) -> Column:
             _result("placeholder", share, F.create_map(phase, dbl(None)), F.lit(None), phase, None, True),
         )
 
-    return let(tokens(s), build)
+    return F.when(col(s).rlike(r"(^|\s)x(\s|$)"), let(tokens(s), build))
 
 
 def number_first_format(s) -> Column:
@@ -322,11 +318,11 @@ def number_first_format(s) -> Column:
             )
 
         return F.when(
-            (F.size(t) >= 3) & first.isNotNull() & (F.size(positions) > 0),
-            let(F.get(positions, F.lit(0)), at),
+            (F.size(t) >= 3) & first.isNotNull(),
+            let(F.get(positions, F.lit(0)), lambda i: F.when(i.isNotNull(), at(i))),
         )
 
-    return let(tokens(s), build)
+    return F.when(col(s).rlike(r"^[\d.+-]"), let(tokens(s), build))
 
 
 def pure_alloy_format(s) -> Column:
@@ -336,15 +332,14 @@ def pure_alloy_format(s) -> Column:
     def build(m):
         metals = keep_symbols(m, K.BINDER_METALS)
         return F.when(
-            s.rlike(WHOLE_FORMULA)
-            & (total(F.map_values(metals)) > 0.9 * total(F.map_values(m))),
+            total(F.map_values(metals)) > 0.9 * total(F.map_values(m)),
             _result(
                 "pure_alloy", share_map(metals), F.create_map().cast("map<string,double>"),
                 F.lit(100.0), F.lit(None),
             ),
         )
 
-    return let(formula_amounts(s), build)
+    return F.when(s.rlike(WHOLE_FORMULA), let(formula_amounts(s), build))
 
 
 def parse_cascade(c) -> Column:

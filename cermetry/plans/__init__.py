@@ -2,7 +2,7 @@
 
 import importlib
 
-GROUPS = ("scans", "columns", "parsing", "physics")
+GROUPS = ("scans", "columns", "parsing", "physics", "relational")
 
 
 def load():
