@@ -135,7 +135,7 @@ def standard_text(m: Column, digits=2, one="") -> Column:
     """
     return F.array_join(
         F.transform(
-            F.array_sort(F.map_entries(m)),
+            F.sort_array(F.map_entries(m)),
             lambda e: let(
                 fixed_point(e["value"], digits),
                 lambda s: F.concat(e["key"], F.when(s == "1", F.lit(one)).otherwise(s)),
@@ -148,7 +148,7 @@ def standard_text(m: Column, digits=2, one="") -> Column:
 def ranked_text(m: Column, digits=1, floor=0.1) -> Column:
     """Symbols by descending share, as percentages; traces left out."""
     entries = F.filter(F.map_entries(m), lambda e: e["value"] * 100 > floor)
-    ordered = F.array_sort(
+    ordered = F.sort_array(
         F.transform(entries, lambda e: F.struct((-e["value"]).alias("neg"), e["key"].alias("key")))
     )
     return F.array_join(

@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from cermetry.functions.common import literal_map
+
 # --- fixed values: property patterns; group 1 value, group 2 unit ------------
 PROPERTY_PATTERNS = {
     "density": r"(?i)density[^.0-9]{0,60}?(\d+(?:\.\d+)?)\s*(g/cm3|g/cm³|g cm-3|kg/m3)",
@@ -16,16 +18,16 @@ UNITS = {
 
 def property_mentions(df, key, text, patterns=PROPERTY_PATTERNS):
     """Rows (key, property, position, value in base units, unit) of whole texts."""
-    found = F.concat(*[
-        F.zip_with(
-            F.regexp_extract_all(text, F.lit(p), F.lit(1)), F.regexp_extract_all(text, F.lit(p), F.lit(2)),
-            lambda v, u, name=name: F.struct(F.lit(name).alias("property"), v.cast("double").alias("raw"), u.alias("unit")))
-        for name, p in patterns.items()])
-    factor = F.create_map(*[x for u, (f, _) in UNITS.items() for x in (F.lit(u), F.lit(f))])
-    offset = F.create_map(*[x for u, (_, o) in UNITS.items() for x in (F.lit(u), F.lit(o))])
-    unit = lambda m: F.coalesce(F.try_element_at(m, F.col("m.unit")), F.lit(1.0 if m is factor else 0.0))
+    def mentions(name, pattern):
+        return F.zip_with(
+            F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.regexp_extract_all(text, F.lit(pattern), F.lit(2)),
+            lambda v, u: F.struct(F.lit(name).alias("property"), v.cast("double").alias("raw"), u.alias("unit")))
+
+    found = F.concat(*[mentions(name, p) for name, p in patterns.items()])
+    factor = F.coalesce(F.try_element_at(literal_map({u: f for u, (f, _) in UNITS.items()}), F.col("m.unit")), F.lit(1.0))
+    offset = F.coalesce(F.try_element_at(literal_map({u: o for u, (_, o) in UNITS.items()}), F.col("m.unit")), F.lit(0.0))
     return df.select(key, F.posexplode(found).alias("position", "m")).select(
-        key, "position", "m.property", (F.col("m.raw") * unit(factor) + unit(offset)).alias("value"), "m.unit")
+        key, "position", "m.property", (F.col("m.raw") * factor + offset).alias("value"), "m.unit")
 
 
 def pending(queue):

@@ -60,10 +60,11 @@ def detect_task(df, target):
 
 # ---------------------------------------------------------------- metrics
 def regression_metrics(df, y, pred, by=()):
-    """n, mse, rmse, mae, r2 and mad in one aggregation.
+    """n, mse, rmse, mae, r2 and mad, overall or per group.
 
-    mad is the mean absolute deviation of the truth about its mean, joined from
-    a first aggregation over the groups.
+    mad is the mean absolute deviation of the truth about its mean, which is the
+    only statistic that needs the mean first: one number overall, one row per
+    group with ``by``.
     """
     ok = df.where(F.col(y).isNotNull() & F.col(pred).isNotNull())
     err, t = F.col(y) - F.col(pred), F.col(y)
@@ -71,10 +72,10 @@ def regression_metrics(df, y, pred, by=()):
         ok = ok.join(ok.groupBy(*by).agg(F.avg(y).alias("_mean")), list(by))
         mean = F.col("_mean")
     else:
-        mean = scalars(ok.agg(F.avg(y).alias("m")))["m"]
+        mean = F.lit(ok.agg(F.avg(y)).first()[0])
     out = ok.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.avg(err * err).alias("mse"), F.avg(F.abs(err)).alias("mae"),
-        F.avg((t - mean) * (t - mean)).alias("_var"), F.avg(F.abs(t - mean)).alias("mad"))
+        F.var_pop(t).alias("_var"), F.avg(F.abs(t - mean)).alias("mad"))
     return out.withColumns({"rmse": F.sqrt("mse"), "r2": 1 - F.try_divide(F.col("mse"), F.col("_var"))}).drop("_var")
 
 

@@ -68,7 +68,7 @@ def parse_sheet(df):
             "kic": measure("kic_text"), "trs": measure("trs_text"), "sinter_temp_c": measure("temp_text"),
             "binder_wt_pct": F.col("p.binder_wt_pct"),
             "ceramic_wt_pct": 100 - F.col("p.binder_wt_pct"),
-            "ceramic_type": F.array_join(F.array_sort(F.map_keys("p.ceramic")), ", "),
+            "ceramic_type": F.array_join(F.sort_array(F.map_keys("p.ceramic")), ", "),
             "binder_atomic": F.when(F.col("p.has_unknown"), F.transform_values("p.binder", lambda k, v: F.lit(1.0)))
             .otherwise(C.to_atomic(F.col("p.binder"))),
         })
@@ -111,7 +111,7 @@ def prioritized(ceramic, ceramic_wt, binder_text, binder_wt, parsed):
         lambda p: F.when(
             (F.size(p["ceramic"]) > 0) & p["binder_wt_pct"].isNotNull() & (F.size(p["binder"]) > 0),
             F.struct(
-                F.array_join(F.array_sort(F.map_keys(p["ceramic"])), ", ").alias("ceramic_type"),
+                F.array_join(F.sort_array(F.map_keys(p["ceramic"])), ", ").alias("ceramic_type"),
                 clamp(100 - p["binder_wt_pct"], 0.0, 100.0).alias("ceramic_wt_pct"),
                 C.to_atomic(p["binder"]).alias("binder"),
                 clamp(p["binder_wt_pct"], 0.0, 100.0).alias("binder_wt_pct"),

@@ -180,7 +180,7 @@ def target_systems(metals, partners):
     """Unaries and metal-partner pairs.  The partner list is explicit, so each
     metal row expands in place."""
     pairs = metals.select("metal", F.explode(F.array(*[F.lit(p) for p in partners])).alias("partner"))
-    pairs = pairs.select(F.concat_ws("-", F.array_sort(F.array("metal", "partner"))).alias("system"))
+    pairs = pairs.select(F.concat_ws("-", F.sort_array(F.array("metal", "partner"))).alias("system"))
     return metals.select(F.col("metal").alias("system")).unionByName(pairs)
 
 

@@ -7,7 +7,7 @@ from cermetry.functions import constants as K
 from cermetry.functions.common import col, scalars
 from cermetry.operators.ordering import skyline
 from cermetry.operators.physics import screening_score
-from cermetry.session import checked_broadcast
+from cermetry.session import checked_broadcast, cut_lineage
 
 _M = 2147483647
 
@@ -60,12 +60,11 @@ def bounded_candidates(df, key, space=K.ELEMENT_SPACE, seed=42):
 def subset_candidates(df, key, elements, low=4, high=6, seed=42):
     """A random subset of ``low`` to ``high`` elements with normalised shares."""
     k = (F.floor(uniform(key, 0, seed) * (high - low + 1)) + low).cast("int")
-    tickets = F.array_sort(F.array(*[
+    tickets = F.sort_array(F.array(*[
         F.struct(uniform(key, 20 + i, seed).alias("t"), F.lit(e).alias("e"), uniform(key, 60 + i, seed).alias("v"))
         for i, e in enumerate(elements)]))
-    chosen = F.slice(tickets, 1, k)
-    return df.withColumn("composition", C.share_map(F.map_from_arrays(
-        F.transform(chosen, lambda x: x["e"]), F.transform(chosen, lambda x: x["v"]))))
+    entries = F.transform(F.slice(tickets, 1, k), lambda x: F.struct(x["e"], x["v"]))
+    return df.withColumn("composition", C.share_map(F.map_from_entries(entries)))
 
 
 # ---------------------------------------------------------------- filters
@@ -162,8 +161,11 @@ def accepted(df, m, x="hv", y="kic"):
 
 
 def inverse_design(df, m, hv, kic, hv_range, kic_range):
-    """Penalised objectives, their Pareto front, acceptance."""
-    scored = penalised(df, m, hv, kic, hv_range, kic_range)
+    """Penalised objectives, their Pareto front, acceptance.
+
+    The front reads its input several times, so the scored rows are stored once.
+    """
+    scored = cut_lineage(penalised(df, m, hv, kic, hv_range, kic_range), "scored")
     return accepted(pareto(scored, "obj_hv", "obj_kic"), m, "obj_hv", "obj_kic")
 
 

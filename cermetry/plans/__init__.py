@@ -2,7 +2,7 @@
 
 import importlib
 
-GROUPS = ("scans", "columns", "parsing", "physics", "relational", "quality", "features", "models")
+GROUPS = ("scans", "columns", "parsing", "physics", "relational", "quality", "features", "models", "screening")
 
 
 def load():

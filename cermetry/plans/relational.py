@@ -282,7 +282,7 @@ def e33(spark, sf):
 @query("e34_best_per_system", f"""WITH {B.sql('library')}, s AS (SELECT *, array_to_string(list_sort([{_SYM.format(1)}, {_SYM.format(2)}]), '-') AS system FROM library)
 SELECT system, entry_id, is_stable, energy FROM (SELECT *, row_number() OVER (PARTITION BY system ORDER BY is_stable DESC, energy NULLS LAST, entry_id) AS rn FROM s) WHERE rn = 1""")
 def e34(spark, sf):
-    lib = B.view(spark, sf, "library").withColumn("system", F.concat_ws("-", F.array_sort(F.array(F.expr(_SYM.format(1)), F.expr(_SYM.format(2))))))
+    lib = B.view(spark, sf, "library").withColumn("system", F.concat_ws("-", F.sort_array(F.array(F.expr(_SYM.format(1)), F.expr(_SYM.format(2))))))
     return R.best_per_system(lib, "system")
 
 
