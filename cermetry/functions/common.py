@@ -16,13 +16,31 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def pinned(value: Column) -> Column:
+    """Keep an expensive expression in the one projection that computes it.
+
+    A filter on its result would otherwise be pushed below that projection as a
+    second copy of the expression, ahead of any repartitioning.  The condition is
+    always true; being partition-dependent, it stops the copying.
+    """
+    return F.when(F.spark_partition_id() >= 0, value)
+
+
 def dbl(value) -> Column:
     return F.lit(None if value is None else float(value)).cast("double")
 
 
+NUMBER = r"^\s*[+-]?(\d+\.?\d*([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?|[iI]nf(inity)?)\s*$"
+
+
 def to_double(c) -> Column:
-    """Text to double; unparsable text and NaN become NULL."""
-    return F.nullif(F.trim(col(c)).try_cast("double"), F.lit(float("nan")))
+    """Text to double; unparsable text and NaN become NULL.
+
+    The pattern is tested first because a failing cast costs an exception, which
+    dominates the run time where most texts are not numbers.
+    """
+    c = col(c)
+    return F.when(c.rlike(NUMBER), F.trim(c).try_cast("double"))
 
 
 def r6(c, digits=6) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from cermetry.functions import constants as K
-from cermetry.functions.common import col, dbl, let, literal_map, total
+from cermetry.functions.common import col, dbl, let, literal_map, to_double, total
 
 SYMBOL_AMOUNT = r"([A-Z][a-z]?)\s*([0-9]*\.?[0-9]*)"
 WHOLE_FORMULA = r"^([A-Z][a-z]?\s*[0-9]*\.?[0-9]*\s*)+$"
@@ -30,8 +30,7 @@ def tokens(c) -> Column:
     return F.filter(F.split(col(c), r"\s+"), lambda t: t != "")
 
 
-def number(c) -> Column:
-    return col(c).try_cast("double")
+number = to_double
 
 
 # ---------------------------------------------------------------- maps

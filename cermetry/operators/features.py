@@ -8,6 +8,7 @@ from cermetry.functions.common import col, scalars
 from cermetry.operators import quality as Q
 from cermetry.operators.columns import clean_number
 from cermetry.operators.ordering import melt, value_ranks
+from cermetry.session import cut_lineage
 
 DIFFERENCES = ("chi", "r", "tm", "bulk", "number", "mass", "rho")
 RATIOS = ("bulk", "rho", "tm", "mass")
@@ -76,7 +77,7 @@ def spearman_matrix(df, key, columns):
 
     Missing values take the column median first, so every pair ranks all rows.
     """
-    filled = Q.fill_median(df.select(key, *columns), columns)
+    filled = cut_lineage(Q.fill_median(df.select(key, *columns), columns), "filled")
     r = Q.correlation_matrix(average_ranks(filled, key, columns), columns)
     return r.withColumn("distance", 1 - F.abs("r"))
 
@@ -160,7 +161,7 @@ def cluster_selection(df, key, target, features, cut=0.7, critical=()):
 
 def strongest_features(df, key, target, features, critical=(), n=50):
     """Critical features first, then by |rank correlation| with the target."""
-    filled = Q.fill_median(df.select(key, *features, target), [*features, target])
+    filled = cut_lineage(Q.fill_median(df.select(key, *features, target), [*features, target]), "filled")
     ranks = average_ranks(filled, key, [*features, target])
     r = Q.correlations(ranks, [(f, target) for f in features]).select(
         F.col("a").alias("feature"), F.abs("r").alias("abs_rho"), F.col("a").isin(*critical).alias("critical"))

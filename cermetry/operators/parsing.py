@@ -3,13 +3,13 @@
 from pyspark.sql import functions as F
 
 from cermetry.functions import composition as C
-from cermetry.functions.common import clamp, col, let
+from cermetry.functions.common import clamp, col, let, pinned
 from cermetry.operators.columns import clean_missing, measure
 
 
 def parse_compositions(df, text="raw_composition"):
     """Add the struct column ``parsed`` (NULL where no format fits)."""
-    return df.withColumn("parsed", C.parse_cascade(text))
+    return df.withColumn("parsed", pinned(C.parse_cascade(text)))
 
 
 def split_parsed(df, text="raw_composition"):
@@ -61,7 +61,7 @@ def parse_sheet(df):
     """
     vol = measure("binder_vol")
     return (
-        df.withColumn("p", C.sheet_parse("composition", vol))
+        df.withColumn("p", pinned(C.sheet_parse("composition", vol)))
         .filter("p IS NOT NULL")
         .withColumns({
             "binder_vol_pct": vol, "grain_size_um": measure("grain"), "hv": measure("hv_text"),

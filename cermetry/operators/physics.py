@@ -102,10 +102,14 @@ def statistics_columns(df, rows, props, prefix):
 
 
 def hardness_vector(df, formula="formula", lattice="pred_lattice_param", ceramic="ceramic",
-                    binder_vol="binder_pct", grain="grain_size_um"):
+                    binder_vol="binder_pct", grain="grain_size_um", composition=None):
     """The hardness model's inputs, in dependency order: composition, then
-    surrogate outputs, then what derives from them."""
-    df = df.withColumn("_m", C.formula_shares(formula)).withColumn("_r", P.element_rows(F.col("_m")))
+    surrogate outputs, then what derives from them.
+
+    A share map in ``composition`` is used as it is, else ``formula`` is parsed.
+    """
+    shares = F.col(composition) if composition else C.formula_shares(formula)
+    df = df.withColumn("_m", shares).withColumn("_r", P.element_rows(F.col("_m")))
     m, r = F.col("_m"), F.col("_r")
     share = lambda s: F.coalesce(F.try_element_at(m, F.lit(s)), F.lit(0.0))
     grp = P.property_statistics(r, "grp")

@@ -8,6 +8,7 @@ from cermetry.functions.common import col
 from cermetry.operators.columns import conjunction, display_text, yes_no
 from cermetry.operators.parsing import composition_columns, split_parsed
 from cermetry.operators.quality import fill_median
+from cermetry.session import cut_lineage
 
 
 # ---------------------------------------------------------------- the star
@@ -52,7 +53,8 @@ def training_data(star, target, features, hea_only=False, min_samples=10, fill=T
     )
     if hea_only:
         df = df.where("is_hea")
-    df = df.select("exp_id", target, *features)
+    # the row check and the median passes each read the result, so store it once
+    df = cut_lineage(df.select("exp_id", target, *features), "training")
     found = df.limit(min_samples).count()
     if found < min_samples:
         raise ValueError(f"only {found} samples with {target}, need {min_samples}")

@@ -111,17 +111,20 @@ def run_screening(candidates, featurize, model, expected, key, n, prediction="pr
     """
     from cermetry.operators.features import align
 
-    x = align(featurize(candidates), expected, keep=[key, "formula"])
-    return ranked(model.transform(x).select(key, "formula", prediction), prediction, key, n)
+    x = align(featurize(candidates), expected, keep=[key, "composition"])
+    best = ranked(model.transform(x).select(key, "composition", prediction), prediction, key, n)
+    return best.withColumn("formula", C.standard_text(F.col("composition"), 4)).drop("composition")
 
 
 def screening_funnel(df, key, energy_limit=0.0, mismatch_limit=0.1, n=20):
     """Stability filter, interface filter with fallback, score, best ``n``.
 
     Expects pred_formation_energy, lattice_mismatch, pugh and
-    pred_magnetic_moment columns.
+    pred_magnetic_moment columns.  The stable rows are stored once, because the
+    fallback decision and the ranking both read them.
     """
-    kept = interface_only(stable_only(df, energy_limit), mismatch_limit)
+    stable = cut_lineage(stable_only(df, energy_limit), "stable")
+    kept = interface_only(stable, mismatch_limit)
     scored = kept.withColumn("score", screening_score("pred_formation_energy", "lattice_mismatch", "pugh", "pred_magnetic_moment"))
     return top(scored, "score", key, n)
 

@@ -6,6 +6,7 @@ done here; they belong to the operators.
 """
 
 from cermetry.functions import constants as K
+from cermetry.sources.files import spread
 
 METALS = "Co,Ni,Fe,Cr,Mo,Ti,Al,V,Nb,Mn,Cu,W,Ta,Zr,Hf"
 
@@ -159,10 +160,14 @@ def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def view(spark, sf_dir, name):
-    """The named view as a DataFrame; unused columns are pruned to the scan."""
+def view(spark, sf_dir, name, heavy=False):
+    """The named view as a DataFrame; unused columns are pruned to the scan.
+
+    ``heavy`` spreads an under-split scan over all cores for per-row heavy work.
+    """
     source, columns = VIEWS[name]
-    return table(spark, sf_dir, source).selectExpr(
+    scan = table(spark, sf_dir, source)
+    return (spread(scan) if heavy else scan).selectExpr(
         *[f"{expr} AS {alias}" for alias, expr in columns.items()]
     )
 

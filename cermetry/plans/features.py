@@ -17,7 +17,7 @@ PHASE_PROPS = ("mass", "chi", "tm", "number")
 
 
 def phase_means(spark, sf):
-    a = B.view(spark, sf, "alloys").select("alloy_id", "formula", "ceramic", "binder_pct", "grain_size_um")
+    a = B.view(spark, sf, "alloys", heavy=True).select("alloy_id", "formula", "ceramic", "binder_pct", "grain_size_um")
     a = a.withColumns({"r": P.formula_rows("formula"), "q": P.formula_rows("ceramic")})
     return a.select(
         "alloy_id", "grain_size_um", "binder_pct", (F.col("binder_pct") / 100).alias("binder_vol_frac"), (1 - F.col("binder_pct") / 100).alias("ceramic_vol_frac"),
@@ -88,7 +88,7 @@ MATRIX = ["vec", "delta_r", "h_mix", "s_mix", "delta_chi", "lattice_mismatch", "
 
 def alloy_matrix(spark, sf):
     """Training matrix of all alloys; the target is the heuristic hardness."""
-    a = scored(O.with_rows(B.view(spark, sf, "alloys")))
+    a = scored(O.with_rows(B.view(spark, sf, "alloys", heavy=True)))
     a = a.select("alloy_id", "hv", "kic", "t.vec", "t.delta_r", "t.h_mix", "t.s_mix", "t.delta_chi", "s.lattice_mismatch",
                  "grain_size_um", "binder_pct", "sinter_temp_c", "pred_magnetic_moment", "pred_formation_energy", "volume_per_atom", "ceramic")
     return cut_lineage(a, "matrix")
@@ -147,7 +147,7 @@ def g9(spark, sf):
 
 @query("g10_label_encoding", f"WITH {B.sql('alloys')}, l AS (SELECT ceramic, CAST(row_number() OVER (ORDER BY ceramic) - 1 AS INT) AS code FROM (SELECT DISTINCT ceramic FROM alloys)) SELECT alloy_id, ceramic, code FROM alloys JOIN l USING (ceramic)")
 def g10(spark, sf):
-    return G.label_encode(B.view(spark, sf, "alloys").select("alloy_id", "ceramic"), "ceramic", "code")
+    return G.label_encode(B.view(spark, sf, "alloys", heavy=True).select("alloy_id", "ceramic"), "ceramic", "code")
 
 
 @query("g11_train_split")

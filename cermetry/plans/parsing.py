@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from cermetry.functions import composition as C
 from cermetry.functions import constants as K
-from cermetry.functions.common import r6
+from cermetry.functions.common import pinned, r6
 from cermetry.operators import parsing as P
 from cermetry.plans import bridge as B
 from cermetry.plans.parsed_sql import SYM, formula_text, parsed
@@ -18,11 +18,11 @@ SHEET_METALS = B.in_list(K.SHEET_METALS)
 
 
 def _experiments(spark, sf):
-    return B.view(spark, sf, "experiments").select("exp_id", "raw_composition")
+    return B.view(spark, sf, "experiments", heavy=True).select("exp_id", "raw_composition")
 
 
 def _alloys(spark, sf):
-    return B.view(spark, sf, "alloys").select("alloy_id", "formula", "ceramic", "binder_pct")
+    return B.view(spark, sf, "alloys", heavy=True).select("alloy_id", "formula", "ceramic", "binder_pct")
 
 
 def _parsed_rows(df):
@@ -87,7 +87,7 @@ _FORMATS = {
 def _register_format(name, fmt, parser):
     @query(name, _one_format(fmt))
     def run(spark, sf):
-        return _parsed_rows(_experiments(spark, sf).select("exp_id", parser(C.clean_text("raw_composition")).alias("p")))
+        return _parsed_rows(_experiments(spark, sf).select("exp_id", pinned(parser(C.clean_text("raw_composition"))).alias("p")))
 
 
 for _name, (_fmt, _parser) in _FORMATS.items():
@@ -98,7 +98,7 @@ for _name, (_fmt, _parser) in _FORMATS.items():
 SELECT exp_id, format, round(wt, 6) + 0e0 AS binder_wt_pct, phase AS ceramic_formula, secondary AS secondary_phase, formula
 FROM chosen JOIN f USING (exp_id)""")
 def c10(spark, sf):
-    return _parsed_rows(_experiments(spark, sf).select("exp_id", C.parse_cascade("raw_composition").alias("p")))
+    return _parsed_rows(_experiments(spark, sf).select("exp_id", pinned(C.parse_cascade("raw_composition")).alias("p")))
 
 
 # Token scan of the implicit-amount reading.  A number at an even distance from
@@ -127,8 +127,8 @@ imp AS (SELECT row_id, wt, CAST(nc AS BIGINT) AS nc, CAST(nb AS BIGINT) AS nb, (
 
 @query("c11_implicit_amounts", f"WITH {_ITEMS} SELECT row_id, round(wt, 6) + 0e0 AS binder_wt_pct, nb AS n_binder, nc AS n_ceramic, round(coalesce(ceramic_sum, 0), 6) + 0e0 AS ceramic_sum FROM imp")
 def c11(spark, sf):
-    s = B.view(spark, sf, "sheet").select("row_id", F.regexp_replace(F.trim("composition"), r"^[bB]\s+", "").alias("s"))
-    s = s.filter(~F.array_contains(C.tokens(F.lower("s")), "x")).select("row_id", C.reconcile(C.sheet_items(F.col("s"))).alias("p"))
+    s = B.view(spark, sf, "sheet", heavy=True).select("row_id", F.regexp_replace(F.trim("composition"), r"^[bB]\s+", "").alias("s"))
+    s = s.filter(~F.array_contains(C.tokens(F.lower("s")), "x")).select("row_id", pinned(C.reconcile(C.sheet_items(F.col("s")))).alias("p"))
     return s.filter("p IS NOT NULL").select(
         "row_id", r6("p.binder_wt_pct").alias("binder_wt_pct"), F.size("p.binder").cast("bigint").alias("n_binder"),
         F.size("p.ceramic").cast("bigint").alias("n_ceramic"),
@@ -142,8 +142,8 @@ _KNOWN = f"""kn AS (SELECT row_id, list_filter(t, lambda k: lower(k) IN {HARD_LO
 
 @query("c12_known_ceramic", f"WITH {_SHEET_TEXT}, {_KNOWN} SELECT row_id, phase, metal, round(w, 6) + 0e0 AS binder_wt_pct FROM kn WHERE w > 0 AND w < 100 AND phase IS NOT NULL AND metal IS NOT NULL")
 def c12(spark, sf):
-    s = B.view(spark, sf, "sheet")
-    return s.select("row_id", C.known_ceramic_format("composition").alias("p")).filter("p IS NOT NULL").select(
+    s = B.view(spark, sf, "sheet", heavy=True)
+    return s.select("row_id", pinned(C.known_ceramic_format("composition")).alias("p")).filter("p IS NOT NULL").select(
         "row_id", F.map_keys("p.ceramic")[0].alias("phase"), F.map_keys("p.binder")[0].alias("metal"), r6("p.binder_wt_pct").alias("binder_wt_pct"))
 
 
@@ -160,8 +160,8 @@ _PH = f"""ph AS (SELECT row_id, phase, metal, vol, CASE WHEN vol IS NULL THEN NU
 
 @query("c13_placeholder_volume", f"WITH {_SHEET_TEXT}, {_PH} SELECT row_id, phase, metal, round(w, 6) + 0e0 AS binder_wt_pct, w IS NULL AS has_unknown FROM ph")
 def c13(spark, sf):
-    s = B.view(spark, sf, "sheet").filter(F.array_contains(C.tokens("composition"), "x") & ~F.col("composition").rlike(r"^\d"))
-    return s.select("row_id", C.placeholder_with_volume("composition", F.col("binder_vol").try_cast("double")).alias("p")).filter("p IS NOT NULL").select(
+    s = B.view(spark, sf, "sheet", heavy=True).filter(F.array_contains(C.tokens("composition"), "x") & ~F.col("composition").rlike(r"^\d"))
+    return s.select("row_id", pinned(C.placeholder_with_volume("composition", F.col("binder_vol").try_cast("double"))).alias("p")).filter("p IS NOT NULL").select(
         "row_id", F.map_keys("p.ceramic")[0].alias("phase"), F.map_keys("p.binder")[0].alias("metal"),
         r6("p.binder_wt_pct").alias("binder_wt_pct"), "p.has_unknown")
 
@@ -178,7 +178,7 @@ alltypes AS (SELECT row_id, wt FROM imp UNION ALL SELECT row_id, w FROM kn WHERE
  CASE WHEN isnan({_m('hv_text')}) THEN NULL ELSE {_m('hv_text')} END AS hv, {_m('kic_text')} AS kic, {_m('trs_text')} AS trs, {_m('temp_text')} AS sinter_temp_c, {_m('grain')} AS grain_size_um
 FROM alltypes JOIN sheet USING (row_id)""")
 def c14(spark, sf):
-    return P.parse_sheet(B.view(spark, sf, "sheet")).select(
+    return P.parse_sheet(B.view(spark, sf, "sheet", heavy=True)).select(
         "row_id", r6("binder_wt_pct").alias("binder_wt_pct"), r6("ceramic_wt_pct").alias("ceramic_wt_pct"),
         "hv", "kic", "trs", "sinter_temp_c", "grain_size_um")
 
@@ -192,12 +192,12 @@ _DIRECT = "CASE WHEN row_id % 5 < 2 THEN {} END"
 FROM sheet LEFT JOIN alltypes USING (row_id) LEFT JOIN (SELECT row_id, nc FROM imp) USING (row_id)
 WHERE row_id % 5 < 2 OR (wt IS NOT NULL AND coalesce(nc, 1) > 0)""")
 def c15(spark, sf):
-    s = B.view(spark, sf, "sheet").withColumns({
+    s = B.view(spark, sf, "sheet", heavy=True).withColumns({
         "cer": F.expr(_DIRECT.format("' NbC '")), "cer_wt": F.expr("CASE WHEN row_id % 5 = 0 THEN 80D END"),
         "bind": F.expr(_DIRECT.format("'Co4Ni'")), "bind_wt": F.lit(None).cast("double"),
-        "p": C.sheet_parse("composition", F.col("binder_vol").try_cast("double")),
+        "p": pinned(C.sheet_parse("composition", F.col("binder_vol").try_cast("double"))),
     })
-    out = s.select("row_id", P.prioritized("cer", "cer_wt", "bind", "bind_wt", "p").alias("r")).filter("r IS NOT NULL")
+    out = s.select("row_id", pinned(P.prioritized("cer", "cer_wt", "bind", "bind_wt", "p")).alias("r")).filter("r IS NOT NULL")
     return out.select(
         "row_id", F.when(F.col("row_id") % 5 < 2, F.col("r.ceramic_type")).alias("direct_ceramic"),
         r6("r.ceramic_wt_pct").alias("ceramic_wt_pct"), r6("r.binder_wt_pct").alias("binder_wt_pct"))
@@ -254,7 +254,7 @@ def c21(spark, sf):
 
 @query("c22_hea_strict", f"WITH {parsed()} SELECT exp_id, count(*) >= 5 AND min(c) >= 5e-2 AND max(c) <= 35e-2 AS is_hea FROM binder GROUP BY exp_id")
 def c22(spark, sf):
-    p = _experiments(spark, sf).select("exp_id", C.parse_cascade("raw_composition").alias("p")).filter("p IS NOT NULL")
+    p = _experiments(spark, sf).select("exp_id", pinned(C.parse_cascade("raw_composition")).alias("p")).filter("p IS NOT NULL")
     return p.select("exp_id", C.hea_strict(F.col("p.binder")).alias("is_hea"))
 
 
@@ -292,5 +292,5 @@ def c26b(spark, sf):
  coalesce({_m('grain')}, 1e0) AS grain_size_um, CASE WHEN trim(method) = 'NA' THEN NULL ELSE trim(method) END AS method
 FROM alltypes JOIN sheet USING (row_id) WHERE NOT isnan({_m('hv_text')})""")
 def c27(spark, sf):
-    return P.clean_sheet(B.view(spark, sf, "sheet")).select(
+    return P.clean_sheet(B.view(spark, sf, "sheet", heavy=True)).select(
         "row_id", r6("binder_wt_pct").alias("binder_wt_pct"), "hv", "sinter_temp_c", "grain_size_um", "method")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from cermetry.functions import composition as C
 from cermetry.functions import constants as K
 from cermetry.functions import physics as P
-from cermetry.functions.common import r6
+from cermetry.functions.common import pinned, r6
 from cermetry.operators import physics as O
 from cermetry.plans import bridge as B
 from cermetry.plans.registry import query
@@ -31,11 +31,11 @@ def rd(expr, name, digits=6):
 
 
 def _alloys(spark, sf):
-    return O.with_rows(B.view(spark, sf, "alloys"))
+    return O.with_rows(B.view(spark, sf, "alloys", heavy=True))
 
 
 def _rhenium(spark, sf):
-    return B.view(spark, sf, "alloys").select("alloy_id", P.formula_rows(F.expr(RHENIUM)).alias("rows"))
+    return B.view(spark, sf, "alloys", heavy=True).select("alloy_id", P.formula_rows(F.expr(RHENIUM)).alias("rows"))
 
 
 def _pick(df, *cols, key="alloy_id", **exprs):
@@ -318,7 +318,8 @@ he AS (SELECT alloy_id, 1600 + 50 * delta - greatest(0, (95e-2 - th) * 2000) - g
 def scored(a, rows="rows", temp="sinter_temp_c"):
     """Heuristic hardness and toughness of candidates (columns hv, kic)."""
     a = a.withColumns({
-        "t": O.thermo_set(rows), "s": O.structure_set(rows, F.lit(K.WC["a"]), F.lit(K.WC["cte"])), "p": O.process_set(rows, temp),
+        "t": pinned(O.thermo_set(rows)), "s": pinned(O.structure_set(rows, F.lit(K.WC["a"]), F.lit(K.WC["cte"]))),
+        "p": pinned(O.process_set(rows, temp)),
     })
     return a.withColumns({
         "hv": P.heuristic_hardness("t.vec", "t.delta_r", "p.t_homologous"),
@@ -439,7 +440,7 @@ def _show(df):
 
 @query("d41_inject_features", f"WITH {INJECT} {_INJ}")
 def d41(spark, sf):
-    return _show(O.inject_features(B.view(spark, sf, "runs")))
+    return _show(O.inject_features(B.view(spark, sf, "runs", heavy=True)))
 
 
 @query("d42_surrogate_defaults", f"""WITH {B.sql('alloys')} SELECT alloy_id, coalesce(CASE WHEN alloy_id % 3 > 0 THEN pred_formation_energy END, -5e-1) AS pred_formation_energy,
@@ -463,7 +464,7 @@ def e27(spark, sf):
         d = O.with_rows(df).withColumns({"h": P.enthalpy(R), "s": P.entropy(R), "tm": P.weighted(R, "tm")})
         return d.select("formula", P.vec(R).alias("vec"), P.size_mismatch(R).alias("delta"), P.omega(F.col("tm"), F.col("s"), F.col("h")).alias("omega"))
 
-    runs = B.view(spark, sf, "runs").select("run_id", "formula")
+    runs = B.view(spark, sf, "runs", heavy=True).select("run_id", "formula")
     out = O.per_distinct(runs, "formula", once)
     return _pick(out, key="run_id", vec=F.col("vec"), delta=F.col("delta"), omega=F.col("omega"))
 

@@ -28,7 +28,7 @@ features AS (SELECT exp_id, vec_binder, mean_atomic_radius, rho_b AS binder_dens
 
 def star(spark, sf):
     """The four stored tables; every fifth experiment has no features yet."""
-    e = B.view(spark, sf, "experiments")
+    e = B.view(spark, sf, "experiments", heavy=True)
     comps = parsing.composition_columns(e.select("exp_id", "raw_composition"))
     feats = R.feature_columns(comps.where("exp_id % 5 <> 0"), B.view(spark, sf, "proxies").drop("pred_bulk_modulus", "pred_shear_modulus"))
     feats = feats.withColumn("has_full", F.expr("CASE exp_id % 3 WHEN 0 THEN true WHEN 1 THEN false END"))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from cermetry.functions import composition as C
 from cermetry.functions import constants as K
 from cermetry.functions import physics as P
-from cermetry.functions.common import r6
+from cermetry.functions.common import pinned, r6
 from cermetry.operators import documents as D
 from cermetry.operators import ml
 from cermetry.operators import physics as O
@@ -119,20 +119,20 @@ VECTOR = ["ni_share", "nb_share", "fe_mass", "element_count", "norm2", "diff_num
 
 def hardness_model(spark, sf):
     """A linear hardness model fitted on the alloys' feature vectors."""
-    a = scored(O.with_rows(B.view(spark, sf, "alloys"))).drop("t", "s", "p", "rows")
+    a = scored(O.with_rows(B.view(spark, sf, "alloys", heavy=True))).drop("t", "s", "p", "rows")
     train = cut_lineage(O.hardness_vector(a).select("hv", *VECTOR), "train")
     return ml.pipeline("regression", "ridge", VECTOR, "hv").fit(train)
 
 
 def _featurize(c):
-    c = c.withColumns({"formula": C.standard_text(F.col("composition"), 4), "pred_lattice_param": P.vegard_lattice(F.col("composition"))})
-    return O.hardness_vector(c, binder_vol="binder_wt_pct")
+    c = c.withColumn("pred_lattice_param", P.vegard_lattice(F.col("composition")))
+    return O.hardness_vector(c, binder_vol="binder_wt_pct", composition="composition")
 
 
 @query("i10_run_screening")
 def i10(spark, sf):
     """Candidates for every line item, features, model score, best hundred."""
-    c = S.dirichlet_candidates(_ids(spark, sf), "cid", EL5).withColumn("formula", C.standard_text(F.col("composition"), 4))
+    c = S.dirichlet_candidates(_ids(spark, sf), "cid", EL5)
     return S.run_screening(c, _featurize, hardness_model(spark, sf), VECTOR, "cid", 100)
 
 
@@ -148,7 +148,7 @@ def i11b(spark, sf):
     c = S.bounded_candidates(_ids(spark, sf), "cid").withColumns({
         "ceramic": F.lit("WC"), "energy": S.between("cid", 30, -0.6, 0.3), "volume": S.between("cid", 31, 10.0, 13.0),
         "moment": S.between("cid", 32, 0.0, 2.0), "bulk": S.between("cid", 33, 120.0, 280.0), "shear": S.between("cid", 34, 50.0, 130.0)})
-    c = O.inject_features(c, energy="energy", volume="volume", moment="moment").withColumn("pugh", P.pugh("bulk", "shear"))
+    c = O.inject_features(cut_lineage(c, "candidates"), energy="energy", volume="volume", moment="moment").withColumn("pugh", P.pugh("bulk", "shear"))
     return S.screening_funnel(c, "recipe_id").select("recipe_id", "formula", "score", "lattice_mismatch", "vec_binder")
 
 
@@ -160,7 +160,7 @@ TARGETS = ((1400, 1700), (8, 12))
 
 
 def solutions(spark, sf):
-    return scored(O.with_rows(B.view(spark, sf, "alloys"))).withColumn("m", C.formula_shares("formula")).select(
+    return scored(O.with_rows(B.view(spark, sf, "alloys", heavy=True))).withColumn("m", pinned(C.formula_shares("formula"))).select(
         "alloy_id", "m", "hv", "kic", "grain_size_um", "binder_pct", "sinter_temp_c")
 
 

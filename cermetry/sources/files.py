@@ -97,3 +97,15 @@ def read_documents(spark, path, preview=200):
 
 def exchange_path(spark, name):
     return shared_dir(spark, name)
+
+
+def spread(scan):
+    """Redistribute a scan that has fewer partitions than the cluster has cores.
+
+    Small or badly split files would otherwise leave per-row heavy work to a few
+    tasks.  A scan that is already well split stays as it is, without a shuffle.
+    Only for frames straight from a source: their partitions are known before
+    anything runs.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
