@@ -90,7 +90,8 @@ def wide_correlation(df, vector, dim):
     batch; only those (dim x dim numbers per task) are shuffled.  Missing
     components are left out pairwise.
     """
-    means = df.agg(*[F.avg(F.get(F.col(vector), F.lit(i))).alias(f"c{i}") for i in range(dim)]).first()
+    part = lambda i: F.nanvl(F.get(F.col(vector), F.lit(i)).cast("double"), F.lit(None).cast("double"))
+    means = df.agg(*[F.avg(part(i)).alias(f"c{i}") for i in range(dim)]).first()
     shift = np.array([m or 0.0 for m in means], dtype=float)
     upper_i, upper_j = np.triu_indices(dim)
 
