@@ -43,7 +43,7 @@ def _pick(df, *cols, key="alloy_id", **exprs):
     return df.select(key, *cols, *[r6(v).alias(k) for k, v in exprs.items()])
 
 
-R = F.col("rows")
+R = "rows"
 
 
 @query("d1_vec", f"WITH {BASE_RE} SELECT alloy_id, {rd('sum(c * coalesce(vec, 0))', 'vec')}, {rd('CASE WHEN count(*) = count(vec) THEN sum(c * vec) END', 'vec_strict')} FROM j GROUP BY alloy_id")

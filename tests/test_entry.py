@@ -49,3 +49,13 @@ def test_query_matches_sql(spark, con, name):
     want = ordered([tuple(normal(r[cols.index(c)]) for c in order) for r in res.fetchall()])
     assert len(got) == len(want) > 0
     assert all(close(x, y) for g, w in zip(got, want) for x, y in zip(g, w))
+
+
+def test_registry_loads_without_a_session():
+    """Listing the queries and their SQL needs no running Spark."""
+    import subprocess
+    import sys
+
+    code = "import __spark_entry__ as e; print(len(e.queries()) - len(e.oracle_sql()))"
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=os.path.dirname(entry.__file__))
+    assert done.returncode == 0, done.stderr
