@@ -197,7 +197,8 @@ def recursive_elimination(fit_importances, features, score, min_features=1):
 
 # ---------------------------------------------------------------- encoding, splits
 def label_encode(df, c, out):
-    """Codes by sorted label order."""
+    """Codes by sorted label order.  The fitted label list is kept with the model,
+    so this is for categories, not for free text."""
     from pyspark.ml.feature import StringIndexer
 
     indexer = StringIndexer(inputCol=c, outputCol="_i", stringOrderType="alphabetAsc", handleInvalid="keep")

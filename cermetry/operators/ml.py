@@ -258,10 +258,12 @@ def permutation_importance(df, key, model, features, target, seed=42):
     """Loss of R2 when one feature is exchanged between rows, best ten first.
 
     A shuffled copy of a column is matched by two hash orders of the rows inside
-    hash cells, so no global sort or single window is involved.
+    hash cells of some ten thousand rows, so no global sort or single window is
+    involved.
     """
     base = df.select(key, target, *features)
-    cell, order_a, order_b = hash_bucket(key, 4096, seed), F.xxhash64(F.col(key), F.lit(seed + 1)), F.xxhash64(F.col(key), F.lit(seed + 2))
+    cells = base.count() // 20000 + 1
+    cell, order_a, order_b = hash_bucket(key, cells, seed), F.xxhash64(F.col(key), F.lit(seed + 1)), F.xxhash64(F.col(key), F.lit(seed + 2))
     from pyspark.sql import Window as W
 
     place = lambda o: F.row_number().over(W.partitionBy("_cell").orderBy(o, key))
