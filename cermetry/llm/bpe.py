@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import functions as F
 
-from cermetry.llm.store import arrow_schema, pieces
+from cermetry.llm.store import arrow_schema, pieces, with_id
 
 OUT = "n_tokens long, ids binary, decoded string"
 #: bytes that stand for themselves in a byte-level vocabulary; the others map to 256, 257, ... in byte order (fixed by the format)
@@ -276,7 +276,7 @@ def transcode(docs, path, pattern, id_col="doc_id", text_col="text", digests=Fal
                 yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["id", *schema.names])
 
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, {own}").withColumnRenamed("id", id_col)
+    return source.mapInArrow(run, with_id(source, own)).withColumnRenamed("id", id_col)
 
 
 def decode(encoded, path, pattern, id_col="doc_id", ids_col="ids"):
@@ -290,4 +290,4 @@ def decode(encoded, path, pattern, id_col="doc_id", ids_col="ids"):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(text, type=pa.string())], names=["id", "text"])
 
     source = encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
-    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, text string").withColumnRenamed("id", id_col)
+    return source.mapInArrow(run, with_id(source, "text string")).withColumnRenamed("id", id_col)

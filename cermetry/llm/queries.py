@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from cermetry.llm import bpe, tokencount, urls
+from cermetry.llm import bpe, contain, forest, hnsw, html, langid, licenses, ordinal, tokencount, urls
 from cermetry.llm.store import table
 from cermetry.session import shared_dir
 
@@ -12,6 +12,23 @@ QUERIES, ORACLES = {}, {}
 #: the tokenizer of the queries; its place is a parameter of every operator
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 PATTERN = public_tokenizers.PATTERN
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+#: templates of the license query: notices, and the terms of one short license
+LICENSES = (
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    ("MIT", "Released under the MIT License."),
+    ("MIT-terms", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "
+                  "\"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, "
+                  "distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to "
+                  "the following conditions"),
+)
+LANGUAGE_ROWS, RATED_ROWS = 1500, 12_000
+#: documents whose probability of the top grade is lower are rejected
+GOOD = 0.5
 #: rules of the URL query: (host, path, verdict)
 URL_RULES = (
     ("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
@@ -34,11 +51,103 @@ def op1(spark, sf_dir):
     return bpe.transcode(table(spark, sf_dir, "documents"), TOKENIZER, PATTERN, digests=True)
 
 
+def ratings(labels):
+    """Graded ratings of the label table: 0 poor, 1 well written but toxic, 2 good."""
+    return labels.select(F.col("doc_id").alias("id"), (F.col("quality") * (2 - F.coalesce("toxic", F.lit(0)))).cast("int").alias("grade"))
+
+
+@query("op2_main_text")
+def op2(spark, sf_dir):
+    return html.main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+#: links over all pairs that share a shingle, then the smallest id over them
+CLASSES = """
+, links AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
+reach AS (SELECT id, id AS top FROM nodes UNION SELECT reach.id, links.b FROM reach JOIN links ON reach.top = links.a),
+low AS (SELECT id, min(top) AS component_id FROM reach GROUP BY id)
+"""
+
+
+@query("op3_near_duplicates", """
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id AS id, CASE WHEN coalesce(len(w), 0) = 0 THEN []
+    WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM words
+), nodes AS (SELECT id FROM sets),
+items AS (SELECT id, len(s) AS n, unnest(s) AS g FROM sets),
+pairs AS (
+  SELECT x.id AS a, y.id AS b FROM items x JOIN items y ON x.g = y.g AND x.id < y.id
+  GROUP BY x.id, y.id, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))
+)""" + CLASSES + """
+SELECT id AS doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, id = component_id AS kept FROM sets JOIN low USING (id)
+""")
+def op3(spark, sf_dir):
+    return forest.near_duplicates(table(spark, sf_dir, "documents"), words=4)
+
+
+@query("op4_decontamination", """
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\pL\\pN]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(lower(text), '[\\pL\\pN]+') AS w FROM benchmark),
+di AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(w) - 3, 1)), lambda i: array_to_string(w[i:i + 4], ' '))) AS g FROM d),
+bi AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, greatest(len(w) - 3, 1)), lambda i: array_to_string(w[i:i + 4], ' '))) AS g FROM b WHERE len(w) >= 5),
+n AS (SELECT item_id, count(*) AS n_item FROM bi GROUP BY item_id)
+SELECT doc_id, item_id, count(*) AS n_shared, n_item, count(*) / n_item AS containment
+FROM di JOIN bi USING (g) JOIN n USING (item_id) GROUP BY doc_id, item_id, n_item HAVING count(*) / n_item >= 0.8
+""")
+def op4(spark, sf_dir):
+    return contain.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op5_language")
+def op5(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    model = langid.fit(docs.where(~held_out), PIECES, per_language=LANGUAGE_ROWS)
+    return langid.identify(docs, model, PIECES).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def license_sql():
+    """Exact containment of every template in the windows of its size class."""
+    rows = ", ".join("('" + i + "', '" + t.replace("'", "''") + "')" for i, t in LICENSES)
+    return f"""
+WITH t(license_id, text) AS (VALUES {rows}),
+tw AS (SELECT license_id, regexp_extract_all(lower(text), '(\\pN+(?:\\.\\pN+)*|\\pL+)') AS w FROM t),
+tc AS (SELECT *, (SELECT min(x) FROM (SELECT CAST(unnest([1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128]) AS BIGINT) AS x) WHERE x >= len(w) - 2) AS width FROM tw),
+ts AS (SELECT DISTINCT license_id, width, greatest(width // 4, 1) AS step, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) AS g FROM tc),
+tl AS (SELECT license_id, count(*) AS n_template FROM ts GROUP BY license_id),
+dw AS (SELECT doc_id, regexp_extract_all(lower(text), '(\\pN+(?:\\.\\pN+)*|\\pL+)') AS w FROM documents),
+ds AS (SELECT doc_id, unnest(range(0, greatest(len(w) - 2, 0))) AS p, unnest(list_transform(range(1, greatest(len(w) - 1, 1)), lambda i: array_to_string(w[i:i + 2], ' '))) AS g FROM dw),
+hits AS (SELECT doc_id, license_id, ds.g, p // step AS block, CASE WHEN step = 1 THEN width ELSE (width + step - 1) // step + 1 END AS blocks FROM ds JOIN ts ON ds.g = ts.g),
+wins AS (SELECT doc_id, license_id, g, unnest(range(greatest(block - blocks + 1, 0), block + 1)) AS win FROM hits),
+counts AS (SELECT doc_id, license_id, win, count(DISTINCT g) AS n FROM wins GROUP BY ALL),
+best AS (SELECT doc_id, license_id, max(n) AS n_shared FROM counts GROUP BY ALL)
+SELECT doc_id, license_id, n_shared, n_template, n_shared / n_template AS containment
+FROM best JOIN tl USING (license_id) WHERE n_shared / n_template >= 0.8
+"""
+
+
+@query("op6_licenses", license_sql())
+def op6(spark, sf_dir):
+    templates = spark.createDataFrame(list(LICENSES), "license_id string, text string")
+    return licenses.find(table(spark, sf_dir, "documents"), templates)
+
+
 @query("op7_token_counts")
 def op7(spark, sf_dir):
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), shared_dir(spark, "token-counts"), TOKENIZER, PATTERN)
 
 
+@query("op8_quality")
+def op8(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = ordinal.fit(docs, ratings(table(spark, sf_dir, "labels")), 3, bound=RATED_ROWS)
+    tails = F.col("tails")
+    return ordinal.grade(docs, model).select("doc_id", "expected_grade", tails[0].alias("p_readable"), tails[1].alias("p_good"), (tails[1] >= GOOD).alias("keep"))
+
+
 @query("op9_url_filter", f"""
 WITH parts AS (
   SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
@@ -58,3 +167,18 @@ FROM cut LEFT JOIN (SELECT * FROM fits WHERE n = 1) USING (page_id)
 def op9(spark, sf_dir):
     rules = spark.createDataFrame(list(URL_RULES), "host string, path string, verdict string")
     return urls.judge(table(spark, sf_dir, "pages"), rules)
+
+
+@query("op10_embedding_duplicates", """
+WITH RECURSIVE v AS (
+  SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+), ok AS (
+  SELECT id, label, e, sqrt(list_dot_product(e, e)) AS norm FROM v
+  WHERE label IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(e, e) > 0
+), nodes AS (SELECT id FROM v),
+pairs AS (SELECT x.id AS a, y.id AS b FROM ok x JOIN ok y ON x.label = y.label AND x.id < y.id
+  AND len(x.e) = len(y.e) WHERE list_dot_product(x.e, y.e) / (x.norm * y.norm) >= 0.98)""" + CLASSES + """
+SELECT id AS vec_id, (SELECT count(*) FROM links WHERE links.a = low.id) AS n_links, component_id, id = component_id AS kept FROM low
+""")
+def op10(spark, sf_dir):
+    return hnsw.near_duplicates(table(spark, sf_dir, "embeddings"))

@@ -1,7 +1,9 @@
 """Written tables, size-checked broadcasts and input reading shared by the operators."""
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from cermetry.session import cut_lineage
 
@@ -30,13 +32,15 @@ def arrow_schema(ddl):
     return pa.schema([(n, kinds[t]) for n, t in (x.strip().split(" ") for x in ddl.split(","))])
 
 
+def with_id(source, ddl):
+    """Output schema: the column ``id`` of ``source`` and the columns of ``ddl``."""
+    return StructType([StructField("id", source.schema["id"].dataType), *StructType.fromDDL(ddl).fields])
+
+
 def pieces(batch, column, limit=2 << 20):
     """Slices of an Arrow batch whose ``column`` holds about ``limit`` bytes each
     (one row at least), so that working arrays stay bounded however long the texts are."""
-    import numpy as np
-
-    col = batch.column(column)
-    size = np.array([0 if v is None else v for v in __import__("pyarrow.compute", fromlist=["x"]).binary_length(col).to_pylist()], dtype=np.int64)
+    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
     start, total = 0, 0
     for i, n in enumerate(size):
         if i > start and total + n > limit:

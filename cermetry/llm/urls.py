@@ -20,6 +20,8 @@ import xxhash
 from pyspark import SparkFiles
 from pyspark.sql import functions as F
 
+from cermetry.llm.store import with_id
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 VERDICTS = ("allow", "block")
 #: rules that one memory-mapped file may hold; more are a shuffled join
@@ -127,8 +129,7 @@ def judge(urls, rules, id_col="page_id", url_col="url", default="allow"):
             cols = [pa.array([best[p][i] for p in pairs], type=pa.string()) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays([*b.columns, *cols], names=["id", "host", "path", *schema.names])
 
-    kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, host string, path string, rule string, verdict string").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(run, with_id(rows, "host string, path string, rule string, verdict string")).withColumnRenamed("id", id_col)
 
 
 def joined(rows, rules, default):
