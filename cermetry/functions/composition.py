@@ -265,12 +265,12 @@ def prefix_format(s) -> Column:
         wt = number(F.get(t, F.lit(1)))
         fits = (F.size(t) >= 3) & F.get(t, F.lit(0)).isin(*K.CERAMIC_PHASES) & wt.isNotNull()
         return F.when(fits, let(
-            binder_shares(F.array_join(F.slice(t, 3, 1 << 20), " ")),
+            binder_shares(F.array_join(F.slice(t, F.lit(3), F.size(t)), " ")),
             lambda b: F.when(b.isNotNull(), _result(
                 "prefix", b, F.create_map(F.get(t, F.lit(0)), 100 - wt), wt, F.get(t, F.lit(0)))),
         ))
 
-    return F.when(s.startswith("b "), let(tokens(F.substring(s, 3, 1 << 20)), build))
+    return F.when(s.startswith("b "), let(tokens(F.substr(s, F.lit(3))), build))
 
 
 def placeholder_format(s) -> Column:
@@ -306,7 +306,7 @@ def number_first_format(s) -> Column:
             listed = F.filter(middle, lambda k: k.isin(*K.CERAMIC_PHASES))
             phase = F.coalesce(F.get(listed, F.lit(0)), F.get(middle, F.lit(0)), F.lit("WC"))
             return let(
-                binder_shares(F.array_join(F.slice(t, i + 2, 1 << 20), " ")),
+                binder_shares(F.array_join(F.slice(t, i + 2, F.size(t)), " ")),
                 lambda b: F.when(
                     b.isNotNull(),
                     _result(

@@ -37,12 +37,11 @@ def map_columns(df, aliases=K.SHEET_ALIASES):
 
 
 def find_column(columns, variants):
-    """First column whose lower-cased name contains a variant or the reverse."""
-    for v in variants:
-        for c in columns:
-            if v.lower() in c.lower() or c.lower() in v.lower():
-                return c
-    return None
+    """The first column, in frame order, whose trimmed lower-cased name contains
+    one of the variants or is contained in one; None if there is none."""
+    known = [v.lower() for v in variants]
+    fits = (c for c in columns if any(c.strip().lower() in v or v in c.strip().lower() for v in known))
+    return next(fits, None)
 
 
 def select_columns(df, dtypes=None, prefix=None, names=None):

@@ -6,8 +6,8 @@ from cermetry.functions.common import literal_map
 
 # --- fixed values: property patterns; group 1 value, group 2 unit ------------
 PROPERTY_PATTERNS = {
-    "density": r"(?i)density[^.0-9]{0,60}?(\d+(?:\.\d+)?)\s*(g/cm3|g/cm³|g cm-3|kg/m3)",
-    "melting_point": r"(?i)melting (?:point|temperature)[^.0-9]{0,60}?(\d+(?:\.\d+)?)\s*(K|°C)",
+    "density": r"(?i)density[^.0-9]*?(\d+(?:\.\d+)?)\s*(g/cm3|g/cm³|g cm-3|kg/m3)",
+    "melting_point": r"(?i)melting (?:point|temperature)[^.0-9]*?(\d+(?:\.\d+)?)\s*(K|°C)",
 }
 # --- fixed values: unit -> (factor, offset) to g/cm3 and K -------------------
 UNITS = {

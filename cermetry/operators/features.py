@@ -8,7 +8,7 @@ from cermetry.functions.common import col, scalars
 from cermetry.operators import quality as Q
 from cermetry.operators.columns import clean_number
 from cermetry.operators.ordering import melt, value_ranks
-from cermetry.session import cut_lineage
+from cermetry.session import checked_broadcast, cut_lineage
 
 DIFFERENCES = ("chi", "r", "tm", "bulk", "number", "mass", "rho")
 RATIOS = ("bulk", "rho", "tm", "mass")
@@ -224,9 +224,9 @@ def group_folds(df, group, name="fold"):
     Folds are few by nature (each is a training run), so their list is numbered
     in one place and joined back.
     """
-    groups = df.select(group).distinct().orderBy(group)
+    groups = df.select(group).distinct()
     numbered = groups.withColumn(name, F.expr(f"dense_rank() OVER (ORDER BY {group})") - 1)
-    return df.join(numbered, group)
+    return df.join(checked_broadcast(numbered), group)
 
 
 def scale(df, columns, train, how="standard"):

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from cermetry.functions.common import col, scalars
 from cermetry.operators.features import folds, hash_bucket
-from cermetry.session import cut_lineage
+from cermetry.session import checked_broadcast, cut_lineage
 
 REGRESSORS = {
     "linear": lambda **p: MR.LinearRegression(**p),
@@ -59,6 +59,13 @@ def detect_task(df, target):
 
 
 # ---------------------------------------------------------------- metrics
+def with_group_mean(df, by, c, name):
+    """Append the mean of ``c`` over each group.  The means are one row per group;
+    a few are broadcast, so that groups with most of the rows are not shuffled."""
+    means = df.groupBy(*by).agg(F.avg(c).alias(name))
+    return df.join(checked_broadcast(means), list(by))
+
+
 def regression_metrics(df, y, pred, by=()):
     """n, mse, rmse, mae, r2 and mad, overall or per group.
 
@@ -69,10 +76,10 @@ def regression_metrics(df, y, pred, by=()):
     ok = df.where(F.col(y).isNotNull() & F.col(pred).isNotNull())
     err, t = F.col(y) - F.col(pred), F.col(y)
     if by:
-        ok = ok.join(ok.groupBy(*by).agg(F.avg(y).alias("_mean")), list(by))
-        mean = F.col("_mean")
+        ok = with_group_mean(ok, by, y, "_mean")
     else:
-        mean = F.lit(ok.agg(F.avg(y)).first()[0])
+        ok = ok.withColumn("_mean", scalars(ok.agg(F.avg(y).alias("_mean")))["_mean"])
+    mean = F.col("_mean")
     out = ok.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.avg(err * err).alias("mse"), F.avg(F.abs(err)).alias("mae"),
         F.var_pop(t).alias("_var"), F.avg(F.abs(t - mean)).alias("mad"))
@@ -254,15 +261,15 @@ def load_bundle(spark, path):
     return PipelineModel.load(f"{path}/model"), spark.read.parquet(f"{path}/metrics")
 
 
-def permutation_importance(df, key, model, features, target, seed=42):
-    """Loss of R2 when one feature is exchanged between rows, best ten first.
+def permutation_importance(df, key, model, features, target, seed=42, cells=1, n=None):
+    """Loss of R2 when one feature is exchanged between rows, largest first (the
+    first ``n`` if given).
 
     A shuffled copy of a column is matched by two hash orders of the rows inside
-    hash cells of some ten thousand rows, so no global sort or single window is
-    involved.
+    ``cells`` hash cells.  A cell is one window: set some ten thousand rows per
+    cell.  The rows exchanged depend on ``cells`` and ``seed`` only.
     """
     base = df.select(key, target, *features)
-    cells = base.count() // 20000 + 1
     cell, order_a, order_b = hash_bucket(key, cells, seed), F.xxhash64(F.col(key), F.lit(seed + 1)), F.xxhash64(F.col(key), F.lit(seed + 2))
     from pyspark.sql import Window as W
 
@@ -271,6 +278,7 @@ def permutation_importance(df, key, model, features, target, seed=42):
     rows = cut_lineage(rows, "permute")
     reference = regression_metrics(model.transform(base), target, "prediction").select(F.col("r2").alias("base_r2"))
     reference = scalars(reference)["base_r2"]
+    signs = scalars(model.transform(base).agg(*[F.corr(f, "prediction").alias(f) for f in features]))
     out = []
     for f in features:
         donor = rows.select("_cell", F.col("_b").alias("_a"), F.col(f).alias("_swap"))
@@ -278,9 +286,9 @@ def permutation_importance(df, key, model, features, target, seed=42):
         scored = model.transform(mixed)
         m = regression_metrics(scored, target, "prediction").select(
             F.lit(f).alias("feature"), (reference - F.col("r2")).alias("importance"))
-        sign = scalars(model.transform(base).agg(F.corr(f, "prediction").alias("c")))["c"]
-        out.append(m.withColumn("direction", F.signum(F.coalesce(sign, F.lit(0.0)))))
-    return reduce(lambda a, b: a.unionByName(b), out).orderBy(F.desc("importance"), "feature").limit(10)
+        out.append(m.withColumn("direction", F.signum(F.coalesce(signs[f], F.lit(0.0)))))
+    ranked = reduce(lambda a, b: a.unionByName(b), out).orderBy(F.desc("importance"), "feature")
+    return ranked if n is None else ranked.limit(n)
 
 
 def pca_loadings(df, vector, dim, k):
@@ -321,7 +329,7 @@ def _grow(x, rng, depth, limit, nodes):
     return me
 
 
-def isolation_outliers(df, key, columns, contamination=0.05, seed=42, trees=50, sample=256):
+def isolation_outliers(df, key, columns, contamination=0.05, seed=42, trees=100, sample=256):
     """Add ``score`` and ``is_outlier``; rows with a NULL stay inliers.
 
     Each tree grows in its own task from a hash sample of ``sample`` rows.  The

@@ -21,34 +21,35 @@ def digits(v):
 
     The first joins the signed exponent with ten mantissa bits, the second holds
     the next twenty.  Scaling by a power of two is exact, so order is too.
+    Infinities have end digits of their own; NULL and NaN have none.
     """
-    e = F.floor(F.log2(F.abs(v)))
-    exponent = F.signum(v) * (e + 2000)
-    scaled = v / F.pow(F.lit(2.0), e) * _COARSE
+    inf = F.lit(float("inf"))
+    plain = F.when(~F.isnan(v) & (F.abs(v) < inf), v)
+    e = F.floor(F.log2(F.abs(plain)))
+    exponent = F.signum(plain) * (e + 2000)
+    scaled = plain / F.pow(F.lit(2.0), e) * _COARSE
     coarse = F.floor(scaled)
-    first = F.when(v == 0, F.lit(0)).otherwise(exponent * 8192 + coarse).cast("long")
-    second = F.when(v == 0, F.lit(0)).otherwise(F.floor((scaled - coarse) * _FINE)).cast("long")
-    return first, second
+    ends = lambda c, end: F.when(v == 0, F.lit(0)).when(v == inf, F.lit(end)).when(v == -inf, F.lit(-end)).otherwise(c).cast("long")
+    return ends(exponent * 8192 + coarse, 1 << 40), ends(F.floor((scaled - coarse) * _FINE), 0)
 
 
 def melt(df, columns, keep=()):
-    """Rows (keep..., column, value) of the non-null values of numeric columns."""
+    """Rows (keep..., column, value) of numeric columns' values; NULL and NaN are missing."""
     wide = df.select(*keep, *[F.col(c).cast("double").alias(c) for c in columns])
-    return wide.unpivot(list(keep), list(columns), "column", "value").where("value IS NOT NULL")
+    return wide.unpivot(list(keep), list(columns), "column", "value").where("value IS NOT NULL AND NOT isnan(value)")
 
 
-def quantiles(long, keys, probs, value="value", small_keys=True):
+def quantiles(long, keys, probs, value="value"):
     """Exact linear-interpolation quantiles: rows (keys..., prob, quantile).
 
     Three passes: first digit, second digit, value.  Each counts the values that
     share what is known so far and keeps the one entry that holds the rank.  The
-    carried table has two rows per key and probability; it is broadcast when
-    ``small_keys`` says that the keys are few by construction (column names, a
-    fixed vocabulary), else the join is left to the optimizer.
+    carried table has two rows per key and probability; whether it is small
+    enough to broadcast is left to the optimizer, which sees its size.  NULL
+    and NaN are missing; infinities are the smallest and largest values.
     """
     keys = list(keys)
-    hint = F.broadcast if small_keys else (lambda d: d)
-    data = long.select(*keys, F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL")
+    data = long.select(*keys, F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL AND NOT isnan(_v)")
     data = data.withColumns(dict(zip(("_d1", "_d2"), digits(F.col("_v")))))
 
     # first digit: histogram and the ranks wanted per key
@@ -68,7 +69,7 @@ def quantiles(long, keys, probs, value="value", small_keys=True):
     found = ["_d1"]
     for digit in ("_d2", "_v"):
         state = [*keys, "prob", "_w", "_k", "_below", *found]
-        hist = data.join(hint(targets), [*keys, *found]).groupBy(*state, digit).agg(F.count(F.lit(1)).alias("_n"))
+        hist = data.join(targets, [*keys, *found]).groupBy(*state, digit).agg(F.count(F.lit(1)).alias("_n"))
         run = W.partitionBy(*keys, "prob", "_k").orderBy(digit).rowsBetween(W.unboundedPreceding, 0)
         targets = (
             hist.withColumn("_cum", F.col("_below") + F.sum("_n").over(run))
@@ -77,7 +78,9 @@ def quantiles(long, keys, probs, value="value", small_keys=True):
         )
         found.append(digit)
     lo, hi = F.min("_v"), F.max("_v")
-    return targets.groupBy(*keys, "prob").agg((lo + (hi - lo) * F.max("_w")).alias("quantile"))
+    # equal ends first: the difference of two infinities is no number
+    between = F.when((lo == hi) | (F.max("_w") == 0), lo).otherwise(lo + (hi - lo) * F.max("_w"))
+    return targets.groupBy(*keys, "prob").agg(between.alias("quantile"))
 
 
 def column_quantiles(df, columns, probs):
@@ -117,43 +120,43 @@ def value_ranks(long, keys, value="value"):
     )
 
 
-def _bucket(df, c, buckets):
-    """Equal-width bucket number of a numeric column over its whole range."""
-    ends = scalars(df.agg(F.min(c).cast("double").alias("lo"), F.max(c).cast("double").alias("hi")))
-    width = (ends["hi"] - ends["lo"]) / float(buckets)
-    return F.coalesce(F.floor(F.try_divide(F.col(c) - ends["lo"], width)), F.lit(0)).cast("int")
+def _running_max(points, order, value, descending=False, own=True):
+    """Append ``best``: the largest ``value`` up to each row by ``order`` (distinct
+    values), with or without the row's own.
 
-
-def running_best(df, order, value, buckets=4096):
+    Three levels of cells: first digit, second digit, the values themselves.  Each
+    level's running maximum starts from the one above, so the widest window
+    holds the first digits that occur, and the others what shares a digit,
+    however the values are spread.
+    """
+    way = F.desc if descending else F.asc
+    d1, d2 = digits(F.col(order).cast("double"))
+    points = points.withColumns({"_d1": d1, "_d2": d2})
+    cells = points.groupBy("_d1", "_d2").agg(F.max(value).alias("_m"))
+    before = lambda part, by: W.partitionBy(*part).orderBy(way(by)).rowsBetween(W.unboundedPreceding, -1)
+    tops = cells.groupBy("_d1").agg(F.max("_m").alias("_t"))
+    tops = tops.withColumn("_o1", F.max("_t").over(W.orderBy(way("_d1")).rowsBetween(W.unboundedPreceding, -1))).drop("_t")
+    cells = cells.join(tops, "_d1").withColumn("_o2", F.greatest("_o1", F.max("_m").over(before(["_d1"], "_d2")))).drop("_o1", "_m")
+    inner = W.partitionBy("_d1", "_d2").orderBy(way(order)).rowsBetween(W.unboundedPreceding, 0 if own else -1)
+    return points.join(cells, ["_d1", "_d2"]).withColumn("best", F.greatest(F.max(value).over(inner), "_o2")).drop("_d1", "_d2", "_o2")
+
+
+def running_best(df, order, value):
     """Running maximum of ``value`` by ``order`` (one row per order value).
 
-    Equal orders are combined first.  Bucket maxima give each bucket its
-    starting value, then the running maximum is taken inside the bucket.
+    Equal orders are combined first; rows without an order have no place in it.
     """
-    points = df.groupBy(order).agg(F.max(value).alias(value))
-    points = points.withColumn("_b", _bucket(df, order, buckets))
-    heads = points.groupBy("_b").agg(F.max(value).alias("_m")).withColumn(
-        "_start", F.max("_m").over(W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1))).drop("_m")
-    inner = W.partitionBy("_b").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    return points.join(F.broadcast(heads), "_b").select(
-        order, value, F.greatest(F.max(value).over(inner), "_start").alias("best"))
+    points = df.where(F.col(order).isNotNull()).groupBy(order).agg(F.max(value).alias(value))
+    return _running_max(points, order, value).select(order, value, "best")
 
 
-def skyline(df, x, y, buckets=4096):
+def skyline(df, x, y):
     """Rows not dominated in (x, y), both maximised.
 
-    Points dominated by a higher bucket's best ``y`` are dropped before the
-    in-bucket pass, so each window holds one bucket's survivors only.
+    For each distinct ``x`` only its largest ``y`` counts; it is on the front if
+    it exceeds the largest ``y`` of all larger ``x``.
     """
     points = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    best = points.groupBy(x).agg(F.max(y).alias("_y"))
-    best = best.withColumn("_b", _bucket(points, x, buckets))
-    above = best.groupBy("_b").agg(F.max("_y").alias("_m")).withColumn(
-        "_above", F.max("_m").over(W.orderBy(F.desc("_b")).rowsBetween(W.unboundedPreceding, -1))).drop("_m")
-    rest = best.join(F.broadcast(above), "_b").where("_above IS NULL OR _y > _above")
-    inner = W.partitionBy("_b").orderBy(F.desc(x)).rowsBetween(W.unboundedPreceding, -1)
-    front = rest.withColumn("_in", F.max("_y").over(inner)).where("_in IS NULL OR _y > _in").select(
-        F.col(x).alias("_x"), "_y")
+    best = points.groupBy(F.col(x).alias("_x")).agg(F.max(y).alias("_y"))
+    front = _running_max(best, "_x", "_y", descending=True, own=False).where("best IS NULL OR _y > best").drop("best")
     return points.join(front, (F.col(x) == F.col("_x")) & (F.col(y) == F.col("_y")), "left_semi")
-
-

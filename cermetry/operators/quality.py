@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from cermetry.functions.common import col, scalars, to_double, total
 from cermetry.operators.ordering import column_quantiles, melt, quantiles
+from cermetry.session import checked_broadcast
 
 
 # ---------------------------------------------------------------- fills
@@ -315,7 +316,7 @@ def mean_deviation(df, c, by=None):
         mean = scalars(df.agg(F.avg(c).alias("m")))["m"]
         return df.agg(F.avg(F.abs(F.col(c) - mean)).alias("mad"))
     mean = df.groupBy(by).agg(F.avg(c).alias("_m"))
-    return df.join(mean, by).groupBy(by).agg(F.avg(F.abs(F.col(c) - F.col("_m"))).alias("mad"))
+    return df.join(checked_broadcast(mean), by).groupBy(by).agg(F.avg(F.abs(F.col(c) - F.col("_m"))).alias("mad"))
 
 
 def standardize(df, columns):

@@ -110,7 +110,7 @@ VIEWS = {
         "shear": "CASE WHEN p_partkey % 19 = 0 THEN NULL ELSE CAST(40 + p_partkey % 97 AS DOUBLE) END",
     }),
     "runs": ("lineitem", {
-        "run_id": "l_orderkey * 10 + l_linenumber",
+        "run_id": "(l_orderkey * 16777216 + l_suppkey) * 8 + l_linenumber",
         "formula": formula_sql("l_partkey"),
         "ceramic": ceramic_sql("l_suppkey"),
         "binder_pct": "l_quantity",
@@ -121,7 +121,7 @@ VIEWS = {
         "pred_magnetic_moment": "CAST(l_partkey % 61 - 20 AS DOUBLE) / 20",
     }),
     "library": ("lineitem", {
-        "entry_id": "l_orderkey * 1000 + l_suppkey % 100 * 10 + l_linenumber",
+        "entry_id": "(l_orderkey * 16777216 + l_suppkey) * 8 + l_linenumber",
         "formula": f"concat({_pick('l_partkey')}, {_pick('l_suppkey * 3 + 1')})",
         "energy": "CASE WHEN l_partkey % 9 = 0 THEN NULL ELSE round((l_discount - 5e-2) * 10, 2) END",
         "e_hull": "CASE WHEN l_suppkey % 5 = 0 THEN NULL ELSE round(l_tax, 2) END",

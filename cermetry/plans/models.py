@@ -268,9 +268,8 @@ def h21(spark, sf):
 @query("h22_feature_effects")
 def h22(spark, sf):
     m = alloy_matrix(spark, sf)
-    feats = ["vec", "delta_r", "s_mix", "grain_size_um"]
-    model = ml.pipeline("regression", "tree", feats, "hv").fit(m)
-    return ml.permutation_importance(m, "alloy_id", model, feats, "hv")
+    model = ml.pipeline("regression", "tree", list(MATRIX), "hv").fit(m)
+    return ml.permutation_importance(m, "alloy_id", model, list(MATRIX), "hv", n=10)
 
 
 @query("h23_task_detection", """SELECT 'hv' AS target, CASE WHEN count(DISTINCT o_totalprice) < 20 THEN 'classification' ELSE 'regression' END AS task FROM orders UNION ALL

@@ -291,7 +291,7 @@ def f33(spark, sf):
 
 @query("f34_group_quantiles", f"WITH {LINE} SELECT flag, 5e-1 AS prob, {rd('quantile_cont(price, 5e-1)', 'quantile', 4)} FROM line GROUP BY flag UNION ALL SELECT flag, 9e-1, {rd('quantile_cont(price, 9e-1)', 'quantile', 4)} FROM line GROUP BY flag")
 def f34(spark, sf):
-    q = O.quantiles(_line(spark, sf).select("flag", F.col("price").alias("value")), ["flag"], [0.5, 0.9], small_keys=False)
+    q = O.quantiles(_line(spark, sf).select("flag", F.col("price").alias("value")), ["flag"], [0.5, 0.9])
     return _round(q, ["quantile"], 4)
 
 

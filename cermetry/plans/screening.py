@@ -21,7 +21,7 @@ M = 2147483647
 
 def uni(key, stream, seed=42):
     """The candidate draw restated in SQL."""
-    a = f"(({key} % {M} * 48271 + {(stream + 1) * 7919 + seed * 104729}) % {M})"
+    a = f"(({key} % {M} * 48271 + ({key} // {M}) % {M} * 69621 + {(stream + 1) * 7919 + seed * 104729}) % {M})"
     b = f"(({a} * {a} + {(stream + 1) * 15485863 + 12345}) % {M})"
     return f"((({b} * {b} + {a}) % {M} + 5e-1) / {M})"
 
@@ -30,11 +30,15 @@ def btw(key, stream, lo, hi):
     return f"({lo} + ({hi} - {lo}) * {uni(key, stream)})"
 
 
+#: no two (order, supplier, line) triples share an id: suppliers below 2^24, lines below 8
+CID = "(l_orderkey * 16777216 + l_suppkey) * 8 + l_linenumber"
+
+
 def _ids(spark, sf):
-    return B.table(spark, sf, "lineitem").selectExpr("l_orderkey * 1000 + l_suppkey * 10 + l_linenumber AS cid").distinct()
+    return B.table(spark, sf, "lineitem").selectExpr(f"{CID} AS cid").distinct()
 
 
-CIDS = "ids AS (SELECT DISTINCT l_orderkey * 1000 + l_suppkey * 10 + l_linenumber AS cid FROM lineitem)"
+CIDS = f"ids AS (SELECT DISTINCT {CID} AS cid FROM lineitem)"
 EL5 = ("Co", "Cr", "Fe", "Ni", "Mo")
 _G5 = " UNION ALL ".join(f"SELECT cid, '{e}' AS el, -ln({uni('cid', 10 + i)}) AS g FROM ids" for i, e in enumerate(EL5))
 I1 = f"{CIDS}, gm AS ({_G5}), sh AS (SELECT cid, el, g / sum(g) OVER (PARTITION BY cid) AS c FROM gm)"

@@ -31,11 +31,14 @@ def build_session(app="cermetry", master=None, **conf):
 def shared_dir(spark, name):
     """A fresh path below the cluster's shared checkpoint folder.
 
-    A cluster names the folder in ``spark.checkpoint.dir``.  Only where that is
-    unset, as in local tests, is a temporary folder chosen and recorded.
+    A cluster names the folder in ``spark.checkpoint.dir``.  Only a session in
+    one process, as in local tests, may do without: it gets a temporary folder.
+    Anywhere else the executors could not see such a folder, and this raises.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = getattr(spark, "_cermetry_dir", None)
         if not root:
             root = spark._cermetry_dir = tempfile.mkdtemp(prefix="cermetry-")
@@ -50,12 +53,14 @@ def cut_lineage(df, name="stage"):
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def checked_broadcast(df, max_rows=500_000):
+def checked_broadcast(df, max_rows=500_000, max_bytes=32 << 20):
     """``df`` with a broadcast hint if it is proven to be small.
 
     The frame is written to the shared folder first, so that counting it costs
-    a metadata read and nothing is computed twice.  Beyond ``max_rows`` the
-    join is left to a shuffle with adaptive skew splitting.
+    a metadata read and nothing is computed twice.  Beyond ``max_rows``, or
+    ``max_bytes`` of stored files, the join is left to a shuffle with adaptive
+    skew splitting; the rows are the same either way.
     """
     stored = cut_lineage(df, "side")
-    return F.broadcast(stored) if stored.count() <= max_rows else stored
+    size = stored._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return F.broadcast(stored) if size <= max_bytes and stored.count() <= max_rows else stored

@@ -15,11 +15,11 @@ def data(kind, n=3000, seed=1):
         "normal": rng.normal(size=n), "wide": rng.normal(size=n) * 10.0 ** rng.integers(-200, 200, n),
         "hot": np.where(rng.random(n) < 0.4, 7.0, rng.integers(0, 50, n).astype(float)),
         "constant": np.zeros(n), "powers": 2.0 ** rng.integers(-5, 6, n) * rng.choice([-1, 1], n),
-        "one": np.array([3.5]), "tiny": np.array([5e-324, -5e-324, 0.0, 1.0]),
+        "ends": np.array([np.inf, -np.inf, 1.0, 2.0, -3.0, np.inf, 0.0]), "one": np.array([3.5]), "tiny": np.array([5e-324, -5e-324, 0.0, 1.0]),
     }[kind]
 
 
-KINDS = ["normal", "wide", "hot", "constant", "powers", "one", "tiny"]
+KINDS = ["normal", "wide", "hot", "constant", "powers", "ends", "one", "tiny"]
 
 
 @pytest.mark.parametrize("kind", KINDS)
@@ -32,7 +32,8 @@ def test_quantiles_match_brute_force(spark, kind):
     for p in probs:
         at = (len(s) - 1) * p
         lo, hi = s[int(np.floor(at))], s[int(np.ceil(at))]
-        assert got[p] == pytest.approx(lo + (hi - lo) * (at - np.floor(at)), rel=1e-12, abs=0)
+        share = at - np.floor(at)
+        assert got[p] == pytest.approx(lo if lo == hi or share == 0 else lo + (hi - lo) * share, rel=1e-12, abs=0)
 
 
 @pytest.mark.parametrize("kind", KINDS)
@@ -46,7 +47,7 @@ def test_ranks_match_brute_force(spark, kind):
 
 def test_grouped_quantiles_ignore_nulls(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", None), ("a", 3.0), ("b", 5.0)], "k string, value double")
-    got = {r["k"]: r["quantile"] for r in O.quantiles(df, ["k"], [0.5], small_keys=False).collect()}
+    got = {r["k"]: r["quantile"] for r in O.quantiles(df, ["k"], [0.5]).collect()}
     assert got == {"a": 2.0, "b": 5.0}
 
 
@@ -54,7 +55,7 @@ def test_grouped_quantiles_ignore_nulls(spark):
 def test_running_best(spark, seed):
     x = np.random.default_rng(seed).normal(size=700)
     df = spark.createDataFrame(pd.DataFrame({"t": range(700), "v": x}))
-    got = O.running_best(df, "t", "v", buckets=16).orderBy("t").toPandas()["best"]
+    got = O.running_best(df, "t", "v").orderBy("t").toPandas()["best"]
     assert np.allclose(got, np.maximum.accumulate(x))
 
 
@@ -63,11 +64,32 @@ def test_skyline(spark, levels):
     rng = np.random.default_rng(levels)
     pts = [(i, float(a), float(b)) for i, (a, b) in enumerate(rng.integers(0, levels, (400, 2)))]
     df = spark.createDataFrame(pts, "id int, x double, y double")
-    got = sorted(r.id for r in O.skyline(df, "x", "y", buckets=8).collect())
+    got = sorted(r.id for r in O.skyline(df, "x", "y").collect())
     beats = lambda p, q: p[1] >= q[1] and p[2] >= q[2] and (p[1] > q[1] or p[2] > q[2])
     assert got == [q[0] for q in pts if not any(beats(p, q) for p in pts)]
 
 
+@pytest.mark.parametrize("kind", ["outlier", "narrow", "repeated", "ends"])
+def test_running_best_of_uneven_orders(spark, kind):
+    """One far point, a narrow range, 90 % equal keys and infinities all give the running maximum."""
+    rng = np.random.default_rng(5)
+    t = {"outlier": np.append(rng.random(500), 1e12), "narrow": 1.7e9 + rng.random(500) * 1e-3,
+         "repeated": np.where(rng.random(500) < 0.9, 3.0, rng.random(500)), "ends": np.append(rng.normal(size=300), [np.inf, -np.inf])}[kind]
+    v = rng.normal(size=len(t))
+    got = O.running_best(spark.createDataFrame(pd.DataFrame({"t": t, "v": v})), "t", "v").toPandas().sort_values("t")
+    want = pd.DataFrame({"t": t, "v": v}).groupby("t").v.max().cummax()
+    assert np.array_equal(got.t, want.index) and np.allclose(got.best, want)
+
+
+def test_missing_and_infinite_values(spark):
+    """NaN and NULL are missing, infinities are ordered; nothing aborts."""
+    df = spark.createDataFrame([(1.0,), (float("nan"),), (None,), (float("inf"),), (2.0,), (float("-inf"),), (3.0,)], "a double")
+    got = {r["prob"]: r["quantile"] for r in O.quantiles(O.melt(df, ["a"]), ["column"], [0.0, 0.5, 1.0]).collect()}
+    assert got == {0.0: float("-inf"), 0.5: 2.0, 1.0: float("inf")}
+    filled = Q.fill_median(df, ["a"]) if hasattr(Q, "fill_median") else df
+    assert filled.count() == 7
+
+
 def test_spearman_matches_pandas(spark):
     rng = np.random.default_rng(3)
     pdf = pd.DataFrame({"id": range(300), "a": rng.integers(0, 20, 300).astype(float), "b": rng.normal(size=300)})
