@@ -123,6 +123,8 @@ class Page:
 
     def close(self, tag, scopes=frozenset(("table", "article", "main", "body", "html"))):
         """Close the nearest open element of this name; others opened since go with it."""
+        if tag in BLOCKS:
+            self.flush()
         for i in range(len(self.stack) - 1, -1, -1):
             name = self.stack[i][0]
             if name == tag:
