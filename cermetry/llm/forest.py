@@ -148,10 +148,12 @@ def leftovers(members, sets, similarity):
     """
     load = members.groupBy("region").agg((F.count(F.lit(1)) / BLOCK + 1).cast("int").alias("blocks"))
     placed = members.join(load, "region").withColumn("block", F.pmod(F.xxhash64("key", "region"), F.col("blocks")))
-    packed = placed.join(sets, "key").groupBy("region", "block").agg(F.collect_list(F.struct("key", "items", "linked")).alias("rows"))
-    packed = stored(packed, "blocks")
-    wanted = packed.select("region", F.expr("filter(rows, r -> not r.linked)").alias("mine")).where("size(mine) > 0")
-    pairs = wanted.join(packed.select("region", "rows"), "region").select("mine", "rows")
+    packed = placed.join(sets, "key").groupBy("region", "block", "blocks").agg(F.collect_list(F.struct("key", "items", "linked")).alias("rows"))
+    packed = stored(packed.withColumn("groups", F.ceil(F.sqrt("blocks")).cast("int")), "blocks")
+    # a region's blocks are compared in about the square root of their number of tasks
+    wanted = packed.select("region", F.expr("block % groups").cast("int").alias("group"), F.expr("filter(rows, r -> not r.linked)").alias("mine")).where("size(mine) > 0")
+    others = packed.select("region", "rows", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"))
+    pairs = wanted.join(others, ["region", "group"]).select("mine", "rows")
 
     def opened(cell):
         part = cell.values
