@@ -71,7 +71,8 @@ def find(docs, items, threshold=0.8, id_col="doc_id", text_col="text", item_col=
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
     names = [f"{c}_doc" if id_col == item_col else c for c in (id_col,)] + [item_col]
-    sets = stored(item_sets(items, item_col, item_text_col, n), "items")
+    # few files: the items are the small side, and every file costs the executors a process
+    sets = stored(item_sets(items, item_col, item_text_col, n).coalesce(8), "items")
     lengths = sorted(r[0] for r in sets.select("len").distinct().collect())  # at most n numbers
     if not lengths:
         empty = docs.select(F.col(id_col).alias("doc")).where(F.lit(False)).crossJoin(sets.select("item").limit(0))
