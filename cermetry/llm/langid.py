@@ -156,7 +156,8 @@ def fit(rows, model_file, rounds=3, per_language=1500, lang_col="lang", text_col
     """Piece log probabilities per language: (languages in order, matrix).
 
     About ``per_language`` rows of each language are used, chosen by a hash of
-    ``key`` (default: the text); their whole texts count.  The model is the size
+    ``key`` (default: the text; give one that differs between rows where texts
+    may repeat very often); their whole texts count.  The model is the size
     of the vocabulary times the languages, whatever the input's size.
     """
     spark = rows.sparkSession

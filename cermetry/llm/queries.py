@@ -105,7 +105,7 @@ def op4(spark, sf_dir):
 def op5(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
-    model = langid.fit(docs.where(~held_out), PIECES, per_language=LANGUAGE_ROWS)
+    model = langid.fit(docs.where(~held_out), PIECES, per_language=LANGUAGE_ROWS, key=F.xxhash64("doc_id", "text"))
     return langid.identify(docs, model, PIECES).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
