@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from cermetry.functions.common import col, scalars
+from cermetry.functions.common import col, scalars, uniform
 from cermetry.operators import quality as Q
 from cermetry.operators.columns import clean_number
 from cermetry.operators.ordering import melt, value_ranks
@@ -210,12 +210,20 @@ def hash_bucket(key, buckets, seed=42):
     return F.pmod(F.xxhash64(col(key), F.lit(seed)), F.lit(buckets)).cast("int")
 
 
+def row_bucket(df, key, buckets, seed=42):
+    """Bucket number of a row by its key: integer keys by the arithmetic draw
+    (``uniform``), which any engine can restate, others by a hash."""
+    if dict(df.dtypes)[key] in ("bigint", "int", "smallint", "tinyint"):
+        return F.floor(uniform(key, 0, seed) * buckets).cast("int")
+    return hash_bucket(key, buckets, seed)
+
+
 def train_flag(df, key, share=0.8, seed=42, name="is_train"):
-    return df.withColumn(name, hash_bucket(key, 10000, seed) < round(share * 10000))
+    return df.withColumn(name, row_bucket(df, key, 10000, seed) < round(share * 10000))
 
 
 def folds(df, key, k=5, seed=42, name="fold"):
-    return df.withColumn(name, hash_bucket(key, k, seed))
+    return df.withColumn(name, row_bucket(df, key, k, seed))
 
 
 def group_folds(df, group, name="fold"):

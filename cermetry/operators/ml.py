@@ -178,6 +178,18 @@ def stacking(df, key, base, features, target, k=5, seed=42):
     return fitted, meta, meta.transform(rows)
 
 
+def stacked_scores(df, key, base, features, target, k=5, seed=42):
+    """Rows with the base models' out-of-fold predictions and the stack's own
+    out-of-sample ``prediction``: the meta model that scores a fold has not seen it."""
+    rows = df.select(key, target, *features)
+    for name, est in base.items():
+        rows = cut_lineage(out_of_fold(rows, key, est, k, seed, f"oof_{name}").drop(f"oof_{name}_fold"), "oof")
+    meta = Pipeline(stages=[
+        VectorAssembler(inputCols=[f"oof_{n}" for n in base], outputCol="features"),
+        MR.LinearRegression(labelCol=target, regParam=1.0, elasticNetParam=0.0)])
+    return out_of_fold(rows, key, meta, k, seed + 1, "prediction").drop("prediction_fold")
+
+
 def fold_stability(df, key, estimator, target, k=5, seed=42):
     """Per-fold metrics of out-of-fold predictions, with the fold spread."""
     oof = out_of_fold(df, key, estimator, k, seed)
@@ -193,17 +205,23 @@ def train_test_gap(df, key, estimator, target, seed=42):
     return regression_metrics(model.transform(marked), target, "prediction", by=["_train"]).withColumnRenamed("_train", "is_train")
 
 
-def learning_curve(df, key, estimator, target, sizes=(0.1, 0.325, 0.55, 0.775, 1.0), seed=42):
-    """Train and test scores for nested training samples; the sample of a
-    smaller size is part of each larger one."""
-    marked = df.withColumn("_b", hash_bucket(key, 10000, seed))
-    test = marked.where("_b >= 8000")
+def learning_curve(df, key, estimator, target, sizes=(0.1, 0.325, 0.55, 0.775, 1.0), k=5, seed=42):
+    """Cross-validated train and test scores for nested training samples.
+
+    In each of ``k`` folds the sample of a smaller size is part of each larger
+    one; a score covers the rows of all folds.
+    """
+    marked = cut_lineage(folds(df, key, k, seed, "_fold").withColumn("_b", hash_bucket(key, 10000, seed)), "curve")
     out = []
     for s in sizes:
-        train = marked.where(F.col("_b") < round(8000 * s))
-        model = estimator.fit(train)
-        for part, rows in (("train", train), ("test", test)):
-            m = regression_metrics(model.transform(rows), target, "prediction")
+        scored = {"train": [], "test": []}
+        for i in range(k):
+            train = marked.where((F.col("_fold") != i) & (F.col("_b") < round(10000 * s)))
+            model = estimator.fit(train)
+            for part, rows in (("train", train), ("test", marked.where(F.col("_fold") == i))):
+                scored[part].append(model.transform(rows).select(target, "prediction"))
+        for part, rows in scored.items():
+            m = regression_metrics(reduce(lambda a, b: a.unionByName(b), rows), target, "prediction")
             out.append(m.withColumns({"size": F.lit(float(s)), "part": F.lit(part)}))
     return reduce(lambda a, b: a.unionByName(b), out)
 
@@ -217,14 +235,17 @@ def compare_presets(df, key, presets, features, target, k=5, seed=42):
     return reduce(lambda a, b: a.unionByName(b), out)
 
 
-def grid_search(df, key, model, features, target, grid, k=3, seed=42, parallelism=4):
-    """Cross-validated grid: (best pipeline model, rows (params, score))."""
+def grid_search(df, key, model, features, target, grid, k=3, seed=42, parallelism=4, draws=None):
+    """Cross-validated grid: (best pipeline model, rows (params, score)).  With
+    ``draws`` that many random points of the grid are tried."""
     pipe = pipeline("regression", model, features, target)
     stage = pipe.getStages()[-1]
     builder = ParamGridBuilder()
     for name, values in grid.items():
         builder = builder.addGrid(getattr(stage, name), values)
     maps = builder.build()
+    if draws is not None and draws < len(maps):
+        maps = [maps[i] for i in np.random.default_rng(seed).choice(len(maps), draws, replace=False)]
     cv = CrossValidator(
         estimator=pipe, estimatorParamMaps=maps, numFolds=k, foldCol="_fold", parallelism=parallelism,
         evaluator=RegressionEvaluator(labelCol=target, metricName="r2"))

@@ -4,27 +4,11 @@ from pyspark.sql import functions as F
 
 from cermetry.functions import composition as C
 from cermetry.functions import constants as K
-from cermetry.functions.common import col, scalars
+from cermetry.functions.common import col, scalars, uniform
 from cermetry.operators.ordering import skyline
 from cermetry.operators.physics import screening_score
 from cermetry.session import checked_broadcast, cut_lineage
 
-_M = 2147483647
-
-
-def uniform(key, stream, seed=42):
-    """A number in (0, 1) from the row id, equal on every retry and in any
-    engine with 64-bit integers; ``stream`` separates draws of one row."""
-    key = col(key).cast("long")
-    k = F.pmod(key, F.lit(_M))
-    # the rest of the 64-bit id, so that draws do not repeat every _M ids
-    rest = F.pmod(F.call_function("div", key, F.lit(_M)), F.lit(_M)) - F.when(key < 0, F.lit(1)).otherwise(F.lit(0))
-    a = F.pmod(k * 48271 + rest * 69621 + (stream + 1) * 7919 + seed * 104729, F.lit(_M))
-    b = (a * a + (stream + 1) * 15485863 + 12345) % _M
-    c = (b * b + a) % _M
-    return (c + 0.5) / _M
-
-
 def between(key, stream, lo, hi, seed=42):
     return lo + (hi - lo) * uniform(key, stream, seed)
 

@@ -119,15 +119,19 @@ def g7(spark, sf):
     return G.critical_first(_importance(spark, sf), ["grain_size_um", "sinter_temp_c"], 3).withColumn("importance", r6("importance"))
 
 
+#: trees of the forests that rank features
+FOREST = 100
+
+
 @query("g8_recursive_elimination")
 def g8(spark, sf):
     """Best feature count by cross-validated R2 of a forest."""
     m = alloy_matrix(spark, sf)
-    feats = ["vec", "delta_r", "s_mix", "grain_size_um"]
-    pipe = lambda fs: ml.pipeline("regression", "forest", fs, "hv", numTrees=8, maxDepth=4)
+    feats = list(MATRIX)
+    pipe = lambda fs: ml.pipeline("regression", "forest", fs, "hv", numTrees=FOREST, maxDepth=5)
 
     def score(fs):
-        return ml.regression_metrics(ml.out_of_fold(m, "alloy_id", pipe(fs), 3), "hv", "oof").first()["r2"]
+        return ml.regression_metrics(ml.out_of_fold(m, "alloy_id", pipe(fs), 5), "hv", "oof").first()["r2"]
 
     def importance(fs):
         v = pipe(fs).fit(m).stages[-1].featureImportances
@@ -150,7 +154,7 @@ def g10(spark, sf):
     return G.label_encode(B.view(spark, sf, "alloys", heavy=True).select("alloy_id", "ceramic"), "ceramic", "code")
 
 
-@query("g11_train_split")
+@query("g11_train_split", f"WITH {B.sql('properties')} SELECT CAST(floor({B.uni('exp_id', 0)} * 10000) AS INT) < 8000 AS is_train, count(*) AS n FROM properties GROUP BY ALL")
 def g11(spark, sf):
     return G.train_flag(B.view(spark, sf, "properties").select("exp_id"), "exp_id").groupBy("is_train").agg(F.count(F.lit(1)).alias("n"))
 
@@ -166,7 +170,7 @@ def g12(spark, sf):
     return t.withColumns({"kic": r6("kic"), "grain_size_um": r6("grain_size_um")})
 
 
-@query("g13_fold_assignment")
+@query("g13_fold_assignment", f"WITH {B.sql('properties')} SELECT CAST(floor({B.uni('exp_id', 0)} * 5) AS INT) AS fold, count(*) AS n FROM properties GROUP BY ALL")
 def g13(spark, sf):
     return G.folds(B.view(spark, sf, "properties").select("exp_id"), "exp_id").groupBy("fold").agg(F.count(F.lit(1)).alias("n"))
 
@@ -185,5 +189,5 @@ def g15(spark, sf):
 @query("g16_importance_ranking")
 def g16(spark, sf):
     m = alloy_matrix(spark, sf)
-    model = ml.pipeline("regression", "boosted", MATRIX, "hv", maxIter=10).fit(m)
+    model = ml.pipeline("regression", "boosted", MATRIX, "hv", maxIter=100).fit(m)
     return ml.importances(spark, model, MATRIX)

@@ -52,19 +52,20 @@ def h1(spark, sf):
 
 @query("h2_trees")
 def h2(spark, sf):
-    return _evaluate(("tree", "forest"), alloy_matrix(spark, sf), forest={"numTrees": 20})
+    return _evaluate(("tree", "forest"), alloy_matrix(spark, sf), forest={"numTrees": 100})
 
 
 @query("h3_boosted_trees")
 def h3(spark, sf):
-    return _evaluate(("boosted",), alloy_matrix(spark, sf), boosted={"maxIter": 20})
+    return _evaluate(("boosted",), alloy_matrix(spark, sf), boosted={"maxIter": 100})
 
 
 @query("h4_stacking")
 def h4(spark, sf):
-    base = {"tree": ml.pipeline("regression", "tree", MATRIX, "hv", maxDepth=5), "ridge": ml.pipeline("regression", "ridge", MATRIX, "hv")}
-    _, _, rows = ml.stacking(alloy_matrix(spark, sf), "alloy_id", base, MATRIX, "hv", k=3)
-    return _union([ml.regression_metrics(rows, "hv", c).withColumn("model", F.lit(c)) for c in ("oof_tree", "oof_ridge", "prediction")])
+    base = {"forest": ml.pipeline("regression", "forest", MATRIX, "hv", numTrees=100), "ridge": ml.pipeline("regression", "ridge", MATRIX, "hv"),
+            "boosted": ml.pipeline("regression", "boosted", MATRIX, "hv")}
+    rows = ml.stacked_scores(alloy_matrix(spark, sf), "alloy_id", base, MATRIX, "hv", k=5)
+    return _union([ml.regression_metrics(rows, "hv", c).withColumn("model", F.lit(c)) for c in ("oof_forest", "oof_ridge", "oof_boosted", "prediction")])
 
 
 TEXT = ["n_chars", "n_words", "n_lines", "n_digits", "n_caps"]
@@ -142,7 +143,10 @@ def h9(spark, sf):
 
 @query("h10_hyper_parameters")
 def h10(spark, sf):
-    _, scores = ml.grid_search(alloy_matrix(spark, sf), "alloy_id", "ridge", MATRIX, "hv", {"regParam": [0.01, 1.0, 100.0]})
+    """A random part of the grid of a boosted learner."""
+    grid = {"maxIter": [10, 20], "maxDepth": [3, 4, 5], "stepSize": [0.05, 0.1, 0.2], "subsamplingRate": [0.7, 0.85, 1.0],
+            "minInstancesPerNode": [1, 3, 5], "minInfoGain": [0.0, 0.01], "maxBins": [32, 64]}
+    _, scores = ml.grid_search(alloy_matrix(spark, sf), "alloy_id", "boosted", MATRIX, "hv", grid, draws=6)
     return scores
 
 
@@ -223,17 +227,26 @@ def h18(spark, sf):
     return ml.compare_presets(alloy_matrix(spark, sf), "alloy_id", presets, MATRIX, "hv", k=2)
 
 
-SURROGATES = {"energy": "pred_formation_energy", "volume": "volume_per_atom", "moment": "pred_magnetic_moment"}
+SURROGATES = ("energy", "volume", "moment")
+
+
+def surrogate_targets(m):
+    """Targets that depend on the inputs, disturbed by the row's own values."""
+    return m.withColumns({
+        "energy": 0.02 * F.col("h_mix") + 0.1 * F.col("pred_formation_energy"),
+        "volume": 8 + F.col("vec") / 2 + F.col("delta_r") / 10 + F.col("volume_per_atom") / 20,
+        "moment": F.col("delta_chi") * 5 - F.col("s_mix") / 20 + F.col("pred_magnetic_moment") / 20})
 
 
 @query("h19_surrogates")
 def h19(spark, sf):
     """Out-of-fold scores of the three surrogates, each refitted on all rows."""
-    m = alloy_matrix(spark, sf)
+    m = surrogate_targets(alloy_matrix(spark, sf))
     inputs = ["vec", "delta_r", "h_mix", "s_mix", "delta_chi"]
     out = []
-    for name, target in SURROGATES.items():
-        est = ml.pipeline("regression", "forest", inputs, target, numTrees=8)
+    for name in SURROGATES:
+        target = name
+        est = ml.pipeline("regression", "forest", inputs, target, numTrees=100)
         scores = ml.regression_metrics(ml.out_of_fold(m, "alloy_id", est, 5), target, "oof")
         refit = ml.regression_metrics(est.fit(m).transform(m), target, "prediction").select(F.col("r2").alias("refit_r2"))
         from cermetry.functions.common import scalars

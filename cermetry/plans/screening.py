@@ -13,19 +13,10 @@ from cermetry.operators import screening as S
 from cermetry.plans import bridge as B
 from cermetry.plans import physics as PP
 from cermetry.plans.physics import BASE, MEANS, PAIRS, rd, scored
+from cermetry.plans.bridge import uni
 from cermetry.plans.registry import query
 from cermetry.session import cut_lineage
 
-M = 2147483647
-
-
-def uni(key, stream, seed=42):
-    """The candidate draw restated in SQL."""
-    a = f"(({key} % {M} * 48271 + ({key} // {M}) % {M} * 69621 + {(stream + 1) * 7919 + seed * 104729}) % {M})"
-    b = f"(({a} * {a} + {(stream + 1) * 15485863 + 12345}) % {M})"
-    return f"((({b} * {b} + {a}) % {M} + 5e-1) / {M})"
-
-
 def btw(key, stream, lo, hi):
     return f"({lo} + ({hi} - {lo}) * {uni(key, stream)})"
 
