@@ -324,6 +324,22 @@ def pca_loadings(df, vector, dim, k):
         "component", F.desc(F.abs("loading")))
 
 
+def pca_scores(df, key, columns, k):
+    """Rows (key, pc1, ..., pck): standardised columns projected on the first
+    components.  Rows with a missing value have no scores.  A component's sign
+    makes its first non-zero loading positive.
+    """
+    rows = df.select(key, *[F.col(c).cast("double").alias(c) for c in columns]).dropna(subset=list(columns))
+    pipe = Pipeline(stages=[
+        VectorAssembler(inputCols=list(columns), outputCol="v"),
+        StandardScaler(inputCol="v", outputCol="z", withMean=True, withStd=True), PCA(k=k, inputCol="z", outputCol="p")])
+    _, scaler, pca = pipe.fit(rows).stages
+    mean, std, pc = scaler.mean.toArray(), scaler.std.toArray(), pca.pc.toArray()
+    sign = [1.0 if pc[np.flatnonzero(np.abs(pc[:, c]) > 1e-9)[0], c] > 0 else -1.0 for c in range(k)]
+    scores = {f"pc{c + 1}": sum(((F.col(n) - float(mean[i])) * float(sign[c] * pc[i, c] / std[i]) for i, n in enumerate(columns) if std[i] > 0), F.lit(0.0)) for c in range(k)}
+    return rows.select(key, *[v.alias(n) for n, v in scores.items()])
+
+
 # ---------------------------------------------------------------- isolation forest
 _EULER = 0.5772156649
 

@@ -7,7 +7,7 @@ from cermetry.functions import physics as P
 from cermetry.functions.common import col
 from cermetry.operators.columns import conjunction, display_text, yes_no
 from cermetry.operators.parsing import composition_columns, split_parsed
-from cermetry.operators.quality import fill_median
+from cermetry.operators.quality import fill_median, hardness_grade, toughness_grade
 from cermetry.session import cut_lineage
 
 
@@ -69,6 +69,18 @@ def export_join(star):
     )
 
 
+def full_export(star, moduli):
+    """The export with what follows from it: phase volumes, moduli, grades and
+    whether features exist.  ``moduli``: (exp_id, pred_bulk_modulus, pred_shear_modulus)."""
+    known = dict(star, features=star["features"].withColumn("_known", F.lit(True)))
+    return export_join(known).join(moduli, "exp_id", "left").withColumns({
+        "ceramic_vol_pct": 100 - F.col("binder_vol_pct"),
+        "young_modulus": P.young_from_moduli(F.lit(None).cast("double"), "pred_bulk_modulus", "pred_shear_modulus"),
+        "hardness_grade": hardness_grade("hv"), "toughness_grade": toughness_grade("kic"),
+        "has_features": F.coalesce("_known", F.lit(False)),
+    }).drop("_known")
+
+
 def query_tab(star, equals=None, contains=None, limit=1000):
     df = star["experiments"]
     for name in ("compositions", "properties", "features"):

@@ -320,6 +320,15 @@ def f38(spark, sf):
     return ml.pca_loadings(B.table(spark, sf, "embeddings").select("vec_id", "embedding"), "embedding", 64, 3)
 
 
+@query("f38_pca_scores", f"""WITH {PV}, t AS (SELECT exp_id, hv, kic FROM properties WHERE hv IS NOT NULL AND kic IS NOT NULL),
+s AS (SELECT avg(hv) AS mh, stddev_samp(hv) AS sh, avg(kic) AS mk, stddev_samp(kic) AS sk, corr(hv, kic) AS r FROM t),
+z AS (SELECT exp_id, (hv - mh) / sh AS a, (kic - mk) / sk AS b, r FROM t, s)
+SELECT exp_id, {rd('(a + CASE WHEN r > 0 THEN b ELSE -b END) / sqrt(2e0)', 'pc1', 5)}, {rd('(a - CASE WHEN r > 0 THEN b ELSE -b END) / sqrt(2e0)', 'pc2', 5)} FROM z""")
+def f38b(spark, sf):
+    """Scores on both components of two columns, for which the components are known."""
+    return _round(ml.pca_scores(_props(spark, sf), "exp_id", ["hv", "kic"], 2), ["pc1", "pc2"], 5)
+
+
 @query("f39_running_best", f"WITH {PV}, t AS (SELECT exp_id AS trial, hv FROM properties WHERE hv IS NOT NULL) SELECT trial, {rd('hv', 'hv')}, {rd('max(hv) OVER (ORDER BY trial ROWS UNBOUNDED PRECEDING)', 'best')} FROM t")
 def f39(spark, sf):
     t = _props(spark, sf).where("hv IS NOT NULL").selectExpr("exp_id AS trial", "hv")

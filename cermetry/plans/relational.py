@@ -47,15 +47,25 @@ def e1(spark, sf):
     return _rounded(t, ["hv", "vec_binder"], "exp_id", "grain_size_um", "sinter_temp_c")
 
 
-_E2 = ["hv", "binder_vol_pct", "vec_binder", "mean_atomic_radius", "binder_density", "mean_atomic_mass", "std_electronegativity", "lattice_mismatch", "pred_formation_energy"]
+_E2 = ["hv", "binder_vol_pct", "vec_binder", "mean_atomic_radius", "binder_density", "mean_atomic_mass", "std_electronegativity", "lattice_mismatch", "pred_formation_energy",
+       "pred_lattice_param", "pred_magnetic_moment", "pred_bulk_modulus", "pred_shear_modulus", "ceramic_vol_pct", "young_modulus"]
 _E2P = ["exp_id", "source_id", "raw_composition", "sinter_temp_c", "grain_size_um", "sinter_method", "load_kgf", "binder_formula", "binder_wt_pct",
-        "ceramic_formula", "secondary_phase", "ceramic_wt_pct", "is_hea", "element_count", "kic", "trs", "has_full"]
-
-
-@query("e2_full_export", f"""WITH {STAR} SELECT {', '.join(_E2P)}, {', '.join(rd(c, c, 8) for c in _E2)}
-FROM experiments JOIN compositions USING (exp_id) JOIN properties USING (exp_id) LEFT JOIN features USING (exp_id)""")
+        "ceramic_formula", "secondary_phase", "ceramic_wt_pct", "is_hea", "element_count", "kic", "trs", "has_full",
+        "hardness_grade", "toughness_grade", "has_features", "created_at"]
+
+
+@query("e2_full_export", f"""WITH {STAR}, j AS (SELECT experiments.*, compositions.* EXCLUDE (exp_id), hv, kic, trs, features.* EXCLUDE (exp_id, pred_formation_energy),
+  CASE WHEN features.exp_id IS NOT NULL THEN features.pred_formation_energy END AS pred_formation_energy,
+  p.pred_bulk_modulus, p.pred_shear_modulus, 100 - binder_vol_pct AS ceramic_vol_pct, 9 * p.pred_bulk_modulus * p.pred_shear_modulus / (3 * p.pred_bulk_modulus + p.pred_shear_modulus) AS young_modulus,
+  CASE WHEN hv IS NULL THEN 'Unknown' WHEN hv < 800 THEN 'Low' WHEN hv < 1200 THEN 'Medium' WHEN hv < 1600 THEN 'High' ELSE 'Very High' END AS hardness_grade,
+  CASE WHEN kic IS NULL THEN 'Unknown' WHEN kic < 10 THEN 'Low' WHEN kic < 15 THEN 'Medium' WHEN kic < 20 THEN 'High' ELSE 'Very High' END AS toughness_grade,
+  features.exp_id IS NOT NULL AS has_features
+FROM experiments JOIN compositions ON compositions.exp_id = experiments.exp_id JOIN properties ON properties.exp_id = experiments.exp_id
+LEFT JOIN features ON features.exp_id = experiments.exp_id LEFT JOIN proxies p ON p.exp_id = experiments.exp_id)
+SELECT {', '.join(_E2P)}, {', '.join(rd(c, c, 8) for c in _E2)} FROM j""")
 def e2(spark, sf):
-    return R.export_join(star(spark, sf)).select(*_E2P, *[r6(c, 8).alias(c) for c in _E2])
+    moduli = B.view(spark, sf, "proxies").select("exp_id", "pred_bulk_modulus", "pred_shear_modulus")
+    return R.full_export(star(spark, sf), moduli).select(*_E2P, *[r6(c, 8).alias(c) for c in _E2])
 
 
 @query("e3_query_tab", f"""WITH {STAR} SELECT exp_id, raw_composition, binder_formula, {rd('hv', 'hv')}, {rd('vec_binder', 'vec_binder')} FROM experiments LEFT JOIN compositions USING (exp_id) LEFT JOIN properties USING (exp_id) LEFT JOIN features USING (exp_id)
