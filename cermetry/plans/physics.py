@@ -348,18 +348,27 @@ def d34(spark, sf):
                  percent=P.free_path("percent", "grain_size_um", "binder_pct"), model=P.free_path("model", "grain_size_um", "f"))
 
 
-_D35_PROPS = ("number", "mass", "chi", "tm")
-_D35 = ", ".join(
-    ", ".join((f"min({p}) AS b_min_{p}", f"max({p}) AS b_max_{p}", rd(f"max({p}) - min({p})", f"b_range_{p}"), rd(f"sum(c * {p})", f"b_mean_{p}"),
-               rd(f"sum(c * abs({p} - m_{p}))", f"b_avg_dev_{p}"), f"arg_min({p}, (-c, {p})) AS b_mode_{p}"))
-    for p in _D35_PROPS)
-
-
-@query("d35_property_statistics", f"""WITH {BASE}, m AS (SELECT alloy_id, {', '.join(f'sum(c * {p}) AS m_{p}' for p in _D35_PROPS)} FROM j GROUP BY alloy_id)
-SELECT alloy_id, {_D35} FROM j JOIN m USING (alloy_id) GROUP BY alloy_id""")
+def _statistics_sql(prefix, rows):
+    """All statistics of all element properties; NULL where an element lacks the property."""
+    known = lambda p, e: f"CASE WHEN count({p}) = count(*) THEN {e} END"
+    part = lambda p: ", ".join((
+        f"{known(p, f'min({p})')} AS {prefix}_min_{p}", f"{known(p, f'max({p})')} AS {prefix}_max_{p}",
+        rd(known(p, f"max({p}) - min({p})"), f"{prefix}_range_{p}"), rd(known(p, f"sum(c * {p})"), f"{prefix}_mean_{p}"),
+        rd(known(p, f"sum(c * abs({p} - m_{p}))"), f"{prefix}_avg_dev_{p}"), f"{known(p, f'arg_min({p}, (-c, {p}))')} AS {prefix}_mode_{p}"))
+    means = ", ".join(f"sum(c * {p}) AS m_{p}" for p in K.ELEMENT_FIELDS)
+    return (f"{prefix}_m AS (SELECT alloy_id, {means} FROM {rows} GROUP BY alloy_id), "
+            f"{prefix}_s AS (SELECT alloy_id, {', '.join(map(part, K.ELEMENT_FIELDS))} FROM {rows} JOIN {prefix}_m USING (alloy_id) GROUP BY alloy_id)")
+
+
+@query("d35_property_statistics", f"""WITH {BASE}, {B.shares_sql('csh', 'alloys', 'alloy_id', 'ceramic')}, cj AS (SELECT csh.alloy_id, el, c, e.* FROM csh LEFT JOIN elements e ON symbol = el),
+{_statistics_sql('b', 'j')}, {_statistics_sql('c', 'cj')} SELECT * FROM b_s JOIN c_s USING (alloy_id)""")
 def d35(spark, sf):
-    a = O.statistics_columns(_alloys(spark, sf).select("alloy_id", "rows"), "rows", _D35_PROPS, "b").drop("rows")
-    exact = ("b_min", "b_max", "b_mode")
+    """Both phases, all properties."""
+    a = _alloys(spark, sf).select("alloy_id", "rows", P.element_rows(C.formula_shares("ceramic")).alias("ceramic_rows"))
+    for rows, prefix in (("rows", "b"), ("ceramic_rows", "c")):
+        a = O.statistics_columns(a, rows, K.ELEMENT_FIELDS, prefix)
+    a = a.drop("rows", "ceramic_rows")
+    exact = tuple(f"{p}_{s}" for p in "bc" for s in ("min", "max", "mode"))
     return a.select("alloy_id", *[c if c.startswith(exact) else r6(c).alias(c) for c in a.columns if c != "alloy_id"])
 
 
@@ -398,22 +407,26 @@ fe AS (SELECT alloy_id, coalesce(sum(CASE WHEN el = 'Fe' THEN w END), 0) AS fe F
 lm AS (SELECT alloy_id, abs(pred_lattice_param / sqrt(2e0) - coalesce(a0, 2906e-3)) / coalesce(a0, 2906e-3) AS mis FROM alloys LEFT JOIN ml ON phase = ceramic)"""
 
 
-@query("d39_hardness_vector", f"""{_VEC_BASE} SELECT alloy_id, grain_size_um AS grain_um, binder_pct AS binder_vol_pct, {rd('ni', 'ni_share')}, {rd('nb', 'nb_share')}, {rd('fe', 'fe_mass')}, n AS element_count, {rd('n2', 'norm2')},
+#: surrogate outputs that are part of both vectors
+SURROGATES = ("pred_formation_energy", "pred_lattice_param", "pred_magnetic_moment")
+
+
+@query("d39_hardness_vector", f"""{_VEC_BASE} SELECT alloy_id, grain_size_um AS grain_um, binder_pct AS binder_vol_pct, {rd('ni', 'ni_share')}, {rd('nb', 'nb_share')}, {rd('fe', 'fe_mass')}, n AS element_count, {rd('n2', 'norm2')}, pred_formation_energy, pred_lattice_param, pred_magnetic_moment,
  dz AS diff_number, {rd('dx', 'diff_chi')}, dg AS range_group, {rd('pm', 'mean_period')}, {rd('mis', 'lattice_mismatch_wc')}, {rd('n * dx', 'interface_complexity')}
 FROM alloys JOIN f USING (alloy_id) JOIN fe USING (alloy_id) JOIN lm USING (alloy_id)""")
 def d39(spark, sf):
     v = O.hardness_vector(B.view(spark, sf, "alloys"))
-    plain = ("grain_um", "binder_vol_pct", "element_count", "diff_number", "range_group")
+    plain = ("grain_um", "binder_vol_pct", "element_count", "diff_number", "range_group", *SURROGATES)
     rounded = ("ni_share", "nb_share", "fe_mass", "norm2", "diff_chi", "mean_period", "lattice_mismatch_wc", "interface_complexity")
     return v.select("alloy_id", *plain, *[r6(c).alias(c) for c in rounded])
 
 
-@query("d40_toughness_vector", f"""{_VEC_BASE} SELECT alloy_id, {rd('ni', 'ni_share')}, {rd('tms', 'tm_share')}, {rd('dt', 'range_tm')}, grain_size_um AS grain_um, binder_pct AS binder_vol_pct, sinter_temp_c AS temp_c,
+@query("d40_toughness_vector", f"""{_VEC_BASE} SELECT alloy_id, {rd('ni', 'ni_share')}, {rd('tms', 'tm_share')}, {rd('dt', 'range_tm')}, grain_size_um AS grain_um, binder_pct AS binder_vol_pct, sinter_temp_c AS temp_c, pred_formation_energy, pred_lattice_param, pred_magnetic_moment,
  {rd('mis', 'lattice_mismatch_wc')}, {rd('CASE WHEN binder_pct > 0 AND binder_pct < 100 THEN grain_size_um * (binder_pct / 1e2) / (1 - binder_pct / 1e2) ELSE grain_size_um * 5e-1 END', 'free_path')}
 FROM alloys JOIN f USING (alloy_id) JOIN lm USING (alloy_id)""")
 def d40(spark, sf):
     v = O.toughness_vector(B.view(spark, sf, "alloys"))
-    return v.select("alloy_id", "grain_um", "binder_vol_pct", "temp_c", *[r6(c).alias(c) for c in ("ni_share", "tm_share", "range_tm", "lattice_mismatch_wc", "free_path")])
+    return v.select("alloy_id", "grain_um", "binder_vol_pct", "temp_c", *SURROGATES, *[r6(c).alias(c) for c in ("ni_share", "tm_share", "range_tm", "lattice_mismatch_wc", "free_path")])
 
 
 # Injection over runs: features per distinct composition, per-row surrogates.
