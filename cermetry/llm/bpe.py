@@ -47,7 +47,7 @@ class ByteBPE:
     """Encoder and decoder for one byte-level tokenizer file (JSON)."""
 
     #: ids and distinct chunks remembered between batches
-    POOL, CHUNKS = 4_000_000, 400_000
+    POOL, CHUNKS = 2_000_000, 150_000
 
     def __init__(self, path, pattern):
         with open(path, encoding="utf-8") as f:

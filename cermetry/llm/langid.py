@@ -24,7 +24,7 @@ START = "▁"
 SMOOTHING = 0.1
 BASE = np.uint64(1_000_003)
 #: characters of words worked on at once, and words remembered by a worker
-CELLS, WORDS = 60_000, 200_000
+CELLS, WORDS = 60_000, 80_000
 UNKNOWN = "und"
 
 

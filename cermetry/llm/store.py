@@ -8,8 +8,18 @@ from pyspark.sql.types import StructField, StructType
 from cermetry.session import cut_lineage
 
 
+#: rows of an Arrow batch; whole texts may be long, and a batch lies in memory on both sides
+ARROW_ROWS = 2000
+
+
 def table(spark, sf_dir, name):
-    """A given table; only Spark reads the path, so any store it knows will do."""
+    """A given table; only Spark reads the path, so any store it knows will do.
+
+    Sessions that send larger Arrow batches to Python are set to ``ARROW_ROWS``.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
+        spark.conf.set(key, ARROW_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
