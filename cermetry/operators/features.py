@@ -197,12 +197,16 @@ def recursive_elimination(fit_importances, features, score, min_features=1):
 
 # ---------------------------------------------------------------- encoding, splits
 def label_encode(df, c, out):
-    """Codes by sorted label order.  The fitted label list is kept with the model,
-    so this is for categories, not for free text."""
-    from pyspark.ml.feature import StringIndexer
+    """Codes by sorted label order; NULL has none.
 
-    indexer = StringIndexer(inputCol=c, outputCol="_i", stringOrderType="alphabetAsc", handleInvalid="keep")
-    return indexer.fit(df).transform(df).withColumn(out, F.col("_i").cast("int")).drop("_i")
+    The codes are a table of the distinct labels, joined back: labels never
+    reach the driver, and a short list is broadcast.
+    """
+    from pyspark.sql import Window as W
+
+    labels = df.select(c).where(F.col(c).isNotNull()).distinct()
+    codes = labels.withColumn(out, (F.row_number().over(W.orderBy(c)) - 1).cast("int"))
+    return df.join(checked_broadcast(codes), c, "left")
 
 
 def hash_bucket(key, buckets, seed=42):

@@ -213,9 +213,13 @@ def fallback_lookup(df, key, first, second, fields):
         *[f"{p}{f}" for p in ("_1", "_2") for f in fields])
 
 
-def map_keys_of(df, c):
-    """Sorted distinct keys of a map column; their number is a schema property."""
-    return sorted(r[0] for r in df.select(F.explode(F.map_keys(c)).alias("k")).distinct().collect())
+def map_keys_of(df, c, most=1000):
+    """Sorted distinct keys of a map column.  Columns are made of them, so more
+    than ``most`` is an error; no more than that reach the driver."""
+    found = df.select(F.explode(F.map_keys(c)).alias("k")).distinct().limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} keys: name those wanted")
+    return sorted(r[0] for r in found)
 
 
 def flatten_json(df, c, prefix, keys=None, value_type="double"):

@@ -26,13 +26,15 @@ features AS (SELECT exp_id, vec_binder, mean_atomic_radius, rho_b AS binder_dens
   FROM chosen JOIN bs USING (exp_id) JOIN bx USING (exp_id) JOIN proxies USING (exp_id) LEFT JOIN interface f ON f.phase = coalesce(chosen.phase, 'WC') WHERE exp_id % 5 <> 0)"""
 
 
-def star(spark, sf):
-    """The four stored tables; every fifth experiment has no features yet."""
-    e = B.view(spark, sf, "experiments", heavy=True)
+def star(spark, sf, key=None):
+    """The four stored tables; every fifth experiment has no features yet.  With
+    ``key`` only that experiment, filtered at the scans, ahead of the parse."""
+    view = lambda name, heavy=False: B.view(spark, sf, name, heavy=heavy and key is None).where("true" if key is None else f"exp_id = {int(key)}")
+    e = view("experiments", heavy=True)
     comps = parsing.composition_columns(e.select("exp_id", "raw_composition"))
-    feats = R.feature_columns(comps.where("exp_id % 5 <> 0"), B.view(spark, sf, "proxies").drop("pred_bulk_modulus", "pred_shear_modulus"))
+    feats = R.feature_columns(comps.where("exp_id % 5 <> 0"), view("proxies").drop("pred_bulk_modulus", "pred_shear_modulus"))
     feats = feats.withColumn("has_full", F.expr("CASE exp_id % 3 WHEN 0 THEN true WHEN 1 THEN false END"))
-    return {"experiments": e, "compositions": comps.drop("binder", "format"), "properties": B.view(spark, sf, "properties"), "features": feats}
+    return {"experiments": e, "compositions": comps.drop("binder", "format"), "properties": view("properties"), "features": feats}
 
 
 def _rounded(df, rounded, *plain):
@@ -112,7 +114,7 @@ def e7b(spark, sf):
 @query("e9_nested_record", f"""WITH {STAR} SELECT exp_id, source_id, binder_formula, {rd('hv', 'hv')}, {rd('vec_binder', 'vec_binder')}
 FROM experiments LEFT JOIN compositions USING (exp_id) LEFT JOIN properties USING (exp_id) LEFT JOIN features USING (exp_id) WHERE exp_id = 1006""")
 def e9(spark, sf):
-    return R.record(star(spark, sf), 1006).select(
+    return R.record(star(spark, sf, 1006), 1006).select(
         "exp_id", "experiment.source_id", "compositions.binder_formula", r6("properties.hv").alias("hv"), r6("features.vec_binder").alias("vec_binder"))
 
 
