@@ -98,7 +98,7 @@ class Graph:
     def diverse(self, nodes, ids, most):
         """Up to ``most`` of each node's candidates, nearest first; one that is nearer to a chosen
         one than to the node waits until the diverse ones are in."""
-        step = max(1, CELLS // (ids.shape[1] * self.v.shape[1]))
+        step = max(1, CELLS // max(1, ids.shape[1] * self.v.shape[1]))
         if len(nodes) > step:
             return np.concatenate([self.diverse(nodes[i:i + step], ids[i:i + step], most) for i in range(0, len(nodes), step)])
         sims = np.where(ids >= 0, np.einsum("nkd,nd->nk", self.v[ids], self.v[nodes]), -3)
