@@ -34,7 +34,8 @@ ELEMENTS = {
     "Si": (14, 14, 3, 28.085, 2.33, 1.18, 4, 1.9, 1687.15, 64, 5.43, 2.6, 4),
     "B": (5, 13, 2, 10.81, 2.34, 0.9, 3, 2.04, 2349.15, 180, 8.73, 6.0, 4),
 }
-# Handbook values that only some elements have (GPa, GPa, 1e-8 Ohm m); an
+# --- fixed values: bulk and Young's moduli (GPa), resistivities (1e-8 Ohm m) --
+# Handbook values that only some elements have; an
 # absent element is skipped by the weighted means that use them.
 BULK_MODULUS = {
     "Al": 76, "Co": 180, "Cr": 160, "Cu": 140, "Fe": 170, "Mn": 120, "Ni": 180,
@@ -52,6 +53,15 @@ RESISTIVITY = {
     "Hf": 34.0, "Ta": 13.5, "W": 5.4,
 }
 
+# --- fixed values: hardness models (exponents, factors), ductility limit ----
+CHEN_EXPONENT, CHEN_OFFSET = 0.585, 3
+TIAN_FACTOR, TIAN_RATIO_EXPONENT, TIAN_SHEAR_EXPONENT = 0.92, 1.137, 0.708
+PUGH_LIMIT = 1.75
+# --- fixed values: grades, lower limits of the levels above the first -------
+GRADES = ("Low", "Medium", "High", "Very High")
+HARDNESS_LIMITS = (800, 1200, 1600)
+TOUGHNESS_LIMITS = (10, 15, 20)
+
 # --- fixed values: binary mixing enthalpies, kJ/mol, key in sorted order ----
 ENTHALPY = {
     "Al-Co": -19, "Al-Cr": -10, "Al-Cu": -1, "Al-Fe": -11, "Al-Ni": -22,

@@ -150,7 +150,7 @@ def chen_hardness(bulk, shear) -> Column:
     k = F.try_divide(g, b)
     return F.when(
         (b > 0) & (g != 0),
-        F.greatest(F.lit(0.0), 2 * F.pow(k * k * g, F.lit(0.585)) - 3),
+        F.greatest(F.lit(0.0), 2 * F.pow(k * k * g, F.lit(K.CHEN_EXPONENT)) - K.CHEN_OFFSET),
     )
 
 
@@ -158,7 +158,7 @@ def tian_hardness(bulk, shear) -> Column:
     b, g = col(bulk), col(shear)
     return F.when(
         (b > 0) & (g != 0),
-        0.92 * F.pow(F.try_divide(g, b), F.lit(1.137)) * F.pow(g, F.lit(0.708)),
+        K.TIAN_FACTOR * F.pow(F.try_divide(g, b), F.lit(K.TIAN_RATIO_EXPONENT)) * F.pow(g, F.lit(K.TIAN_SHEAR_EXPONENT)),
     )
 
 
@@ -167,12 +167,12 @@ def pugh(bulk, shear) -> Column:
 
 
 def brittleness(ratio) -> Column:
-    return 1 / (1 + F.exp(2 * (col(ratio) - 1.75)))
+    return 1 / (1 + F.exp(2 * (col(ratio) - K.PUGH_LIMIT)))
 
 
 def ductility(ratio) -> Column:
     r = col(ratio)
-    return F.when(r > 1.75, "Ductile").when(r.isNotNull(), "Brittle")
+    return F.when(r > K.PUGH_LIMIT, "Ductile").when(r.isNotNull(), "Brittle")
 
 
 def ionic_percent(spread) -> Column:

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from cermetry.functions import constants as K
 from cermetry.functions.common import col, scalars, to_double, total
 from cermetry.operators.ordering import column_quantiles, melt, quantiles
 from cermetry.session import checked_broadcast
@@ -223,36 +224,41 @@ def physics_issues(df):
         F.min("binder_density").alias("d0"), F.max("binder_density").alias("d1"),
         (F.avg(F.when(F.col("pred_formation_energy") > 0, 1.0).when(F.col("pred_formation_energy").isNotNull(), 0.0)) * 100).alias("pos"))
     return a.select(F.array_compact(F.array(
-        F.when(F.col("m0") < 0, "lattice_mismatch:negative_values").when(F.col("m1") > 1, "lattice_mismatch:extreme_values"),
-        F.when((F.col("v0") < 3) | (F.col("v1") > 12), "vec_binder:out_of_range"),
-        F.when((F.col("d0") < 1) | (F.col("d1") > 25), "binder_density:unrealistic_values"),
-        F.when(F.col("pos") > 10, "pred_formation_energy:high_positive_ratio"))).alias("issues"), "pos")
+        F.when(F.col("m0") < 0, "lattice_mismatch: below zero").when(F.col("m1") > 1, "lattice_mismatch: above one"),
+        F.when((F.col("v0") < 3) | (F.col("v1") > 12), "vec_binder: outside 3 to 12"),
+        F.when((F.col("d0") < 1) | (F.col("d1") > 25), "binder_density: outside 1 to 25"),
+        F.when(F.col("pos") > 10, "pred_formation_energy: positive in over a tenth"))).alias("issues"), "pos")
 
 
 def hea_consistency(df):
     """Rows per element count with flags; few elements with the flag is an error."""
     return df.groupBy("element_count").agg(
         F.count(F.lit(1)).alias("n"), F.count_if("is_hea").alias("hea")).withColumn(
-        "issue", F.when((F.col("element_count") == 2) & (F.col("hea") > 0), "binary_alloy_as_hea")
-        .when((F.col("element_count") < 5) & (F.col("hea") > 0), "low_element_marked_as_hea"))
+        "issue", F.when((F.col("element_count") == 2) & (F.col("hea") > 0), "flagged with two elements")
+        .when((F.col("element_count") < 5) & (F.col("hea") > 0), "flagged below five elements"))
 
 
 def prediction_plausibility(df, pred):
     p = F.col(pred)
     return df.agg(
-        F.count_if(p < 0).alias("negative"), F.count_if(p < 500).alias("unrealistic_low"),
-        F.count_if(p > 3000).alias("unrealistic_high"), F.min(p).alias("lo"), F.max(p).alias("hi"), F.avg(p).alias("mean"))
+        F.count_if(p < 0).alias("negative"), F.count_if(p < 500).alias("below_500"),
+        F.count_if(p > 3000).alias("above_3000"), F.min(p).alias("lo"), F.max(p).alias("hi"), F.avg(p).alias("mean"))
 
 
 # ---------------------------------------------------------------- classes
-def hardness_grade(c):
+def _grade(c, limits):
+    """The level of a value among left-closed steps; missing values are unknown."""
     v = col(c)
-    return F.when(v.isNull(), "Unknown").when(v < 800, "Low").when(v < 1200, "Medium").when(v < 1600, "High").otherwise("Very High")
+    above = sum(F.when(v >= x, 1).otherwise(0) for x in limits)
+    return F.when(v.isNull(), "Unknown").otherwise(F.element_at(F.array(*map(F.lit, K.GRADES)), above + 1))
+
+
+def hardness_grade(c):
+    return _grade(c, K.HARDNESS_LIMITS)
 
 
 def toughness_grade(c):
-    v = col(c)
-    return F.when(v.isNull(), "Unknown").when(v < 10, "Low").when(v < 15, "Medium").when(v < 20, "High").otherwise("Very High")
+    return _grade(c, K.TOUGHNESS_LIMITS)
 
 
 def binder_class(c):

@@ -195,15 +195,15 @@ def f19(spark, sf):
 
 @query("f20_physics_ranges", f"""WITH {STAR}, a AS (SELECT min(lattice_mismatch) AS m0, max(lattice_mismatch) AS m1, min(vec_binder) AS v0, max(vec_binder) AS v1, min(binder_density) AS d0, max(binder_density) AS d1,
  avg(CASE WHEN pred_formation_energy > 0 THEN 1e0 WHEN pred_formation_energy IS NOT NULL THEN 0 END) * 100 AS pos FROM features)
-SELECT array_to_string(list_filter([CASE WHEN m0 < 0 THEN 'lattice_mismatch:negative_values' WHEN m1 > 1 THEN 'lattice_mismatch:extreme_values' END, CASE WHEN v0 < 3 OR v1 > 12 THEN 'vec_binder:out_of_range' END,
- CASE WHEN d0 < 1 OR d1 > 25 THEN 'binder_density:unrealistic_values' END, CASE WHEN pos > 10 THEN 'pred_formation_energy:high_positive_ratio' END], lambda x: x IS NOT NULL), ',') AS issues, {rd('pos', 'positive_pct', 4)} FROM a""")
+SELECT array_to_string(list_filter([CASE WHEN m0 < 0 THEN 'lattice_mismatch: below zero' WHEN m1 > 1 THEN 'lattice_mismatch: above one' END, CASE WHEN v0 < 3 OR v1 > 12 THEN 'vec_binder: outside 3 to 12' END,
+ CASE WHEN d0 < 1 OR d1 > 25 THEN 'binder_density: outside 1 to 25' END, CASE WHEN pos > 10 THEN 'pred_formation_energy: positive in over a tenth' END], lambda x: x IS NOT NULL), ',') AS issues, {rd('pos', 'positive_pct', 4)} FROM a""")
 def f20(spark, sf):
     return Q.physics_issues(star(spark, sf)["features"]).select(F.array_join("issues", ",").alias("issues"), r6("pos", 4).alias("positive_pct"))
 
 
 @query("f21_hea_consistency", f"""WITH {STAR}, c AS (SELECT element_count, CASE WHEN exp_id % 50 = 3 THEN true ELSE is_hea END AS is_hea FROM compositions)
-SELECT element_count, count(*) AS n, count(CASE WHEN is_hea THEN 1 END) AS hea, CASE WHEN element_count = 2 AND count(CASE WHEN is_hea THEN 1 END) > 0 THEN 'binary_alloy_as_hea'
- WHEN element_count < 5 AND count(CASE WHEN is_hea THEN 1 END) > 0 THEN 'low_element_marked_as_hea' END AS issue FROM c GROUP BY element_count""")
+SELECT element_count, count(*) AS n, count(CASE WHEN is_hea THEN 1 END) AS hea, CASE WHEN element_count = 2 AND count(CASE WHEN is_hea THEN 1 END) > 0 THEN 'flagged with two elements'
+ WHEN element_count < 5 AND count(CASE WHEN is_hea THEN 1 END) > 0 THEN 'flagged below five elements' END AS issue FROM c GROUP BY element_count""")
 def f21(spark, sf):
     c = star(spark, sf)["compositions"].withColumn("is_hea", F.expr("CASE WHEN exp_id % 50 = 3 THEN true ELSE is_hea END"))
     return Q.hea_consistency(c.select("element_count", "is_hea"))
@@ -219,7 +219,7 @@ def f22(spark, sf):
     return _round(Q.expected_signs(_joined(spark, sf).withColumn("twin", F.col("hv") + F.col("kic")), "hv", _SIGNS), ["r"])
 
 
-@query("f23_prediction_plausibility", f"WITH {PV}, p AS (SELECT hv * 2 - 1300 AS p FROM properties) SELECT count(CASE WHEN p < 0 THEN 1 END) AS negative, count(CASE WHEN p < 500 THEN 1 END) AS unrealistic_low, count(CASE WHEN p > 3000 THEN 1 END) AS unrealistic_high, {rd('min(p)', 'lo')}, {rd('max(p)', 'hi')}, {rd('avg(p)', 'mean', 4)} FROM p")
+@query("f23_prediction_plausibility", f"WITH {PV}, p AS (SELECT hv * 2 - 1300 AS p FROM properties) SELECT count(CASE WHEN p < 0 THEN 1 END) AS negative, count(CASE WHEN p < 500 THEN 1 END) AS below_500, count(CASE WHEN p > 3000 THEN 1 END) AS above_3000, {rd('min(p)', 'lo')}, {rd('max(p)', 'hi')}, {rd('avg(p)', 'mean', 4)} FROM p")
 def f23(spark, sf):
     p = _props(spark, sf).select((F.col("hv") * 2 - 1300).alias("p"))
     return _round(_round(Q.prediction_plausibility(p, "p"), ["lo", "hi"]), ["mean"], 4)
