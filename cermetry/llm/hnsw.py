@@ -5,9 +5,12 @@ vectors are dealt to shards of at most about ``SHARD``; every shard gets a
 hierarchical navigable small-world graph, and every vector of the label
 queries every shard.  A shard's beam starts at ``BEAM`` and doubles until an
 audit against brute force finds ``AUDIT`` of the links of ``AUDITED`` of its vectors.
+The beam is no cap on partners: a vector whose worst result in a full beam is
+still linked may have more, and is compared with the whole shard.
 Pairs found are verified by cosine in double precision and united to
-components.  Links lie within components, so the number of links of each
-vector is then counted exactly, block against block of its component.
+components (every task passes on one link per vector and group at most).  Links
+lie within components, so the number of links of each vector is then counted
+exactly, block against block of its component.
 
 Equal vectors are one node with a multiplicity.  Vectors that are null, zero,
 or hold null or non-finite components, and those without a label, are linked
@@ -175,18 +178,30 @@ class Graph:
             start = np.where(ids >= 0, ids, start[:, :1])[:, :ENTRIES]
         return self.search_layer(0, queries, start, beam)
 
+    def linked(self, queries, beam, cosine):
+        """(row, node) arrays of the links found, whatever their number, in parts of bounded size."""
+        ids, sims = self.search(queries, beam)
+        full = np.zeros(len(queries), dtype=bool)
+        if ids.shape[1] >= beam:
+            full = (ids[:, beam - 1] >= 0) & (sims[:, beam - 1] >= cosine)
+        row, column = np.nonzero((ids >= 0) & ~full[:, None])
+        node = ids[row, column]
+        good = np.einsum("nd,nd->n", queries[row], self.v[node]) >= cosine
+        yield row[good], node[good]
+        rest, step = np.flatnonzero(full), max(1, CELLS // len(self.v))
+        for at in range(0, len(rest), step):
+            row, node = np.nonzero(queries[rest[at:at + step]] @ self.v.T >= cosine)
+            yield rest[at + row], node
+
     def audited_beam(self, cosine):
-        """The beam that finds ``AUDIT`` of the audited vectors' links (or as many as fit the beam)."""
+        """The beam with which ``linked`` finds ``AUDIT`` of all links of the audited vectors."""
         n = len(self.v)
         probe = np.unique(np.linspace(0, n - 1, min(n, AUDITED)).astype(int))
-        truth = self.v[probe] @ self.v.T >= cosine
+        links = (self.v[probe] @ self.v.T >= cosine).sum()
         beam = BEAM
-        while True:
-            ids, _ = self.search(self.v[probe], beam)
-            hit = (np.take_along_axis(truth, np.maximum(ids, 0), 1) & (ids >= 0)).sum(axis=1)
-            if hit.sum() >= AUDIT * np.minimum(truth.sum(axis=1), beam).sum() or beam >= n:
-                return beam
+        while beam < n and sum(len(row) for row, _ in self.linked(self.v[probe], beam, cosine)) < AUDIT * links:
             beam *= 2
+        return beam
 
     def pack(self):
         head = np.array([len(self.v), self.v.shape[1], len(self.layers), len(self.entry)], dtype=np.int64)
@@ -230,7 +245,7 @@ def build(nodes, cosine):
 
 
 def query_all(shards, cosine):
-    """Links found by querying every shard of a label with the vectors of every shard of that label."""
+    """Links that join what is linked when every shard of a label is queried with the vectors of every shard of that label."""
     left = shards.select("label", "dim", F.col("keys").alias("from_keys"), F.col("graph").alias("from_graph"))
     pairs = left.join(shards, ["label", "dim"]).select("from_keys", "from_graph", "keys", "graph", "beam")
 
@@ -238,22 +253,34 @@ def query_all(shards, cosine):
         for batch in batches:
             for i in range(batch.num_rows):
                 queries = Graph.unpack(batch.column(1)[i].as_py()).v
-                own, keys = batch.column(0)[i].as_py(), np.array(batch.column(2)[i].as_py(), dtype=object)
+                names = np.array(batch.column(0)[i].as_py() + batch.column(2)[i].as_py(), dtype=object)
+                kinds, node = np.unique(names, return_inverse=True)
                 graph, beam = Graph.unpack(batch.column(3)[i].as_py()), batch.column(4)[i].as_py()
                 step = max(8, min(BATCH, BATCH * BEAM // beam))
+                group = np.arange(len(kinds))
                 for at in range(0, len(queries), step):
-                    ids, _ = graph.search(queries[at:at + step], beam)
-                    row, column = np.nonzero(ids >= 0)
-                    to = ids[row, column]
-                    exact = np.einsum("nd,nd->n", queries[at + row], graph.v[to])
-                    good = exact >= cosine
-                    a, b = [own[at + r] for r in row[good]], keys[to[good]].tolist()
-                    a, b = zip(*((x, y) for x, y in zip(a, b) if x != y)) if any(x != y for x, y in zip(a, b)) else ((), ())
-                    yield pa.RecordBatch.from_arrays([pa.array(a, type=pa.string()), pa.array(b, type=pa.string())], names=["a", "b"])
+                    for row, to in graph.linked(queries[at:at + step], beam, cosine):
+                        group = united(group, node[at + row], node[len(queries) + to])
+                more = group != np.arange(len(group))
+                yield pa.RecordBatch.from_arrays([pa.array(kinds[group[more]], type=pa.string()), pa.array(kinds[more], type=pa.string())], names=["a", "b"])
 
     return pairs.mapInArrow(run, "a string, b string")
 
 
+def united(group, a, b):
+    """The lowest node of each node's group after links between nodes ``a`` and ``b``."""
+    while True:
+        one, other = group[a], group[b]
+        apart = one != other
+        if not apart.any():
+            return group
+        a, b, one, other = a[apart], b[apart], one[apart], other[apart]
+        group = group.copy()
+        np.minimum.at(group, np.maximum(one, other), np.minimum(one, other))
+        while (group[group] != group).any():
+            group = group[group]
+
+
 def exact_links(members, cosine):
     """(key, linked): vectors linked with each node, counted with multiplicity.
 

@@ -218,6 +218,21 @@ def test_embedding_duplicates(spark, shard):
     assert hnsw.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_dense_groups_that_adjoin(spark):
+    """Every vector has more partners than a beam in its own group, and the links to the other group are weaker."""
+    rng = np.random.default_rng(12)
+    base, off = np.linalg.qr(rng.normal(size=(64, 2)))[0].T
+    rows = [(i, (base * np.cos(t) + off * np.sin(t) + rng.normal(size=64) * 0.007).tolist(), 0) for i, t in enumerate([0.0] * 40 + [0.12] * 40)]
+    links = brute_links(rows)
+    assert sum(a < 40 <= b for a, b in links) == 1600
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    for shard in (hnsw.SHARD, 50):
+        got = {r.vec_id: (r.component_id, r.n_links, r.kept) for r in hnsw.near_duplicates(df, shard=shard).collect()}
+        assert got == {i: (0, 79, i == 0) for i in range(80)}
+    g = hnsw.Graph(hnsw.unit(np.array([v for _, v, _ in rows])))
+    assert sum(len(row) for row, _ in g.linked(g.v, hnsw.BEAM, 0.98)) == 6400
+
+
 def test_graph_recall():
     """Recall of the nearest ten against brute force, on clustered and on uniform vectors."""
     rng = np.random.default_rng(10)
