@@ -4,7 +4,8 @@ Every page is read into a stream of elements; each block element outside the
 page's article gets a hash of its whole subtree.  Spark counts, per host, the
 number of different articles around each hash.  A subtree recurring on
 ``MIN_PAGES`` and on ``MIN_SHARE`` of a host's articles or more is that site's template
-and is deleted; copies of one page count once.  What structure and naming
+and is deleted; copies of one page count once (without ``article`` or ``main``, pages
+are told apart by all their text, since a template may be longer than any story).  What structure and naming
 give away (menus, footers, forms, adverts, comments, ...) is left out too.
 
 The article is taken from ``article`` or ``main`` elements, or else is the rest of
@@ -162,8 +163,8 @@ class Page:
         return inside or [t for t, _ in self.out]
 
     def core(self):
-        """Names the article, so that copies of one page count once."""
-        return digest("\n".join(t for t, own in self.out if own) or max((t for t, _ in self.out), key=len, default=""))
+        """Names what the page says: its article, or else all its text, so that copies of one page count once."""
+        return digest("\n".join(self.main()))
 
 
 def templates(pages, min_pages=MIN_PAGES, min_share=MIN_SHARE):

@@ -180,6 +180,14 @@ def test_site_templates_are_removed(spark):
     assert html.main_text(df.limit(0)).count() == 0
 
 
+def test_templates_longer_than_the_stories(spark):
+    """Two legal texts longer than every story go; eight copies of one page stay whole."""
+    frame = "<body><div>" + "We value your privacy. " * 20 + "</div><p>{}</p><div>" + "All rights reserved. " * 30 + "</div></body>"
+    pages = [(i, f"http://a.org/{i}", frame.format(f"Post {i}")) for i in range(8)] + [(100 + i, f"http://b.org/{i}", frame.format("Post")) for i in range(8)]
+    text = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert all(text[i] == f"Post {i}" for i in range(8)) and all("privacy" in text[100 + i] and "rights" in text[100 + i] for i in range(8))
+
+
 def test_main_text_of_given_pages(spark):
     """Against the articles cut out by patterns: these pages have one article of h1 and p each."""
     import re
