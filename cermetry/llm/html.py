@@ -3,8 +3,8 @@
 Every page is read into a stream of elements; each block element outside the
 page's article gets a hash of its whole subtree.  Spark counts, per host, the
 number of different articles around each hash.  A subtree recurring on
-``MIN_PAGES`` and on ``MIN_SHARE`` of a host's articles or more is that site's template
-and is deleted; copies of one page count once (without ``article`` or ``main``, pages
+``MIN_PAGES`` different articles of a host or more, whatever the host's size, is that
+site's template and is deleted; copies of one page count once (without ``article`` or ``main``, pages
 are told apart by all their text, since a template may be longer than any story).  What structure and naming
 give away (menus, footers, forms, adverts, comments, ...) is left out too.
 
@@ -17,16 +17,20 @@ repeated results; only the id, url and html columns are read.
 
 import html
 import re
+from array import array
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
 
-from cermetry.llm.store import bounded, pieces, stored
+from cermetry.llm.store import pieces, stored
 from cermetry.llm.urls import host_and_path
 
-MIN_PAGES, MIN_SHARE = 4, 0.2
+MIN_PAGES = 4
+#: templates of all hosts that every worker holds as one sorted array; of more, each page gets its own by a join
+MARKS = 2_000_000
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
                    "header hgroup hr html li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed frame hr img input keygen link meta param source track wbr".split())
@@ -68,8 +72,8 @@ def unwanted(tag, attributes, in_article):
 class Page:
     """One pass over a page: blocks of text, and hashes of block subtrees outside the article."""
 
-    def __init__(self, source, templates=frozenset()):
-        self.templates = templates
+    def __init__(self, source, templates=frozenset(), salt=0):
+        self.templates, self.salt = templates, salt
         self.out, self.buffer = [], []  # (text, within an article)
         self.stack = []  # [tag, blocks before, dropped, article depth, parts of the subtree hash]
         self.hashes = set()
@@ -150,7 +154,7 @@ class Page:
                 up.append(None)
             return
         body = "".join(parts)
-        mark = digest(f"{tag}>{body}")
+        mark = digest(f"{tag}>{body}") ^ self.salt
         if up is not None:
             up.append(f"<{mark}>")
         if tag in BLOCKS and body.strip() and not dropped and tag not in ("body", "html"):
@@ -167,49 +171,62 @@ class Page:
         return digest("\n".join(self.main()))
 
 
-def templates(pages, min_pages=MIN_PAGES, min_share=MIN_SHARE):
-    """(host, marks): subtree hashes that recur on each host.
+class Sorted:
+    """Membership in a sorted array of 64-bit integers."""
 
-    ``pages``: (host, html).  A page of s subtrees has at most s / ``min_share``
-    templates on average, so the list of a host does not grow with its pages.
-    """
+    def __init__(self, raw):
+        self.values = array("q", raw)
+
+    def __contains__(self, mark):
+        i = bisect_left(self.values, mark)
+        return i < len(self.values) and self.values[i] == mark
+
+
+def subtrees(pages):
+    """(key, mark, core) of all subtrees of pages (key, host, html); marks differ between hosts."""
 
     def run(batches):
         for whole in batches:
-            for batch in pieces(whole, 1):
+            for batch in pieces(whole, 2):
                 found = set()
-                for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    page = Page(source or "")
+                for key, host, source in zip(*(c.to_pylist() for c in batch.columns)):
+                    page = Page(source, salt=digest(host))
                     core = page.core()
-                    found.add((host, None, core))
-                    found.update((host, mark, core) for mark in page.hashes)
+                    found.update((key, mark, core) for mark in page.hashes)
                 cols = list(zip(*found)) or [(), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64()))], names=["host", "mark", "core"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in cols], names=["key", "mark", "core"])
+
+    return pages.where("host != ''").mapInArrow(run, "key bigint, mark bigint, core bigint")
+
 
-    seen = pages.where("host != ''").mapInArrow(run, "host string, mark bigint, core bigint").groupBy("host", "mark", "core").agg(F.lit(1).alias("one"))
-    counts = stored(seen.groupBy("host", "mark").agg(F.count("one").alias("n")), "subtrees")
-    size = counts.where("mark is null").select("host", F.col("n").alias("pages"))
-    often = counts.where(F.col("mark").isNotNull() & (F.col("n") >= min_pages)).join(size, "host").where(F.col("n") >= min_share * F.col("pages"))
-    return often.groupBy("host").agg(F.collect_set("mark").alias("marks"))
+def templates(pages, min_pages=MIN_PAGES):
+    """(mark): subtree hashes that recur on their host.  ``pages``: (host, html)."""
+    seen = subtrees(pages.select(F.lit(0).cast("long").alias("key"), "host", "html")).groupBy("mark", "core").agg(F.lit(1).alias("one"))
+    return seen.groupBy("mark").agg(F.count("one").alias("n")).where(F.col("n") >= min_pages).select("mark")
 
 
-def main_text(pages, id_col="page_id", url_col="url", html_col="html", min_pages=MIN_PAGES, min_share=MIN_SHARE):
+def main_text(pages, id_col="page_id", url_col="url", html_col="html", min_pages=MIN_PAGES):
     """``id_col``, ``url_col`` and ``text`` of every page: its blocks in page order, joined by two line breaks."""
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
-    rows = rows.withColumn("host", host_and_path(F.col("url").cast("string"))[0])
-    marks = bounded(templates(rows.select("host", "html"), min_pages, min_share), "templates", width=512)
-    rows = rows.join(marks, "host", "left").select("id", "url", "html", "marks")
+    rows = rows.withColumn("host", F.coalesce(host_and_path(F.col("url").cast("string"))[0], F.lit("")))
+    marks = stored(templates(rows.select("host", "html"), min_pages), "templates")
+    few = marks.count() <= MARKS
+    shared = pages.sparkSession.sparkContext.broadcast(np.sort(marks.toPandas()["mark"].to_numpy(dtype=np.int64)).tobytes() if few else b"")
+    if few:
+        rows = rows.withColumn("marks", F.lit(None).cast("array<bigint>"))
+    else:  # pages of one content share their marks
+        rows = rows.withColumn("key", F.xxhash64("host", "html"))
+        own = subtrees(rows.select("key", "host", "html")).select("key", "mark").distinct().join(marks, "mark")
+        rows = rows.join(own.groupBy("key").agg(F.collect_list("mark").alias("marks")), "key", "left")
+    rows = rows.select("id", "url", "html", "host", "marks")
 
     def run(batches):
+        known = Sorted(shared.value)
         for whole in batches:
             for batch in pieces(whole, 2):
-                text, sets = [], {}
-                for source, own in zip(batch.column(2).to_pylist(), batch.column(3)):
-                    own = np.empty(0, dtype=np.int64) if not own.is_valid else own.values.to_numpy()
-                    key = own.tobytes()
-                    if key not in sets:
-                        sets[key] = frozenset(own.tolist())
-                    text.append("\n\n".join(Page(source, sets[key]).main()))
+                text = []
+                for source, host, own in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4))):
+                    text.append("\n\n".join(Page(source, known if few else frozenset(own or ()), digest(host)).main()))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, type=pa.string())], names=["id", "url", "text"])
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}

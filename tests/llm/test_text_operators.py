@@ -188,6 +188,19 @@ def test_templates_longer_than_the_stories(spark):
     assert all(text[i] == f"Post {i}" for i in range(8)) and all("privacy" in text[100 + i] and "rights" in text[100 + i] for i in range(8))
 
 
+@pytest.mark.parametrize("marks", [html.MARKS, 0])
+def test_templates_on_few_of_many_pages(spark, monkeypatch, marks):
+    """The same six copies of a notice go from a host of 12 and of 60 pages; a block on three pages stays, as do other hosts' blocks."""
+    monkeypatch.setattr(html, "MARKS", marks)
+    notice, rare = "<div><p>Our shop moves in May</p></div>", "<div><p>Said thrice</p></div>"
+    pages = [(100 * n + i, f"http://h{n}.org/{i}", f"<p>Story {i}</p>{notice if i < 6 else rare if i < 9 else ''}") for n in (12, 60) for i in range(n)]
+    pages += [(i, "http://c.org/", f"<p>Story {i}</p>{notice}") for i in range(3)]
+    text = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert len(text) == len(pages)
+    for i, t in text.items():
+        assert t == f"Story {i % 100}" + ("\n\nOur shop moves in May" if i < 100 else "\n\nSaid thrice" if 6 <= i % 100 < 9 else "")
+
+
 def test_main_text_of_given_pages(spark):
     """Against the articles cut out by patterns: these pages have one article of h1 and p each."""
     import re
