@@ -1,7 +1,7 @@
 """Main text of web pages, with site templates removed by recurrence.
 
-Every page is read into a stream of elements; each block element outside the
-page's article gets a hash of its whole subtree.  Spark counts, per host, the
+Every page is read into a stream of elements; each block element gets a hash of
+its whole subtree.  Spark counts, per host, the
 number of different articles around each hash.  A subtree recurring on
 ``MIN_PAGES`` different articles of a host or more, whatever the host's size, is that
 site's template and is deleted; copies of one page count once (without ``article`` or ``main``, pages
@@ -9,7 +9,9 @@ are told apart by all their text, since a template may be longer than any story)
 give away (menus, footers, forms, adverts, comments, ...) is left out too.
 
 The article is taken from ``article`` or ``main`` elements, or else is the rest of
-the body; text within ``article`` or ``main`` is never judged by recurrence, since
+the body.  Within ``article`` or ``main`` only containers are judged by recurrence: no
+``article``, nothing that holds one and no lone paragraph, heading, list item or
+quotation; and a page whose article would be left without text keeps it whole, since
 sites repeat articles.  A null, empty or markup-free page yields its own
 text (or none); markup errors close elements as needed.  Repeated rows give
 repeated results; only the id, url and html columns are read.
@@ -33,6 +35,9 @@ MIN_PAGES = 4
 MARKS = 2_000_000
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
                    "header hgroup hr html li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
+#: block elements that are judged by recurrence within an article
+CONTAINERS = frozenset("address center details dir div dl fieldset figure header hgroup menu ol section table ul".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup header".split())
 VOID = frozenset("area base br col embed frame hr img input keygen link meta param source track wbr".split())
 #: elements that never belong to the main text
 DROPPED = frozenset("aside audio button canvas datalist dialog embed footer form frame frameset head iframe input map menu meter nav noembed noframes noscript "
@@ -70,11 +75,12 @@ def unwanted(tag, attributes, in_article):
 
 
 class Page:
-    """One pass over a page: blocks of text, and hashes of block subtrees outside the article."""
+    """One pass over a page: blocks of text, and hashes of block subtrees."""
 
-    def __init__(self, source, templates=frozenset(), salt=0):
+    def __init__(self, source, templates=frozenset(), salt=0, inside=True):
         self.templates, self.salt = templates, salt
-        self.out, self.buffer = [], []  # (text, within an article)
+        self.inside, self.cut = inside, False  # whether templates within the article are deleted, and one was
+        self.out, self.buffer = [], []  # (text, within an article, within a heading)
         self.stack = []  # [tag, blocks before, dropped, article depth, parts of the subtree hash]
         self.hashes = set()
         at = 0
@@ -108,7 +114,7 @@ class Page:
             text = SPACE.sub(" ", html.unescape("".join(self.buffer))).strip()
             self.buffer = []
             if text:
-                self.out.append((text, bool(self.stack and self.stack[-1][3])))
+                self.out.append((text, bool(self.stack and self.stack[-1][3]), any(f[0] in HEADINGS for f in self.stack)))
 
     def open(self, tag, attributes):
         if tag == "br":
@@ -124,7 +130,7 @@ class Page:
         _, _, dropped, depth, parts = self.stack[-1] if self.stack else (None, 0, False, 0, [])
         dropped = dropped or unwanted(tag, attributes, depth > 0)
         depth += not dropped and tag in ("article", "main")
-        self.stack.append([tag, len(self.out), dropped, depth, None if depth else []])
+        self.stack.append([tag, len(self.out), dropped, depth, []])
 
     def close(self, tag, scopes=frozenset(("table", "article", "main", "body", "html"))):
         """Close the nearest open element of this name; others opened since go with it."""
@@ -145,11 +151,7 @@ class Page:
             self.flush()
         _, before, dropped, depth, parts = self.stack.pop()
         up = self.stack[-1][4] if self.stack else None
-        if parts is None:
-            if up is not None:
-                up.append(None)
-            return
-        if None in parts:  # holds the article: no candidate itself
+        if None in parts or depth > (self.stack[-1][3] if self.stack else 0):  # is or holds an article: no candidate itself
             if up is not None:
                 up.append(None)
             return
@@ -157,20 +159,29 @@ class Page:
         mark = digest(f"{tag}>{body}") ^ self.salt
         if up is not None:
             up.append(f"<{mark}>")
-        if tag in BLOCKS and body.strip() and not dropped and tag not in ("body", "html"):
+        if tag in (CONTAINERS if depth else BLOCKS) and body.strip() and not dropped and tag not in ("body", "html"):
             self.hashes.add(mark)
-            if mark in self.templates:
+            if (self.inside or not depth) and mark in self.templates:
+                self.cut = self.cut or depth > 0
                 del self.out[before:]
 
     def main(self):
-        inside = [t for t, own in self.out if own]
-        return inside or [t for t, _ in self.out]
+        inside = [t for t, own, _ in self.out if own]
+        return inside or [t for t, _, _ in self.out]
 
     def core(self):
         """Names what the page says: its article, or else all its text, so that copies of one page count once."""
         return digest("\n".join(self.main()))
 
 
+def text_blocks(source, templates, salt):
+    """Blocks of a page without its templates; an article that is itself repeated stays whole."""
+    page = Page(source, templates, salt)
+    if page.cut and all(heading for _, own, heading in page.out if own):
+        page = Page(source, templates, salt, inside=False)
+    return page.main()
+
+
 class Sorted:
     """Membership in a sorted array of 64-bit integers."""
 
@@ -226,7 +237,7 @@ def main_text(pages, id_col="page_id", url_col="url", html_col="html", min_pages
             for batch in pieces(whole, 2):
                 text = []
                 for source, host, own in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4))):
-                    text.append("\n\n".join(Page(source, known if few else frozenset(own or ()), digest(host)).main()))
+                    text.append("\n\n".join(text_blocks(source, known if few else frozenset(own or ()), digest(host))))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, type=pa.string())], names=["id", "url", "text"])
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}

@@ -201,6 +201,22 @@ def test_templates_on_few_of_many_pages(spark, monkeypatch, marks):
         assert t == f"Story {i % 100}" + ("\n\nOur shop moves in May" if i < 100 else "\n\nSaid thrice" if 6 <= i % 100 < 9 else "")
 
 
+def test_templates_within_articles(spark):
+    """Promotions in main or article go; copies of one article, listed articles and lone paragraphs that recur stay."""
+    promo = "<div class=x7><h3>Join us</h3><p>Ten letters a year</p></div>"
+    pages = [(i, f"http://a.org/{i}", f"<main><h1>Title {i}</h1><div class=b><p>Story {i}</p><p>By the desk</p></div>{promo}</main>") for i in range(6)]
+    pages += [(100 + i, f"http://b.org/{i}", f"<article><div><p>One story</p></div>{promo}</article>") for i in range(6)]
+    listed = [f"<div class=post><h2>T{i}</h2><div><p>Post {i}</p></div></div>" for i in range(6)]
+    pages += [(200 + i, f"http://c.org/{i}", f"<main>{listed[i]}</main>") for i in range(6)]
+    pages += [(300 + i, f"http://c.org/l/{i}", f"<main>{''.join(listed[:i + 2])}</main>") for i in range(5)]
+    pages += [(400 + i, f"http://d.org/{i}", f"<main><p>Lead {i}</p><article><p>Kept</p></article></main>") for i in range(6)]
+    text = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    for i in range(6):
+        assert text[i] == f"Title {i}\n\nStory {i}\n\nBy the desk"
+        assert text[100 + i] == "One story\n\nJoin us\n\nTen letters a year"
+        assert text[200 + i] == f"T{i}\n\nPost {i}" and text[400 + i] == f"Lead {i}\n\nKept"
+
+
 def test_main_text_of_given_pages(spark):
     """Against the articles cut out by patterns: these pages have one article of h1 and p each."""
     import re
