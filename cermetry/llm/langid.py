@@ -152,6 +152,25 @@ def probabilities(counts):
     return np.log((counts + SMOOTHING) / (counts.sum() + SMOOTHING * len(counts)))
 
 
+def sampled(rows, per_language, lang_col, text_col, key):
+    """About ``per_language`` rows (lang, text) of each language, chosen by a hash, and the languages in order."""
+    own = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), (key if key is not None else F.col(text_col)).alias("pick"))
+    own = own.where("lang is not null and text is not null")
+    share = {r["lang"]: per_language / r["n"] for r in own.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    langs = sorted(share)
+    if not langs:
+        return own.select("lang", "text"), langs
+    chance = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(min(1.0, share[k])))])[F.col("lang")]
+    return own.where(F.pmod(F.xxhash64("pick"), F.lit(1 << 30)) < chance * F.lit(1 << 30)).select("lang", "text"), langs
+
+
+def usual_rates(rows, model, model_file, per_language=1500, lang_col="lang", text_col="text", key=None):
+    """Median ``rate`` of each language over labelled rows (chosen as for ``fit``) that are recognised."""
+    sample, _ = sampled(rows, per_language, lang_col, text_col, key)
+    found = identify(sample, model, model_file, id_col="lang").where("lang = lang_pred")
+    return {r["lang"]: r["rate"] for r in found.groupBy("lang").agg(F.median("rate").alias("rate")).collect()}
+
+
 def fit(rows, model_file, rounds=3, per_language=1500, lang_col="lang", text_col="text", key=None):
     """Piece log probabilities per language: (languages in order, matrix).
 
@@ -161,15 +180,10 @@ def fit(rows, model_file, rounds=3, per_language=1500, lang_col="lang", text_col
     of the vocabulary times the languages, whatever the input's size.
     """
     spark = rows.sparkSession
-    own = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), (key if key is not None else F.col(text_col)).alias("pick"))
-    own = own.where("lang is not null and text is not null")
-    share = {r["lang"]: per_language / r["n"] for r in own.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sample, langs = sampled(rows, per_language, lang_col, text_col, key)
     vocab = vocabulary(model_file)
-    if not share:
+    if not langs:
         return [], np.zeros((len(vocab) + 4, 0))
-    langs = sorted(share)
-    chance = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(min(1.0, share[k])))])[F.col("lang")]
-    sample = own.where(F.pmod(F.xxhash64("pick"), F.lit(1 << 30)) < chance * F.lit(1 << 30)).select("lang", "text")
 
     def count(batches):
         for whole in batches:
@@ -237,18 +251,19 @@ class Scorer:
         return self.table[[self.known[w] for w in words]] if words else self.table[:0]
 
     def texts(self, texts):
-        """Log probability of each text under each language, and whether it has a word."""
+        """Log probability of each text under each language, and the length of its words (each with its start)."""
         words, code, marks = word_arrays(texts)
         value = self.words(words)
-        real = np.array([bool(w) for w in words], dtype=np.int64)
+        real = np.array([len(w) + 1 if w else 0 for w in words], dtype=np.int64)
         total = np.concatenate((np.zeros((1, self.logp.shape[1])), np.cumsum(value[code], axis=0))) if len(code) else np.zeros((1, self.logp.shape[1]))
         number = np.concatenate(([0], np.cumsum(real[code]))) if len(code) else np.zeros(1, dtype=np.int64)
         ends = np.concatenate(([0], np.cumsum(marks)))
-        return total[ends[1:]] - total[ends[:-1]], (number[ends[1:]] - number[ends[:-1]]) > 0
+        return total[ends[1:]] - total[ends[:-1]], number[ends[1:]] - number[ends[:-1]]
 
 
 def identify(docs, model, model_file, id_col="doc_id", text_col="text"):
-    """``id_col``, ``lang_pred`` and ``score`` (probability of that language given the whole text, all languages alike beforehand)."""
+    """``id_col``, ``lang_pred``, ``score`` (probability of that language given the whole text, all languages
+    alike beforehand) and ``rate`` (log probability of the text in that language per character of its words)."""
     langs, logp = model
     shared = docs.sparkSession.sparkContext.broadcast(logp)
 
@@ -256,15 +271,18 @@ def identify(docs, model, model_file, id_col="doc_id", text_col="text"):
         scorer = Scorer(model_file, shared.value)
         for whole in batches:
             for batch in pieces(whole, 1):
-                total, any_word = scorer.texts(batch.column(1))
+                total, length = scorer.texts(batch.column(1))
+                any_word = length > 0
+                rate = np.zeros(len(total))
                 if langs:
+                    rate = np.where(any_word, total.max(axis=1) / np.maximum(length, 1), 0.0)
                     best = total.argmax(axis=1)
                     score = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
                     names = [langs[k] if w else UNKNOWN for k, w in zip(best, any_word)]
                     score = np.where(any_word, score, 0.0)
                 else:
                     names, score = [UNKNOWN] * len(total), np.zeros(len(total))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, type=pa.string()), pa.array(score)], names=["id", "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, type=pa.string()), pa.array(score), pa.array(rate)], names=["id", "lang_pred", "score", "rate"])
 
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(run, with_id(source, "lang_pred string, score double")).withColumnRenamed("id", id_col)
+    return source.mapInArrow(run, with_id(source, "lang_pred string, score double, rate double")).withColumnRenamed("id", id_col)

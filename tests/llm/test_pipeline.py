@@ -56,6 +56,20 @@ def test_stages(spark, tmp_path):
     assert sorted(kept["bpe"]) == sorted(kept["decontamination"]) and docs.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
 
 
+def test_unlearned_languages_and_noise(spark):
+    """Texts in languages without labelled rows and letter noise go; the given documents stay."""
+    base = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    planted = ["La casa era fredda e la notte scendeva sulla valle mentre gli uomini tornavano dal lavoro con le mani stanche. " * 3,
+               "Dom był zimny i noc zapadała nad doliną, gdy mężczyźni wracali z pracy ze zmęczonymi rękami. " * 3,
+               "Talo oli kylmä ja yö laskeutui laakson ylle kun miehet palasivat töistä väsynein käsin.",
+               "xqzv kfjw pwmn bdrt qqlz hgfk wvxz ptkm jjqx zrwk " * 5, "Дом был холодный и ночь опускалась на долину."]
+    more = spark.createDataFrame([(10**6 + i, t, None, "new", len(t)) for i, t in enumerate(planted)], base.schema)
+    kept = {r.doc_id for r in cp.language(spark, base.union(more), None).select("doc_id").collect()}
+    assert max(kept) < 10**6
+    worded = [r.doc_id for r in base.where("text rlike '[a-z]' and lang is not null").select("doc_id").collect()]
+    assert len(worded) > 500 and sum(i in kept for i in worded) >= 0.99 * len(worded)
+
+
 def test_empty_tables(spark, tmp_path):
     src = "/root/testdata/sf0.001"
     folder = write(spark, str(tmp_path), *(spark.read.parquet(f"{src}/{t}.parquet").limit(0) for t in ("documents", "labels", "benchmark")))
