@@ -220,11 +220,11 @@ def h17(spark, sf):
 @query("h18_regularisation_presets")
 def h18(spark, sf):
     presets = {
-        "light": ("boosted", {"maxIter": 8, "maxDepth": 5, "subsamplingRate": 0.8, "minInstancesPerNode": 2}),
-        "medium": ("boosted", {"maxIter": 6, "maxDepth": 4, "subsamplingRate": 0.75, "minInstancesPerNode": 3}),
-        "aggressive": ("boosted", {"maxIter": 4, "maxDepth": 3, "subsamplingRate": 0.7, "minInstancesPerNode": 5}),
+        "light": ("boosted", {"maxIter": 800, "stepSize": 0.05, "maxDepth": 5, "subsamplingRate": 0.8, "minInstancesPerNode": 2}),
+        "medium": ("boosted", {"maxIter": 600, "stepSize": 0.05, "maxDepth": 4, "subsamplingRate": 0.75, "minInstancesPerNode": 3}),
+        "aggressive": ("boosted", {"maxIter": 400, "stepSize": 0.05, "maxDepth": 3, "subsamplingRate": 0.7, "minInstancesPerNode": 5}),
     }
-    return ml.compare_presets(alloy_matrix(spark, sf), "alloy_id", presets, MATRIX, "hv", k=2)
+    return ml.compare_presets(alloy_matrix(spark, sf), "alloy_id", presets, MATRIX, "hv", k=5)
 
 
 SURROGATES = ("energy", "volume", "moment")
