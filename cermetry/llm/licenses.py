@@ -15,10 +15,12 @@ alone up to 6), moved on by a block.
 Everything is DataFrame expressions.  Words are runs of letters, and of digits
 with dots inside, lower-cased; a template shorter than a shingle is one shingle
 of its own length.  Null or wordless texts match nothing; repeated rows of an id
-count once.  Templates are a parameter: their bands become literals of the
-scan, ``MAX_BANDS`` of them at most.
+count once.  Templates are a parameter: up to ``MAX_BANDS`` bands become literals
+of the scan; more are joined as a table with the bands of the documents.
 """
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from cermetry.llm.contain import shingles
@@ -49,6 +51,16 @@ def template_arrays(templates, n=WORDS):
     return rows.withColumn("width", width.cast("int"))
 
 
+def joined(own, table, length, kinds):
+    """Shingles (doc, len, pos, h) of documents (doc, hs) that share a band of ``kinds`` (size, i) with the stored ``table``."""
+    own = own.withColumn("key", F.xxhash64("hs"))
+    bands = F.concat(*(F.expr(f"transform(array_distinct({band(s, MASKS[i])}), v -> struct({s} as size, {i} as i, v as v))") for s, i in kinds))
+    hits = own.select("key", F.explode(bands).alias("b")).select("key", "b.*").where("v is not null")
+    small = bounded(table.where(F.col("len") == length).drop("len"), "bands", width=32)
+    hits = hits.join(small, ["size", "i", "v"], "left_semi").select("key").distinct()
+    return own.join(hits, "key", "left_semi").select("doc", F.lit(length).alias("len"), F.posexplode("hs").alias("pos", "h"))
+
+
 def find(docs, templates, threshold=0.8, id_col="doc_id", text_col="text"):
     """(``id_col``, license_id, n_shared, n_template, containment) of all templates of which
     a stretch of the document holds the share ``threshold`` or more (the best stretch counts)."""
@@ -56,17 +68,20 @@ def find(docs, templates, threshold=0.8, id_col="doc_id", text_col="text"):
     size = F.least(F.size("hs"), F.lit(WINDOW))
     bands = (F.expr(f"slice({band(WINDOW, m)}, 1, size(hs) - size + 1)").alias(f"b{i}") for i, m in enumerate(MASKS[:BANDS]))
     signature = arrays.withColumn("size", size).select("len", "size", *bands)
+    table = reduce(lambda a, b: a.union(b), (signature.select("len", "size", F.lit(i).alias("i"), F.explode(f"b{i}").alias("v")) for i in range(BANDS)))
+    table = stored(table.distinct(), "bands")
+    literal = table.count() <= MAX_BANDS
     known = {}
-    for r in signature.collect():
-        for i in range(BANDS):
-            known.setdefault((r["len"], r["size"], i), set()).update(r[f"b{i}"])
-    if sum(map(len, known.values())) > MAX_BANDS:
-        raise ValueError("too many templates for one scan")
+    for r in (table if literal else table.groupBy("len", "size", "i").agg(F.lit(None).alias("v"))).collect():
+        known.setdefault((r["len"], r["size"], r["i"]), set()).add(r["v"])
     # explode of one element keeps each expensive array in a column of its own, computed once
     rows = docs.select(F.col(id_col).alias("doc"), F.explode(F.array(words(F.col(text_col).cast("string")))).alias("w"))
     found = rows.select("doc", F.lit(0).alias("len"), F.lit(0).alias("pos"), F.lit(0).cast("long").alias("h")).where(F.lit(False))
     for length in sorted({k[0] for k in known}):
         own = rows.select("doc", F.explode(F.array(shingles("w", length))).alias("hs"))
+        if not literal:
+            found = found.union(joined(own, table, length, sorted({(s, i) for k, s, i in known if k == length})))
+            continue
         hits = [f"arrays_overlap({band(s, MASKS[i])}, array({', '.join(f'{v}L' for v in sorted(values))}))"
                 for (k, s, i), values in sorted(known.items()) if k == length]
         hits = own.where(F.expr(" or ".join(hits)))

@@ -143,6 +143,18 @@ def test_licenses(spark):
     assert licenses.find(spark.createDataFrame(docs[:2], "doc_id long, text string").limit(0), spark.createDataFrame(list(queries.LICENSES), "license_id string, text string")).count() == 0
 
 
+def test_licenses_beyond_the_literal_bound(spark, monkeypatch):
+    """The joined band table finds what the literals find."""
+    rng = random.Random(7)
+    noise = lambda n: " ".join("".join(rng.choice("klmnop") for _ in range(5)) for _ in range(n))
+    docs = [(i, f"{noise(20)} {text} {noise(20)}") for i, (_, text) in enumerate(queries.LICENSES)] + [(20, noise(90)), (21, None), (22, "two words"), (0, queries.LICENSES[0][1])]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    templates = spark.createDataFrame([*queries.LICENSES, ("pair", "two words"), ("none", None)], "license_id string, text string")
+    want = sorted(map(tuple, licenses.find(df, templates).collect()))
+    monkeypatch.setattr(licenses, "MAX_BANDS", 10)
+    assert sorted(map(tuple, licenses.find(df, templates).collect())) == want and len(want) >= 8
+
+
 URLS = ["http://WWW.Example.com/en/x?q=/fr/#a", "https://a.example.com/en/", "http://example.com/EN/", "http://x.net/es/1", "http://net/fr/", "http://x.net/esp", "http://xnet/es/",
         "http://notexample.com/en/", "ftp://example.org/en/", "example.com/en/", None, "", "http://example.com", "http://example.com?x=/en/", "http://com/", "://net/fr/a://b", "http://a.www.example.com/en/z#/"]
 
