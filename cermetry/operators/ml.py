@@ -282,20 +282,34 @@ def load_bundle(spark, path):
     return PipelineModel.load(f"{path}/model"), spark.read.parquet(f"{path}/metrics")
 
 
+def hash_places(df, cell, key, seed, name, buckets=1024):
+    """``df`` with the place ``name`` (1, 2, ...) of each row in its ``cell`` by a hash order of ``key``.
+
+    Ranges of the hash are ordered apart and the counts of the ranges before are
+    added, so that no task holds a cell.
+    """
+    from pyspark.sql import Window as W
+
+    order = F.xxhash64(F.col(key), F.lit(seed))
+    rows = df.withColumn("_range", F.floor(order / F.lit(2.0 ** 64 / buckets)))
+    before = W.partitionBy(cell).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    starts = rows.groupBy(cell, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    starts = starts.select(cell, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    place = F.row_number().over(W.partitionBy(cell, "_range").orderBy(order, key))
+    return rows.withColumn(name, place).join(starts, [cell, "_range"]).withColumn(name, F.col(name) + F.col("_start")).drop("_range", "_start")
+
+
 def permutation_importance(df, key, model, features, target, seed=42, cells=1, n=None):
     """Loss of R2 when one feature is exchanged between rows, largest first (the
     first ``n`` if given).
 
     A shuffled copy of a column is matched by two hash orders of the rows inside
-    ``cells`` hash cells.  A cell is one window: set some ten thousand rows per
-    cell.  The rows exchanged depend on ``cells`` and ``seed`` only.
+    ``cells`` hash cells, which are ordered in ranges by many tasks.  The rows
+    exchanged depend on ``cells`` and ``seed`` only.
     """
     base = df.select(key, target, *features)
-    cell, order_a, order_b = hash_bucket(key, cells, seed), F.xxhash64(F.col(key), F.lit(seed + 1)), F.xxhash64(F.col(key), F.lit(seed + 2))
-    from pyspark.sql import Window as W
-
-    place = lambda o: F.row_number().over(W.partitionBy("_cell").orderBy(o, key))
-    rows = base.withColumn("_cell", cell).withColumns({"_a": place(order_a), "_b": place(order_b)})
+    rows = base.withColumn("_cell", hash_bucket(key, cells, seed))
+    rows = hash_places(hash_places(rows, "_cell", key, seed + 1, "_a"), "_cell", key, seed + 2, "_b")
     rows = cut_lineage(rows, "permute")
     reference = regression_metrics(model.transform(base), target, "prediction").select(F.col("r2").alias("base_r2"))
     reference = scalars(reference)["base_r2"]

@@ -99,3 +99,16 @@ def test_presets_run_in_full(spark, monkeypatch):
     monkeypatch.setattr(models.ml, "compare_presets", lambda df, key, presets, features, target, k: seen.update(presets=presets, k=k))
     models.h18(None, None)
     assert {n: (p["maxIter"], p["stepSize"]) for n, (_, p) in seen["presets"].items()} == {"light": (800, 0.05), "medium": (600, 0.05), "aggressive": (400, 0.05)} and seen["k"] == 5
+
+
+def test_hash_places_need_no_whole_cell(spark):
+    """Places equal those of one sort of the cell, though it is ordered in many ranges."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from cermetry.operators import ml
+
+    df = spark.range(5000).withColumn("_cell", F.col("id") % 2)
+    whole = F.row_number().over(Window.partitionBy("_cell").orderBy(F.xxhash64("id", F.lit(43)), "id"))
+    want = {r.id: r.place for r in df.withColumn("place", whole).collect()}
+    assert {r.id: r.place for r in ml.hash_places(df, "_cell", "id", 43, "place").collect()} == want
