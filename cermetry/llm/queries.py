@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from cermetry.llm import bpe, contain, forest, hnsw, html, langid, licenses, ordinal, tokencount, urls
+from cermetry.llm import align, bpe, brown, contain, forest, hnsw, html, langid, licenses, ordinal, resample, tokencount, urls
 from cermetry.llm.store import table
 from cermetry.session import shared_dir
 
@@ -182,3 +182,43 @@ SELECT id AS vec_id, (SELECT count(*) FROM links WHERE links.a = low.id) AS n_li
 """)
 def op10(spark, sf_dir):
     return hnsw.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query("op11_class_ngrams")
+def op11(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return brown.scores(docs, F.crc32(F.col("doc_id").cast("string")) % 7 == 2)
+
+
+@query("op12_resampling", """
+WITH RECURSIVE
+-- the 256 remainders of a byte under the reflected polynomial of CRC-32
+t AS (SELECT list(v ORDER BY b) AS tab FROM (SELECT b, list_reduce(list_prepend(b, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v
+      FROM (SELECT unnest(range(256)) AS b))),
+dw AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+d AS (SELECT doc_id, unnest(w) AS f FROM dw),
+b AS (SELECT unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS f FROM benchmark),
+v AS (SELECT DISTINCT f FROM (SELECT f FROM d UNION ALL SELECT f FROM b)),
+bytes AS (SELECT f, list_transform(range(1, strlen(f) + 1), lambda i: CAST('0x' || substr(hex(encode(f)), CAST(2 * i - 1 AS BIGINT), 2) AS BIGINT)) AS x FROM v),
+k AS (SELECT f, xor(list_reduce(list_prepend(4294967295, x), lambda c, y: xor(c >> 8, tab[(xor(c, y) & 255) + 1])), 4294967295) % 10000 AS bucket FROM bytes, t),
+s AS (SELECT bucket, count(*) AS n FROM d JOIN k USING (f) GROUP BY bucket),
+g AS (SELECT bucket, count(*) AS n FROM b JOIN k USING (f) GROUP BY bucket),
+u AS (SELECT (SELECT coalesce(sum(n), 0) FROM s) AS big_s, (SELECT coalesce(sum(n), 0) FROM g) AS big_t),
+gain AS (SELECT bucket, CAST(floor(1000 * ln(CAST((coalesce(g.n, 0) + 1) * (big_s + 10000) AS DOUBLE) / CAST((s.n + 1) * (big_t + 10000) AS DOUBLE))) AS BIGINT) AS gain
+         FROM s LEFT JOIN g USING (bucket), u),
+sums AS (SELECT doc_id, count(*) AS n_features, CAST(sum(gain) AS BIGINT) AS total FROM d JOIN k USING (f) JOIN gain USING (bucket) GROUP BY doc_id),
+w AS (SELECT doc_id, coalesce(n_features, 0) AS n_features,
+             CASE WHEN n_features > 0 THEN (total - ((total % n_features) + n_features) % n_features) // n_features ELSE 0 END AS weight,
+             CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) AS h FROM dw LEFT JOIN sums USING (doc_id)),
+sc AS (SELECT doc_id, n_features, CAST(weight AS BIGINT) AS weight, CAST(weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM w),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM sc WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * n // 100 THEN rank END AS rank FROM sc LEFT JOIN r USING (doc_id)
+""")
+def op12(spark, sf_dir):
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_words")
+
+
+@query("op13_alignment")
+def op13(spark, sf_dir):
+    found = align.alignments(table(spark, sf_dir, "documents"), TOKENIZER, PATTERN, PIECES, digests=True)
+    return found.withColumnRenamed("groups", "groups_sha256")
