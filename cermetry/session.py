@@ -53,14 +53,28 @@ def cut_lineage(df, name="stage"):
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def checked_broadcast(df, max_rows=500_000, max_bytes=32 << 20):
+def broadcast_bytes(df):
+    """Estimated memory of ``df`` as a broadcast hash table, as a column to aggregate.
+
+    A row stands there twice, as key and as value, each with eight bytes per column
+    and the bytes of its texts; pointers and the table's spare room come on top.
+    """
+    variable = F.lit(0).cast("long")
+    for field in df.schema.fields:
+        c = F.col(f"`{field.name}`")
+        if field.dataType.typeName() in ("string", "binary"):
+            variable = variable + F.coalesce(F.octet_length(c), F.lit(0)) + 7
+        elif field.dataType.typeName() in ("array", "map", "struct"):
+            variable = variable + 2 * F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0))
+    return F.coalesce(F.sum(2 * (8 + 8 * len(df.columns) + variable) + 64), F.lit(0)).cast("long")
+
+
+def checked_broadcast(df, max_bytes=64 << 20):
     """``df`` with a broadcast hint if it is proven to be small.
 
-    The frame is written to the shared folder first, so that counting it costs
-    a metadata read and nothing is computed twice.  Beyond ``max_rows``, or
-    ``max_bytes`` of stored files, the join is left to a shuffle with adaptive
-    skew splitting; the rows are the same either way.
+    The frame is written to the shared folder first, so that measuring it computes
+    nothing twice.  Beyond ``max_bytes`` of memory, as measured over its rows, the join is
+    left to a shuffle with adaptive skew splitting; the rows are the same either way.
     """
     stored = cut_lineage(df, "side")
-    size = stored._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return F.broadcast(stored) if size <= max_bytes and stored.count() <= max_rows else stored
+    return F.broadcast(stored) if stored.agg(broadcast_bytes(stored)).first()[0] <= max_bytes else stored
