@@ -1,5 +1,6 @@
 """Model training, evaluation and scoring with Spark ML."""
 
+from dataclasses import replace
 from functools import reduce
 
 import numpy as np
@@ -8,14 +9,14 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml import classification as MC
 from pyspark.ml import regression as MR
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator, RegressionEvaluator
+from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import functions as F
 
 from cermetry.functions.common import col, scalars
-from cermetry.operators.features import folds, hash_bucket
+from cermetry.operators import boosting
+from cermetry.operators.features import folds, hash_bucket, recursive_elimination
 from cermetry.session import checked_broadcast, cut_lineage
 
 REGRESSORS = {
@@ -178,22 +179,53 @@ def stacking(df, key, base, features, target, k=5, seed=42):
     return fitted, meta, meta.transform(rows)
 
 
-def stacked_scores(df, key, base, features, target, k=5, seed=42):
-    """Rows with the base models' out-of-fold predictions and the stack's own
-    out-of-sample ``prediction``: the meta model that scores a fold has not seen it."""
+META = {
+    "ridge": lambda **p: MR.LinearRegression(**{"regParam": 1.0, "elasticNetParam": 0.0, **p}),
+    "linear": lambda **p: MR.LinearRegression(**p),
+    "forest": lambda **p: MR.RandomForestRegressor(**{"seed": 42, "numTrees": 50, **p}),
+}
+
+
+def base_predictions(df, key, base, features, target, k=5, seed=42):
+    """Stored rows with the base models' out-of-fold predictions (``oof_<name>``)."""
     rows = df.select(key, target, *features)
     for name, est in base.items():
         rows = cut_lineage(out_of_fold(rows, key, est, k, seed, f"oof_{name}").drop(f"oof_{name}_fold"), "oof")
-    meta = Pipeline(stages=[
-        VectorAssembler(inputCols=[f"oof_{n}" for n in base], outputCol="features"),
-        MR.LinearRegression(labelCol=target, regParam=1.0, elasticNetParam=0.0)])
-    return out_of_fold(rows, key, meta, k, seed + 1, "prediction").drop("prediction_fold")
+    return rows
 
 
-def fold_stability(df, key, estimator, target, k=5, seed=42):
-    """Per-fold metrics of out-of-fold predictions, with the fold spread."""
-    oof = out_of_fold(df, key, estimator, k, seed)
-    per = regression_metrics(oof, target, "oof", by=["oof_fold"])
+def stacked_scores(rows, key, names, features, target, meta="ridge", passthrough=False, k=5, seed=42, **params):
+    """``rows`` of ``base_predictions`` with the stack's own out-of-sample ``prediction``:
+    the meta model that scores a fold has not seen it.
+
+    ``meta`` is a key of ``META``; with ``passthrough`` the meta model sees the features
+    (medians for missing ones) beside the predictions of the base models ``names``.
+    """
+    inputs = [f"oof_{n}" for n in names]
+    stages = []
+    if passthrough:
+        filled = [f"{f}__filled" for f in features]
+        stages.append(Imputer(strategy="median", inputCols=list(features), outputCols=filled))
+        inputs += filled
+    stages += [VectorAssembler(inputCols=inputs, outputCol="features"), META[meta](labelCol=target, **params)]
+    return out_of_fold(rows, key, Pipeline(stages=stages), k, seed + 1, "prediction").drop("prediction_fold")
+
+
+def across_folds(df, key, features, target, models, k=5, seed=42, every=False):
+    """Predictions of boosted models on every fold, all grown together.
+
+    Each of ``models`` (``boosting.Model`` without a fold) becomes ``k`` models, one
+    per fold left out.  Rows as from ``boosting.predictions``.
+    """
+    marked = folds(df.select(key, *features, target), key, k, seed, "_fold").withColumn("_share", hash_bucket(key, 10_000, seed))
+    table, _ = boosting.binned(marked, key, features, [target], "_fold", "_share")
+    return boosting.predictions(table, [replace(m, fold=f) for m in models for f in range(k)], every)
+
+
+def fold_stability(df, key, model, features, target, k=5, seed=42):
+    """Per-fold metrics of out-of-fold predictions of a boosted model, with the fold spread."""
+    oof = cut_lineage(across_folds(df, key, features, target, [model], k, seed), "oof")
+    per = regression_metrics(oof, "target", "prediction", by=["fold"]).withColumnRenamed("fold", "oof_fold")
     spread = scalars(per.agg(F.stddev_pop("r2").alias("s")))["s"]
     grade = F.when(spread < 0.03, "excellent").when(spread < 0.05, "good").when(spread < 0.1, "fair").otherwise("poor")
     return per.withColumns({"r2_std": spread, "grade": grade})
@@ -205,53 +237,48 @@ def train_test_gap(df, key, estimator, target, seed=42):
     return regression_metrics(model.transform(marked), target, "prediction", by=["_train"]).withColumnRenamed("_train", "is_train")
 
 
-def learning_curve(df, key, estimator, target, sizes=(0.1, 0.325, 0.55, 0.775, 1.0), k=5, seed=42):
-    """Cross-validated train and test scores for nested training samples.
+def learning_curve(df, key, model, features, target, sizes=(0.1, 0.325, 0.55, 0.775, 1.0), k=5, seed=42):
+    """Cross-validated train and test scores of a boosted model for nested training samples.
 
     In each of ``k`` folds the sample of a smaller size is part of each larger
-    one; a score covers the rows of all folds.
+    one; a score covers the rows of all folds.  All sizes and folds grow together.
     """
-    marked = cut_lineage(folds(df, key, k, seed, "_fold").withColumn("_b", hash_bucket(key, 10000, seed)), "curve")
-    out = []
-    for s in sizes:
-        scored = {"train": [], "test": []}
-        for i in range(k):
-            train = marked.where((F.col("_fold") != i) & (F.col("_b") < round(10000 * s)))
-            model = estimator.fit(train)
-            for part, rows in (("train", train), ("test", marked.where(F.col("_fold") == i))):
-                scored[part].append(model.transform(rows).select(target, "prediction"))
-        for part, rows in scored.items():
-            m = regression_metrics(reduce(lambda a, b: a.unionByName(b), rows), target, "prediction")
-            out.append(m.withColumns({"size": F.lit(float(s)), "part": F.lit(part)}))
-    return reduce(lambda a, b: a.unionByName(b), out)
+    models = [replace(model, name=str(s), share=float(s)) for s in sizes]
+    scored = cut_lineage(across_folds(df, key, features, target, models, k, seed, every=True), "curve")
+    own = F.pmod(F.col("model"), F.lit(k))
+    part = F.when(F.col("seen"), "train").when(F.col("fold") == own, "test")
+    scored = scored.withColumn("part", part).where("part IS NOT NULL")
+    out = regression_metrics(scored, "target", "prediction", by=["name", "part"])
+    return out.withColumn("size", F.col("name").cast("double")).drop("name")
 
 
 def compare_presets(df, key, presets, features, target, k=5, seed=42):
-    """One cross-validation per parameter preset: rows (preset, metrics)."""
-    out = []
-    for name, (model, params) in presets.items():
-        oof = out_of_fold(df, key, pipeline("regression", model, features, target, **params), k, seed)
-        out.append(regression_metrics(oof, target, "oof").withColumn("preset", F.lit(name)))
-    return reduce(lambda a, b: a.unionByName(b), out)
-
-
-def grid_search(df, key, model, features, target, grid, k=3, seed=42, parallelism=4, draws=None):
-    """Cross-validated grid: (best pipeline model, rows (params, score)).  With
-    ``draws`` that many random points of the grid are tried."""
-    pipe = pipeline("regression", model, features, target)
-    stage = pipe.getStages()[-1]
-    builder = ParamGridBuilder()
-    for name, values in grid.items():
-        builder = builder.addGrid(getattr(stage, name), values)
-    maps = builder.build()
-    if draws is not None and draws < len(maps):
-        maps = [maps[i] for i in np.random.default_rng(seed).choice(len(maps), draws, replace=False)]
-    cv = CrossValidator(
-        estimator=pipe, estimatorParamMaps=maps, numFolds=k, foldCol="_fold", parallelism=parallelism,
-        evaluator=RegressionEvaluator(labelCol=target, metricName="r2"))
-    fitted = cv.fit(folds(df, key, k, seed, "_fold"))
-    rows = [(", ".join(f"{p.name}={v}" for p, v in sorted(m.items(), key=lambda e: e[0].name)), float(s)) for m, s in zip(maps, fitted.avgMetrics)]
-    return fitted.bestModel, df.sparkSession.createDataFrame(rows, "params string, score double")
+    """Out-of-fold metrics per boosting preset: rows (preset, metrics).
+
+    ``presets`` maps names to parameters of ``boosting.Model``; all presets and
+    folds grow together.
+    """
+    models = [boosting.Model(name, **params) for name, params in presets.items()]
+    oof = cut_lineage(across_folds(df, key, features, target, models, k, seed), "oof")
+    return regression_metrics(oof, "target", "prediction", by=["name"]).withColumnRenamed("name", "preset")
+
+
+def random_trials(n=20, seed=42, rounds=(50, 300), depth=(3, 10), rate=(0.01, 0.3), subsample=(0.5, 1.0)):
+    """``n`` random points of the search space of a boosted model."""
+    rng = np.random.default_rng(seed)
+    return [boosting.Model(f"trial {i:02d}", rounds=int(rng.integers(rounds[0], rounds[1] + 1)), depth=int(rng.integers(depth[0], depth[1] + 1)),
+                           rate=float(rng.uniform(*rate)), subsample=float(rng.uniform(*subsample)), seed=seed + i) for i in range(n)]
+
+
+def search(df, key, features, target, trials, k=3, seed=42):
+    """Cross-validated score of every trial, best first: rows (params, rounds, depth, rate,
+    subsample, score, r2); the score is the negative mean squared error, averaged over
+    folds.  All trials and folds grow together."""
+    oof = cut_lineage(across_folds(df, key, features, target, trials, k, seed), "trials")
+    per = regression_metrics(oof, "target", "prediction", by=["name", "fold"])
+    per = per.groupBy("name").agg((-F.avg("mse")).alias("score"), F.avg("r2").alias("r2"))
+    rows = df.sparkSession.createDataFrame([(m.name, m.rounds, m.depth, m.rate, m.subsample) for m in trials], "name string, rounds int, depth int, rate double, subsample double")
+    return rows.join(per, "name").withColumnRenamed("name", "params").orderBy(F.desc("score"), "params")
 
 
 # ---------------------------------------------------------------- models
@@ -326,6 +353,44 @@ def permutation_importance(df, key, model, features, target, seed=42, cells=1, n
     return ranked if n is None else ranked.limit(n)
 
 
+def feature_effects(df, key, features, target, model, n=None):
+    """Mean size of each feature's contribution to the predictions of a boosted model, and the
+    sign of the correlation between its values and contributions (that of their covariance); largest first (``n`` if given).
+    """
+    table, _ = boosting.binned(df, key, features, [target])
+    parts = boosting.contributions(table, boosting.fit(table, [model])[0], len(features))
+    both = df.select(F.col(key).alias("key"), *features).join(parts, "key")
+    part = lambda i: F.get(F.col("parts"), F.lit(i))
+    row = both.agg(*[x for i, f in enumerate(features) for x in (
+        F.avg(F.abs(part(i))).alias(f"m{i}"), F.covar_pop(F.col(f).cast("double"), part(i)).alias(f"c{i}"))])
+    packed = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"m{i}").alias("contribution"),
+                                F.signum(F.coalesce(F.nanvl(f"c{i}", F.lit(0.0)), F.lit(0.0))).alias("direction")) for i, f in enumerate(features)])
+    ranked = row.select(F.explode(packed).alias("e")).select("e.*").orderBy(F.desc("contribution"), "feature")
+    return ranked if n is None else ranked.limit(n)
+
+
+def eliminate(df, key, features, target, model, k=5, min_features=1, seed=42):
+    """Recursive elimination by a boosted model: steps (size, features, out-of-fold R2), best first.
+
+    The features are binned once.  Each step grows the models of all folds and of all
+    rows together; the feature with the smallest mean contribution leaves.
+    """
+    features = list(features)
+    table, _ = boosting.binned(folds(df.select(key, *features, target), key, k, seed, "_fold"), key, features, [target], "_fold")
+
+    def fit(some):
+        own = replace(model, only=tuple(features.index(f) for f in some))
+        models = [replace(own, fold=f) for f in (*range(k), None)]
+        fitted = boosting.fit(table, models)
+        oof = boosting.apply_models(table, models[:k], fitted[:k])
+        score = regression_metrics(oof, "target", "prediction").first()["r2"]
+        parts = boosting.contributions(table, fitted[k], len(features))
+        sizes = parts.agg(*[F.avg(F.abs(F.get(F.col("parts"), F.lit(i)))) for i in range(len(features))]).first()
+        return {f: sizes[features.index(f)] for f in some}, score
+
+    return recursive_elimination(fit, features, min_features)
+
+
 def pca_loadings(df, vector, dim, k):
     """Rows (component, feature, loading, explained) by size of the loading."""
     data = df.select(array_to_vector(F.col(vector).cast("array<double>")).alias("v"))

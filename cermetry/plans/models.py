@@ -4,14 +4,15 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from cermetry.functions.common import r6
-from cermetry.operators import ml
+from cermetry.functions.common import r6, scalars
+from cermetry.operators import boosting, ml
+from cermetry.operators.boosting import Model, single_tree
 from cermetry.plans import bridge as B
 from cermetry.plans.features import MATRIX, alloy_matrix
 from cermetry.plans.physics import rd
 from cermetry.plans.registry import query
 from cermetry.session import cut_lineage, shared_dir
-from cermetry.operators.features import hash_bucket
+from cermetry.operators.features import folds, hash_bucket
 
 PV = B.sql("properties")
 # Two simple predictors of hardness, so that metric queries have exact answers.
@@ -64,8 +65,13 @@ def h3(spark, sf):
 def h4(spark, sf):
     base = {"forest": ml.pipeline("regression", "forest", MATRIX, "hv", numTrees=100), "ridge": ml.pipeline("regression", "ridge", MATRIX, "hv"),
             "boosted": ml.pipeline("regression", "boosted", MATRIX, "hv")}
-    rows = ml.stacked_scores(alloy_matrix(spark, sf), "alloy_id", base, MATRIX, "hv", k=5)
-    return _union([ml.regression_metrics(rows, "hv", c).withColumn("model", F.lit(c)) for c in ("oof_forest", "oof_ridge", "oof_boosted", "prediction")])
+    rows = ml.base_predictions(alloy_matrix(spark, sf), "alloy_id", base, MATRIX, "hv", k=5)
+    out = [ml.regression_metrics(rows, "hv", f"oof_{n}").withColumn("model", F.lit(n)) for n in base]
+    for meta in ml.META:
+        for passthrough in (False, True):
+            stacked = ml.stacked_scores(rows, "alloy_id", list(base), MATRIX, "hv", meta, passthrough)
+            out.append(ml.regression_metrics(stacked, "hv", "prediction").withColumn("model", F.lit(f"stack {meta}{' with features' if passthrough else ''}")))
+    return _union(out)
 
 
 TEXT = ["n_chars", "n_words", "n_lines", "n_digits", "n_caps"]
@@ -143,11 +149,8 @@ def h9(spark, sf):
 
 @query("h10_hyper_parameters")
 def h10(spark, sf):
-    """A random part of the grid of a boosted learner."""
-    grid = {"maxIter": [10, 20], "maxDepth": [3, 4, 5], "stepSize": [0.05, 0.1, 0.2], "subsamplingRate": [0.7, 0.85, 1.0],
-            "minInstancesPerNode": [1, 3, 5], "minInfoGain": [0.0, 0.01], "maxBins": [32, 64]}
-    _, scores = ml.grid_search(alloy_matrix(spark, sf), "alloy_id", "boosted", MATRIX, "hv", grid, draws=6)
-    return scores
+    """Twenty random trials of a boosted learner, scored on three folds."""
+    return ml.search(alloy_matrix(spark, sf), "alloy_id", MATRIX, "hv", ml.random_trials(20))
 
 
 _H11 = [(w, 10.0 * w) for w in (-4, -2, 0, 2, 4)]
@@ -164,8 +167,6 @@ def h11(spark, sf):
     row = p.agg(*[e.alias(f"{k}{i}") for i, (_, w) in enumerate(_H11) for k, e in (("v", err(w, val)), ("t", err(w, ~val)))])
     c = row.select(F.explode(F.array(*[F.struct(F.lit(w).alias("w"), F.col(f"v{i}").alias("val"), F.col(f"t{i}").alias("train")) for i, (_, w) in enumerate(_H11)])).alias("c")).select("c.*")
     c = c.withColumn("loss", ml.guarded_loss("val", "train", 2.0))
-    from cermetry.functions.common import scalars
-
     best = scalars(c.agg(F.min("loss").alias("b")))["b"]
     return _round(c.withColumn("best", F.col("loss") == best), ["val", "train", "loss"])
 
@@ -202,7 +203,7 @@ def h15(spark, sf):
 @query("h16_fold_stability")
 def h16(spark, sf):
     m = alloy_matrix(spark, sf)
-    return ml.fold_stability(m, "alloy_id", ml.pipeline("regression", "tree", MATRIX, "hv"), "hv", 5)
+    return ml.fold_stability(m, "alloy_id", single_tree("tree"), MATRIX, "hv", 5)
 
 
 @query("h16_train_test_gap")
@@ -214,17 +215,23 @@ def h16b(spark, sf):
 @query("h17_learning_curve")
 def h17(spark, sf):
     m = alloy_matrix(spark, sf)
-    return ml.learning_curve(m, "alloy_id", ml.pipeline("regression", "tree", MATRIX, "hv"), "hv")
+    return ml.learning_curve(m, "alloy_id", single_tree("tree"), MATRIX, "hv")
+
+
+# ---- fixed values: parameters of the three presets and of the surrogates
+PRESETS = {
+    "light": {"rounds": 800, "depth": 5, "rate": 0.05, "min_rows": 2, "gamma": 0.1, "l1": 0.1, "l2": 0.5, "subsample": 0.8, "columns": 0.8, "level_columns": 1.0},
+    "medium": {"rounds": 600, "depth": 4, "rate": 0.05, "min_rows": 3, "gamma": 0.2, "l1": 0.3, "l2": 1.0, "subsample": 0.75, "columns": 0.75, "level_columns": 0.9},
+    "aggressive": {"rounds": 400, "depth": 3, "rate": 0.05, "min_rows": 5, "gamma": 0.5, "l1": 0.5, "l2": 2.0, "subsample": 0.7, "columns": 0.7, "level_columns": 0.8},
+}
+SURROGATE = {"rounds": 500, "rate": 0.4, "l1": 0.1, "l2": 0.01, "columns": 0.5, "level_columns": 0.7, "parallel": 6}
+SURROGATE_CHANGES = {"volume": {"rounds": 800}, "moment": {"l2": 0.05, "rate": 0.3}}
+# ---- end of fixed values
 
 
 @query("h18_regularisation_presets")
 def h18(spark, sf):
-    presets = {
-        "light": ("boosted", {"maxIter": 800, "stepSize": 0.05, "maxDepth": 5, "subsamplingRate": 0.8, "minInstancesPerNode": 2}),
-        "medium": ("boosted", {"maxIter": 600, "stepSize": 0.05, "maxDepth": 4, "subsamplingRate": 0.75, "minInstancesPerNode": 3}),
-        "aggressive": ("boosted", {"maxIter": 400, "stepSize": 0.05, "maxDepth": 3, "subsamplingRate": 0.7, "minInstancesPerNode": 5}),
-    }
-    return ml.compare_presets(alloy_matrix(spark, sf), "alloy_id", presets, MATRIX, "hv", k=5)
+    return ml.compare_presets(alloy_matrix(spark, sf), "alloy_id", PRESETS, MATRIX, "hv", k=5)
 
 
 SURROGATES = ("energy", "volume", "moment")
@@ -240,19 +247,18 @@ def surrogate_targets(m):
 
 @query("h19_surrogates")
 def h19(spark, sf):
-    """Out-of-fold scores of the three surrogates, each refitted on all rows."""
+    """Out-of-fold scores of the three surrogates, each refitted on all rows; all eighteen
+    models grow together."""
     m = surrogate_targets(alloy_matrix(spark, sf))
     inputs = ["vec", "delta_r", "h_mix", "s_mix", "delta_chi"]
-    out = []
-    for name in SURROGATES:
-        target = name
-        est = ml.pipeline("regression", "forest", inputs, target, numTrees=100)
-        scores = ml.regression_metrics(ml.out_of_fold(m, "alloy_id", est, 5), target, "oof")
-        refit = ml.regression_metrics(est.fit(m).transform(m), target, "prediction").select(F.col("r2").alias("refit_r2"))
-        from cermetry.functions.common import scalars
-
-        out.append(scores.withColumns({"surrogate": F.lit(name), "refit_r2": scalars(refit)["refit_r2"]}))
-    return _union(out)
+    marked = folds(m, "alloy_id", 5, 42, "_fold")
+    table, _ = boosting.binned(marked, "alloy_id", inputs, SURROGATES, "_fold")
+    models = [Model(name, target=i, fold=f, **{**SURROGATE, **SURROGATE_CHANGES.get(name, {})}) for i, name in enumerate(SURROGATES) for f in (*range(5), None)]
+    scored = cut_lineage(boosting.predictions(table, models), "surrogates")
+    refit = F.pmod(F.col("model"), F.lit(6)) == 5
+    scores = ml.regression_metrics(scored.where(~refit), "target", "prediction", by=["name"])
+    again = ml.regression_metrics(scored.where(refit), "target", "prediction", by=["name"]).select("name", F.col("r2").alias("refit_r2"))
+    return scores.join(again, "name").withColumnRenamed("name", "surrogate")
 
 
 @query("h20_subpopulation_metrics", f"WITH {_PRED} {_metrics_sql('hv', 'p1', 'p', 'WHERE kic > 12')}")
@@ -280,9 +286,8 @@ def h21(spark, sf):
 
 @query("h22_feature_effects")
 def h22(spark, sf):
-    m = alloy_matrix(spark, sf)
-    model = ml.pipeline("regression", "tree", list(MATRIX), "hv").fit(m)
-    return ml.permutation_importance(m, "alloy_id", model, list(MATRIX), "hv", n=10)
+    """The ten features that contribute most to the predictions of a boosted model."""
+    return ml.feature_effects(alloy_matrix(spark, sf), "alloy_id", MATRIX, "hv", Model("effects", rounds=100, depth=5), n=10)
 
 
 @query("h23_task_detection", """SELECT 'hv' AS target, CASE WHEN count(DISTINCT o_totalprice) < 20 THEN 'classification' ELSE 'regression' END AS task FROM orders UNION ALL

@@ -90,17 +90,6 @@ def test_task_detection(frame):
     assert ml.detect_task(frame, "y") == "regression"
 
 
-def test_presets_run_in_full(spark, monkeypatch):
-    """The registered comparison uses the rounds and folds of production."""
-    from cermetry.plans import models
-
-    seen = {}
-    monkeypatch.setattr(models, "alloy_matrix", lambda spark, sf: None)
-    monkeypatch.setattr(models.ml, "compare_presets", lambda df, key, presets, features, target, k: seen.update(presets=presets, k=k))
-    models.h18(None, None)
-    assert {n: (p["maxIter"], p["stepSize"]) for n, (_, p) in seen["presets"].items()} == {"light": (800, 0.05), "medium": (600, 0.05), "aggressive": (400, 0.05)} and seen["k"] == 5
-
-
 def test_hash_places_need_no_whole_cell(spark):
     """Places equal those of one sort of the cell, though it is ordered in many ranges."""
     from pyspark.sql import Window
