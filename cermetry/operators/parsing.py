@@ -20,9 +20,14 @@ def split_parsed(df, text="raw_composition"):
 
 def composition_columns(df, id_col="exp_id", text="raw_composition", hea="strict"):
     """The stored composition record of every parsable row."""
+    ok, _ = split_parsed(df, text)
+    return composition_record(ok, id_col, text, hea)
+
+
+def composition_record(ok, id_col="exp_id", text="raw_composition", hea="strict"):
+    """The composition record of rows that hold a ``parsed`` struct."""
     from cermetry.functions import physics as P
 
-    ok, _ = split_parsed(df, text)
     flag = C.hea_strict(F.col("binder")) if hea == "strict" else C.hea_by_name(text)
     return (
         ok.select(id_col, text, "parsed.*")

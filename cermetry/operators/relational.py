@@ -6,9 +6,10 @@ from cermetry.functions import constants as K
 from cermetry.functions import physics as P
 from cermetry.functions.common import col
 from cermetry.operators.columns import conjunction, display_text, yes_no
-from cermetry.operators.parsing import composition_columns, split_parsed
+from cermetry.operators.parsing import composition_record, parse_compositions
 from cermetry.operators.quality import fill_median, hardness_grade, toughness_grade
-from cermetry.session import cut_lineage
+from cermetry.session import cut_lineage, shared_dir
+from cermetry.sources import versions
 
 
 # ---------------------------------------------------------------- the star
@@ -29,19 +30,49 @@ def feature_columns(compositions, proxies=None):
 
 
 def intake(raw, properties, proxies):
-    """Four stored tables plus the rejected rows from one parse of the input."""
-    ok, rejected = split_parsed(raw)
-    comps = composition_columns(raw)
-    keep = ok.select("exp_id")
+    """Four stored tables plus the rejected rows from one parse of the input.
+
+    The parsed rows are stored once and read for all tables.  Properties carry the
+    grades of hardness and toughness, compositions the volumes of both phases.
+    """
+    parsed = cut_lineage(parse_compositions(raw), "parsed")
+    ok = parsed.where("parsed IS NOT NULL")
+    comps = cut_lineage(composition_record(ok), "compositions")
+    known = properties.join(ok.select("exp_id"), "exp_id", "left_semi")
     return {
         "experiments": ok.drop("parsed"),
-        "compositions": comps.drop("binder", "format"),
-        "properties": properties.join(keep, "exp_id", "left_semi"),
+        "compositions": comps.drop("binder", "format").withColumn("ceramic_vol_pct", 100 - F.col("binder_vol_pct")),
+        "properties": known.withColumns({"hardness_grade": hardness_grade("hv"), "toughness_grade": toughness_grade("kic")}),
         "features": feature_columns(comps, proxies),
-        "rejected": rejected,
+        "rejected": parsed.where("parsed IS NULL").drop("parsed"),
     }
 
 
+def store_intake(spark, root, batch, raw, properties, proxies):
+    """Parse a batch and add its tables to the store under ``root`` in one commit.
+
+    Returns False, and stores nothing, if the batch was committed before.
+    """
+    if versions.committed(spark, root, batch):
+        return False
+    return versions.commit(spark, root, batch, intake(raw, properties, proxies))
+
+
+def store_star(star, spark, buckets=16):
+    """The star's tables written in ``buckets`` by ``exp_id``, sorted, to the shared folder.
+
+    Joins of two such tables by ``exp_id`` need no exchange, and a given key reads
+    one bucket.  Choose ``buckets`` so that a bucket fits a task.
+    """
+    out = {}
+    for name, df in star.items():
+        path = shared_dir(spark, name)
+        table = "star_" + path.rsplit("/", 1)[1].replace("-", "_")
+        df.repartition(buckets, "exp_id").write.bucketBy(buckets, "exp_id").sortBy("exp_id").option("path", path).saveAsTable(table)
+        out[name] = spark.table(table)
+    return out
+
+
 def training_data(star, target, features, hea_only=False, min_samples=10, fill=True):
     """Joined rows whose target is known; raises when there are too few.
 
@@ -113,12 +144,53 @@ def page_filter(star, binder_type=None, hv=(None, None), kic=(None, None), keywo
         equals=equals, ranges={"hv": hv, "kic": kic}, contains={"raw_composition": keyword} if keyword else {}))
 
 
+def key_range(keys, key, offset, size, cells=1024, enough=20_000):
+    """(low, high, rows before): keys between low and high hold the rows ``offset`` to
+    ``offset + size`` in key order, and few others.
+
+    ``keys`` is a stored table.  Each pass counts the rows per cell of the range
+    found so far, so ``cells`` numbers reach the driver; the range shrinks until it
+    holds ``enough`` rows or one key.
+    """
+    low, high, n = keys.agg(F.min(key), F.max(key), F.count(key)).first()
+    if offset >= n:
+        return None
+    before, enough = 0, max(enough, 4 * size)
+    while n > enough and high > low:
+        width = (high - low) // cells + 1
+        place = F.floor((F.col(key).cast("decimal(20,0)") - low) / width).cast("int")
+        cell = dict(keys.where(F.col(key).between(low, high)).groupBy(place.alias("c")).count().collect())
+        first = last = None
+        total = before
+        for c in sorted(cell):
+            if first is None and total + cell[c] > offset:
+                first, start, n = c, total, 0
+            total += cell[c]
+            if first is not None:
+                n, last = n + cell[c], c
+                if total >= offset + size:
+                    break
+        low, high, before = low + first * width, min(high, low + (last + 1) * width - 1), start
+        if width == 1:
+            break
+    return low, high, before
+
+
 def page(star, number=1, size=100, **filters):
-    """(page rows in id order, one-row total and page count)."""
+    """(page rows in id order, one-row total and page count).
+
+    The ids that pass the filters are stored; counts of id ranges find where the page
+    lies, and only that range is joined and sorted, so a late page costs what the
+    first does.
+    """
     hits = page_filter(star, **filters)
-    total = hits.agg(F.count(F.lit(1)).alias("total")).withColumn(
+    keys = cut_lineage(hits.select("exp_id"), "page_keys")
+    total = keys.agg(F.count(F.lit(1)).alias("total")).withColumn(
         "pages", F.greatest(F.lit(1), F.ceil(F.col("total") / size)).cast("bigint"))
-    rows = hits.orderBy("exp_id").offset((number - 1) * size).limit(size).select(
+    found = key_range(keys, "exp_id", (number - 1) * size, size)
+    low, high, before = found or (0, -1, 0)
+    near = {n: t.where(F.col("exp_id").between(low, high)) for n, t in star.items()}
+    rows = page_filter(near, **filters).orderBy("exp_id").offset((number - 1) * size - before if found else 0).limit(size).select(
         F.col("exp_id").alias("id"), display_text("raw_composition").alias("composition"),
         F.coalesce("ceramic_formula", F.lit("")).alias("ceramic"), F.coalesce("binder_formula", F.lit("")).alias("binder"),
         yes_no("is_hea").alias("hea"), "hv", "kic", "trs", "sinter_temp_c", "grain_size_um", "source_id")

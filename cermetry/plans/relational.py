@@ -10,7 +10,8 @@ from cermetry.plans import bridge as B
 from cermetry.plans.parsed_sql import formula_text, parsed
 from cermetry.plans.physics import INJECT, rd
 from cermetry.plans.registry import query
-from cermetry.sources import dims
+from cermetry.session import cut_lineage, shared_dir
+from cermetry.sources import dims, versions
 
 STAR = f"""{parsed('properties', 'proxies')}, {B.METAL_DENSITY_SQL}, {B.COMPOUNDS_SQL}, {B.INTERFACE_SQL}, ft AS ({formula_text()}),
 bs AS (SELECT exp_id, count(*) AS n, min(c) AS lo, max(c) AS hi, sum(c * e.mass) / sum(c * e.mass / coalesce(md.rho, 8)) AS rho_b,
@@ -37,6 +38,25 @@ def star(spark, sf, key=None):
     return {"experiments": e, "compositions": comps.drop("binder", "format"), "properties": view("properties"), "features": feats}
 
 
+_STORED = {}
+
+
+def stored_star(spark, sf):
+    """The star in buckets by experiment, with the surrogate moduli as a fifth table.
+    Parsed and stored once per session and folder."""
+    known = _STORED.get(sf)
+    if known is None or known[0] is not spark:
+        e = B.view(spark, sf, "experiments", heavy=True)
+        parsed = cut_lineage(parsing.parse_compositions(e.select("exp_id", "raw_composition")).where("parsed IS NOT NULL"), "parsed")
+        comps = cut_lineage(parsing.composition_record(parsed), "compositions")
+        feats = R.feature_columns(comps.where("exp_id % 5 <> 0"), B.view(spark, sf, "proxies").drop("pred_bulk_modulus", "pred_shear_modulus"))
+        feats = feats.withColumn("has_full", F.expr("CASE exp_id % 3 WHEN 0 THEN true WHEN 1 THEN false END"))
+        tables = {"experiments": e, "compositions": comps.drop("binder", "format"), "properties": B.view(spark, sf, "properties"), "features": feats,
+                  "moduli": B.view(spark, sf, "proxies").select("exp_id", "pred_bulk_modulus", "pred_shear_modulus")}
+        known = _STORED[sf] = (spark, R.store_star(tables, spark))
+    return dict(known[1])
+
+
 def _rounded(df, rounded, *plain):
     return df.select(*plain, *[r6(c).alias(c) for c in rounded])
 
@@ -45,7 +65,7 @@ def _rounded(df, rounded, *plain):
 m AS (SELECT quantile_cont(grain_size_um, 5e-1) AS g, quantile_cont(sinter_temp_c, 5e-1) AS s, quantile_cont(vec_binder, 5e-1) AS v FROM t)
 SELECT exp_id, {rd('hv', 'hv')}, coalesce(grain_size_um, g) AS grain_size_um, coalesce(sinter_temp_c, s) AS sinter_temp_c, {rd('coalesce(vec_binder, v)', 'vec_binder')} FROM t, m""")
 def e1(spark, sf):
-    t = R.training_data(star(spark, sf), "hv", ["grain_size_um", "sinter_temp_c", "vec_binder"])
+    t = R.training_data(stored_star(spark, sf), "hv", ["grain_size_um", "sinter_temp_c", "vec_binder"])
     return _rounded(t, ["hv", "vec_binder"], "exp_id", "grain_size_um", "sinter_temp_c")
 
 
@@ -66,14 +86,14 @@ FROM experiments JOIN compositions ON compositions.exp_id = experiments.exp_id J
 LEFT JOIN features ON features.exp_id = experiments.exp_id LEFT JOIN proxies p ON p.exp_id = experiments.exp_id)
 SELECT {', '.join(_E2P)}, {', '.join(rd(c, c, 8) for c in _E2)} FROM j""")
 def e2(spark, sf):
-    moduli = B.view(spark, sf, "proxies").select("exp_id", "pred_bulk_modulus", "pred_shear_modulus")
-    return R.full_export(star(spark, sf), moduli).select(*_E2P, *[r6(c, 8).alias(c) for c in _E2])
+    s = stored_star(spark, sf)
+    return R.full_export(s, s.pop("moduli")).select(*_E2P, *[r6(c, 8).alias(c) for c in _E2])
 
 
 @query("e3_query_tab", f"""WITH {STAR} SELECT exp_id, raw_composition, binder_formula, {rd('hv', 'hv')}, {rd('vec_binder', 'vec_binder')} FROM experiments LEFT JOIN compositions USING (exp_id) LEFT JOIN properties USING (exp_id) LEFT JOIN features USING (exp_id)
 WHERE is_hea = true AND raw_composition ILIKE '%ni%' ORDER BY exp_id LIMIT 200""")
 def e3(spark, sf):
-    t = R.query_tab(star(spark, sf), {"is_hea": True}, {"raw_composition": "ni"}, 200)
+    t = R.query_tab(stored_star(spark, sf), {"is_hea": True}, {"raw_composition": "ni"}, 200)
     return _rounded(t, ["hv", "vec_binder"], "exp_id", "raw_composition", "binder_formula")
 
 
@@ -102,13 +122,13 @@ _PAGE_ARGS = dict(binder_type="Traditional", hv=(800, 2500), kic=(6, None), keyw
 @query("e7_page_rows", f"""WITH {STAR} SELECT exp_id AS id, coalesce(substring(raw_composition, 1, 60), '') AS composition, coalesce(ceramic_formula, '') AS ceramic, coalesce(binder_formula, '') AS binder,
  CASE WHEN is_hea THEN 'Yes' ELSE 'No' END AS hea, {rd('hv', 'hv')}, kic, trs, sinter_temp_c, grain_size_um, source_id {_PAGE} ORDER BY exp_id LIMIT 50 OFFSET 100""")
 def e7(spark, sf):
-    rows, _ = R.page(star(spark, sf), 3, 50, **_PAGE_ARGS)
+    rows, _ = R.page(stored_star(spark, sf), 3, 50, **_PAGE_ARGS)
     return rows.withColumn("hv", r6("hv"))
 
 
 @query("e7_page_total", f"WITH {STAR} SELECT count(*) AS total, greatest(1, CAST(ceil(count(*) / 5e1) AS BIGINT)) AS pages {_PAGE}")
 def e7b(spark, sf):
-    return R.page(star(spark, sf), 3, 50, **_PAGE_ARGS)[1]
+    return R.page(stored_star(spark, sf), 3, 50, **_PAGE_ARGS)[1]
 
 
 @query("e9_nested_record", f"""WITH {STAR} SELECT exp_id, source_id, binder_formula, {rd('hv', 'hv')}, {rd('vec_binder', 'vec_binder')}
@@ -118,6 +138,15 @@ def e9(spark, sf):
         "exp_id", "experiment.source_id", "compositions.binder_formula", r6("properties.hv").alias("hv"), r6("features.vec_binder").alias("vec_binder"))
 
 
+@query("e9_stored_record", f"""WITH {STAR} SELECT exp_id, raw_composition, binder_formula, {rd('hv', 'hv')}, {rd('vec_binder', 'vec_binder')}
+FROM experiments LEFT JOIN compositions USING (exp_id) LEFT JOIN properties USING (exp_id) LEFT JOIN features USING (exp_id) WHERE exp_id IN (SELECT min(exp_id) FROM experiments WHERE exp_id > 2000)""")
+def e9b(spark, sf):
+    """The record of the first experiment beyond a key, from one bucket of each table."""
+    s = stored_star(spark, sf)
+    key = s["experiments"].where("exp_id > 2000").agg(F.min("exp_id")).first()[0]
+    return R.record(s, key).select("exp_id", "experiment.raw_composition", "compositions.binder_formula", r6("properties.hv").alias("hv"), r6("features.vec_binder").alias("vec_binder"))
+
+
 @query("e10_summary_counts", f"WITH {STAR} SELECT count(*) AS total, count(CASE WHEN is_hea THEN 1 END) AS hea, count(CASE WHEN is_hea = false THEN 1 END) AS traditional FROM compositions")
 def e10(spark, sf):
     return R.summary_counts(star(spark, sf)["compositions"])
@@ -145,6 +174,39 @@ def e12(spark, sf):
     return result
 
 
+_GRADES = """CASE WHEN hv IS NULL THEN 'Unknown' WHEN hv < 800 THEN 'Low' WHEN hv < 1200 THEN 'Medium' WHEN hv < 1600 THEN 'High' ELSE 'Very High' END AS hardness_grade,
+  CASE WHEN kic IS NULL THEN 'Unknown' WHEN kic < 10 THEN 'Low' WHEN kic < 15 THEN 'Medium' WHEN kic < 20 THEN 'High' ELSE 'Very High' END AS toughness_grade"""
+
+
+@query("e12_stored_intake", f"""WITH {STAR} SELECT exp_id, raw_composition, binder_formula, {rd('binder_vol_pct', 'binder_vol_pct')}, {rd('100 - binder_vol_pct', 'ceramic_vol_pct')}, is_hea, {rd('hv', 'hv')}, kic, {_GRADES},
+  {rd('bs.vec_binder', 'vec_binder')}, CASE WHEN exp_id % 2 = 0 THEN 'even' ELSE 'odd' END AS batch
+FROM experiments JOIN compositions USING (exp_id) JOIN properties USING (exp_id) JOIN bs USING (exp_id)""")
+def e12b(spark, sf):
+    """Two batches stored in one commit each, the first replayed without effect, then read back and joined."""
+    root = shared_dir(spark, "intake")
+    views = [B.view(spark, sf, n) for n in ("experiments", "properties", "proxies")]
+    for batch, part in (("even", "exp_id % 2 = 0"), ("odd", "exp_id % 2 = 1"), ("even", "exp_id % 2 = 0")):
+        R.store_intake(spark, root, batch, views[0].where(part).withColumn("batch", F.lit(batch)), *[v.where(part) for v in views[1:]])
+    t = {n: versions.read(spark, root, n) for n in ("experiments", "compositions", "properties", "features")}
+    j = t["experiments"].join(t["compositions"], "exp_id").join(t["properties"], "exp_id").join(t["features"], "exp_id")
+    return _rounded(j, ["binder_vol_pct", "ceramic_vol_pct", "hv", "vec_binder"], "exp_id", "raw_composition", "binder_formula", "is_hea", "kic", "hardness_grade", "toughness_grade", "batch")
+
+
+@query("e13_stored_upsert", f"""WITH {B.sql('properties')}, n AS (SELECT exp_id + 100000000 * (exp_id % 2) AS exp_id, CASE WHEN exp_id % 3 > 0 THEN 1e3 END AS hv, 7e0 AS kic FROM properties),
+m AS (SELECT exp_id, 5e0 AS kic FROM properties WHERE exp_id % 7 = 0)
+SELECT exp_id, {rd('coalesce(n.hv, o.hv)', 'hv')}, coalesce(m.kic, n.kic, o.kic) AS kic, o.trs FROM properties o FULL JOIN n USING (exp_id) LEFT JOIN m USING (exp_id)""")
+def e13b(spark, sf):
+    """Stored properties, two upserts (one replayed), read merged."""
+    p = B.view(spark, sf, "properties")
+    root = shared_dir(spark, "properties")
+    new = p.selectExpr("exp_id + 100000000 * (exp_id % 2) AS exp_id", "CASE WHEN exp_id % 3 > 0 THEN 1000D END AS hv", "7D AS kic")
+    fix = p.where("exp_id % 7 = 0").selectExpr("exp_id", "5D AS kic")
+    versions.commit(spark, root, "base", {"properties": p})
+    for batch, rows in (("new", new), ("fix", fix), ("new", new)):
+        versions.commit(spark, root, batch, {"properties": rows}, mode="upsert")
+    return versions.read(spark, root, "properties", "exp_id").withColumn("hv", r6("hv"))
+
+
 @query("e13_upsert", f"""WITH {B.sql('properties')}, n AS (SELECT exp_id + 100000000 * (exp_id % 2) AS exp_id, CASE WHEN exp_id % 3 > 0 THEN 1e3 END AS hv, 7e0 AS kic FROM properties)
 SELECT exp_id, {rd('coalesce(n.hv, o.hv)', 'hv')}, coalesce(n.kic, o.kic) AS kic, o.trs FROM properties o FULL JOIN n USING (exp_id)""")
 def e13(spark, sf):
