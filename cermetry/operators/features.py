@@ -2,6 +2,7 @@
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cermetry.functions.common import col, scalars, uniform
@@ -59,17 +60,21 @@ def prepare_matrix(df, target, features):
 
 # ---------------------------------------------------------------- correlation
 def average_ranks(df, key, columns):
-    """Rows (key, one average-rank column per input column).
+    """Rows (key, one average-rank column per input column); rows without any value are left out.
 
-    Two shuffles: values meet their ranks, then ranks meet their rows.  Equal
-    values are ranked once; a value held by many rows is split by adaptive
-    skew handling in the first join.
+    Values meet their ranks column by column: equal values are ranked once, a short
+    list of ranks is broadcast, and a value held by many rows is split by adaptive
+    skew handling otherwise.
     """
-    long = melt(df, columns, keep=[key])
-    ranks = value_ranks(long, ["column"]).select(
-        "column", "value", (F.col("below") + (F.col("n") + 1) / 2).alias("rank"))
-    ranked = long.join(ranks, ["column", "value"])
-    return ranked.groupBy(key).agg(*[F.max(F.when(F.col("column") == c, F.col("rank"))).alias(c) for c in columns])
+    long = melt(df, columns)
+    ranks = cut_lineage(value_ranks(long, ["column"]).select(
+        "column", "value", (F.col("below") + (F.col("n") + 1) / 2).alias("rank")), "ranks")
+    number = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
+    out = df.select(key, *[number(c).alias(f"_v{i}") for i, c in enumerate(columns)])
+    for i, c in enumerate(columns):
+        own = ranks.where(F.col("column") == c).select(F.col("value").alias(f"_v{i}"), F.col("rank").alias(c))
+        out = out.join(checked_broadcast(own), f"_v{i}", "left")
+    return out.select(key, *columns).dropna("all", subset=list(columns))
 
 
 def spearman_matrix(df, key, columns):
@@ -84,34 +89,12 @@ def spearman_matrix(df, key, columns):
 
 def wide_correlation(df, vector, dim):
     """Rows (i, j, n, r), i <= j, of Pearson correlations between the components
-    of an array column.
-
-    Each task folds its rows into moment matrices with one matrix product per
-    batch; only those (dim x dim numbers per task) are shuffled.  Missing
-    components are left out pairwise.
+    of an array column.  Missing components are left out pairwise; a pair that is
+    never known together has no row.
     """
-    part = lambda i: F.nanvl(F.get(F.col(vector), F.lit(i)).cast("double"), F.lit(None).cast("double"))
-    means = df.agg(*[F.avg(part(i)).alias(f"c{i}") for i in range(dim)]).first()
-    shift = np.array([m or 0.0 for m in means], dtype=float)
-    upper_i, upper_j = np.triu_indices(dim)
-
-    def moments(batches):
-        acc = np.zeros((6, dim, dim))
-        for pdf in batches:
-            x = np.array([np.asarray(v, dtype=float) for v in pdf[vector] if v is not None]).reshape(-1, dim) - shift
-            known = ~np.isnan(x)
-            x, m = np.where(known, x, 0.0), known.astype(float)
-            acc += np.stack([m.T @ m, x.T @ m, m.T @ x, (x * x).T @ m, m.T @ (x * x), x.T @ x])
-        flat = acc[:, upper_i, upper_j]
-        yield pd.DataFrame({"i": upper_i, "j": upper_j, **dict(zip(("n", "sx", "sy", "sxx", "syy", "sxy"), flat))})
-
-    parts = df.select(vector).mapInPandas(
-        moments, "i bigint, j bigint, n double, sx double, sy double, sxx double, syy double, sxy double")
-    s = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
-    n = F.col("n")
-    cov = F.col("sxy") - F.col("sx") * F.col("sy") / n
-    vx, vy = F.col("sxx") - F.col("sx") * F.col("sx") / n, F.col("syy") - F.col("sy") * F.col("sy") / n
-    return s.where("n > 0").select("i", "j", n.cast("bigint").alias("n"), F.try_divide(cov, F.sqrt(vx * vy)).alias("r"))
+    part = [F.get(F.col(vector), F.lit(i)).cast("double").alias(str(i)) for i in range(dim)]
+    pairs = Q.block_correlations(df.select(*part), [str(i) for i in range(dim)])
+    return pairs.where("n > 0").select(F.col("i").cast("bigint").alias("i"), F.col("j").cast("bigint").alias("j"), "n", "r")
 
 
 # ---------------------------------------------------------------- selection
@@ -179,33 +162,50 @@ def manual_set(auto, removed, added):
     return auto.join(removed, "feature", "left_anti").unionByName(added).distinct()
 
 
-def recursive_elimination(fit_importances, features, score, min_features=1):
+def recursive_elimination(fit, features, min_features=1):
     """Drop the least important feature while the score does not suffer most.
 
-    ``fit_importances(list)`` returns {feature: importance}; ``score(list)`` a
-    number to maximise.  Rows (size, features, score), best size first.
+    ``fit(list)`` returns ({feature: importance}, score), the score to maximise.
+    Rows (size, features, score), best size first.
     """
     current, history = list(features), []
     while len(current) >= min_features:
-        history.append((len(current), list(current), score(current)))
+        importances, score = fit(list(current))
+        history.append((len(current), list(current), score))
         if len(current) == min_features:
             break
-        importances = fit_importances(current)
         current.remove(min(current, key=lambda f: (importances[f], f)))
     return sorted(history, key=lambda h: -h[2])
 
 
 # ---------------------------------------------------------------- encoding, splits
+def sorted_codes(labels, c, name, part_rows=500_000):
+    """Distinct non-NULL values of ``c`` with their places (0, 1, ...) in sorted order.
+
+    Ranges of the values are sorted in tasks of their own, in ``part_rows`` portions;
+    a range's first place is the number of values in the ranges before, of which
+    only the counts (one per range) reach the driver.
+    """
+    values = cut_lineage(labels.select(c).where(F.col(c).isNotNull()).distinct(), "labels")
+    parts = -(-values.count() // part_rows) + 1
+    ranged = values.repartitionByRange(parts, c).withColumn("_range", F.spark_partition_id())
+    ranged = cut_lineage(ranged, "ranges")  # the ranges as dealt, whatever is recomputed later
+    before, starts = 0, []
+    for number, n in sorted(ranged.groupBy("_range").count().collect()):
+        starts.append((number, before))
+        before += n
+    first = F.broadcast(labels.sparkSession.createDataFrame(starts, "_range int, _start long"))  # one row per range
+    place = F.row_number().over(W.partitionBy("_range").orderBy(c)) - 1
+    return ranged.withColumn("_place", place).join(first, "_range").select(c, (F.col("_start") + F.col("_place")).alias(name))
+
+
 def label_encode(df, c, out):
     """Codes by sorted label order; NULL has none.
 
     The codes are a table of the distinct labels, joined back: labels never
-    reach the driver, and a short list is broadcast.
+    reach the driver, no task holds them all, and a short list is broadcast.
     """
-    from pyspark.sql import Window as W
-
-    labels = df.select(c).where(F.col(c).isNotNull()).distinct()
-    codes = labels.withColumn(out, (F.row_number().over(W.orderBy(c)) - 1).cast("int"))
+    codes = sorted_codes(df, c, out).withColumn(out, F.col(out).cast("int"))
     return df.join(checked_broadcast(codes), c, "left")
 
 
@@ -231,14 +231,11 @@ def folds(df, key, k=5, seed=42, name="fold"):
 
 
 def group_folds(df, group, name="fold"):
-    """One fold per group value, numbered in sorted order.
-
-    Folds are few by nature (each is a training run), so their list is numbered
-    in one place and joined back.
-    """
-    groups = df.select(group).distinct()
-    numbered = groups.withColumn(name, F.expr(f"dense_rank() OVER (ORDER BY {group})") - 1)
-    return df.join(checked_broadcast(numbered), group)
+    """One fold per group value, numbered in sorted order; NULL is a group of its own, the first."""
+    codes = sorted_codes(df, group, name).withColumn(name, F.col(name).cast("int"))
+    nulls = scalars(df.agg(F.count_if(F.col(group).isNull()).alias("n")))["n"] > 0
+    shift = F.when(nulls, 1).otherwise(0)
+    return df.join(checked_broadcast(codes), group, "left").withColumn(name, F.coalesce(F.col(name) + shift, F.lit(0)))
 
 
 def scale(df, columns, train, how="standard"):

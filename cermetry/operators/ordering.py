@@ -6,10 +6,11 @@ whatever the data volume, so ranks and quantiles come from a few map-side
 combined aggregations instead of a global sort or a per-value hash table.
 """
 
+import pandas as pd
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cermetry.functions.common import scalars
+from cermetry.session import cut_lineage
 
 _COARSE = 1024.0
 _FINE = float(1 << 20)
@@ -120,9 +121,9 @@ def value_ranks(long, keys, value="value"):
     )
 
 
-def _running_max(points, order, value, descending=False, own=True):
+def _running_max(points, order, value, descending=False, own=True, by=()):
     """Append ``best``: the largest ``value`` up to each row by ``order`` (distinct
-    values), with or without the row's own.
+    values per group ``by``), with or without the row's own.
 
     Three levels of cells: first digit, second digit, the values themselves.  Each
     level's running maximum starts from the one above, so the widest window
@@ -130,15 +131,16 @@ def _running_max(points, order, value, descending=False, own=True):
     however the values are spread.
     """
     way = F.desc if descending else F.asc
+    by = list(by)
     d1, d2 = digits(F.col(order).cast("double"))
     points = points.withColumns({"_d1": d1, "_d2": d2})
-    cells = points.groupBy("_d1", "_d2").agg(F.max(value).alias("_m"))
-    before = lambda part, by: W.partitionBy(*part).orderBy(way(by)).rowsBetween(W.unboundedPreceding, -1)
-    tops = cells.groupBy("_d1").agg(F.max("_m").alias("_t"))
-    tops = tops.withColumn("_o1", F.max("_t").over(W.orderBy(way("_d1")).rowsBetween(W.unboundedPreceding, -1))).drop("_t")
-    cells = cells.join(tops, "_d1").withColumn("_o2", F.greatest("_o1", F.max("_m").over(before(["_d1"], "_d2")))).drop("_o1", "_m")
-    inner = W.partitionBy("_d1", "_d2").orderBy(way(order)).rowsBetween(W.unboundedPreceding, 0 if own else -1)
-    return points.join(cells, ["_d1", "_d2"]).withColumn("best", F.greatest(F.max(value).over(inner), "_o2")).drop("_d1", "_d2", "_o2")
+    cells = points.groupBy(*by, "_d1", "_d2").agg(F.max(value).alias("_m"))
+    before = lambda part, on: W.partitionBy(*part).orderBy(way(on)).rowsBetween(W.unboundedPreceding, -1)
+    tops = cells.groupBy(*by, "_d1").agg(F.max("_m").alias("_t"))
+    tops = tops.withColumn("_o1", F.max("_t").over(before(by, "_d1"))).drop("_t")
+    cells = cells.join(tops, [*by, "_d1"]).withColumn("_o2", F.greatest("_o1", F.max("_m").over(before([*by, "_d1"], "_d2")))).drop("_o1", "_m")
+    inner = W.partitionBy(*by, "_d1", "_d2").orderBy(way(order)).rowsBetween(W.unboundedPreceding, 0 if own else -1)
+    return points.join(cells, [*by, "_d1", "_d2"]).withColumn("best", F.greatest(F.max(value).over(inner), "_o2")).drop("_d1", "_d2", "_o2")
 
 
 def running_best(df, order, value):
@@ -150,13 +152,54 @@ def running_best(df, order, value):
     return _running_max(points, order, value).select(order, value, "best")
 
 
-def skyline(df, x, y):
-    """Rows not dominated in (x, y), both maximised.
+#: points of tasks' own fronts that are ordered by one window; beyond, by digits
+FRONT_POINTS = 200_000
 
-    For each distinct ``x`` only its largest ``y`` counts; it is on the front if
-    it exceeds the largest ``y`` of all larger ``x``.
+
+def _own_fronts(points, by):
+    """What no other point of the same task dominates: usually very few points."""
+    columns = points.columns
+
+    def thin(frame):
+        frame = frame.drop_duplicates().sort_values([*by, "_x", "_y"], ascending=[True] * len(by) + [False, False])
+        groups = frame.groupby(by, sort=False)["_y"] if by else None
+        top = groups.cummax() if by else frame["_y"].cummax()
+        above = top.groupby([frame[c] for c in by], sort=False).shift() if by else top.shift()
+        return frame[above.isna() | (frame["_y"] > above)]
+
+    def run(batches):
+        kept = None
+        for frame in batches:
+            kept = thin(frame if kept is None else pd.concat([kept, frame], ignore_index=True))
+        if kept is not None:
+            yield kept[columns]
+
+    return points.mapInPandas(run, points.schema)
+
+
+def skyline(df, x, y, by=(), front_points=FRONT_POINTS):
+    """Rows not dominated in (x, y), both maximised, overall or within each group ``by``.
+
+    Every task first drops what its own rows dominate.  What is left is counted: up
+    to ``front_points`` points one window per group compares them, beyond that the
+    digits of ``x`` spread the comparison.  For each distinct ``x`` only its largest
+    ``y`` counts; it is on the front if it exceeds the largest ``y`` of all larger
+    ``x``.  Rows with a missing (NULL or NaN) coordinate or group are on no front.
     """
-    points = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    best = points.groupBy(F.col(x).alias("_x")).agg(F.max(y).alias("_y"))
-    front = _running_max(best, "_x", "_y", descending=True, own=False).where("best IS NULL OR _y > best").drop("best")
-    return points.join(front, (F.col(x) == F.col("_x")) & (F.col(y) == F.col("_y")), "left_semi")
+    by = list(by)
+    points = df.select(*by, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).dropna()
+    best = cut_lineage(_own_fronts(points, by), "fronts")
+    small = best.count() <= front_points
+    best = best.groupBy(*by, "_x").agg(F.max("_y").alias("_y"))
+    if small:
+        above = W.partitionBy(*(by or [F.lit(1)])).orderBy(F.desc("_x")).rowsBetween(W.unboundedPreceding, -1)
+        front = best.withColumn("best", F.max("_y").over(above))
+    else:
+        front = _running_max(best, "_x", "_y", descending=True, own=False, by=by)
+    front = front.where("best IS NULL OR _y > best").select(*[F.col(c).alias(f"_by_{c}") for c in by], "_x", "_y")
+    if small:
+        front = F.broadcast(front)  # no more rows than were counted
+    same = (F.col(x).cast("double") == F.col("_x")) & (F.col(y).cast("double") == F.col("_y"))
+    for c in by:
+        same &= F.col(c) == F.col(f"_by_{c}")
+    return df.join(front, same, "left_semi")

@@ -127,9 +127,9 @@ def hardness_vector(df, formula="formula", lattice="pred_lattice_param", ceramic
 
 
 def toughness_vector(df, formula="formula", lattice="pred_lattice_param", ceramic="ceramic",
-                     binder_vol="binder_pct", grain="grain_size_um", temp="sinter_temp_c"):
-    """The toughness model's inputs."""
-    df = df.withColumn("_m", C.formula_shares(formula)).withColumn("_r", P.element_rows(F.col("_m")))
+                     binder_vol="binder_pct", grain="grain_size_um", temp="sinter_temp_c", composition=None):
+    """The toughness model's inputs; a share map in ``composition`` is used as it is."""
+    df = df.withColumn("_m", F.col(composition) if composition else C.formula_shares(formula)).withColumn("_r", P.element_rows(F.col("_m")))
     m, r = F.col("_m"), F.col("_r")
     return df.withColumns({
         "ni_share": F.coalesce(F.try_element_at(m, F.lit("Ni")), F.lit(0.0)),
@@ -182,22 +182,24 @@ def per_distinct(df, key, features):
 
 
 def inject_features(df, formula="formula", ceramic="ceramic", energy="pred_formation_energy",
-                    volume="volume_per_atom", moment="pred_magnetic_moment"):
+                    volume="volume_per_atom", moment="pred_magnetic_moment", repeated=True):
     """Add the fifteen injected features.
 
     ``energy``, ``volume`` and ``moment`` are surrogate-model outputs (columns).
     Alloy and hard-phase features are computed once per distinct text; what
     depends on the row's own surrogate values is plain column arithmetic.  A
     composition that does not parse gives NULL features and keeps its row;
-    columns of the same names are overwritten.
+    columns of the same names are overwritten.  Where no text is expected twice, as in
+    generated candidates, ``repeated=False`` computes them in place, without any shuffle.
     """
     lattice = F.cbrt(4 * F.col("_volume"))
     df = df.withColumns({
         "_energy": col(energy), "_volume": col(volume), "_moment": col(moment),
         "_phase": F.coalesce(C.main_phase(ceramic), F.lit("WC")),
     }).drop(*INJECTED)
-    df = per_distinct(df, formula, lambda d: _alloy_part(d, formula))
-    df = per_distinct(df, "_phase", lambda d: _ceramic_part(d, "_phase"))
+    once = per_distinct if repeated else (lambda d, _, features: features(d))
+    df = once(df, formula, lambda d: _alloy_part(d, formula))
+    df = once(df, "_phase", lambda d: _ceramic_part(d, "_phase"))
     distance = lattice / K.SQRT2
     ok = F.coalesce(F.col("parsed"), F.lit(False))
     potential = P.relative_gap(distance, "target_lattice")

@@ -1,5 +1,10 @@
 """Aggregation, profiling, cleaning and validation."""
 
+from functools import reduce
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from cermetry.functions import constants as K
@@ -150,26 +155,90 @@ def outlier_impact(df, target):
 
 
 # ---------------------------------------------------------------- correlation
-def correlations(df, pairs):
-    """Rows (a, b, n, r): Pearson over rows where both are known, in one pass.
-
-    For up to a few hundred pairs; wide matrices take ``features.wide_correlation``.
+#: columns of a block of moments
+BLOCK = 64
+
+
+def _merge(a, b):
+    """Combine two sets of pair moments: n, means of both, and centred squares and products."""
+    n = a[0] + b[0]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        share = np.where(n > 0, b[0] / n, 0.0)
+    dx, dy = b[1] - a[1], b[2] - a[2]
+    w = a[0] * share
+    return np.stack((n, a[1] + dx * share, a[2] + dy * share, a[3] + b[3] + dx * dx * w, a[4] + b[4] + dy * dy * w, a[5] + b[5] + dx * dy * w))
+
+
+def _moments(x, y):
+    """Moments of all column pairs of two matrices over rows where both are known."""
+    cx, cy = (np.nan_to_num(np.where(np.isnan(m).all(axis=0), 0.0, np.nansum(m, axis=0) / np.maximum((~np.isnan(m)).sum(axis=0), 1))) for m in (x, y))
+    mx, my = (~np.isnan(x)).astype(float), (~np.isnan(y)).astype(float)
+    x, y = np.where(mx > 0, x - cx, 0.0), np.where(my > 0, y - cy, 0.0)
+    n, sx, sy = mx.T @ my, x.T @ my, mx.T @ y
+    safe = np.maximum(n, 1)
+    return np.stack((n, cx[:, None] + sx / safe, cy[None, :] + sy / safe, (x * x).T @ my - sx * sx / safe, mx.T @ (y * y) - sy * sy / safe, x.T @ y - sx * sy / safe))
+
+
+def block_correlations(df, columns, pairs=None):
+    """Rows (i, j, n, r) of Pearson correlations of column pairs by number, pairwise where
+    both are known (NULL and NaN are missing); r is NULL where a side does not vary.
+
+    All pairs i <= j, or the given ones.  Columns are taken in blocks of ``BLOCK``: a
+    task folds its rows into moments of block pairs by matrix products, and moments of
+    one block pair meet in one place, so any number of columns is one pass and
+    nothing is built per pair.
     """
-    exprs = []
-    for i, (a, b) in enumerate(pairs):
-        both = F.col(a).isNotNull() & F.col(b).isNotNull()
-        exprs += [F.count_if(both).alias(f"n{i}"),
-                  F.corr(F.when(both, F.col(a).cast("double")), F.when(both, F.col(b).cast("double"))).alias(f"r{i}")]
-    packed = F.array(*[
-        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"n{i}").alias("n"), F.col(f"r{i}").alias("r"))
-        for i, (a, b) in enumerate(pairs)])
-    return df.agg(*exprs).select(F.explode(packed).alias("c")).select("c.*").withColumn("r", F.nanvl("r", F.lit(None)))
+    p = len(columns)
+    wanted = {}
+    for i, j in pairs if pairs is not None else ((i, j) for i in range(p) for j in range(i, p)):
+        wanted.setdefault((i // BLOCK, j // BLOCK), []).append((i, j))
+    number = lambda c: F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(float("nan")))
+
+    def run(batches):
+        total = {}
+        for batch in batches:
+            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, p)
+            for a, b in wanted:
+                own = _moments(x[:, a * BLOCK:(a + 1) * BLOCK], x[:, b * BLOCK:(b + 1) * BLOCK])
+                total[a, b] = _merge(total[a, b], own) if (a, b) in total else own
+        rows = [(a, b, t.tobytes()) for (a, b), t in total.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], type=t) for k, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], names=["a", "b", "data"])
+
+    def join(frame):
+        a, b = int(frame["a"].iloc[0]), int(frame["b"].iloc[0])
+        shape = (6, min(BLOCK, p - a * BLOCK), min(BLOCK, p - b * BLOCK))
+        total = reduce(_merge, (np.frombuffer(d).reshape(shape) for d in frame["data"]))
+        i, j = np.array(wanted[a, b]).T
+        n, mx, my, xx, yy, xy = total[:, i - a * BLOCK, j - b * BLOCK]
+        # squares within rounding of the mean's are no variation
+        flat = (xx <= 1e-24 * n * mx * mx) | (yy <= 1e-24 * n * my * my) | (n < 2)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            r = np.where(flat, np.nan, xy / np.sqrt(xx * yy))
+        return pd.DataFrame({"i": i, "j": j, "n": n.astype(np.int64), "r": np.clip(r, -1, 1)})
+
+    packed = df.select(F.array(*[number(c) for c in columns]).alias("x")).mapInArrow(run, "a int, b int, data binary")
+    found = packed.groupBy("a", "b").applyInPandas(join, "i int, j int, n bigint, r double")
+    return found.withColumn("r", F.nanvl("r", F.lit(None)))
+
+
+def correlations(df, pairs):
+    """Rows (a, b, n, r): Pearson over rows where both are known, in one pass for any number of pairs."""
+    columns = list(dict.fromkeys(c for pair in reversed(pairs) for c in reversed(pair)))
+    at = {c: i for i, c in enumerate(columns)}
+    numbers = [(at[a], at[b]) for a, b in pairs]
+    names = F.array(*[F.lit(c) for c in columns])
+    found = block_correlations(df, columns, numbers)
+    return found.select(F.element_at(names, F.col("i") + 1).alias("a"), F.element_at(names, F.col("j") + 1).alias("b"), "n", "r")
 
 
 def correlation_matrix(df, columns):
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    half = correlations(df, pairs)
-    return half.unionByName(half.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "n", "r"))
+    """Rows (a, b, n, r) of all ordered pairs of columns."""
+    columns = list(columns)
+    names = F.array(*[F.lit(c) for c in columns])
+    half = block_correlations(df, columns)
+    a, b = F.element_at(names, F.col("i") + 1), F.element_at(names, F.col("j") + 1)
+    both = F.when(F.col("i") == F.col("j"), F.array(F.struct(a.alias("a"), b.alias("b")))).otherwise(F.array(F.struct(a.alias("a"), b.alias("b")), F.struct(b.alias("a"), a.alias("b"))))
+    return half.select(F.explode(both).alias("p"), "n", "r").select("p.a", "p.b", "n", "r")
 
 
 SUSPICIOUS = ("hv", "hardness", "kic", "toughness", "trs")

@@ -1,5 +1,6 @@
 """Candidate generation, scoring, filter funnels and Pareto fronts."""
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cermetry.functions import composition as C
@@ -159,6 +160,65 @@ def inverse_design(df, m, hv, kic, hv_range, kic_range):
     return accepted(pareto(scored, "obj_hv", "obj_kic"), m, "obj_hv", "obj_kic")
 
 
+PROCESS = ("binder_wt_pct", "sinter_temp_c", "grain_size_um")
+
+
+def around_members(df, key, members, elements, ranges, width, seed):
+    """Rows drawn from boxes around the archive's members of each row's task.
+
+    A row picks one member of its task by its draw; shares are multiplied by up to
+    exp(+-width) and scaled to one, process parameters move by up to half of
+    ``width`` of their range and stay inside it.  Rows of tasks without members
+    keep what they have.  ``members``: (task, place, of, composition, parameters).
+    """
+    picked = members.select("task", F.col("place").alias("_place"), F.col("composition").alias("_m"), *[F.col(c).alias(f"_{c}") for c in PROCESS])
+    sizes = members.groupBy("task").agg(F.count(F.lit(1)).alias("_of"))
+    df = df.join(F.broadcast(sizes), "task", "left")  # one row per task
+    df = df.withColumn("_place", F.floor(uniform(key, 90, seed) * F.col("_of")).cast("long"))
+    df = df.join(checked_broadcast(picked), ["task", "_place"], "left")
+    moved = F.create_map(*[x for i, e in enumerate(elements) for x in (
+        F.lit(e), F.coalesce(F.try_element_at("_m", F.lit(e)), F.lit(0.0)) * F.exp(width * (2 * uniform(key, 100 + i, seed) - 1)))])
+    near = {"composition": F.when(F.col("_m").isNotNull(), C.share_map(moved)).otherwise(F.col("composition"))}
+    for i, c in enumerate(PROCESS):
+        lo, hi = ranges[c]
+        step = width * (hi - lo) * (uniform(key, 140 + i, seed) - 0.5)
+        near[c] = F.coalesce(F.greatest(F.lit(float(lo)), F.least(F.lit(float(hi)), F.col(f"_{c}") + step)), F.col(c))
+    df = df.withColumns(near).withColumn("ceramic_wt_pct", 100 - F.col("binder_wt_pct"))
+    return df.drop("_place", "_of", "_m", *[f"_{c}" for c in PROCESS])
+
+
+def archive_search(ids, tasks, evaluate, key="cid", elements=("Co", "Cr", "Fe", "Ni", "Mo"), ceramic="WC", rounds=4, width=1.0, seed=42):
+    """Search for designs of every task; returns the stored archive after each round.
+
+    ``tasks``: (task, hv_min, hv_max, kic_min, kic_max), one row per request, few.
+    ``evaluate`` adds ``hv`` and ``kic`` to rows with composition, ceramic and process
+    parameters.  In each round every id is one new candidate of one task: in the
+    first a Dirichlet draw, later a draw from a box around a member of its task's
+    archive, half as wide each round.  Candidates are scored under their task's
+    targets and merged with the archive, of which the Pareto front per task stays;
+    so a front never gets worse.  Rows: task, ``found`` (round), key, composition,
+    parameters, hv, kic, violation, obj_hv, obj_kic.
+    """
+    ranges = {"binder_wt_pct": (5, 30), "sinter_temp_c": (1300, 1600), "grain_size_um": (0.5, 3.0)}
+    names = [r.task for r in tasks.select("task").distinct().orderBy("task").collect()]
+    tasks = checked_broadcast(tasks)
+    archives, archive = [], None
+    for turn in range(rounds):
+        drawn = dirichlet_candidates(ids.select(key), key, elements, ceramic, {"sinter_temp": ranges["sinter_temp_c"], "grain_size": ranges["grain_size_um"], "binder_wt_pct": ranges["binder_wt_pct"]}, seed + turn)
+        pick = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(len(names))).cast("int")
+        drawn = drawn.withColumn("task", F.element_at(F.array(*[F.lit(n) for n in names]), pick + 1))
+        if archive is not None:
+            place = F.row_number().over(W.partitionBy("task").orderBy("obj_hv", "obj_kic", "found", key)) - 1
+            drawn = around_members(drawn, key, archive.withColumn("place", place.cast("long")), elements, ranges, width * 0.5 ** (turn - 1), seed + turn)
+        scored = evaluate(drawn).join(tasks, "task").withColumn("found", F.lit(turn))
+        scored = penalised(scored, "composition", "hv", "kic", (F.col("hv_min"), F.col("hv_max")), (F.col("kic_min"), F.col("kic_max")))
+        scored = cut_lineage(scored.select("task", "found", key, "composition", *PROCESS, "hv", "kic", "violation", "obj_hv", "obj_kic"), "scored")
+        merged = scored if archive is None else archive.unionByName(scored)
+        archive = cut_lineage(skyline(merged, "obj_hv", "obj_kic", by=["task"]), "archive")
+        archives.append(archive)
+    return archives
+
+
 def design_tasks(tasks, solutions, key, width=50.0):
     """Per task: best solution inside its ranges, their number, a status.
 

@@ -8,6 +8,7 @@ from cermetry.operators import features as G
 from cermetry.operators import ml
 from cermetry.operators import physics as O
 from cermetry.operators import quality as Q
+from cermetry.operators.boosting import Model
 from cermetry.plans import bridge as B
 from cermetry.plans.physics import BASE, rd, scored
 from cermetry.plans.registry import query
@@ -119,25 +120,14 @@ def g7(spark, sf):
     return G.critical_first(_importance(spark, sf), ["grain_size_um", "sinter_temp_c"], 3).withColumn("importance", r6("importance"))
 
 
-#: trees of the forests that rank features
-FOREST = 100
+#: the forest that ranks features
+FOREST = Model("forest", rounds=1, rate=1.0, depth=5, l2=0.0, parallel=100, subsample=0.63, columns=0.4)
 
 
 @query("g8_recursive_elimination")
 def g8(spark, sf):
     """Best feature count by cross-validated R2 of a forest."""
-    m = alloy_matrix(spark, sf)
-    feats = list(MATRIX)
-    pipe = lambda fs: ml.pipeline("regression", "forest", fs, "hv", numTrees=FOREST, maxDepth=5)
-
-    def score(fs):
-        return ml.regression_metrics(ml.out_of_fold(m, "alloy_id", pipe(fs), 5), "hv", "oof").first()["r2"]
-
-    def importance(fs):
-        v = pipe(fs).fit(m).stages[-1].featureImportances
-        return {f: float(v[i]) for i, f in enumerate(fs)}
-
-    steps = G.recursive_elimination(importance, feats, score, 2)
+    steps = ml.eliminate(alloy_matrix(spark, sf), "alloy_id", MATRIX, "hv", FOREST, 5, 2)
     return spark.createDataFrame([(n, ",".join(f), float(s)) for n, f, s in steps], "size int, features string, r2 double")
 
 

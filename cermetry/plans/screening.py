@@ -143,7 +143,7 @@ def i11b(spark, sf):
     c = S.bounded_candidates(_ids(spark, sf), "cid").withColumns({
         "ceramic": F.lit("WC"), "energy": S.between("cid", 30, -0.6, 0.3), "volume": S.between("cid", 31, 10.0, 13.0),
         "moment": S.between("cid", 32, 0.0, 2.0), "bulk": S.between("cid", 33, 120.0, 280.0), "shear": S.between("cid", 34, 50.0, 130.0)})
-    c = O.inject_features(cut_lineage(c, "candidates"), energy="energy", volume="volume", moment="moment").withColumn("pugh", P.pugh("bulk", "shear"))
+    c = O.inject_features(c, energy="energy", volume="volume", moment="moment", repeated=False).withColumn("pugh", P.pugh("bulk", "shear"))
     return S.screening_funnel(c, "recipe_id").select("recipe_id", "formula", "score", "lattice_mismatch", "vec_binder")
 
 
@@ -187,6 +187,40 @@ def i15(spark, sf):
     return wanted.select("alloy_id", r6("obj_hv", 4).alias("obj_hv"), r6("obj_kic", 4).alias("obj_kic"))
 
 
+KIC_VECTOR = ["ni_share", "tm_share", "range_tm", "grain_um", "binder_vol_pct", "temp_c", "lattice_mismatch_wc", "free_path"]
+
+
+def toughness_model(spark, sf):
+    """A linear toughness model fitted on the alloys' feature vectors."""
+    a = scored(O.with_rows(B.view(spark, sf, "alloys", heavy=True))).drop("t", "s", "p", "rows")
+    train = cut_lineage(O.toughness_vector(a).select("kic", *KIC_VECTOR), "train")
+    return ml.pipeline("regression", "ridge", KIC_VECTOR, "kic").fit(train)
+
+
+def design_tasks_of(spark, sf):
+    """Design requests: a hardness and a toughness range per region."""
+    return B.table(spark, sf, "region").selectExpr(
+        "r_name AS task", "CAST(1000 + r_regionkey * 150 AS DOUBLE) AS hv_min", "CAST(1300 + r_regionkey * 150 AS DOUBLE) AS hv_max",
+        "CAST(8 + r_regionkey AS DOUBLE) AS kic_min", "CAST(12 + r_regionkey AS DOUBLE) AS kic_max")
+
+
+@query("i15_archive_search")
+def i15b(spark, sf):
+    """Designs for every request, searched from Dirichlet candidates through two fitted models."""
+    hard, tough = hardness_model(spark, sf), toughness_model(spark, sf)
+
+    def evaluate(c):
+        c = c.withColumn("pred_lattice_param", P.vegard_lattice(F.col("composition")))
+        kept = c.columns
+        x = hard.transform(O.hardness_vector(c, binder_vol="binder_wt_pct", composition="composition")).withColumnRenamed("prediction", "hv").select(*kept, "hv")
+        y = tough.transform(O.toughness_vector(x, binder_vol="binder_wt_pct", composition="composition"))
+        return y.withColumnRenamed("prediction", "kic").select(*kept, "hv", "kic")
+
+    archive = S.archive_search(_ids(spark, sf), design_tasks_of(spark, sf), evaluate)[-1]
+    found = S.accepted(archive, "composition", "obj_hv", "obj_kic")
+    return found.select("task", "found", "cid", C.standard_text(F.col("composition"), 4).alias("formula"), *S.PROCESS, "hv", "kic", "obj_hv", "obj_kic")
+
+
 _TASKS = "SELECT n_name AS task, CAST(1000 + n_nationkey * 40 AS DOUBLE) AS hv_min, CAST(1060 + n_nationkey * 40 AS DOUBLE) AS hv_max, CAST(5 + n_nationkey % 6 AS DOUBLE) AS kic_min, CAST(8 + n_nationkey % 6 AS DOUBLE) AS kic_max FROM nation"
 
 

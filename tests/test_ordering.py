@@ -170,3 +170,53 @@ def test_outlier_fences(spark):
     r = Q.outlier_impact(spark.createDataFrame([(float(v),) for v in x], "v double"), "v").first()
     q1, q3 = np.quantile(x, [0.25, 0.75])
     assert r.upper_bound == pytest.approx(q3 + 1.5 * (q3 - q1)) and r.outlier_count == 1 and r.severity == "ok"
+
+
+@pytest.mark.parametrize("front_points", [200_000, 0])
+def test_grouped_skylines_against_brute_force(spark, front_points):
+    rng = np.random.default_rng(8)
+    rows = [(int(i), "ab"[i % 2], float(x), float(y)) for i, (x, y) in enumerate(rng.integers(-6, 12, size=(400, 2)))]
+    rows += [(400, "a", None, 99.0), (401, "b", float("nan"), 99.0), (402, None, 99.0, 99.0), (403, "c", -1.0, -1.0), (404, "c", -1.0, -1.0)]
+    df = spark.createDataFrame(rows, "id int, g string, x double, y double").repartition(5)
+
+    def brute(points, by):
+        own = [p for p in points if p[2] is not None and p[2] == p[2] and (p[1] is not None or not by)]
+        worse = lambda p, q: q[2] >= p[2] and q[3] >= p[3] and (q[2] > p[2] or q[3] > p[3]) and (not by or p[1] == q[1])
+        return {p[0] for p in own if not any(worse(p, q) for q in own)}
+
+    for by in ([], ["g"]):
+        assert {r.id for r in O.skyline(df, "x", "y", by, front_points).collect()} == brute(rows, by)
+    assert O.skyline(df.limit(0), "x", "y").count() == 0
+
+
+def test_block_correlations_of_a_thousand_columns(spark):
+    """All pairs of 1,000 columns with gaps, in one pass and without an aggregate per pair."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(150, 1000)) + 50
+    x[:, 1] = x[:, 0] * 2
+    x[:, 2] = 0.1  # constant up to rounding
+    x[rng.random(x.shape) < 0.02] = np.nan
+    names = [f"c{i}" for i in range(1000)]
+    df = spark.createDataFrame(pd.DataFrame(x, columns=names)).repartition(3)
+    got = Q.block_correlations(df, names).toPandas()
+    assert len(got) == 1000 * 1001 // 2
+    known = ~np.isnan(x)
+    want = np.ma.corrcoef(np.ma.masked_invalid(x[:, [0, 1, 3, 70, 999]]), rowvar=False)
+    at = got.set_index(["i", "j"])
+    for p, i in enumerate([0, 1, 3, 70, 999]):
+        for q, j in enumerate([0, 1, 3, 70, 999]):
+            if i <= j:
+                both = known[:, i] & known[:, j]
+                assert at.loc[(i, j), "n"] == both.sum()
+                assert at.loc[(i, j), "r"] == pytest.approx(np.corrcoef(x[both, i], x[both, j])[0, 1])
+    assert at.loc[(2, 5), "r"] is None or np.isnan(at.loc[(2, 5), "r"])
+    pairs = Q.correlations(df.select("c0", "c1", "c3"), [("c3", "c0"), ("c1", "c0")]).collect()
+    assert {(r.a, r.b): r.r for r in pairs} == pytest.approx({("c3", "c0"): at.loc[(0, 3), "r"], ("c1", "c0"): at.loc[(0, 1), "r"]})
+    matrix = Q.correlation_matrix(df.select("c0", "c3"), ["c0", "c3"]).collect()
+    assert {(r.a, r.b) for r in matrix} == {("c0", "c0"), ("c0", "c3"), ("c3", "c0"), ("c3", "c3")}
+
+
+def test_average_ranks_with_ties_and_gaps(spark):
+    rows = [(1, 5.0, None), (2, 5.0, 1.0), (3, -1.0, float("nan")), (4, None, None), (5, 7.0, -0.0), (6, 5.0, 0.0)]
+    got = {r.id: (r.a, r.b) for r in G.average_ranks(spark.createDataFrame(rows, "id int, a double, b double"), "id", ["a", "b"]).collect()}
+    assert got == {1: (3.0, None), 2: (3.0, 3.0), 3: (1.0, None), 5: (5.0, 1.5), 6: (3.0, 1.5)}

@@ -88,3 +88,49 @@ def test_stream_intake(spark):
     assert query.awaitTermination(120)
     assert {r.exp_id for r in spark.read.parquet(f"{out}/compositions").collect()} == {1, 3}
     assert {r.exp_id for r in spark.read.parquet(f"{out}/rejected").collect()} == {2}
+
+
+def test_archive_search_never_gets_worse(spark):
+    """Against brute force: each round's archive is the front of all candidates so far, per task."""
+    ids = spark.range(300).withColumnRenamed("id", "cid")
+    tasks = spark.createDataFrame([("a", 0.0, 900.0, 0.0, 30.0), ("b", 400.0, 700.0, 5.0, 9.0)], "task string, hv_min double, hv_max double, kic_min double, kic_max double")
+    seen = []
+
+    def evaluate(c):
+        share = lambda e: F.col("composition")[e]
+        c = c.withColumns({"hv": 400 + 900 * share("Cr") - 300 * share("Ni") + F.col("binder_wt_pct"), "kic": 4 + 12 * share("Ni") + F.col("grain_size_um") - 3 * share("Cr")})
+        seen.append(c)
+        return c
+
+    archives = [a.collect() for a in S.archive_search(ids, tasks, evaluate, rounds=4)]
+    limits = {r.task: r for r in tasks.collect()}
+    everything = []
+    for turn, (frame, archive) in enumerate(zip(seen, archives)):
+        rows = frame.collect()
+        assert len(rows) == 300 and {r.task for r in rows} == {"a", "b"}
+        for r in rows:
+            m, t = r.composition, limits[r.task]
+            assert sum(m.values()) == pytest.approx(1) and 5 <= r.binder_wt_pct <= 30 and 1300 <= r.sinter_temp_c <= 1600 and 0.5 <= r.grain_size_um <= 3
+            bad = sum(max(0, 0.05 - v, v - 0.35) * 10000 for v in m.values())
+            penalty = bad + max(0, t.hv_min - r.hv, r.hv - t.hv_max) * 50 + max(0, t.kic_min - r.kic, r.kic - t.kic_max) * 2000
+            x, y = (-10000 - bad, -10000 - bad) if bad > 0.1 else (r.hv - penalty, r.kic - penalty)
+            everything.append((r.task, turn, r.cid, x, y))
+        for task in "ab":
+            own = [e for e in everything if e[0] == task]
+            front = {(e[1], e[2]) for e in own if not any(f[3] >= e[3] and f[4] >= e[4] and (f[3] > e[3] or f[4] > e[4]) for f in own)}
+            assert {(r.found, r.cid) for r in archive if r.task == task} == front
+    for old, new in zip(archives, archives[1:]):
+        for r in old:
+            assert any(s.task == r.task and s.obj_hv >= r.obj_hv and s.obj_kic >= r.obj_kic for s in new)
+    # later rounds look near the archive: their candidates are better than the first draws
+    mean = lambda turn: sum(e[3] for e in everything if e[1] == turn) / 300
+    assert mean(3) > mean(1) > mean(0)
+
+
+def test_injection_in_place_equals_injection_once_per_text(spark):
+    from cermetry.operators import physics as O
+    from cermetry.plans import bridge
+
+    a = bridge.view(spark, "/root/testdata/sf0.001", "alloys")
+    rows = lambda d: sorted(map(str, d.select(*sorted(d.columns)).collect()))
+    assert rows(O.inject_features(a)) == rows(O.inject_features(a, repeated=False))
