@@ -85,64 +85,86 @@ def load(kind, path, pattern=None):
     return _LOADED[kind, path]
 
 
-def window(a, b, a_length, b_length):
-    """Groups and links of one window: number of groups, linked pairs (i, j) of token
-    places, and the groups as text.  With one token on a side the window is one group."""
-    if len(a) == 1 or len(b) == 1:
-        return 1, [(i, j) for i in range(len(a)) for j in range(len(b))], ",".join(map(str, a)) + "|" + ",".join(map(str, b))
-    groups, links, text = 0, [], []
-    i = j = 0
-    first_a = first_b = 0
-    end_a, end_b = a_length[0], b_length[0]
-    while True:
-        links.append((i, j))
-        step_a, step_b = end_a <= end_b, end_b <= end_a
-        if step_a and step_b:
-            groups += 1
-            text.append(",".join(map(str, a[first_a:i + 1])) + "|" + ",".join(map(str, b[first_b:j + 1])))
-            first_a, first_b = i + 1, j + 1
-        i, j = i + step_a, j + step_b
-        if i == len(a) or j == len(b):
-            return groups, links, ";".join(text)
-        end_a += a_length[i] if step_a else 0
-        end_b += b_length[j] if step_b else 0
+def cuts_of(counts):
+    """List offsets of runs with these lengths."""
+    return np.append(0, np.cumsum(counts)).astype(np.int32)
 
 
 class Aligner:
-    """Windows of two sides, remembered by their ids."""
+    """Windows of two sides, remembered by their ids.
+
+    All windows that a batch meets for the first time are solved together: laid one
+    after the other they cover the same bytes on both sides, so overlaps and shared
+    ends follow from the running byte ends.
+    """
 
     def __init__(self, left, right):
         self.left, self.right = left, right
+        self.digits = pa.array([str(i) for i in range(max(left.size, right.size))], type=pa.string())
+        self.forget()
+
+    def forget(self):
         self.known = {}
+        self.groups, self.width = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+        self.start, self.pool = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+        self.texts = pa.array([], type=pa.string())
 
-    def solve(self, a, b):
-        """(number of groups, pair keys, groups as text) of one window."""
-        groups, links, text = window(a, b, [self.left.width[i] for i in a], [self.right.width[j] for j in b])
-        return groups, [a[i] * self.right.size + b[j] for i, j in links], text
+    def solve(self, a, b, n_a, n_b):
+        """Groups and links of windows with ``n_a`` and ``n_b`` ids each: number of groups, number
+        of links, all links as id pairs, and the groups as text."""
+        a_ends, b_ends = np.cumsum(self.left.lengths[a]), np.cumsum(self.right.lengths[b])
+        a_start = a_ends - self.left.lengths[a]
+        first, last = np.searchsorted(b_ends, a_start, side="right"), np.searchsorted(b_ends, a_ends, side="left")
+        count = last - first + 1
+        owner = np.repeat(np.arange(len(n_a)), n_a)
+        pairs = np.repeat(a, count) * self.right.size + gather(b, first, count)
+        links = np.bincount(owner, weights=count, minlength=len(n_a)).astype(np.int64)
+        shared = np.flatnonzero(b_ends[last] == a_ends)
+        groups = np.bincount(owner[shared], minlength=len(n_a))
+        sides = [pc.binary_join(pa.ListArray.from_arrays(cuts_of(np.diff(np.append(-1, ends))), self.digits.take(pa.array(ids))), ",")
+                 for ends, ids in ((shared, a), (last[shared], b))]
+        text = pc.binary_join(pa.ListArray.from_arrays(cuts_of(groups), pc.binary_join_element_wise(*sides, "|")), ";")
+        return groups, links, pairs, text
+
+    def slots(self, keys):
+        """Places of distinct windows (length of side A and the ids of both, as 32-bit integers) in the memory."""
+        if len(self.known) > WINDOWS:
+            self.forget()
+        new = [k for k in keys if k not in self.known]
+        if new:
+            size = np.array([len(k) for k in new], dtype=np.int64) // 4
+            flat = np.frombuffer(b"".join(new), dtype=np.int32).astype(np.int64)
+            head = np.cumsum(size) - size
+            n_a = flat[head]
+            n_b = size - 1 - n_a
+            groups, width, pairs, text = self.solve(gather(flat, head + 1, n_a), gather(flat, head + 1 + n_a, n_b), n_a, n_b)
+            self.known.update(zip(new, range(len(self.groups), len(self.groups) + len(new))))
+            self.start = np.concatenate((self.start, len(self.pool) + np.cumsum(width) - width))
+            self.groups, self.width = np.concatenate((self.groups, groups)), np.concatenate((self.width, width))
+            self.pool = np.concatenate((self.pool, pairs))
+            self.texts = pa.concat_arrays([self.texts, text])
+        return np.array([self.known[k] for k in keys], dtype=np.int64)
 
     def align(self, texts):
         """For texts (list of str): n_a, n_b, n_groups, n_links, groups, pairs and times, one list each."""
         a, n_a = self.left.encode(texts)
         b, n_b = self.right.encode(texts)
         want = [(" " + t).encode() if t else b"" for t in texts]
-        a_ends, b_ends = np.cumsum(self.left.lengths[a]), np.cumsum(self.right.lengths[b])
         good = self.same(self.left, a, n_a, want) & self.same(self.right, b, n_b, want)
         if not good.all():
-            keep_a, keep_b = np.repeat(good, n_a), np.repeat(good, n_b)
-            a, b, n_a, n_b = a[keep_a], b[keep_b], np.where(good, n_a, 0), np.where(good, n_b, 0)
-            a_ends, b_ends = np.cumsum(self.left.lengths[a]), np.cumsum(self.right.lengths[b])
+            a, b, n_a, n_b = a[np.repeat(good, n_a)], b[np.repeat(good, n_b)], np.where(good, n_a, 0), np.where(good, n_b, 0)
         if not len(a):
             none = [0] * len(texts)
             return none, none, none, none, [""] * len(texts), [[]] * len(texts), [[]] * len(texts)
+        a_ends, b_ends = np.cumsum(self.left.lengths[a]), np.cumsum(self.right.lengths[b])
         # anchors: shared ends before tokens that begin with a space on both sides, and ends of texts
         at_b = np.searchsorted(b_ends, a_ends)
-        at_a = np.flatnonzero(b_ends[np.minimum(at_b, len(b) - 1)] == a_ends)
+        at_a = np.flatnonzero(b_ends[at_b] == a_ends)
         at_b = at_b[at_a]
         final = np.zeros(len(a), dtype=bool)
         final[np.cumsum(n_a[n_a > 0]) - 1] = True
-        last = final[at_a]
         next_a, next_b = a[np.minimum(at_a + 1, len(a) - 1)], b[np.minimum(at_b + 1, len(b) - 1)]
-        anchor = last | (self.left.spaced[next_a] & self.right.spaced[next_b])
+        anchor = final[at_a] | (self.left.spaced[next_a] & self.right.spaced[next_b])
         at_a, at_b = at_a[anchor] + 1, at_b[anchor] + 1
         from_a, from_b = np.append(0, at_a[:-1]), np.append(0, at_b[:-1])
         owner = np.searchsorted(np.cumsum(n_a), at_a)  # a text without tokens owns none
@@ -154,37 +176,21 @@ class Aligner:
         flat[head] = w[:, 0]
         inner = np.ones(len(flat), dtype=bool)
         inner[head] = False
-        both = np.concatenate((a, b))
         start = np.stack((from_a, from_b + len(a)), axis=1).ravel()
-        flat[inner] = gather(both, start, w.ravel())
-        cuts = pa.py_buffer((np.append(head, len(flat)) * 4).astype(np.int32))
-        keys = pa.Array.from_buffers(pa.binary(), len(w), [None, cuts, pa.py_buffer(flat)]).dictionary_encode()
-        solved = []
-        if len(self.known) > WINDOWS:
-            self.known.clear()
-        for key in keys.dictionary.to_pylist():
-            found = self.known.get(key)
-            if found is None:
-                ids = np.frombuffer(key, dtype=np.int32).tolist()
-                found = self.known[key] = self.solve(ids[1:1 + ids[0]], ids[1 + ids[0]:])
-            solved.append(found)
-        code = keys.indices.to_numpy()
-        width = np.array([len(s[1]) for s in solved], dtype=np.int64)
-        pool = np.array([p for s in solved for p in s[1]], dtype=np.int64)
-        per = np.bincount(owner, minlength=len(texts))
-        sums = lambda x: np.bincount(owner, weights=x[code], minlength=len(texts)).astype(np.int64)
-        n_groups, n_links = sums(np.array([s[0] for s in solved], dtype=np.int64)), sums(width)
-        parts = pa.array([s[2] for s in solved], type=pa.string()).take(keys.indices)
-        joined = pc.binary_join(pa.ListArray.from_arrays(np.append(0, np.cumsum(per)).astype(np.int32), parts), ";")
+        flat[inner] = gather(np.concatenate((a, b)), start, w.ravel())
+        keys = pa.Array.from_buffers(pa.binary(), len(w), [None, pa.py_buffer(cuts_of(total) * 4), pa.py_buffer(flat)]).dictionary_encode()
+        slot = self.slots(keys.dictionary.to_pylist())[keys.indices.to_numpy()]
+        width = self.width[slot]
+        sums = lambda x: np.bincount(owner, weights=x, minlength=len(texts)).astype(np.int64)
+        lists = pa.ListArray.from_arrays(cuts_of(np.bincount(owner, minlength=len(texts))), self.texts.take(pa.array(slot)))
         # distinct pairs of each text, with their number
-        pairs = gather(pool, (np.cumsum(width) - width)[code], width[code])
-        text = np.repeat(owner, width[code])
-        order = np.lexsort((pairs, text))
-        pairs, text = pairs[order], text[order]
-        new = np.flatnonzero(np.append(True, (pairs[1:] != pairs[:-1]) | (text[1:] != text[:-1])))
-        cuts = np.append(0, np.cumsum(np.bincount(text[new], minlength=len(texts)))).astype(np.int32)
+        span = self.left.size * self.right.size
+        pairs = np.sort(gather(self.pool, self.start[slot], width) + np.repeat(owner * span, width))
+        new = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1]))
         times = np.diff(np.append(new, len(pairs))).astype(np.int32)
-        return n_a, n_b, n_groups, n_links, joined, pa.ListArray.from_arrays(cuts, pairs[new]), pa.ListArray.from_arrays(cuts, times)
+        text, pairs = np.divmod(pairs[new], span)
+        cuts = cuts_of(np.bincount(text, minlength=len(texts)))
+        return n_a, n_b, sums(self.groups[slot]), sums(width), pc.binary_join(lists, ";"), pa.ListArray.from_arrays(cuts, pairs), pa.ListArray.from_arrays(cuts, times)
 
     @staticmethod
     def same(side, ids, count, want):
