@@ -306,9 +306,23 @@ def test_alignment_against_brute_force(spark, head):
 
 
 def test_windows_are_solved_by_ids_only():
-    """Groups and links of a window from lengths: tokens of 2, 1, 3 bytes against 1, 2, 3."""
-    groups, links, text = align.window([7, 8, 9], [4, 5, 6], [2, 1, 3], [1, 2, 3])
-    assert (groups, links, text) == (2, [(0, 0), (0, 1), (1, 1), (2, 2)], "7,8|4,5;9|6")
+    """Groups and links of two windows from lengths: tokens of 2, 1, 3 bytes against 1, 2, 3, then 1 against 1."""
+    left, right = align.Side(), align.Side()
+    left.keep([b"ab", b"c", b" de", b"x"])
+    right.keep([b"a", b"bc", b" de", b"x"])
+    found = align.Aligner(left, right).solve(np.array([0, 1, 2, 3]), np.array([0, 1, 2, 3]), np.array([3, 1]), np.array([3, 1]))
+    assert found[0].tolist() == [2, 1] and found[1].tolist() == [4, 1] and found[3].to_pylist() == ["0,1|0,1;2|2", "3|3"]
+    assert [divmod(p, 4) for p in found[2].tolist()] == [(0, 0), (0, 1), (1, 1), (2, 2), (3, 3)]
+
+
+def test_windows_are_remembered():
+    aligner = align.Aligner(align.load(align.ByteLevel, queries.TOKENIZER, queries.PATTERN), align.load(align.Pieces, queries.PIECES))
+    first = aligner.align(["the cat sat", "the cat sat on the cat"])
+    size = len(aligner.known)
+    again = aligner.align(["on the cat the cat"])
+    assert len(aligner.known) == size and again[2].tolist() == [5]
+    aligner.forget()
+    assert aligner.align(["the cat sat", "the cat sat on the cat"])[4].to_pylist() == first[4].to_pylist()
 
 
 def test_registered_alignment(spark):
