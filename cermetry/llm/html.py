@@ -1,19 +1,28 @@
 """Main text of web pages, with site templates removed by recurrence.
 
-Every page is read into a stream of elements; each block element gets a hash of
-its whole subtree.  Spark counts, per host, the
-number of different articles around each hash.  A subtree recurring on
-``MIN_PAGES`` different articles of a host or more, whatever the host's size, is that
-site's template and is deleted; copies of one page count once (without ``article`` or ``main``, pages
-are told apart by all their text, since a template may be longer than any story).  What structure and naming
-give away (menus, footers, forms, adverts, comments, ...) is left out too.
-
-The article is taken from ``article`` or ``main`` elements, or else is the rest of
-the body.  Within ``article`` or ``main`` only containers are judged by recurrence: no
-``article``, nothing that holds one and no lone paragraph, heading, list item or
-quotation; and a page whose article would be left without text keeps it whole, since
-sites repeat articles.  A null, empty or markup-free page yields its own
-text (or none); markup errors close elements as needed.  Repeated rows give
+Every page is read into a tree of elements; each block element gets a hash of its
+whole subtree.  Spark counts, per host, the number of different pages around each
+hash.  A subtree recurring on ``MIN_PAGES`` different pages of a host or more,
+whatever the host's size, is that site's template and is deleted; copies of one
+page count once.  What structure and naming give away (menus, footers, forms,
+adverts, comments, ...) is left out too.
+
+Article text is kept: what is the larger part of the text of one to three pages of a
+host is no template there (a text that is the larger part of ``MIN_PAGES`` different
+pages is).  Within ``article``, ``main`` or, on pages without them, the
+innermost element that holds most of the text, only ``INNER`` containers are judged
+by recurrence, never paragraphs, headings, lists, tables or quotations; and if
+that left nothing but headings, the part stays whole.
+
+Naming drops an element by whole class or id names: all pieces of a name must
+be boilerplate or neutral words.  It drops nothing that holds an ``article``,
+``main`` or most of the text around it; only reader comments go whatever they hold,
+as long as there is an article besides.
+
+The text is that of the ``article`` or ``main`` elements, or else the rest of the body.
+A null, empty or markup-free page yields its own text (or none); markup errors
+close elements as needed, and a tag without end is text.  Work grows with a
+page's length, also for stray tags and deep nesting.  Repeated rows give
 repeated results; only the id, url and html columns are read.
 """
 
@@ -21,6 +30,7 @@ import html
 import re
 from array import array
 from bisect import bisect_left
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -35,22 +45,30 @@ MIN_PAGES = 4
 MARKS = 2_000_000
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
                    "header hgroup hr html li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
-#: block elements that are judged by recurrence within an article
-CONTAINERS = frozenset("address center details dir div dl fieldset figure header hgroup menu ol section table ul".split())
+#: elements that are judged by recurrence within the part that holds the article
+INNER = frozenset("address center details div fieldset header hgroup section".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup header".split())
 VOID = frozenset("area base br col embed frame hr img input keygen link meta param source track wbr".split())
 #: elements that never belong to the main text
 DROPPED = frozenset("aside audio button canvas datalist dialog embed footer form frame frameset head iframe input map menu meter nav noembed noframes noscript "
                     "object optgroup option output progress script select style svg template textarea title video".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search status toolbar".split())
-#: words in class or id that mark the same parts
-NAMES = frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies discussion disqus footer "
+#: pieces of class and id names that mark the same parts
+NAMES = frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs consent cookie cookies footer "
                   "form header login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promoted promotion recommended "
-                  "related respond search share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget".split())
+                  "related search share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget".split())
+#: pieces that mark what readers wrote
+COMMENTS = frozenset("comment comments commentlist discussion disqus respond".split())
+#: pieces that may stand beside those in one name
+NEUTRAL = frozenset("a area articles bar block body bottom box button buttons by container content div element email for group here i icon icons id in inner item items js label left "
+                    "line link links list lists list main media message messages meta mini module news no number outer page panel post posts primary reader readers reply right row secondary section site "
+                    "slot small sticky stories strip sub template text thread title top unit up user users view wrap wrapper zone".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPES = frozenset("ul ol dl table article main section div body html".split())
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-                   r"|<(/?)([a-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>", re.I | re.S)
+#: a tag ends at its ``>``; at a ``<`` outside quotes it is given up
+INSIDE = r"(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+"
+TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|iframe)\b{INSIDE}>.*?(?:</\1\s*>|\Z)"
+                   rf"|<(/?)([a-z][^\s/<>]*)({INSIDE})>|<[!?/][^<>]*>", re.I | re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 SPACE = re.compile(r"\s+")
 
@@ -59,34 +77,48 @@ def digest(text):
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def unwanted(tag, attributes, in_article):
-    """Whether structure or naming tells that an element is not main text."""
+def boilerplate(names, words):
+    """Whether one of the names is made of ``words`` and neutral words."""
+    for name in names:
+        pieces = [p for p in re.split(r"[^a-z]+", name) if p]
+        if any(p in words for p in pieces) and all(p in words or p in NEUTRAL for p in pieces):
+            return True
+    return False
+
+
+#: why an element may be left out
+KEPT, STRUCTURE, NAMED, COMMENT = range(4)
+
+
+def reason(tag, attributes, in_article):
+    """What structure and naming tell about an element."""
     if tag in DROPPED or (tag == "header" and not in_article):
-        return True
+        return STRUCTURE
     if not attributes.strip(" /"):
-        return False
-    given = {k.lower(): (v or "").strip("\"'").lower() for k, v in ATTRIBUTE.findall(attributes)}
-    if "hidden" in given or given.get("aria-hidden") == "true" or given.get("role") in ROLES or re.search(r"display\s*:\s*none", given.get("style", "")):
-        return True
+        return KEPT
+    given = {k.lower(): (v or "").strip("\"'") for k, v in ATTRIBUTE.findall(attributes)}
+    if "hidden" in given or given.get("aria-hidden", "").lower() == "true" or given.get("role", "").lower() in ROLES or re.search(r"display\s*:\s*none", given.get("style", "").lower()):
+        return STRUCTURE
     if tag in ("body", "html", "main"):
-        return False
-    names = set(re.split(r"[^a-z]+", f"{given.get('class', '')} {given.get('id', '')}"))
-    return bool(names & (NAMES - {"header"} if in_article else NAMES))
+        return KEPT
+    names = [re.sub(r"(?<=[a-z])(?=[A-Z])", "-", n).lower() for n in f"{given.get('class', '')} {given.get('id', '')}".split()]
+    if boilerplate(names, COMMENTS):
+        return COMMENT
+    return NAMED if boilerplate(names, NAMES - {"header"} if in_article else NAMES) else KEPT
 
 
 class Page:
-    """One pass over a page: blocks of text, and hashes of block subtrees."""
-
-    def __init__(self, source, templates=frozenset(), salt=0, inside=True):
-        self.templates, self.salt = templates, salt
-        self.inside, self.cut = inside, False  # whether templates within the article are deleted, and one was
-        self.out, self.buffer = [], []  # (text, within an article, within a heading)
-        self.stack = []  # [tag, blocks before, dropped, article depth, parts of the subtree hash]
-        self.hashes = set()
+    """A page as a tree: per node its tag, parent, reason to leave it out and content
+    (texts, None for a break between blocks, and the numbers of child nodes)."""
+
+    def __init__(self, source):
+        self.tags, self.parents, self.reasons, self.items = [""], [-1], [KEPT], [[]]
+        self.articles = [0]  # article elements around a node, itself included
+        self.stack, self.open_tags = [0], Counter()
         at = 0
         for m in TOKEN.finditer(source):
             if m.start() > at:
-                self.text(source[at:m.start()])
+                self.items[self.stack[-1]].append(source[at:m.start()])
             at = m.end()
             if m[3] is None:
                 continue
@@ -96,90 +128,197 @@ class Page:
             else:
                 self.open(tag, m[4])
         if at < len(source):
-            self.text(source[at:])
-        while self.stack:
-            self.pop()
-        self.flush()
-
-    def text(self, raw):
-        if self.stack:
-            if self.stack[-1][4] is not None:
-                self.stack[-1][4].append(SPACE.sub(" ", raw))
-            if self.stack[-1][2]:
-                return
-        self.buffer.append(raw)
-
-    def flush(self):
-        if self.buffer:
-            text = SPACE.sub(" ", html.unescape("".join(self.buffer))).strip()
-            self.buffer = []
-            if text:
-                self.out.append((text, bool(self.stack and self.stack[-1][3]), any(f[0] in HEADINGS for f in self.stack)))
+            self.items[self.stack[-1]].append(source[at:])
 
     def open(self, tag, attributes):
         if tag == "br":
-            return self.text(" ")
+            return self.items[self.stack[-1]].append(" ")
         if tag in BLOCKS:
-            self.flush()
-            if any(f[0] == "p" for f in self.stack[-12:]) and tag not in ("option", "optgroup"):
+            if tag not in ("option", "optgroup") and any(self.tags[n] == "p" for n in self.stack[-12:]):
                 self.close("p")
             for other in CLOSES.get(tag, ()):
                 self.close(other, SCOPES)
+        parent = self.stack[-1]
         if tag in VOID:
+            if tag in BLOCKS:
+                self.items[parent].append(None)
             return
-        _, _, dropped, depth, parts = self.stack[-1] if self.stack else (None, 0, False, 0, [])
-        dropped = dropped or unwanted(tag, attributes, depth > 0)
-        depth += not dropped and tag in ("article", "main")
-        self.stack.append([tag, len(self.out), dropped, depth, []])
+        node = len(self.tags)
+        gone = self.reasons[parent] == STRUCTURE
+        why = STRUCTURE if gone else reason(tag, attributes, self.articles[parent] > 0)
+        self.tags.append(tag)
+        self.parents.append(parent)
+        self.reasons.append(why)
+        self.items.append([])
+        self.articles.append(self.articles[parent] + (why != STRUCTURE and tag in ("article", "main")))
+        self.items[parent].append(node)
+        self.stack.append(node)
+        self.open_tags[tag] += 1
 
     def close(self, tag, scopes=frozenset(("table", "article", "main", "body", "html"))):
         """Close the nearest open element of this name; others opened since go with it."""
-        if tag in BLOCKS:
-            self.flush()
-        for i in range(len(self.stack) - 1, -1, -1):
-            name = self.stack[i][0]
+        if not self.open_tags[tag]:
+            if tag in BLOCKS:
+                self.items[self.stack[-1]].append(None)
+            return
+        for i in range(len(self.stack) - 1, 0, -1):
+            name = self.tags[self.stack[i]]
             if name == tag:
-                while len(self.stack) > i:
-                    self.pop()
+                for n in self.stack[i:]:
+                    self.open_tags[self.tags[n]] -= 1
+                del self.stack[i:]
                 return
             if name in scopes and tag not in ("article", "main", "body", "html"):
                 return
 
-    def pop(self):
-        tag = self.stack[-1][0]
-        if tag in BLOCKS:
-            self.flush()
-        _, before, dropped, depth, parts = self.stack.pop()
-        up = self.stack[-1][4] if self.stack else None
-        if None in parts or depth > (self.stack[-1][3] if self.stack else 0):  # is or holds an article: no candidate itself
-            if up is not None:
-                up.append(None)
-            return
-        body = "".join(parts)
-        mark = digest(f"{tag}>{body}") ^ self.salt
-        if up is not None:
-            up.append(f"<{mark}>")
-        if tag in (CONTAINERS if depth else BLOCKS) and body.strip() and not dropped and tag not in ("body", "html"):
-            self.hashes.add(mark)
-            if (self.inside or not depth) and mark in self.templates:
-                self.cut = self.cut or depth > 0
-                del self.out[before:]
-
-    def main(self):
-        inside = [t for t, own, _ in self.out if own]
-        return inside or [t for t, _, _ in self.out]
+    def sizes(self, gone):
+        """Characters other than white space per node, without the nodes in ``gone`` and below."""
+        out = [0] * len(self.tags)
+        for n in range(len(self.tags) - 1, -1, -1):
+            if n in gone or self.reasons[n] == STRUCTURE:
+                out[n] = 0
+                continue
+            out[n] += sum(len(t) - sum(map(len, SPACE.findall(t))) for t in self.items[n] if isinstance(t, str))
+            if n:
+                out[self.parents[n]] += out[n]
+        return out
+
+    def around(self, test):
+        """Per node whether it or a node above it passes."""
+        out = []
+        for n, parent in enumerate(self.parents):
+            out.append(test(n) or (parent >= 0 and out[parent]))
+        return out
+
+    def named_out(self):
+        """Nodes that naming leaves out."""
+        marked = [n for n, why in enumerate(self.reasons) if why in (NAMED, COMMENT)]
+        if not marked:
+            return set()
+        inside = self.around(lambda n: self.reasons[n] in (NAMED, COMMENT))
+        size, rest = self.sizes(set()), self.sizes(set(marked))
+        own = lambda n: self.tags[n] in ("article", "main") and self.reasons[n] != STRUCTURE
+        free = any(own(n) and not inside[n] and rest[n] for n in range(len(self.tags)))
+        holds = [False] * len(self.tags)
+        for n in range(len(self.tags) - 1, 0, -1):
+            holds[n] = holds[n] or own(n)
+            holds[self.parents[n]] = holds[self.parents[n]] or holds[n]
+        near = [-1] * len(self.tags)  # the nearest article above
+        for n in range(1, len(self.tags)):
+            near[n] = self.parents[n] if own(self.parents[n]) else near[self.parents[n]]
+        out = set()
+        for n in marked:
+            most = 2 * size[n] > size[near[n]] if near[n] >= 0 else not free and 2 * size[n] > size[0]
+            if self.reasons[n] == COMMENT and free or not holds[n] and not most:
+                out.add(n)
+        return out
+
+    def settle(self):
+        """Find what naming leaves out, and the part that holds the main text."""
+        self.gone = self.named_out()
+        self.size = self.sizes(self.gone)
+        lost = self.around(lambda n: n in self.gone or self.reasons[n] == STRUCTURE)
+        self.lost = lost
+        mains = [n for n in range(len(self.tags)) if self.tags[n] in ("article", "main") and not lost[n]]
+        self.whole = [n for n in mains if self.articles[n] == 1 and self.size[n]]
+        if not self.whole:  # the innermost element that holds most of the text
+            part = 0
+            while True:
+                larger = [c for c in self.items[part] if isinstance(c, int) and 2 * self.size[c] > self.size[0]]
+                if not larger:
+                    break
+                part = larger[0]
+            self.parts = [part]
+        else:
+            self.parts = self.whole
+        self.total = sum(self.size[n] for n in self.whole) if self.whole else self.size[0]
+        inner = set(self.parts)
+        self.inner = self.around(lambda n: n in inner)
+        return self
+
+    def marks(self, salt):
+        """{node: hash} of all elements that recurrence judges, and those that are most of the text."""
+        self.settle()
+        found, parts = {}, [None] * len(self.tags)
+        parts_of = set(self.parts)
+        for n in range(len(self.tags) - 1, 0, -1):
+            body, whole = [], self.tags[n] not in ("article", "main") or self.reasons[n] == STRUCTURE
+            for t in self.items[n]:
+                if isinstance(t, str):
+                    body.append(SPACE.sub(" ", t))
+                elif t is not None:
+                    whole = whole and parts[t] is not None
+                    body.append(parts[t] or "")
+            if not whole:  # is or holds an article
+                continue
+            text = "".join(body)
+            mark = digest(f"{self.tags[n]}>{text}") ^ salt
+            parts[n] = f"<{mark}>"
+            kinds = INNER if self.inner[n] and n not in parts_of else BLOCKS
+            if self.tags[n] in kinds and self.tags[n] not in ("body", "html") and self.size[n] and not self.lost[n]:
+                found[n] = mark
+        return found
+
+    def large(self, n):
+        """Whether a node is the larger part of the page's main text."""
+        return 2 * self.size[n] > self.total
+
+    def blocks(self, gone):
+        """(text, within an article, heading) of all blocks without the nodes in ``gone``."""
+        out, buffer = [], []
+        frames = [(0, iter(self.items[0]), False)]
+
+        def flush(node, heading):
+            if buffer:
+                text = SPACE.sub(" ", html.unescape("".join(buffer))).strip()
+                buffer.clear()
+                if text:
+                    out.append((text, self.articles[node] > 0, heading))
+
+        while frames:
+            node, items, heading = frames[-1]
+            for t in items:
+                if isinstance(t, str):
+                    buffer.append(t)
+                elif t is None:
+                    flush(node, heading)
+                else:
+                    block = self.tags[t] in BLOCKS
+                    if block:
+                        flush(node, heading)
+                    if t in gone or self.reasons[t] == STRUCTURE:
+                        continue
+                    frames.append((t, iter(self.items[t]), heading or self.tags[t] in HEADINGS))
+                    break
+            else:
+                if self.tags[node] in BLOCKS or not node:
+                    flush(node, heading)
+                frames.pop()
+        return out
+
+    def main(self, gone=()):
+        """Blocks of the main text without the nodes in ``gone``."""
+        found = self.blocks(self.gone | set(gone))
+        own = [x for x in found if x[1]] if self.whole else []
+        return own or found
 
     def core(self):
-        """Names what the page says: its article, or else all its text, so that copies of one page count once."""
-        return digest("\n".join(self.main()))
+        """Names what the page says: its main text, so that copies of one page count once."""
+        return digest("\n".join(t for t, _, _ in self.main()))
 
 
 def text_blocks(source, templates, salt):
-    """Blocks of a page without its templates; an article that is itself repeated stays whole."""
-    page = Page(source, templates, salt)
-    if page.cut and all(heading for _, own, heading in page.out if own):
-        page = Page(source, templates, salt, inside=False)
-    return page.main()
+    """Blocks of a page without its templates; a part of which only headings would be left stays whole."""
+    page = Page(source)
+    hits = [n for n, mark in page.marks(salt).items() if mark in templates]
+    if not hits:
+        return [t for t, _, _ in page.main()]
+    hit = set(hits)
+    inside = [n for n in hits if page.inner[n] and n not in page.parts]
+    found = page.main(hit)
+    if inside and all(heading for _, _, heading in found):
+        found = page.main(hit - set(inside))
+    return [t for t, _, _ in found]
 
 
 class Sorted:
@@ -194,26 +333,29 @@ class Sorted:
 
 
 def subtrees(pages):
-    """(key, mark, core) of all subtrees of pages (key, host, html); marks differ between hosts."""
+    """(key, mark, core, large) of all subtrees of pages (key, host, html); marks differ between hosts."""
 
     def run(batches):
         for whole in batches:
             for batch in pieces(whole, 2):
                 found = set()
                 for key, host, source in zip(*(c.to_pylist() for c in batch.columns)):
-                    page = Page(source, salt=digest(host))
-                    core = page.core()
-                    found.update((key, mark, core) for mark in page.hashes)
-                cols = list(zip(*found)) or [(), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in cols], names=["key", "mark", "core"])
+                    page = Page(source)
+                    marks = page.marks(digest(host))
+                    core = page.core() if marks else 0
+                    found.update((key, mark, core, page.large(n)) for n, mark in marks.items())
+                cols = list(zip(*found)) or [(), (), (), ()]
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cols, kinds)], names=["key", "mark", "core", "large"])
 
-    return pages.where("host != ''").mapInArrow(run, "key bigint, mark bigint, core bigint")
+    return pages.where("host != ''").mapInArrow(run, "key bigint, mark bigint, core bigint, large boolean")
 
 
 def templates(pages, min_pages=MIN_PAGES):
-    """(mark): subtree hashes that recur on their host.  ``pages``: (host, html)."""
-    seen = subtrees(pages.select(F.lit(0).cast("long").alias("key"), "host", "html")).groupBy("mark", "core").agg(F.lit(1).alias("one"))
-    return seen.groupBy("mark").agg(F.count("one").alias("n")).where(F.col("n") >= min_pages).select("mark")
+    """(mark): subtree hashes that recur on their host, and are most of no page or of so many too.  ``pages``: (host, html)."""
+    seen = subtrees(pages.select(F.lit(0).cast("long").alias("key"), "host", "html")).groupBy("mark", "core").agg(F.max("large").alias("large"))
+    seen = seen.groupBy("mark").agg(F.count(F.lit(1)).alias("n"), F.count_if("large").alias("large"))
+    return seen.where((F.col("n") >= min_pages) & ((F.col("large") == 0) | (F.col("large") >= min_pages))).select("mark")
 
 
 def main_text(pages, id_col="page_id", url_col="url", html_col="html", min_pages=MIN_PAGES):
