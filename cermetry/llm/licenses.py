@@ -21,24 +21,32 @@ of the scan; more are joined as a table with the bands of the documents.
 
 from functools import reduce
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cermetry.llm.contain import shingles
 from cermetry.llm.store import bounded, stored
 
 WORDS, WINDOW, BANDS, MAX_BANDS = 3, 4, 4, 100_000
-#: bit masks of the bands' hash functions (any fixed random numbers do)
-MASKS = (0, 0x1E3779B97F4A7C15, -0x5851F42D4C957F2D, 0x2545F4914F6CDD1D)
+#: odd factors of the bands' hash functions (any fixed random odd numbers do)
+FACTORS = (0x1E3779B97F4A7C15, -0x5851F42D4C957F2D, 0x2545F4914F6CDD1D, -0x61C8864680B583EB)
 
 
 def words(text):
     return F.regexp_extract_all(F.lower(text), F.lit(r"(\p{N}+(?:\.\p{N}+)*|\p{L}+)"), F.lit(1))
 
 
-def band(size, mask):
-    """One band of the windows of ``size`` shingles at every place of the array ``hs`` (shorter ones at its end)."""
-    cells = ", ".join(f"get(hs, i + {k}) ^ {mask}L" for k in range(1, size))
-    return f"transform(hs, (x, i) -> {f'least(x ^ {mask}L, {cells})' if size > 1 else f'x ^ {mask}L'})"
+def band(size, i):
+    """Band ``i`` of the windows of ``size`` shingles at every place of the array ``hs`` (shorter ones at its end).
+
+    Each band has a hash function of its own, so that a changed shingle changes the
+    bands of a window independently.
+    """
+    own = f"transform(hs, x -> xxhash64(x ^ {FACTORS[i]}L))"
+    if size == 1:
+        return own
+    cells = ", ".join(f"get(ys, i + {k})" for k in range(1, size))
+    return f"transform(array({own}), ys -> transform(ys, (y, i) -> least(y, {cells})))[0]"
 
 
 def template_arrays(templates, n=WORDS):
@@ -54,9 +62,9 @@ def template_arrays(templates, n=WORDS):
 def joined(own, table, length, kinds):
     """Shingles (doc, len, pos, h) of documents (doc, hs) that share a band of ``kinds`` (size, i) with the stored ``table``."""
     own = own.withColumn("key", F.xxhash64("hs"))
-    bands = F.concat(*(F.expr(f"transform(array_distinct({band(s, MASKS[i])}), v -> struct({s} as size, {i} as i, v as v))") for s, i in kinds))
+    bands = F.concat(*(F.expr(f"transform(array_distinct({band(s, i)}), v -> struct({s} as size, {i} as i, v as v))") for s, i in kinds))
     hits = own.select("key", F.explode(bands).alias("b")).select("key", "b.*").where("v is not null")
-    small = bounded(table.where(F.col("len") == length).drop("len"), "bands", width=32)
+    small = bounded(table.where(F.col("len") == length).drop("len"), "bands")
     hits = hits.join(small, ["size", "i", "v"], "left_semi").select("key").distinct()
     return own.join(hits, "key", "left_semi").select("doc", F.lit(length).alias("len"), F.posexplode("hs").alias("pos", "h"))
 
@@ -66,7 +74,7 @@ def find(docs, templates, threshold=0.8, id_col="doc_id", text_col="text"):
     a stretch of the document holds the share ``threshold`` or more (the best stretch counts)."""
     arrays = stored(template_arrays(templates), "templates")
     size = F.least(F.size("hs"), F.lit(WINDOW))
-    bands = (F.expr(f"slice({band(WINDOW, m)}, 1, size(hs) - size + 1)").alias(f"b{i}") for i, m in enumerate(MASKS[:BANDS]))
+    bands = (F.expr(f"slice({band(WINDOW, i)}, 1, size(hs) - size + 1)").alias(f"b{i}") for i in range(BANDS))
     signature = arrays.withColumn("size", size).select("len", "size", *bands)
     table = reduce(lambda a, b: a.union(b), (signature.select("len", "size", F.lit(i).alias("i"), F.explode(f"b{i}").alias("v")) for i in range(BANDS)))
     table = stored(table.distinct(), "bands")
@@ -82,17 +90,25 @@ def find(docs, templates, threshold=0.8, id_col="doc_id", text_col="text"):
         if not literal:
             found = found.union(joined(own, table, length, sorted({(s, i) for k, s, i in known if k == length})))
             continue
-        hits = [f"arrays_overlap({band(s, MASKS[i])}, array({', '.join(f'{v}L' for v in sorted(values))}))"
+        hits = [f"arrays_overlap({band(s, i)}, array({', '.join(f'{v}L' for v in sorted(values))}))"
                 for (k, s, i), values in sorted(known.items()) if k == length]
         hits = own.where(F.expr(" or ".join(hits)))
         found = found.union(hits.select("doc", F.lit(length).alias("len"), F.posexplode("hs").alias("pos", "h")))
     sets = arrays.select("license_id", "len", "width", F.size(F.array_distinct("hs")).cast("long").alias("n_template"), F.explode(F.array_distinct("hs")).alias("h"))
     step = F.greatest(F.expr("width div 4"), F.lit(1))
     span = F.when(step == 1, F.col("width")).otherwise(F.ceil(F.col("width") / step) + 1).cast("int")
-    sets = bounded(sets.withColumns({"step": step.cast("int"), "span": span}), "sets", width=64)
+    sets = bounded(sets.withColumns({"step": step.cast("int"), "span": span}), "sets")
     shared = found.join(sets, ["len", "h"]).withColumn("block", F.expr("pos div step").cast("int"))
     shared = shared.withColumn("stretch", F.explode(F.expr("sequence(greatest(block - span + 1, 0), block)")))
     shared = shared.groupBy("doc", "license_id", "n_template", "stretch").agg(F.count_distinct("h").alias("n_shared"))
     best = shared.groupBy("doc", "license_id", "n_template").agg(F.max("n_shared").alias("n_shared"))
     best = best.withColumn("containment", F.col("n_shared") / F.col("n_template")).where(F.col("containment") >= threshold)
     return best.select(F.col("doc").alias(id_col), "license_id", "n_shared", "n_template", "containment")
+
+
+def named(found, id_col="doc_id"):
+    """``found`` with ``named``: whether the template names the document's license.  Of related
+    texts (one license is another with a clause more) the one contained most does, then the
+    longest, then the first by name.  A document has no more rows than there are templates."""
+    order = W.partitionBy(id_col).orderBy(F.desc("containment"), F.desc("n_template"), "license_id")
+    return found.withColumn("named", F.row_number().over(order) == 1)

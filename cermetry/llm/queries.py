@@ -13,19 +13,56 @@ QUERIES, ORACLES = {}, {}
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 PATTERN = public_tokenizers.PATTERN
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
-#: templates of the license query: notices, and the terms of one short license
+# ---- fixed values: license texts and notices that the license query looks for
+_BSD_HEAD = ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+             "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+             "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+             "documentation and/or other materials provided with the distribution. ")
+_BSD_NAMES = ("3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this "
+              "software without specific prior written permission. ")
+_BSD_TAIL = ("THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, "
+             "THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR "
+             "CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, "
+             "PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF "
+             "LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS "
+             "SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.")
+_MIT_TERMS = ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "
+              "\"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, "
+              "distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to "
+              "the following conditions")
+_GNU = ("This {what} is free software: you can redistribute it and/or modify it under the terms of the GNU {name} as published by the Free Software "
+        "Foundation, either version 3 of the License, or (at your option) any later version. This {what} is distributed in the hope that it will be useful, "
+        "but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} for more details.")
 LICENSES = (
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("AGPL-3.0", _GNU.format(what="program", name="Affero General Public License")),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a "
+                   "copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed "
+                   "under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for "
+                   "the specific language governing permissions and limitations under the License."),
+    ("Apache-2.0-line", "Licensed under the Apache License, Version 2.0."),
+    ("BSD-2-Clause", _BSD_HEAD + _BSD_TAIL),
+    ("BSD-3-Clause", _BSD_HEAD + _BSD_NAMES + _BSD_TAIL),
+    ("BSD-line", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("MIT", "Released under the MIT License."),
-    ("MIT-terms", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "
-                  "\"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, "
-                  "distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to "
-                  "the following conditions"),
+    ("GPL-3.0", _GNU.format(what="program", name="General Public License")),
+    ("GPL-3.0-line", "This work is licensed under the GNU General Public License, version 3."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above "
+            "copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD "
+            "TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, "
+            "INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE "
+            "OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("LGPL-3.0", _GNU.format(what="library", name="Lesser General Public License")),
+    ("MIT", _MIT_TERMS + ": The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS "
+            "PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR "
+            "PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF "
+            "CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("MIT-line", "Released under the MIT License."),
+    ("MIT-terms", _MIT_TERMS),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can "
+                "obtain one at http://mozilla.org/MPL/2.0/."),
 )
+# ---- end of fixed values
 LANGUAGE_ROWS, RATED_ROWS = 1500, 12_000
 #: documents whose probability of the top grade is lower are rejected
 GOOD = 0.5
@@ -124,7 +161,8 @@ hits AS (SELECT doc_id, license_id, ds.g, p // step AS block, CASE WHEN step = 1
 wins AS (SELECT doc_id, license_id, g, unnest(range(greatest(block - blocks + 1, 0), block + 1)) AS win FROM hits),
 counts AS (SELECT doc_id, license_id, win, count(DISTINCT g) AS n FROM wins GROUP BY ALL),
 best AS (SELECT doc_id, license_id, max(n) AS n_shared FROM counts GROUP BY ALL)
-SELECT doc_id, license_id, n_shared, n_template, n_shared / n_template AS containment
+SELECT doc_id, license_id, n_shared, n_template, n_shared / n_template AS containment,
+       row_number() OVER (PARTITION BY doc_id ORDER BY n_shared / n_template DESC, n_template DESC, license_id) = 1 AS named
 FROM best JOIN tl USING (license_id) WHERE n_shared / n_template >= 0.8
 """
 
@@ -132,12 +170,14 @@ FROM best JOIN tl USING (license_id) WHERE n_shared / n_template >= 0.8
 @query("op6_licenses", license_sql())
 def op6(spark, sf_dir):
     templates = spark.createDataFrame(list(LICENSES), "license_id string, text string")
-    return licenses.find(table(spark, sf_dir, "documents"), templates)
+    return licenses.named(licenses.find(table(spark, sf_dir, "documents"), templates))
 
 
 @query("op7_token_counts")
 def op7(spark, sf_dir):
-    return tokencount.count_tokens(table(spark, sf_dir, "documents"), shared_dir(spark, "token-counts"), TOKENIZER, PATTERN)
+    # one lasting folder per tokenizer version: a second run encodes what is new only
+    cache = tokencount.cache_path(shared_dir(spark, "x").rsplit("/", 1)[0], TOKENIZER, PATTERN)
+    return tokencount.count_tokens(table(spark, sf_dir, "documents"), cache, TOKENIZER, PATTERN)
 
 
 @query("op8_quality")
