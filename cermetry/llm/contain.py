@@ -78,13 +78,13 @@ def find(docs, items, threshold=0.8, id_col="doc_id", text_col="text", item_col=
         empty = docs.select(F.col(id_col).alias("doc")).where(F.lit(False)).crossJoin(sets.select("item").limit(0))
         return empty.select(F.col("doc").alias(names[0]), F.col("item").alias(names[1]), F.lit(0).cast("long").alias("n_shared"),
                             F.lit(0).cast("long").alias("n_item"), F.lit(0.0).alias("containment"))
-    probe = bounded(signatures(sets, threshold), "signatures", width=32)
+    probe = bounded(signatures(sets, threshold), "signatures")
     hits = document_shingles(docs, lengths, id_col, text_col).join(probe, ["len", "h"]).select("doc", "item").distinct()
     hits = stored(hits, "candidates")
-    some = bounded(hits.select(F.col("doc").alias("hit")).distinct(), "contaminated", width=32)
+    some = bounded(hits.select(F.col("doc").alias("hit")).distinct(), "contaminated")
     few = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).join(some, F.col("doc").eqNullSafe(F.col("hit")), "left_semi")
     size = sets.groupBy("item").agg(F.count(F.lit(1)).alias("n_item"))
-    full = bounded(sets.join(size, "item"), "sets", width=48)
+    full = bounded(sets.join(size, "item"), "sets")
     shared = document_shingles(few, lengths, "doc", "text").join(full, ["len", "h"])
     exact = shared.groupBy("doc", "item", "n_item").agg(F.count_distinct("h").alias("n_shared"))
     hits = hits.select(F.col("doc").alias("d"), F.col("item").alias("i"))

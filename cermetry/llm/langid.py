@@ -251,14 +251,18 @@ class Scorer:
         return self.table[[self.known[w] for w in words]] if words else self.table[:0]
 
     def texts(self, texts):
-        """Log probability of each text under each language, and the length of its words (each with its start)."""
+        """Log probability of each text under each language, and the length of its words (each with
+        its start); a text without a letter, of combining marks only, has length 0."""
         words, code, marks = word_arrays(texts)
         value = self.words(words)
         real = np.array([len(w) + 1 if w else 0 for w in words], dtype=np.int64)
         total = np.concatenate((np.zeros((1, self.logp.shape[1])), np.cumsum(value[code], axis=0))) if len(code) else np.zeros((1, self.logp.shape[1]))
         number = np.concatenate(([0], np.cumsum(real[code]))) if len(code) else np.zeros(1, dtype=np.int64)
+        spelled = pc.match_substring_regex(pa.array(words, type=pa.string()), r"\pL").to_numpy(zero_copy_only=False)
+        spelled = np.concatenate(([0], np.cumsum(spelled[code]))) if len(code) else np.zeros(1, dtype=np.int64)
         ends = np.concatenate(([0], np.cumsum(marks)))
-        return total[ends[1:]] - total[ends[:-1]], number[ends[1:]] - number[ends[:-1]]
+        length = np.where(spelled[ends[1:]] > spelled[ends[:-1]], number[ends[1:]] - number[ends[:-1]], 0)
+        return total[ends[1:]] - total[ends[:-1]], length
 
 
 def identify(docs, model, model_file, id_col="doc_id", text_col="text"):

@@ -5,7 +5,7 @@ import pyarrow.compute as pc
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from cermetry.session import cut_lineage
+from cermetry.session import broadcast_bytes, cut_lineage
 
 
 #: rows of an Arrow batch; whole texts may be long, and a batch lies in memory on both sides
@@ -28,11 +28,13 @@ def stored(df, name):
     return cut_lineage(df, name)
 
 
-def bounded(df, name, max_rows=2_000_000, width=16):
-    """A written copy of ``df``, hinted for broadcast only when its counted rows
-    times ``width`` bytes stay below 32 MB; otherwise the join is a shuffle."""
+def bounded(df, name, max_rows=2_000_000, max_bytes=64 << 20):
+    """A written copy of ``df``, hinted for broadcast only when it has few rows and its
+    memory as a hash table, measured over its rows, stays below ``max_bytes``; otherwise
+    the join is a shuffle."""
     copy = stored(df, name)
-    return F.broadcast(copy) if copy.count() <= min(max_rows, (32 << 20) // width) else copy
+    rows, size = copy.agg(F.count(F.lit(1)), broadcast_bytes(copy)).first()
+    return F.broadcast(copy) if rows <= max_rows and size <= max_bytes else copy
 
 
 def arrow_schema(ddl):

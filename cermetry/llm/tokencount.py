@@ -11,6 +11,7 @@ the text is read.
 """
 
 import hashlib
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -41,13 +42,36 @@ def read_cache(spark, path):
         return spark.createDataFrame([], CACHE)
 
 
+#: contents that a task remembers as encoded
+SEEN = 500_000
+
+
+def cache_path(root, path, pattern):
+    """Where the counts of one tokenizer version lie below a shared folder, for all runs alike."""
+    return f"{root.rstrip('/')}/token-counts-{tokenizer_digest(path, pattern)[:16]}"
+
+
+def compact(spark, cache, files=1):
+    """Rewrite the counts that many runs have appended into a new folder of ``files`` files; returns its path.
+    The old folder stays for runs that read it."""
+    new = f"{cache}-{uuid.uuid4().hex}"
+    read_cache(spark, cache).groupBy("content", "tokenizer").agg(F.max("n_tokens").alias("n_tokens")).repartition(files, "content").write.parquet(new)
+    return new
+
+
 def encode_counts(rows, path, pattern):
-    """(content, text) -> (content, n_tokens)."""
+    """(content, text) -> (content, n_tokens).  A task encodes rows of one content once."""
 
     def run(batches):
-        coder = bpe.load(path, pattern)
+        coder, seen = bpe.load(path, pattern), set()
         for whole in batches:
-            for batch in pieces(whole, 1):
+            new = []
+            for content in whole.column(0).to_pylist():
+                new.append(content not in seen)
+                seen.add(content)
+            if len(seen) > SEEN:
+                seen.clear()
+            for batch in pieces(whole.filter(pa.array(new, type=pa.bool_())), 1):
                 count = coder.encode(batch.column(1))[1]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count.astype(np.int64))], schema=arrow_schema("content binary, n_tokens long"))
 
@@ -68,9 +92,9 @@ def count_tokens(docs, cache_path, path, pattern, id_col="doc_id", text_col="tex
     rows = stored(texts.select("id", "content", F.octet_length("text").cast("long").alias("n_bytes")), "digests")
     known = read_cache(spark, cache_path).where(F.col("tokenizer") == version)
     misses = rows.groupBy("content").agg(F.min("id").alias("first")).join(known, "content", "left_anti")
-    misses = bounded(misses.withColumnRenamed("content", "missing"), "misses", width=64)
+    misses = bounded(misses.withColumnRenamed("content", "missing"), "misses")
     chosen = texts.join(misses, (F.col("content") == F.col("missing")) & F.col("id").eqNullSafe(F.col("first")))
-    # rows repeated with one id and content are encoded each; the cache keeps one count
+    # rows that repeat id and content, or a content without ids, are encoded once per task; the cache keeps one count
     counts = encode_counts(chosen, path, pattern).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
     counts.select("content", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache_path)
     known = read_cache(spark, cache_path).where(F.col("tokenizer") == version).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
