@@ -35,6 +35,8 @@ from cermetry.llm.words import add_counts, frequent_from, words_of
 CLASSES, CORE, HEAD, ROUNDS, PARTS = 64, 8_192, 200_000, 8, 32
 #: longer words (bytes) are not in the head, whatever their number, so its size is bounded
 LONGEST = 64
+#: rare words' tokens whose classes are found at once
+SOLVED = 20_000
 #: pseudo counts of the transition matrix
 ALPHA = 5.0
 #: marks of a token: class of unknown words, and words seen once
@@ -351,7 +353,7 @@ def rare_classes(tokens, table):
             pa.array(found[group].astype(np.int32)), pa.array(n[group])], names=["row", "place", "class", "n"])
 
     def run(batches):
-        held, size, limit = [], 0, 50_000
+        held, size, limit = [], 0, SOLVED
         for batch in batches:
             held.append(batch)
             size += batch.num_rows
@@ -362,7 +364,7 @@ def rare_classes(tokens, table):
                 if cut:
                     yield solve(rows.slice(0, cut))
                 held, size = rows.slice(cut).to_batches(), len(rows) - cut
-                limit = max(50_000, 2 * size)
+                limit = max(SOLVED, 2 * size)
         if size:
             yield solve(pa.Table.from_batches(held))
 
