@@ -127,6 +127,25 @@ def test_containment(spark, threshold):
     assert contain.find(df, nothing).count() == 0 and contain.find(df.limit(0), spark.createDataFrame(items, "item_id long, text string")).count() == 0
 
 
+def template_shares(words, terms):
+    """Containment of every template in the best stretch of a word list, by brute force."""
+    out = {}
+    cut = lambda ws: [tuple(ws[i:i + 3]) for i in range(len(ws) - 2)]
+    own = cut(words)
+    for name, text in terms.items():
+        want = cut(plain_words(text))
+        width = next(x for x in (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128, 192, 256) if x >= len(want))
+        step = max(width // 4, 1)
+        span = width if step == 1 else (-(-width // step) + 1)
+        best = max((len(set(own[b * step:(b + span) * step]) & set(want)) for b in range(len(own) // step + 1)), default=0)
+        out[name] = best / len(set(want))
+    return out
+
+
+def plain_words(text):
+    return re.findall(r"[0-9]+(?:\.[0-9]+)*|[a-z]+", text.lower())
+
+
 def test_licenses(spark):
     rng = random.Random(6)
     noise = lambda n: " ".join("".join(rng.choice("klmnop") for _ in range(5)) for _ in range(n))
@@ -134,15 +153,36 @@ def test_licenses(spark):
     docs = [(i, f"{noise(40)}\n{text}\n{noise(30)}") for i, text in enumerate(terms.values())]
     broken = terms["MIT-terms"].split()
     broken[20] = broken[50] = "changed"
-    docs += [(20, " ".join(broken)), (21, terms["MIT-terms"].upper()), (22, None), (23, ""), (24, noise(500)), (0, docs[0][1]), (25, "Released under " + noise(300) + " the MIT License"), (26, noise(4) + " MIT")]
-    got = licenses.find(spark.createDataFrame([(d, t, 1) for d, t in docs], "doc_id long, text string, w int"),
-                        spark.createDataFrame([*queries.LICENSES, ("short", "klm MIT"), (None, "x"), ("none", None)], "license_id string, text string")).collect()
+    docs += [(30, " ".join(broken)), (31, terms["MIT-terms"].upper()), (32, None), (33, ""), (34, noise(500)), (0, docs[0][1]), (35, "Released under " + noise(300) + " the MIT License"), (36, noise(4) + " MIT"),
+             (37, noise(20_000) + terms["ISC"])]
+    frame = spark.createDataFrame([(d, t, 1) for d, t in docs], "doc_id long, text string, w int")
+    got = licenses.named(licenses.find(frame, spark.createDataFrame([*queries.LICENSES, ("short", "klm MIT"), (None, "x"), ("none", None)], "license_id string, text string"))).collect()
     found = {(r.doc_id, r.license_id): r.containment for r in got}
-    assert set(found) == {(i, k) for i, k in enumerate(terms)} | {(20, "MIT-terms"), (21, "MIT-terms")} and len(got) == len(found)
-    assert found[20, "MIT-terms"] < 1 == found[21, "MIT-terms"]
+    want = {(d, k): x for d, t in docs if t for k, x in template_shares(plain_words(t), terms).items() if x >= 0.8}
+    assert len(got) == len(found) and found.keys() == want.keys()
+    assert all(found[k] == pytest.approx(want[k]) for k in want)
+    assert {k for d, k in found if d == 30} == {"MIT-terms"} and found[30, "MIT-terms"] < 1 == found[31, "MIT-terms"]
+    # related licenses are told apart: each text names itself
+    names = {r.doc_id: r.license_id for r in got if r.named}
+    assert all(names[i] == k for i, k in enumerate(terms)) and names[37] == "ISC"
+    assert (list(terms).index("BSD-2-Clause"), "BSD-3-Clause") in found
     assert licenses.find(spark.createDataFrame(docs[:2], "doc_id long, text string").limit(0), spark.createDataFrame(list(queries.LICENSES), "license_id string, text string")).count() == 0
 
 
+def test_windows_with_one_change_share_a_band(spark):
+    """Of windows that share three of four shingles 97 % or more meet in a band."""
+    n = 20_000
+    from pyspark.sql import functions as F
+    cell = lambda k: F.xxhash64(F.col("id"), F.lit(k))
+    windows = spark.range(n).select(F.array(*(cell(k) for k in range(4))).alias("a"), F.array(*(cell(k) for k in (0, 1, 2, 9))).alias("b"))
+    for side in ("a", "b"):
+        windows = windows.withColumn("hs", F.col(side)).withColumns({f"{side}{i}": F.expr(licenses.band(4, i))[0] for i in range(licenses.BANDS)}).drop("hs")
+    same = F.lit(False)
+    for i in range(licenses.BANDS):
+        same |= F.col(f"a{i}") == F.col(f"b{i}")
+    assert windows.where(same).count() >= 0.97 * n
+
+
 def test_licenses_beyond_the_literal_bound(spark, monkeypatch):
     """The joined band table finds what the literals find."""
     rng = random.Random(7)

@@ -53,7 +53,7 @@ def test_stages(spark, tmp_path):
     assert not any(i in words(text[d]) for d in kept["decontamination"] if d in text for i in items)
     gone = set(kept["near_duplicates"]) - set(kept["decontamination"])
     assert all(d == 10**6 + 2 or any(i in words(text[d]) for i in items) for d in gone)
-    assert sorted(kept["bpe"]) == sorted(kept["decontamination"]) and docs.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert sorted(kept["bpe"]) == sorted(kept["decontamination"]) and docs.columns == ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"]
 
 
 def test_unlearned_languages_and_noise(spark):

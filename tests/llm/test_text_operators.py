@@ -71,6 +71,37 @@ def test_counts_come_from_the_cache(spark, library, tmp_path):
     assert tokencount.count_tokens(docs.limit(0), cache, PATH, PATTERN).count() == 0
 
 
+def test_a_second_run_of_the_registered_counts_encodes_nothing(spark, library, monkeypatch):
+    first = sorted(map(tuple, queries.QUERIES["op7_token_counts"](spark, SF).collect()))
+    seen = []
+    real = tokencount.encode_counts
+
+    def counted(rows, path, pattern):
+        seen.append(rows.count())
+        return real(rows, path, pattern)
+
+    monkeypatch.setattr(tokencount, "encode_counts", counted)
+    assert sorted(map(tuple, queries.QUERIES["op7_token_counts"](spark, SF).collect())) == first and seen == [0]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    assert first == sorted((r.doc_id, len(r.text.encode()), n := len(library.encode(r.text, add_special_tokens=False).ids), n > 512) for r in docs)
+
+
+def test_compacted_counts_are_the_same(spark, tmp_path):
+    rows = [(1, "a b"), (2, "c")]
+    for r in rows:
+        tokencount.count_tokens(spark.createDataFrame([r], "doc_id long, text string"), str(tmp_path / "c"), PATH, PATTERN).count()
+    new = tokencount.compact(spark, str(tmp_path / "c"))
+    same = lambda p: sorted(map(tuple, spark.read.parquet(p).select("n_tokens", "tokenizer").collect()))
+    assert same(new) == same(str(tmp_path / "c")) and len(same(new)) == 2
+
+
+def test_texts_of_marks_only_have_no_language(spark):
+    docs = spark.createDataFrame([(1, "the cat sat on the mat", "en"), (2, "el gato negro", "es"), (3, "\u0301\u0302", None), (4, "1 \u0301", None), (5, "e\u0301t", None)], "doc_id long, text string, lang string")
+    model = langid.fit(docs, queries.PIECES, per_language=10)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(docs, model, queries.PIECES).collect()}
+    assert got[3] == got[4] == ("und", 0.0) and got[5][0] != "und" and got[1][0] == "en"
+
+
 def test_forward_sums_all_segmentations():
     vocab = ["▁", "▁a", "a", "b", "ab", "ba", "▁ab", "c"]
     lattice = langid.Lattice(vocab)
@@ -157,16 +188,74 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 <footer>&copy; x</footer></body></html>"""
 
 
+def plain_blocks(source):
+    return html.text_blocks(source, frozenset(), 0)
+
+
+def page_texts(spark, pages):
+    return {r.page_id: r.text for r in html.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+
+
 def test_main_text_of_a_page():
-    assert html.Page(PAGE).main() == ["A & B", "One two three", "Four é five."]
-    assert html.Page("").main() == [] and html.Page("plain &lt; text").main() == ["plain < text"]
-    assert html.Page("<p>a<div>b</p>c</div></section><li>d").main() == ["a", "b", "c", "d"]
-    assert html.Page("<div>x<!-- open").main() == ["x"] and html.Page("a < b <").main() == ["a < b <"]
+    assert plain_blocks(PAGE) == ["A & B", "One two three", "Four é five."]
+    assert plain_blocks("") == [] and plain_blocks("plain &lt; text") == ["plain < text"]
+    assert plain_blocks("<p>a<div>b</p>c</div></section><li>d") == ["a", "b", "c", "d"]
+    assert plain_blocks("<div>x<!-- open") == ["x"] and plain_blocks("a < b <") == ["a < b <"]
+
+
+def test_lone_blocks_and_lists_of_articles_stay(spark):
+    """Headings and a closing sentence that recur, and equal lists within articles, are text; notices still go."""
+    notice = "<div class=x1><p>This site moves</p></div>"
+    pages = [(i, f"http://a.org/{i}", f"<body>{notice}<div><h2>Introduction</h2><p>Story {i} of many words</p><h2>Conclusion</h2><p>That is all for now.</p></div></body>") for i in range(5)]
+    recipe = "<article><h1>Dish {0}</h1><ul><li>Salt</li><li>Water</li></ul><table><tr><td>Serves 4</td></tr></table><p>Cook dish {0} slowly</p></article>"
+    pages += [(100 + i, f"http://b.org/{i}", recipe.format(i)) for i in range(5)]
+    text = page_texts(spark, pages)
+    for i in range(5):
+        assert text[i] == f"Introduction\n\nStory {i} of many words\n\nConclusion\n\nThat is all for now."
+        assert text[100 + i] == f"Dish {i}\n\nSalt\n\nWater\n\nServes 4\n\nCook dish {i} slowly"
+
+
+def test_posts_shown_on_listing_pages_stay(spark):
+    posts = [f"<div class=entry><h2>Post {i}</h2><div><p>What post {i} says at length</p></div></div>" for i in range(7)]
+    pages = [(i, f"http://a.org/{i}", f"<body><div><h1>Blog</h1>{p}</div></body>") for i, p in enumerate(posts)]
+    pages += [(100 + i, f"http://a.org/page/{i}", f"<body><div><h1>Blog</h1>{''.join(posts[i:i + 4])}</div></body>") for i in range(4)]
+    text = page_texts(spark, pages)
+    said = lambda i: f"Post {i}\n\nWhat post {i} says at length"
+    assert all(text[i].endswith(said(i)) for i in range(7))
+    assert all(text[100 + i].endswith("\n\n".join(said(j) for j in range(i, i + 4))) for i in range(4))
+
+
+@pytest.mark.parametrize("source, want", [
+    ('<div id="page" class="site has-sidebar"><h1>T</h1><p>Long text here</p></div>', ["T", "Long text here"]),
+    ('<article class="search-result"><p>Found it</p></article>', ["Found it"]),
+    ('<article class="post related-content"><p>Body</p></article>', ["Body"]),
+    ('<article><h1>Markets</h1><p class="share-price">The price of a share rose</p><section id="search-algorithms"><p>On search</p></section></article>', ["Markets", "The price of a share rose", "On search"]),
+    ('<div class="search"><article><p>Only article</p></article></div>', ["Only article"]),
+    ('<div class="widget"><p>Most of the text stands in here</p></div><p>Few</p>', ["Most of the text stands in here", "Few"]),
+    # what the same words mark elsewhere
+    ('<article><p>Text</p><div class="share-buttons">Share</div><div class="adBox">Buy</div><p class="notice">Old</p></article><div class="cookie-banner">Accept</div>', ["Text"]),
+    ('<article><p>Short</p></article><section class="comments"><article class="comment"><p>A far longer remark of a reader</p></article></section>', ["Short"]),
+    ('<p>A story without any article element</p><div class="reader-comments"><p>First</p></div>', ["A story without any article element"]),
+    ('<div class="sidebar-left"><p>Links and more links than text</p></div><article><p>Brief</p></article>', ["Brief"]),
+])
+def test_names_drop_whole_names_only(source, want):
+    assert plain_blocks(source) == want
+
+
+@pytest.mark.parametrize("unit", ["</div>", "</i>", "<a ", "<div>", "<b>", "<script ", "<!", "<a \"", "<li><ul>", "<p><b>", "<td>", "</p>"])
+def test_long_pages_of_broken_tags_take_seconds(unit):
+    """A megabyte of stray, endless or deep tags is read in time that grows with its length."""
+    import time
+
+    start = time.time()
+    got = plain_blocks("<p>Start</p>" + unit * (1_000_000 // len(unit)) + "<p>End of it</p>")
+    assert time.time() - start < 30
+    assert "".join(got).startswith("Start")
 
 
 def test_site_templates_are_removed(spark):
     """Blocks that recur on a host's pages go, other hosts keep theirs; copies of one page count once."""
-    frame = "<body><div><p>Welcome to our site</p></div><div><p>{}</p></div><p>Call us today</p></body>"
+    frame = "<body><div><p>Welcome to our site</p></div><div><p>{}</p></div><div><p>Call us today</p></div></body>"
     pages = [(i, f"http://a.org/{i}", frame.format(f"Story number {i} about things")) for i in range(8)]
     pages += [(100 + i, f"http://b.org/{i}", frame.format("the same story")) for i in range(8)]
     pages += [(200, None, frame.format("x")), (201, "http://a.org/n", None), (202, "http://a.org/e", ""), (0, "http://a.org/0", pages[0][2])]
