@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from cermetry.functions import composition as C
 from cermetry.functions import constants as K
 from cermetry.functions import physics as P
-from cermetry.functions.common import pinned, r6
+from cermetry.functions.common import pinned, r6, scalars
 from cermetry.operators import documents as D
 from cermetry.operators import ml
 from cermetry.operators import physics as O
@@ -198,10 +198,12 @@ def toughness_model(spark, sf):
 
 
 def design_tasks_of(spark, sf):
-    """Design requests: a hardness and a toughness range per region."""
-    return B.table(spark, sf, "region").selectExpr(
-        "r_name AS task", "CAST(1000 + r_regionkey * 150 AS DOUBLE) AS hv_min", "CAST(1300 + r_regionkey * 150 AS DOUBLE) AS hv_max",
-        "CAST(8 + r_regionkey AS DOUBLE) AS kic_min", "CAST(12 + r_regionkey AS DOUBLE) AS kic_max")
+    """Design requests: per region a hardness range and a least toughness, set from the known alloys' means and deviations."""
+    known = scalars(solutions(spark, sf).agg(*[f(c).alias(f"{n}_{c}") for c in ("hv", "kic") for n, f in (("mean", F.avg), ("dev", F.stddev_pop))]))
+    low = known["mean_hv"] + (F.col("r_regionkey") / 4 - 1) * known["dev_hv"]
+    return B.table(spark, sf, "region").select(
+        F.col("r_name").alias("task"), low.alias("hv_min"), (low + 1.5 * known["dev_hv"]).alias("hv_max"),
+        (known["mean_kic"] - known["dev_kic"] / 2).alias("kic_min"), (known["mean_kic"] + 3 * known["dev_kic"]).alias("kic_max"))
 
 
 @query("i15_archive_search")
