@@ -9,7 +9,7 @@ from cermetry.operators import boosting, ml
 from cermetry.operators.boosting import Model, single_tree
 from cermetry.plans import bridge as B
 from cermetry.plans.features import MATRIX, alloy_matrix
-from cermetry.plans.physics import rd
+from cermetry.plans.physics import _PROC, BASE, MEANS, PAIRS, rd
 from cermetry.plans.registry import query
 from cermetry.session import cut_lineage, shared_dir
 from cermetry.operators.features import folds, hash_bucket
@@ -51,6 +51,17 @@ def h1(spark, sf):
     return _evaluate(("linear", "ridge", "lasso"), alloy_matrix(spark, sf))
 
 
+@query("h1_line_fit", f"""WITH {PV}, t AS (SELECT CAST(kic AS DOUBLE) AS kic, hv FROM properties WHERE hv IS NOT NULL)
+SELECT count(*) AS n, {rd('regr_slope(hv, kic)', 'slope', 5)}, {rd('regr_intercept(hv, kic)', 'intercept', 4)}, {rd('regr_r2(hv, kic)', 'r2')} FROM t""")
+def h1b(spark, sf):
+    """One feature by least squares, which has a closed form."""
+    p = B.view(spark, sf, "properties").where("hv IS NOT NULL").select("exp_id", "kic", "hv")
+    model = ml.pipeline("regression", "linear", ["kic"], "hv").fit(p)
+    line = model.stages[-1]
+    m = ml.regression_metrics(model.transform(p), "hv", "prediction")
+    return m.select("n", r6(F.lit(float(line.coefficients[0])), 5).alias("slope"), r6(F.lit(float(line.intercept)), 4).alias("intercept"), r6("r2").alias("r2"))
+
+
 @query("h2_trees")
 def h2(spark, sf):
     return _evaluate(("tree", "forest"), alloy_matrix(spark, sf), forest={"numTrees": 100})
@@ -212,6 +223,52 @@ def h16b(spark, sf):
     return ml.train_test_gap(m, "alloy_id", ml.pipeline("regression", "tree", MATRIX, "hv"), "hv")
 
 
+_STUMP = f"""WITH {BASE}, {MEANS}, {PAIRS}, {_PROC}, r AS (SELECT alloy_id, binder_pct AS x, hv AS y, CAST(floor({B.uni('alloy_id', 0)} * 5) AS INT) AS fold FROM he JOIN alloys USING (alloy_id)),
+f AS (SELECT DISTINCT fold FROM r), tr AS (SELECT f.fold AS left_out, x, y FROM r JOIN f ON r.fold <> f.fold), v AS (SELECT DISTINCT x AS cut FROM r),
+g AS (SELECT left_out, cut, avg(CASE WHEN x <= cut THEN y END) AS lo, avg(CASE WHEN x > cut THEN y END) AS hi,
+  pow(sum(CASE WHEN x <= cut THEN y END), 2) / count(CASE WHEN x <= cut THEN 1 END) + pow(sum(CASE WHEN x > cut THEN y END), 2) / count(CASE WHEN x > cut THEN 1 END) AS gain FROM tr, v GROUP BY ALL HAVING count(CASE WHEN x > cut THEN 1 END) > 0 AND count(CASE WHEN x <= cut THEN 1 END) > 0),
+b AS (SELECT left_out, arg_max(cut, gain) AS cut, arg_max(lo, gain) AS lo, arg_max(hi, gain) AS hi FROM g GROUP BY left_out)"""
+
+
+@query("h16_stump_folds", f"""{_STUMP} SELECT alloy_id, fold, {rd('y', 'target')}, {rd('CASE WHEN x <= cut THEN lo ELSE hi END', 'prediction')} FROM r JOIN b ON fold = left_out""")
+def h16c(spark, sf):
+    """Out-of-fold predictions of trees with one split of one feature, which SQL can restate."""
+    stump = single_tree("stump", depth=1)
+    oof = ml.across_folds(alloy_matrix(spark, sf), "alloy_id", ["binder_pct"], "hv", [stump], 5)
+    return oof.select(F.col("key").alias("alloy_id"), "fold", r6("target").alias("target"), r6("prediction").alias("prediction"))
+
+
+def _round_sql(name, source, y):
+    """One boosting round of a stump over ``x``: cut and steps of both sides (rate 0.3, squares shrunk by one row)."""
+    side = lambda c: (f"coalesce(sum(CASE WHEN x {c} cut THEN {y} END), 0)", f"(count(CASE WHEN x {c} cut THEN 1 END) + 1e0)")
+    (sl, nl), (sr, nr) = side("<="), side(">")
+    return (f"{name}_g AS (SELECT cut, 3e-1 * {sl} / {nl} AS lo, 3e-1 * {sr} / {nr} AS hi, pow({sl}, 2) / {nl} + pow({sr}, 2) / {nr} AS gain FROM {source}, v GROUP BY cut HAVING count(CASE WHEN x > cut THEN 1 END) > 0), "
+            f"{name} AS (SELECT arg_max(cut, gain) AS cut, arg_max(lo, gain) AS lo, arg_max(hi, gain) AS hi FROM {name}_g)")
+
+
+_TWO = f"""WITH {BASE}, {MEANS}, {PAIRS}, {_PROC}, r AS (SELECT alloy_id, binder_pct AS x, hv AS y FROM he JOIN alloys USING (alloy_id)), v AS (SELECT DISTINCT x AS cut FROM r),
+m AS (SELECT avg(y) AS m FROM r), r0 AS (SELECT alloy_id, x, y - m AS e, y, m FROM r, m), {_round_sql('a', 'r0', 'e')},
+r1 AS (SELECT alloy_id, x, y, m, e, e - CASE WHEN x <= cut THEN lo ELSE hi END AS e1, CASE WHEN x <= cut THEN lo ELSE hi END AS s1 FROM r0, a), {_round_sql('b', 'r1', 'e1')},
+r2 AS (SELECT *, CASE WHEN x <= cut THEN lo ELSE hi END AS s2 FROM r1, b)"""
+_STUMPS = {"rounds": 2, "rate": 0.3, "depth": 1, "l2": 1.0}
+
+
+@query("h3_two_rounds", f"{_TWO} SELECT alloy_id, {rd('m + s1 + s2', 'prediction')} FROM r2")
+def h3b(spark, sf):
+    """Two boosting rounds of one split each, which SQL can restate."""
+    table, _ = boosting.binned(alloy_matrix(spark, sf), "alloy_id", ["binder_pct"], ["hv"])
+    scored = boosting.predictions(table, [Model("stumps", **_STUMPS)])
+    return scored.select(F.col("key").alias("alloy_id"), r6("prediction").alias("prediction"))
+
+
+@query("h22_stump_effect", f"""{_TWO}, w AS (SELECT sum(e) / (count(*) + 1) AS root0, sum(e1) / (count(*) + 1) AS root1 FROM r1),
+c AS (SELECT x, s1 + s2 - 3e-1 * (root0 + root1) AS part FROM r2, w) SELECT 'binder_pct' AS feature, {rd('avg(abs(part))', 'contribution')}, CAST(sign(covar_pop(x, part)) AS DOUBLE) AS direction FROM c""")
+def h22b(spark, sf):
+    """Mean contribution and direction of the one feature of two rounds, which SQL can restate."""
+    found = ml.feature_effects(alloy_matrix(spark, sf), "alloy_id", ["binder_pct"], "hv", Model("stumps", **_STUMPS))
+    return found.withColumn("contribution", r6("contribution"))
+
+
 @query("h17_learning_curve")
 def h17(spark, sf):
     m = alloy_matrix(spark, sf)
