@@ -70,7 +70,6 @@ INSIDE = r"(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+"
 TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|iframe)\b{INSIDE}>.*?(?:</\1\s*>|\Z)"
                    rf"|<(/?)([a-z][^\s/<>]*)({INSIDE})>|<[!?/][^<>]*>", re.I | re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
-SPACE = re.compile(r"\s+")
 
 
 def digest(text):
@@ -129,6 +128,9 @@ class Page:
                 self.open(tag, m[4])
         if at < len(source):
             self.items[self.stack[-1]].append(source[at:])
+        # texts with white space as single blanks, and how many other characters a node has of its own
+        self.clean = [[" ".join(t.split()) if isinstance(t, str) else t for t in items] for items in self.items]
+        self.own = [sum([len(t) - t.count(" ") for t in items if isinstance(t, str)]) for items in self.clean]
 
     def open(self, tag, attributes):
         if tag == "br":
@@ -173,13 +175,11 @@ class Page:
 
     def sizes(self, gone):
         """Characters other than white space per node, without the nodes in ``gone`` and below."""
-        out = [0] * len(self.tags)
+        out = list(self.own)
         for n in range(len(self.tags) - 1, -1, -1):
             if n in gone or self.reasons[n] == STRUCTURE:
                 out[n] = 0
-                continue
-            out[n] += sum(len(t) - sum(map(len, SPACE.findall(t))) for t in self.items[n] if isinstance(t, str))
-            if n:
+            elif n:
                 out[self.parents[n]] += out[n]
         return out
 
@@ -243,9 +243,9 @@ class Page:
         parts_of = set(self.parts)
         for n in range(len(self.tags) - 1, 0, -1):
             body, whole = [], self.tags[n] not in ("article", "main") or self.reasons[n] == STRUCTURE
-            for t in self.items[n]:
+            for t in self.clean[n]:
                 if isinstance(t, str):
-                    body.append(SPACE.sub(" ", t))
+                    body.append(t)
                 elif t is not None:
                     whole = whole and parts[t] is not None
                     body.append(parts[t] or "")
@@ -270,7 +270,7 @@ class Page:
 
         def flush(node, heading):
             if buffer:
-                text = SPACE.sub(" ", html.unescape("".join(buffer))).strip()
+                text = " ".join(html.unescape("".join(buffer)).split())
                 buffer.clear()
                 if text:
                     out.append((text, self.articles[node] > 0, heading))
@@ -303,13 +303,16 @@ class Page:
         return own or found
 
     def core(self):
-        """Names what the page says: its main text, so that copies of one page count once."""
-        return digest("\n".join(t for t, _, _ in self.main()))
+        """Names what the page says: the texts of its main part, so that copies of one page count once."""
+        kept = [n for n in range(len(self.tags)) if not self.lost[n] and (self.inner[n] or not self.whole)]
+        return digest("\n".join(t for n in kept for t in self.clean[n] if isinstance(t, str)))
 
 
 def text_blocks(source, templates, salt):
     """Blocks of a page without its templates; a part of which only headings would be left stays whole."""
     page = Page(source)
+    if not len(templates):
+        return [t for t, _, _ in page.settle().main()]
     hits = [n for n, mark in page.marks(salt).items() if mark in templates]
     if not hits:
         return [t for t, _, _ in page.main()]
@@ -327,6 +330,9 @@ class Sorted:
     def __init__(self, raw):
         self.values = array("q", raw)
 
+    def __len__(self):
+        return len(self.values)
+
     def __contains__(self, mark):
         i = bisect_left(self.values, mark)
         return i < len(self.values) and self.values[i] == mark
