@@ -48,9 +48,21 @@ def shared_dir(spark, name):
 def cut_lineage(df, name="stage"):
     """Write ``df`` to the shared folder and read it back, so that a lost
     executor costs a re-read rather than a recomputation."""
-    path = shared_dir(df.sparkSession, name)
+    spark = df.sparkSession
+    path = shared_dir(spark, name)
+    spark._cermetry_stages = [*getattr(spark, "_cermetry_stages", []), path]
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_stages(spark):
+    """Delete the intermediate results that ``cut_lineage`` has written in this session, and
+    return their number.  For when the results that read them are written themselves."""
+    stages, spark._cermetry_stages = getattr(spark, "_cermetry_stages", []), []
+    for path in stages:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    return len(stages)
 
 
 def broadcast_bytes(df):

@@ -152,3 +152,18 @@ def test_codes_and_group_folds_with_nulls_and_ties(spark):
     assert {r.id: r.fold for r in G.group_folds(df, "c").collect()} == {1: 3, 2: 2, 3: 0, 4: 3, 5: 4, 6: 1}
     assert {r.id: r.fold for r in G.group_folds(df.where("c is not null"), "c").collect()} == {1: 2, 2: 1, 4: 2, 5: 3, 6: 0}
     assert G.label_encode(df.limit(0), "c", "code").count() == 0
+
+
+def test_stages_are_dropped_on_demand(tmp_path):
+    """In a session object of its own, so that other tests keep their stages."""
+    import os
+
+    from pyspark.sql import SparkSession
+
+    from cermetry.session import cut_lineage, drop_stages
+
+    own = SparkSession.getActiveSession().newSession()
+    own._cermetry_dir = str(tmp_path)
+    one, two = cut_lineage(own.range(3), "one"), cut_lineage(own.range(4), "two")
+    assert one.count() + two.count() == 7 and len(os.listdir(tmp_path)) == 2
+    assert drop_stages(own) == 2 and os.listdir(tmp_path) == [] and drop_stages(own) == 0
