@@ -154,16 +154,14 @@ def test_codes_and_group_folds_with_nulls_and_ties(spark):
     assert G.label_encode(df.limit(0), "c", "code").count() == 0
 
 
-def test_stages_are_dropped_on_demand(tmp_path):
+def test_stages_are_dropped_on_demand(spark):
     """In a session object of its own, so that other tests keep their stages."""
     import os
 
-    from pyspark.sql import SparkSession
-
     from cermetry.session import cut_lineage, drop_stages
 
-    own = SparkSession.getActiveSession().newSession()
-    own._cermetry_dir = str(tmp_path)
+    own = spark.newSession()
     one, two = cut_lineage(own.range(3), "one"), cut_lineage(own.range(4), "two")
-    assert one.count() + two.count() == 7 and len(os.listdir(tmp_path)) == 2
-    assert drop_stages(own) == 2 and os.listdir(tmp_path) == [] and drop_stages(own) == 0
+    folders = [p.removeprefix("file:") for p in own._cermetry_stages]
+    assert one.count() + two.count() == 7 and len(folders) == 2 and all(map(os.path.isdir, folders))
+    assert drop_stages(own) == 2 and not any(map(os.path.exists, folders)) and drop_stages(own) == 0
