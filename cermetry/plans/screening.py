@@ -143,7 +143,8 @@ def i11b(spark, sf):
     c = S.bounded_candidates(_ids(spark, sf), "cid").withColumns({
         "ceramic": F.lit("WC"), "energy": S.between("cid", 30, -0.6, 0.3), "volume": S.between("cid", 31, 10.0, 13.0),
         "moment": S.between("cid", 32, 0.0, 2.0), "bulk": S.between("cid", 33, 120.0, 280.0), "shear": S.between("cid", 34, 50.0, 130.0)})
-    c = O.inject_features(c, energy="energy", volume="volume", moment="moment", repeated=False).withColumn("pugh", P.pugh("bulk", "shear"))
+    # stored, so that the drawn formula is not drawn anew for every feature; no text repeats, so nothing is shuffled
+    c = O.inject_features(cut_lineage(c, "candidates"), energy="energy", volume="volume", moment="moment", repeated=False).withColumn("pugh", P.pugh("bulk", "shear"))
     return S.screening_funnel(c, "recipe_id").select("recipe_id", "formula", "score", "lattice_mismatch", "vec_binder")
 
 
