@@ -13,8 +13,8 @@ SF = "/root/testdata/sf0.001"
 SAMPLE = (
     "a6_keyed_json_library", "b4_merge_columns", "b12_composition_checks", "c10_parse_cascade", "c11_implicit_amounts",
     "c16_standard_strings", "d5_mixing_enthalpy", "d23_binder_physics", "d35_property_statistics", "d41_inject_features",
-    "e1_training_data", "e6_work_list", "e19_lowest_energy", "f5_describe", "f16_correlation_wide", "f19_duplicates",
-    "f39_running_best", "g2_two_phase_maps", "g4_spearman_matrix", "h8_classification_report", "h12_blend_sweep",
+    "e1_training_data", "e2_full_export", "e6_work_list", "e7_page_rows", "e9_stored_record", "e12_stored_intake", "e13_stored_upsert", "e19_lowest_energy", "f5_describe", "f16_correlation_wide", "f19_duplicates",
+    "f39_running_best", "g2_two_phase_maps", "g4_spearman_matrix", "g10_label_encoding", "h3_two_rounds", "h8_classification_report", "h16_stump_folds", "h22_stump_effect", "h12_blend_sweep",
     "i2_bounded_candidates", "i13_pareto_front", "i16_design_tasks", "j1_property_mentions",
 )
 
