@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from cermetry.llm.bpe import space_chunks
 from cermetry.llm.store import pieces, stored, with_id
+from cermetry.operators.ordering import quantiles
 
 START = "▁"
 SMOOTHING = 0.1
@@ -153,28 +154,27 @@ def probabilities(counts):
 
 
 def sampled(rows, per_language, lang_col, text_col, key):
-    """About ``per_language`` rows (lang, text) of each language, chosen by a hash, and the languages in order."""
+    """About ``per_language`` rows (lang, text) of each language, chosen by a hash (None: all rows), and the languages in order."""
     own = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), (key if key is not None else F.col(text_col)).alias("pick"))
     own = own.where("lang is not null and text is not null")
-    share = {r["lang"]: per_language / r["n"] for r in own.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    share = {r["lang"]: (per_language or 0) / r["n"] for r in own.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     langs = sorted(share)
-    if not langs:
+    if not langs or per_language is None:
         return own.select("lang", "text"), langs
     chance = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(min(1.0, share[k])))])[F.col("lang")]
     return own.where(F.pmod(F.xxhash64("pick"), F.lit(1 << 30)) < chance * F.lit(1 << 30)).select("lang", "text"), langs
 
 
-def usual_rates(rows, model, model_file, per_language=1500, lang_col="lang", text_col="text", key=None):
-    """Median ``rate`` of each language over labelled rows (chosen as for ``fit``) that are recognised."""
-    sample, _ = sampled(rows, per_language, lang_col, text_col, key)
-    found = identify(sample, model, model_file, id_col="lang").where("lang = lang_pred")
-    return {r["lang"]: r["rate"] for r in found.groupBy("lang").agg(F.median("rate").alias("rate")).collect()}
+def usual_rates(found, lang_col="lang"):
+    """Exact median ``rate`` of each language over all rows of ``identify`` that are recognised as labelled."""
+    right = found.where(F.col(lang_col).cast("string") == F.col("lang_pred")).select(F.col("lang_pred").alias("lang"), "rate")
+    return {r["lang"]: r["quantile"] for r in quantiles(right, ["lang"], [0.5], "rate").collect()}
 
 
 def fit(rows, model_file, rounds=3, per_language=1500, lang_col="lang", text_col="text", key=None):
     """Piece log probabilities per language: (languages in order, matrix).
 
-    About ``per_language`` rows of each language are used, chosen by a hash of
+    About ``per_language`` rows of each language (None: all) are used, chosen by a hash of
     ``key`` (default: the text; give one that differs between rows where texts
     may repeat very often); their whole texts count.  The model is the size
     of the vocabulary times the languages, whatever the input's size.

@@ -39,13 +39,13 @@ def language(spark, docs, sf_dir):
     The score compares the known languages with each other only; other languages
     and noise cost far more per character than a language's labelled texts.
     """
-    chosen = {"per_language": queries.LANGUAGE_ROWS, "key": F.xxhash64("doc_id", "text")}
-    model = langid.fit(docs, queries.PIECES, **chosen)
+    model = langid.fit(docs, queries.PIECES, per_language=None)
     if not model[0]:
         return docs
-    usual = langid.usual_rates(docs, model, queries.PIECES, **chosen)
+    # judged once: the bounds come from all labelled rows, and all rows are held against them
+    found = stored(langid.identify(whole_rows(docs), model, queries.PIECES, id_col="row"), "languages")
+    usual = langid.usual_rates(found.withColumn("lang", F.col("row.lang")))
     bound = F.create_map(*[x for k in model[0] for x in (F.lit(k), F.lit(FAR * usual.get(k, float("-inf"))))])[F.col("lang_pred")]
-    found = langid.identify(whole_rows(docs), model, queries.PIECES, id_col="row")
     return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= SURE) & (F.col("rate") >= bound)).select("row.*")
 
 

@@ -81,3 +81,19 @@ def test_extra_columns_stay(spark, tmp_path):
     docs = spark.read.parquet(f"{src}/documents.parquet").limit(60).selectExpr("*", "1 as row", "'x' as tails", "2 as id", "'y' as content")
     for name, stage in cp.STAGES[:-1]:
         assert stage(spark, docs, src).columns == docs.columns
+
+
+def test_languages_are_learned_and_bounded_by_all_labelled_rows(spark, monkeypatch):
+    from cermetry.llm import langid
+
+    docs = spark.createDataFrame(
+        [(i, f"the water was cold {i % 7} and dark" if i % 2 else f"das wasser war kalt {i % 5} und dunkel", "en" if i % 2 else "de") for i in range(40)] + [(40, "qqq zzz", "en"), (41, None, None)],
+        "doc_id long, text string, lang string")
+    asked, judged = [], []
+    fit, usual = langid.fit, langid.usual_rates
+    monkeypatch.setattr(langid, "fit", lambda rows, *a, **k: asked.append(k["per_language"]) or fit(rows, *a, **k))
+    monkeypatch.setattr(langid, "usual_rates", lambda found, *a, **k: judged.append(found.count()) or usual(found, *a, **k))
+    kept = {r.doc_id for r in cp.language(spark, docs, None).collect()}
+    assert asked == [None] and judged == [42] and kept >= set(range(40)) and 41 not in kept
+    found = spark.createDataFrame([("a", "a", -1.0), ("a", "a", -2.0), ("a", "a", -5.0), ("a", "b", -9.0), ("b", "b", -3.0), ("b", "b", -4.0), (None, "b", -8.0)], "lang string, lang_pred string, rate double")
+    assert langid.usual_rates(found) == {"a": -2.0, "b": -3.5}
