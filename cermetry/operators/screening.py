@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from cermetry.functions import composition as C
 from cermetry.functions import constants as K
-from cermetry.functions.common import col, scalars, uniform
+from cermetry.functions.common import col, pinned, scalars, uniform, uniforms
 from cermetry.operators.ordering import skyline
 from cermetry.operators.physics import screening_score
 from cermetry.session import checked_broadcast, cut_lineage
@@ -14,45 +14,70 @@ def between(key, stream, lo, hi, seed=42):
     return lo + (hi - lo) * uniform(key, stream, seed)
 
 
+def drawn_shares(df, draws, scale=None):
+    """``df`` with ``composition`` and the pinned columns ``_share0``, ``_share1``, ...: shares of one
+    drawn value per element, times ``scale``; NULL when the draws are NULL or their total is not positive."""
+    df = df.withColumns({f"_value{i}": pinned(v) for i, v in enumerate(draws.values())})
+    whole = F.lit(0.0)
+    for i in range(len(draws)):
+        whole = whole + F.coalesce(F.col(f"_value{i}"), F.lit(0.0))
+    df = df.withColumn("_whole", pinned(whole))
+    share = lambda i: F.when(F.col("_whole") > 0, F.col(f"_value{i}") / F.col("_whole"))
+    df = df.withColumns({f"_share{i}": pinned(share(i) if scale is None else share(i) * scale) for i in range(len(draws))})
+    pairs = F.create_map(*[x for i, e in enumerate(draws) for x in (F.lit(e), F.col(f"_share{i}"))])
+    return df.withColumn("composition", pinned(F.when(F.col("_whole") > 0, pairs))).drop("_whole", *[f"_value{i}" for i in range(len(draws))])
+
+
+def spanned(name, lo, hi):
+    """A drawn column stretched to a range, as ``between``."""
+    return lo + (hi - lo) * F.col(name)
+
+
 def dirichlet_candidates(df, key, elements=("Co", "Cr", "Fe", "Ni", "Mo"), ceramic="WC", ranges=None, seed=42):
     """Uniform process parameters and Dirichlet(1) shares for every row id."""
     r = {"sinter_temp": (1300, 1600), "grain_size": (0.5, 3.0), "binder_wt_pct": (5, 30), **(ranges or {})}
-    draws = F.create_map(*[x for i, e in enumerate(elements) for x in (F.lit(e), -F.ln(uniform(key, 10 + i, seed)))])
-    wt = between(key, 2, *r["binder_wt_pct"], seed)
-    return df.withColumns({
-        "ceramic": F.lit(ceramic), "ceramic_wt_pct": 100 - wt, "binder_wt_pct": wt,
-        "sinter_temp_c": between(key, 0, *r["sinter_temp"], seed), "grain_size_um": between(key, 1, *r["grain_size"], seed),
-        "composition": C.share_map(draws),
-    })
-
-
-def one_decimal(v):
-    tenths = F.rint(v * 10).cast("bigint")
+    draws = {f"_u{i}": i for i in (0, 1, 2, *range(10, 10 + len(elements)))}
+    df = uniforms(df, key, draws, seed)
+    wt = spanned("_u2", *r["binder_wt_pct"])
+    df = df.withColumns({
+        "ceramic": F.lit(ceramic), "ceramic_wt_pct": pinned(100 - wt), "binder_wt_pct": pinned(wt),
+        "sinter_temp_c": pinned(spanned("_u0", *r["sinter_temp"])), "grain_size_um": pinned(spanned("_u1", *r["grain_size"]))})
+    df = drawn_shares(df, {e: -F.ln(F.col(f"_u{10 + i}")) for i, e in enumerate(elements)})
+    return df.drop(*draws, *[f"_share{i}" for i in range(len(elements))])
+
+
+def one_decimal(tenths):
+    """Text of a number of tenths."""
     return F.concat(((tenths - tenths % 10) / 10).cast("bigint").cast("string"), F.lit("."), (tenths % 10).cast("string"))
 
 
 def bounded_candidates(df, key, space=K.ELEMENT_SPACE, seed=42):
     """Shares within element bounds, scaled to 100; traces left out of the text."""
-    raw = F.create_map(*[x for i, (e, (lo, hi)) in enumerate(space.items()) for x in (F.lit(e), between(key, 10 + i, lo, hi, seed))])
-    df = df.withColumn("composition", F.transform_values(C.share_map(raw), lambda _, v: v * 100))
-    text = F.array_join(F.transform(
-        F.filter(F.map_entries("composition"), lambda e: e["value"] > 0.1),
-        lambda e: F.concat(e["key"], one_decimal(e["value"]))), "")
+    draws = {f"_u{i}": i for i in (0, 1, 2, *range(10, 10 + len(space)))}
+    df = uniforms(df, key, draws, seed)
+    df = drawn_shares(df, {e: spanned(f"_u{10 + i}", lo, hi) for i, (e, (lo, hi)) in enumerate(space.items())}, 100)
+    shares = {e: f"_share{i}" for i, e in enumerate(space)}
+    df = df.withColumns({f"{s}_text": pinned(F.when(F.col(s) > 0.1, F.rint(F.col(s) * 10).cast("bigint"))) for s in shares.values()})
+    df = df.withColumns({f"{s}_text": pinned(F.concat(F.lit(e), one_decimal(F.col(f"{s}_text")))) for e, s in shares.items()})
+    text = F.when(F.col("composition").isNotNull(), F.concat_ws("", *[F.col(f"{s}_text") for s in shares.values()]))
     return df.withColumns({
-        "recipe_id": F.format_string("VR_%06d", col(key)), "formula": text,
-        "wc_content": between(key, 0, 85, 95, seed), "sinter_temp_c": between(key, 1, 1350, 1450, seed),
-        "grain_size_um": between(key, 2, 0.5, 2.0, seed),
-    })
+        "recipe_id": F.format_string("VR_%06d", col(key)), "formula": pinned(text),
+        "wc_content": pinned(spanned("_u0", 85, 95)), "sinter_temp_c": pinned(spanned("_u1", 1350, 1450)),
+        "grain_size_um": pinned(spanned("_u2", 0.5, 2.0)),
+    }).drop(*draws, *shares.values(), *[f"{s}_text" for s in shares.values()])
 
 
 def subset_candidates(df, key, elements, low=4, high=6, seed=42):
     """A random subset of ``low`` to ``high`` elements with normalised shares."""
-    k = (F.floor(uniform(key, 0, seed) * (high - low + 1)) + low).cast("int")
+    draws = {"_u0": 0, **{f"_{c}{i}": base + i for i in range(len(elements)) for c, base in (("t", 20), ("v", 60))}}
+    df = uniforms(df, key, draws, seed)
+    k = (F.floor(F.col("_u0") * (high - low + 1)) + low).cast("int")
     tickets = F.sort_array(F.array(*[
-        F.struct(uniform(key, 20 + i, seed).alias("t"), F.lit(e).alias("e"), uniform(key, 60 + i, seed).alias("v"))
-        for i, e in enumerate(elements)]))
-    entries = F.transform(F.slice(tickets, 1, k), lambda x: F.struct(x["e"], x["v"]))
-    return df.withColumn("composition", C.share_map(F.map_from_entries(entries)))
+        F.struct(F.col(f"_t{i}").alias("t"), F.lit(e).alias("e"), F.col(f"_v{i}").alias("v")) for i, e in enumerate(elements)]))
+    # pinned, so that each is worked out once a row however often it is read
+    df = df.withColumn("_tickets", pinned(F.slice(tickets, 1, k)))
+    entries = F.transform("_tickets", lambda x: F.struct(x["e"], x["v"]))
+    return df.withColumn("composition", pinned(C.share_map(F.map_from_entries(entries)))).drop(*draws, "_tickets")
 
 
 # ---------------------------------------------------------------- filters

@@ -134,3 +134,36 @@ def test_injection_in_place_equals_injection_once_per_text(spark):
     a = bridge.view(spark, "/root/testdata/sf0.001", "alloys")
     rows = lambda d: sorted(map(str, d.select(*sorted(d.columns)).collect()))
     assert rows(O.inject_features(a)) == rows(O.inject_features(a, repeated=False))
+
+
+def _optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_draws_as_columns_equal_the_expression(spark):
+    from cermetry.functions.common import uniform, uniforms
+
+    df = spark.createDataFrame([(k,) for k in (None, 0, 1, -1, -2**40, 2147483647, 2**62, 10**15 + 7)], "cid long")
+    got = uniforms(df, "cid", {"u0": 0, "u7": 7}, 5).select("u0", "u7", uniform("cid", 0, 5).alias("w0"), uniform("cid", 7, 5).alias("w7")).collect()
+    assert len(got) == 8 and all(r.u0 == r.w0 and r.u7 == r.w7 for r in got) and sum(r.u0 is None for r in got) == 1
+
+
+def test_candidates_are_drawn_once_a_row(spark):
+    """A filter for the exploded map, or a second reader of the shares, repeats nothing."""
+    from cermetry.operators import features as G
+
+    ids = spark.range(10).withColumnRenamed("id", "cid")
+    subset = S.subset_candidates(ids, "cid", ("Co", "Cr", "Fe", "Ni", "Mo", "Ti")).select("cid", F.explode("composition").alias("el", "share"))
+    assert _optimized(subset).count("sort_array(") == 1
+    dirichlet = S.dirichlet_candidates(ids, "cid").select(F.map_keys("composition"), F.map_values("composition"), "composition").where("size(composition) > 0")
+    assert _optimized(dirichlet).lower().count("ln(") == 5
+    maps = ids.select("cid", *[F.create_map(F.lit("a"), F.rand(1)).alias(c) for c in ("c", "b")], F.lit(40.0).alias("f"))
+    assert _optimized(G.two_phase_maps(maps, "c", "b", "f", "f", "f")).count("array_intersect(") == 1
+
+
+def test_sessions_leave_no_method_to_the_interpreter(spark):
+    from cermetry.plans import bridge
+
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", 65535)
+    bridge.table(spark, "/root/testdata/sf0.001", "region")
+    assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) == 8000
