@@ -24,14 +24,19 @@ def composition_columns(df, id_col="exp_id", text="raw_composition", hea="strict
     return composition_record(ok, id_col, text, hea)
 
 
-def composition_record(ok, id_col="exp_id", text="raw_composition", hea="strict"):
-    """The composition record of rows that hold a ``parsed`` struct."""
+def composition_record(ok, id_col="exp_id", text="raw_composition", hea="strict", keep=()):
+    """The composition record of rows that hold a ``parsed`` struct.
+
+    ``keep`` may name ``rows``, the binder's elements with their constants, and ``rho_b``,
+    its density, for a caller that works on with them.
+    """
     from cermetry.functions import physics as P
 
     flag = C.hea_strict(F.col("binder")) if hea == "strict" else C.hea_by_name(text)
     return (
         ok.select(id_col, text, "parsed.*")
-        .withColumn("rho_b", P.alloy_density(P.element_rows(F.col("binder"))))
+        .withColumn("rows", P.element_rows(F.col("binder")))
+        .withColumn("rho_b", P.alloy_density(F.col("rows")))
         .select(
             id_col, "format", "binder",
             C.standard_text(F.col("binder"), one="1").alias("binder_formula"),
@@ -39,7 +44,7 @@ def composition_record(ok, id_col="exp_id", text="raw_composition", hea="strict"
             P.wt_to_vol("binder_wt_pct", "rho_b", P.ceramic_density("ceramic_formula")).alias("binder_vol_pct"),
             "ceramic_formula", "secondary_phase",
             (100 - F.col("binder_wt_pct")).alias("ceramic_wt_pct"),
-            flag.alias("is_hea"), F.size("binder").cast("bigint").alias("element_count"),
+            flag.alias("is_hea"), F.size("binder").cast("bigint").alias("element_count"), *keep,
         )
     )
 

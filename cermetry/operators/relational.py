@@ -13,15 +13,26 @@ from cermetry.sources import versions
 
 
 # ---------------------------------------------------------------- the star
-def feature_columns(compositions, proxies=None):
-    """The stored feature record per composition; surrogate outputs joined by id."""
+BINDER_FEATURES = ("vec_binder", "mean_atomic_radius", "binder_density", "mean_atomic_mass", "std_electronegativity")
+
+
+def binder_features(df):
+    """``df`` with ``BINDER_FEATURES`` in place of ``rows`` and ``rho_b`` (``composition_record``)."""
     r = F.col("rows")
-    out = compositions.select("exp_id", "ceramic_formula", P.element_rows(F.col("binder")).alias("rows"))
-    out = out.select(
-        "exp_id", P.vec_strict(r).alias("vec_binder"), P.weighted_or_null(r, "r").alias("mean_atomic_radius"),
-        P.alloy_density(r).alias("binder_density"), P.weighted_or_null(r, "mass").alias("mean_atomic_mass"),
-        P.chi_spread(r).alias("std_electronegativity"), "ceramic_formula",
-    )
+    values = (P.vec_strict(r), P.weighted_or_null(r, "r"), F.col("rho_b"), P.weighted_or_null(r, "mass"), P.chi_spread(r))
+    return df.select(*[c for c in df.columns if c not in ("rows", "rho_b")], *[v.alias(n) for n, v in zip(BINDER_FEATURES, values)])
+
+
+def feature_columns(compositions, proxies=None):
+    """The stored feature record per composition; surrogate outputs joined by id.
+
+    ``compositions`` may hold the columns of ``binder_features`` already.
+    """
+    out = compositions
+    if not set(BINDER_FEATURES) <= set(out.columns):
+        out = out.select("exp_id", "ceramic_formula", P.element_rows(F.col("binder")).alias("rows"))
+        out = binder_features(out.withColumn("rho_b", P.alloy_density(F.col("rows"))))
+    out = out.select("exp_id", *BINDER_FEATURES, "ceramic_formula")
     if proxies is not None:
         out = out.join(proxies, "exp_id", "left")
         out = out.withColumn("lattice_mismatch", P.relative_gap(
@@ -58,17 +69,18 @@ def store_intake(spark, root, batch, raw, properties, proxies):
     return versions.commit(spark, root, batch, intake(raw, properties, proxies))
 
 
-def store_star(star, spark, buckets=16):
+def store_star(star, spark, buckets=16, spread=()):
     """The star's tables written in ``buckets`` by ``exp_id``, sorted, to the shared folder.
 
     Joins of two such tables by ``exp_id`` need no exchange, and a given key reads
-    one bucket.  Choose ``buckets`` so that a bucket fits a task.
+    one bucket.  Choose ``buckets`` so that a bucket fits a task.  The tables named in
+    ``spread`` come with one partition per bucket and are written without an exchange.
     """
     out = {}
     for name, df in star.items():
         path = shared_dir(spark, name)
         table = "star_" + path.rsplit("/", 1)[1].replace("-", "_")
-        df.repartition(buckets, "exp_id").write.bucketBy(buckets, "exp_id").sortBy("exp_id").option("path", path).saveAsTable(table)
+        (df if name in spread else df.repartition(buckets, "exp_id")).write.bucketBy(buckets, "exp_id").sortBy("exp_id").option("path", path).saveAsTable(table)
         out[name] = spark.table(table)
     return out
 

@@ -43,17 +43,25 @@ _STORED = {}
 
 def stored_star(spark, sf):
     """The star in buckets by experiment, with the surrogate moduli as a fifth table.
-    Parsed and stored once per session and folder."""
+
+    Parsed and stored once per session and folder.  One pass over the parsed rows makes the
+    compositions and what features need of them; these meet the surrogates bucket by bucket.
+    """
     known = _STORED.get(sf)
     if known is None or known[0] is not spark:
         e = B.view(spark, sf, "experiments", heavy=True)
-        parsed = cut_lineage(parsing.parse_compositions(e.select("exp_id", "raw_composition")).where("parsed IS NOT NULL"), "parsed")
-        comps = cut_lineage(parsing.composition_record(parsed), "compositions")
-        feats = R.feature_columns(comps.where("exp_id % 5 <> 0"), B.view(spark, sf, "proxies").drop("pred_bulk_modulus", "pred_shear_modulus"))
+        buckets = max(16, 2 * spark.sparkContext.defaultParallelism)
+        parsed, _ = parsing.split_parsed(e.select("exp_id", "raw_composition"))
+        parsed = cut_lineage(parsed.withColumn("parsed", F.col("parsed").dropFields("ceramic", "needs_volume")), "parsed")
+        both = R.binder_features(parsing.composition_record(parsed, keep=("rows", "rho_b")).drop("binder", "format"))
+        # the shuffle into buckets spreads the experiments
+        tables = R.store_star({"experiments": B.view(spark, sf, "experiments"), "compositions": both, "properties": B.view(spark, sf, "properties"),
+                               "moduli": B.view(spark, sf, "proxies").select("exp_id", "pred_bulk_modulus", "pred_shear_modulus")}, spark, buckets)
+        both, proxies = tables["compositions"], B.view(spark, sf, "proxies").drop("pred_bulk_modulus", "pred_shear_modulus")
+        feats = R.feature_columns(both.where("exp_id % 5 <> 0"), proxies.repartition(buckets, "exp_id"))
         feats = feats.withColumn("has_full", F.expr("CASE exp_id % 3 WHEN 0 THEN true WHEN 1 THEN false END"))
-        tables = {"experiments": e, "compositions": comps.drop("binder", "format"), "properties": B.view(spark, sf, "properties"), "features": feats,
-                  "moduli": B.view(spark, sf, "proxies").select("exp_id", "pred_bulk_modulus", "pred_shear_modulus")}
-        known = _STORED[sf] = (spark, R.store_star(tables, spark))
+        tables |= R.store_star({"features": feats}, spark, buckets, ("features",))
+        known = _STORED[sf] = (spark, tables | {"compositions": both.drop(*R.BINDER_FEATURES)})
     return dict(known[1])
 
 

@@ -106,6 +106,33 @@ def test_star_joins_need_no_exchange(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_star_is_stored_without_second_exchanges(spark, tmp_path, monkeypatch):
+    """Compositions and binder features come from one stored pass, and features meet only
+    the surrogates through an exchange; the values are those of the unstored star."""
+    rows = spark.range(1, 3001).selectExpr(
+        "id AS o_orderkey", "id % 90 AS o_custkey", "'O' AS o_orderstatus", "CASE WHEN id % 13 = 0 THEN NULL ELSE id * 1.5D END AS o_totalprice",
+        "timestamp'1995-01-01 00:00:00' AS o_orderdate", "'1-URGENT' AS o_orderpriority")
+    rows.unionByName(rows.where("o_orderkey % 50 = 0")).write.parquet(f"{tmp_path}/orders.parquet")
+    writes, store = {}, R.store_star
+
+    def stored(star, *args):
+        writes.update({n: plan_of(df) for n, df in star.items()})
+        return store(star, *args)
+
+    monkeypatch.setattr(R, "store_star", stored)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        s = plans.stored_star(spark, str(tmp_path))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert writes["features"].count("Exchange hashpartitioning") <= 1 and "transform" not in writes["features"]
+    want = plans.star(spark, str(tmp_path))
+    assert set(s) == {*want, "moduli"}
+    for name, df in want.items():
+        assert s[name].columns == df.columns
+        assert sorted(map(str, s[name].collect())) == sorted(map(str, df.collect())), name
+
+
 @pytest.mark.parametrize("keys", [list(range(0, 90_000, 3)), [7] * 5000 + [9] * 5000, [-2**62, 5, 6, 2**62], []])
 def test_key_ranges_hold_the_page(spark, keys):
     frame = spark.createDataFrame([(k,) for k in keys], "k long").repartition(3)
