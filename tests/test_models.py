@@ -46,6 +46,32 @@ def test_stacking(frame):
     assert ml.regression_metrics(rows, "y", "prediction").first()["r2"] > 0.8
 
 
+def test_stages_before_the_model_are_fitted_once_a_fold(spark, monkeypatch):
+    """Base models share their fold's medians, and so do meta models of the same inputs; the
+    predictions are those of pipelines fitted whole, one fold after the other."""
+    from pyspark.sql import functions as F
+
+    from cermetry.operators.features import folds
+
+    rows = spark.range(400).selectExpr("id AS k", "CASE WHEN id % 7 = 0 THEN NULL ELSE id % 20 * 1D END AS a", "id % 11 * 1D AS b").withColumn("y", F.coalesce("a", F.lit(3.0)) * 2 - F.col("b"))
+    base = {n: ml.pipeline("regression", n, ["a", "b"], "y") for n in ("ridge", "lasso", "tree")}
+    assert ml.same_stages(base["ridge"], base["tree"]) and not ml.same_stages(base["ridge"], ml.pipeline("regression", "tree", ["b", "a"], "y"))
+    fits, fit = [], ml.Imputer._fit
+    monkeypatch.setattr(ml.Imputer, "_fit", lambda self, df: fits.append(1) or fit(self, df))
+    out = ml.base_predictions(rows, "k", base, ["a", "b"], "y", k=3)
+    assert len(fits) == 3
+    prepared = {}
+    for meta in ("ridge", "linear"):
+        assert ml.stacked_scores(out, "k", list(base), ["a", "b"], "y", meta, True, k=3, prepared=prepared).count() == 400
+    assert len(fits) == 6 and sorted(prepared) == [0, 1, 2]
+    marked, got = folds(rows, "k", 3, 42, "f"), {r.k: r for r in out.collect()}
+    assert len(got) == 400
+    for name, est in base.items():
+        for i in range(3):
+            for r in est.fit(marked.where(F.col("f") != i)).transform(marked.where(F.col("f") == i)).collect():
+                assert abs(got[r.k][f"oof_{name}"] - r.prediction) < 1e-6
+
+
 def test_blend_sweep_finds_the_better_model(spark):
     rng = np.random.default_rng(1)
     y = rng.normal(size=200)
