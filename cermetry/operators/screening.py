@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from cermetry.functions import composition as C
 from cermetry.functions import constants as K
 from cermetry.functions.common import col, pinned, scalars, uniform, uniforms
-from cermetry.operators.ordering import skyline
+from cermetry.operators.ordering import skyline, thinned
 from cermetry.operators.physics import screening_score
 from cermetry.session import checked_broadcast, cut_lineage
 
@@ -158,10 +158,10 @@ def range_penalty(c, lo, hi, weight):
 def penalised(df, m, hv, kic, hv_range, kic_range):
     """Objective columns ``obj_hv`` and ``obj_kic`` under the design targets; a
     composition out of bounds is rejected outright."""
-    bad = share_violation(m)
+    df = df.withColumn("violation", pinned(share_violation(m)))
+    bad = F.col("violation")
     penalty = bad + range_penalty(hv, *hv_range, 50) + range_penalty(kic, *kic_range, 2000)
     return df.withColumns({
-        "violation": bad,
         "obj_hv": F.when(bad > 0.1, -10000 - bad).otherwise(col(hv) - penalty),
         "obj_kic": F.when(bad > 0.1, -10000 - bad).otherwise(col(kic) - penalty),
     })
@@ -201,15 +201,22 @@ def around_members(df, key, members, elements, ranges, width, seed):
     df = df.join(F.broadcast(sizes), "task", "left")  # one row per task
     df = df.withColumn("_place", F.floor(uniform(key, 90, seed) * F.col("_of")).cast("long"))
     df = df.join(checked_broadcast(picked), ["task", "_place"], "left")
-    moved = F.create_map(*[x for i, e in enumerate(elements) for x in (
-        F.lit(e), F.coalesce(F.try_element_at("_m", F.lit(e)), F.lit(0.0)) * F.exp(width * (2 * uniform(key, 100 + i, seed) - 1)))])
-    near = {"composition": F.when(F.col("_m").isNotNull(), C.share_map(moved)).otherwise(F.col("composition"))}
+    draws = {**{f"_w{i}": 100 + i for i in range(len(elements))}, **{f"_s{i}": 140 + i for i in range(len(PROCESS))}}
+    df = uniforms(df, key, draws, seed)
+    # pinned steps, so that no share is worked out more than once a row
+    df = df.withColumns({f"_n{i}": pinned(F.coalesce(F.try_element_at("_m", F.lit(e)), F.lit(0.0)) * F.exp(width * (2 * F.col(f"_w{i}") - 1))) for i, e in enumerate(elements)})
+    whole = F.lit(0.0)
+    for i in range(len(elements)):
+        whole = whole + F.col(f"_n{i}")
+    df = df.withColumn("_whole", pinned(whole))
+    moved = F.create_map(*[x for i, e in enumerate(elements) for x in (F.lit(e), F.col(f"_n{i}") / F.col("_whole"))])
+    near = {"composition": pinned(F.when(F.col("_m").isNull(), F.col("composition")).when(F.col("_whole") > 0, moved))}
     for i, c in enumerate(PROCESS):
         lo, hi = ranges[c]
-        step = width * (hi - lo) * (uniform(key, 140 + i, seed) - 0.5)
-        near[c] = F.coalesce(F.greatest(F.lit(float(lo)), F.least(F.lit(float(hi)), F.col(f"_{c}") + step)), F.col(c))
+        step = width * (hi - lo) * (F.col(f"_s{i}") - 0.5)
+        near[c] = pinned(F.coalesce(F.greatest(F.lit(float(lo)), F.least(F.lit(float(hi)), F.col(f"_{c}") + step)), F.col(c)))
     df = df.withColumns(near).withColumn("ceramic_wt_pct", 100 - F.col("binder_wt_pct"))
-    return df.drop("_place", "_of", "_m", *[f"_{c}" for c in PROCESS])
+    return df.drop("_place", "_of", "_m", "_whole", *draws, *[f"_n{i}" for i in range(len(elements))], *[f"_{c}" for c in PROCESS])
 
 
 def archive_search(ids, tasks, evaluate, key="cid", elements=("Co", "Cr", "Fe", "Ni", "Mo"), ceramic="WC", rounds=4, width=1.0, seed=42):
@@ -221,15 +228,17 @@ def archive_search(ids, tasks, evaluate, key="cid", elements=("Co", "Cr", "Fe",
     first a Dirichlet draw, later a draw from a box around a member of its task's
     archive, half as wide each round.  Candidates are scored under their task's
     targets and merged with the archive, of which the Pareto front per task stays;
-    so a front never gets worse.  Rows: task, ``found`` (round), key, composition,
+    so a front never gets worse.  Every task of a round drops what
+    its own candidates dominate, so that few rows are stored.  Rows: task, ``found`` (round), key, composition,
     parameters, hv, kic, violation, obj_hv, obj_kic.
     """
     ranges = {"binder_wt_pct": (5, 30), "sinter_temp_c": (1300, 1600), "grain_size_um": (0.5, 3.0)}
     names = [r.task for r in tasks.select("task").distinct().orderBy("task").collect()]
     tasks = checked_broadcast(tasks)
+    ids = cut_lineage(ids.select(key), "ids")  # read in every round
     archives, archive = [], None
     for turn in range(rounds):
-        drawn = dirichlet_candidates(ids.select(key), key, elements, ceramic, {"sinter_temp": ranges["sinter_temp_c"], "grain_size": ranges["grain_size_um"], "binder_wt_pct": ranges["binder_wt_pct"]}, seed + turn)
+        drawn = dirichlet_candidates(ids, key, elements, ceramic, {"sinter_temp": ranges["sinter_temp_c"], "grain_size": ranges["grain_size_um"], "binder_wt_pct": ranges["binder_wt_pct"]}, seed + turn)
         pick = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(len(names))).cast("int")
         drawn = drawn.withColumn("task", F.element_at(F.array(*[F.lit(n) for n in names]), pick + 1))
         if archive is not None:
@@ -237,7 +246,8 @@ def archive_search(ids, tasks, evaluate, key="cid", elements=("Co", "Cr", "Fe",
             drawn = around_members(drawn, key, archive.withColumn("place", place.cast("long")), elements, ranges, width * 0.5 ** (turn - 1), seed + turn)
         scored = evaluate(drawn).join(tasks, "task").withColumn("found", F.lit(turn))
         scored = penalised(scored, "composition", "hv", "kic", (F.col("hv_min"), F.col("hv_max")), (F.col("kic_min"), F.col("kic_max")))
-        scored = cut_lineage(scored.select("task", "found", key, "composition", *PROCESS, "hv", "kic", "violation", "obj_hv", "obj_kic"), "scored")
+        scored = scored.select("task", "found", key, "composition", *PROCESS, "hv", "kic", "violation", "obj_hv", "obj_kic")
+        scored = cut_lineage(thinned(scored, "obj_hv", "obj_kic", ["task"]), "scored")
         merged = scored if archive is None else archive.unionByName(scored)
         archive = cut_lineage(skyline(merged, "obj_hv", "obj_kic", by=["task"]), "archive")
         archives.append(archive)

@@ -213,11 +213,11 @@ def i15b(spark, sf):
     hard, tough = hardness_model(spark, sf), toughness_model(spark, sf)
 
     def evaluate(c):
-        c = c.withColumn("pred_lattice_param", P.vegard_lattice(F.col("composition")))
-        kept = c.columns
-        x = hard.transform(O.hardness_vector(c, binder_vol="binder_wt_pct", composition="composition")).withColumnRenamed("prediction", "hv").select(*kept, "hv")
-        y = tough.transform(O.toughness_vector(x, binder_vol="binder_wt_pct", composition="composition"))
-        return y.withColumnRenamed("prediction", "kic").select(*kept, "hv", "kic")
+        kept = [*c.columns, "pred_lattice_param"]
+        x = O.hardness_vector(O.element_lattice(c, "composition", EL5), binder_vol="binder_wt_pct", composition="composition", elements=EL5)
+        x = x.select(*kept, pinned(ml.linear_prediction(hard, VECTOR)).alias("hv"))
+        y = O.toughness_vector(x, binder_vol="binder_wt_pct", composition="composition", elements=EL5)
+        return y.select(*kept, "hv", pinned(ml.linear_prediction(tough, KIC_VECTOR)).alias("kic"))
 
     archive = S.archive_search(_ids(spark, sf), design_tasks_of(spark, sf), evaluate)[-1]
     found = S.accepted(archive, "composition", "obj_hv", "obj_kic")

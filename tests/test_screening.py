@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from cermetry.operators import columns as B
 from cermetry.operators import documents as D
+from cermetry.operators import physics as O
 from cermetry.operators import relational as R
 from cermetry.operators import screening as S
 from cermetry.session import shared_dir
@@ -167,3 +168,61 @@ def test_sessions_leave_no_method_to_the_interpreter(spark):
     spark.conf.set("spark.sql.codegen.hugeMethodLimit", 65535)
     bridge.table(spark, "/root/testdata/sf0.001", "region")
     assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) == 8000
+
+
+def test_rows_left_by_each_task_hold_the_whole_front(spark, monkeypatch):
+    """Few rows are left, equal points all stay, and the front is that of all rows."""
+    from cermetry.operators import ordering
+
+    rows = spark.range(6000).selectExpr(
+        "id", "CASE WHEN id % 50 = 0 THEN NULL ELSE concat('g', id % 3) END AS g",
+        "CASE WHEN id % 41 = 0 THEN NULL WHEN id % 43 = 0 THEN CAST('NaN' AS DOUBLE) ELSE CAST(pmod(hash(id, 1), 80) AS DOUBLE) END AS x", "CAST(pmod(hash(id, 2), 90) AS DOUBLE) AS y").repartition(3)
+    rows = rows.unionByName(rows.where("id < 200"))
+    key = lambda df: sorted((r.id, r.g, r.x, r.y) for r in df.collect())
+    for by in (["g"], []):
+        want = key(ordering.skyline(rows, "x", "y", by))
+        assert len(want) > len(by) * 3
+        for held in (7, 100_000):
+            monkeypatch.setattr(ordering, "HELD_ROWS", held)
+            left = ordering.thinned(rows, "x", "y", by)
+            assert key(ordering.skyline(left, "x", "y", by)) == want and left.columns == rows.columns
+        assert left.count() < 300
+
+
+def test_features_of_known_elements_equal_those_of_maps(spark):
+    from cermetry.operators import ml
+    from cermetry.functions import physics as P
+    from cermetry.plans.screening import EL5, KIC_VECTOR, VECTOR
+
+    c = S.dirichlet_candidates(spark.range(40).selectExpr("CASE WHEN id > 0 THEN id * 7919 END AS cid"), "cid", EL5)
+    c = c.withColumn("composition", F.when(F.col("cid") != 7919, F.col("composition")))
+    maps = c.withColumn("pred_lattice_param", P.vegard_lattice(F.col("composition")))
+    flat = O.element_lattice(c, "composition", EL5)
+    args = {"binder_vol": "binder_wt_pct", "composition": "composition"}
+    for f, names in ((O.hardness_vector, VECTOR), (O.toughness_vector, KIC_VECTOR)):
+        want = f(maps, **args).select("cid", "pred_lattice_param", *names)
+        got = f(flat, elements=EL5, **args)
+        assert set(got.columns) == set(f(maps, **args).columns) and "transform" not in got._jdf.queryExecution().optimizedPlan().toString()
+        a, b = ({r.cid: tuple(r)[1:] for r in df.collect()} for df in (want, got.select("cid", "pred_lattice_param", *names)))
+        assert len(a) == 40 and a.keys() == b.keys() and all(b[k] == pytest.approx(v, rel=1e-12, nan_ok=True) if None not in v else b[k] == v for k, v in a.items())
+    x = O.hardness_vector(flat, elements=EL5, **args).withColumn("hv", 900 + 40 * F.col("norm2") + F.col("grain_um"))
+    model = ml.pipeline("regression", "ridge", VECTOR, "hv").fit(x.where("cid > 7919"))
+    both = model.transform(x).select("prediction", ml.linear_prediction(model, VECTOR, "own")).collect()
+    assert len(both) == 40 and all(r.own == pytest.approx(r.prediction, rel=1e-9) for r in both)
+
+
+def test_a_search_stores_few_candidates(spark, monkeypatch):
+    """A round keeps what may be on a front, not every candidate as a whole row."""
+    stored = {}
+    cut = S.cut_lineage
+
+    def counted(df, name="stage"):
+        out = cut(df, name)
+        stored[name] = max(stored.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(S, "cut_lineage", counted)
+    tasks = spark.createDataFrame([("a", 1000.0, 1e6, 0.0, 1e6), ("b", 1000.0, 1e6, 0.0, 1e6)], "task string, hv_min double, hv_max double, kic_min double, kic_max double")
+    evaluate = lambda c: c.withColumn("hv", 2000 * F.col("composition")["Mo"] + 1000).withColumn("kic", 20 - F.col("hv") / 100 + 5 * F.col("composition")["Co"])
+    S.archive_search(spark.range(3000).withColumnRenamed("id", "cid"), tasks, evaluate, rounds=2)
+    assert stored["ids"] == 3000 and 0 < stored["scored"] < 1000
