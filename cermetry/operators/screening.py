@@ -133,13 +133,15 @@ def screening_funnel(df, key, energy_limit=0.0, mismatch_limit=0.1, n=20):
     """Stability filter, interface filter with fallback, score, best ``n``.
 
     Expects pred_formation_energy, lattice_mismatch, pugh and
-    pred_magnetic_moment columns.  The stable rows are stored once, because the
-    fallback decision and the ranking both read them.
+    pred_magnetic_moment columns.  Rows within the mismatch limit are ranked before
+    all others, so that one pass that stores nothing finds the best ``n`` whether or not
+    there are any; ``interface_only`` then decides among these.
     """
-    stable = cut_lineage(stable_only(df, energy_limit), "stable")
-    kept = interface_only(stable, mismatch_limit)
-    scored = kept.withColumn("score", screening_score("pred_formation_energy", "lattice_mismatch", "pugh", "pred_magnetic_moment"))
-    return top(scored, "score", key, n)
+    fits = F.coalesce(F.abs(F.col("lattice_mismatch")) < mismatch_limit, F.lit(False))
+    stable = stable_only(df, energy_limit)
+    scored = stable.withColumn("score", screening_score("pred_formation_energy", "lattice_mismatch", "pugh", "pred_magnetic_moment"))
+    best = cut_lineage(scored.orderBy(fits.desc(), F.desc_nulls_last("score"), key).limit(n), "best")
+    return top(interface_only(best, mismatch_limit), "score", key, n)
 
 
 # ---------------------------------------------------------------- inverse design

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from cermetry.functions import composition as C
 from cermetry.functions import constants as K
 from cermetry.functions import physics as P
-from cermetry.functions.common import pinned, r6, scalars
+from cermetry.functions.common import pinned, r6, scalars, uniforms
 from cermetry.operators import documents as D
 from cermetry.operators import ml
 from cermetry.operators import physics as O
@@ -140,11 +140,11 @@ def i11(spark, sf):
 @query("i11_candidate_funnel")
 def i11b(spark, sf):
     """Bounded candidates through injection, filters and score to the best 20."""
-    c = S.bounded_candidates(_ids(spark, sf), "cid").withColumns({
-        "ceramic": F.lit("WC"), "energy": S.between("cid", 30, -0.6, 0.3), "volume": S.between("cid", 31, 10.0, 13.0),
-        "moment": S.between("cid", 32, 0.0, 2.0), "bulk": S.between("cid", 33, 120.0, 280.0), "shear": S.between("cid", 34, 50.0, 130.0)})
-    # stored, so that the drawn formula is not drawn anew for every feature; no text repeats, so nothing is shuffled
-    c = O.inject_features(cut_lineage(c, "candidates"), energy="energy", volume="volume", moment="moment", repeated=False).withColumn("pugh", P.pugh("bulk", "shear"))
+    drawn = {"energy": (30, -0.6, 0.3), "volume": (31, 10.0, 13.0), "moment": (32, 0.0, 2.0), "bulk": (33, 120.0, 280.0), "shear": (34, 50.0, 130.0)}
+    c = uniforms(S.bounded_candidates(_ids(spark, sf), "cid"), "cid", {f"_d_{n}": stream for n, (stream, _, _) in drawn.items()})
+    c = c.withColumns({"ceramic": F.lit("WC"), **{n: pinned(S.spanned(f"_d_{n}", lo, hi)) for n, (_, lo, hi) in drawn.items()}}).drop(*[f"_d_{n}" for n in drawn])
+    # all draws are pinned, so no candidate is drawn twice; no text repeats, so nothing is shuffled or stored
+    c = O.inject_features(c, energy="energy", volume="volume", moment="moment", repeated=False).withColumn("pugh", P.pugh("bulk", "shear"))
     return S.screening_funnel(c, "recipe_id").select("recipe_id", "formula", "score", "lattice_mismatch", "vec_binder")
 
 

@@ -226,3 +226,30 @@ def test_a_search_stores_few_candidates(spark, monkeypatch):
     evaluate = lambda c: c.withColumn("hv", 2000 * F.col("composition")["Mo"] + 1000).withColumn("kic", 20 - F.col("hv") / 100 + 5 * F.col("composition")["Co"])
     S.archive_search(spark.range(3000).withColumnRenamed("id", "cid"), tasks, evaluate, rounds=2)
     assert stored["ids"] == 3000 and 0 < stored["scored"] < 1000
+
+
+def test_a_funnel_stores_the_best_rows_only(spark, monkeypatch):
+    """With the rows of a filter with fallback over all stable rows."""
+    from cermetry.plans import screening as plans
+
+    stored = []
+    cut = S.cut_lineage
+
+    def counted(df, name="stage"):
+        out = cut(df, name)
+        stored.append(out.count())
+        return out
+
+    monkeypatch.setattr(S, "cut_lineage", counted)
+    monkeypatch.setattr(plans, "cut_lineage", counted)
+    rows = spark.range(400).selectExpr("id", "CAST(pmod(hash(id, 1), 100) AS DOUBLE) / 100 - 0.8 AS pred_formation_energy", "CASE WHEN id % 7 > 0 THEN CAST(pmod(hash(id, 2), 60) AS DOUBLE) / 100 - 0.3 END AS lattice_mismatch",
+                                       "CASE WHEN id % 5 > 0 THEN 1.5 + pmod(hash(id, 3), 5) / 10 END AS pugh", "1.0 + id % 3 AS pred_magnetic_moment")
+    for limit in (0.1, 0.005, 0.0):
+        stable = S.stable_only(rows, 0.0)
+        none = stable.where(F.abs("lattice_mismatch") < limit).count() == 0
+        kept = stable.where((F.abs("lattice_mismatch") < limit) | F.lit(none))
+        want = S.top(kept.withColumn("score", O.screening_score("pred_formation_energy", "lattice_mismatch", "pugh", "pred_magnetic_moment")), "score", "id", 20).collect()
+        got = S.screening_funnel(rows, "id", mismatch_limit=limit).collect()
+        assert len(got) == (20 if limit != 0.005 else kept.count()) and got == want and none == (limit == 0)
+    assert stored == [20, 20, 20]
+    assert plans.i11b(spark, "/root/testdata/sf0.001").count() == 20 and stored[3:] == [20]
